@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import toxicity
+from . import lshforest, pii, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,8 +29,22 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spans_text(F.concat("base", "learnt")).alias("spans"), F.size("learnt").alias("n_learnt"))
+
+
+def op9_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removals(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").alias("n_ranges"))
+
+
+def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lshforest.group(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity_crf": op1_toxicity_crf}
+    return {"op1_toxicity_crf": op1_toxicity_crf, "op5_pii_bootstrap": op5_pii_bootstrap, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
