@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lshforest, pii, substring, toxicity
+from . import hpylm, lshforest, pii, substring, toxicity
+from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,11 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return hpylm.Model(documents, Scratch(spark, "hpylm")).score(documents)
+
+
 def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spans_text(F.concat("base", "learnt")).alias("spans"), F.size("learnt").alias("n_learnt"))
@@ -44,7 +50,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity_crf": op1_toxicity_crf, "op5_pii_bootstrap": op5_pii_bootstrap, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_toxicity_crf": op1_toxicity_crf, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op5_pii_bootstrap": op5_pii_bootstrap, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
