@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hpylm, lshforest, pii, substring, toxicity
+from . import hpylm, lshforest, packing, pii, pq, sharding, substring, toxicity
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,25 @@ def op3_lm_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.Model(documents, Scratch(spark, "hpylm")).score(documents)
 
 
+def op4_sharding_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spans_text(F.concat("base", "learnt")).alias("spans"), F.size("learnt").alias("n_learnt"))
 
 
+def op6_packing_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq.link(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def op9_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removals(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").alias("n_ranges"))
 
@@ -50,7 +64,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity_crf": op1_toxicity_crf, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op5_pii_bootstrap": op5_pii_bootstrap, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_toxicity_crf": op1_toxicity_crf, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op4_sharding_differencing": op4_sharding_differencing, "op5_pii_bootstrap": op5_pii_bootstrap, "op6_packing_buckets": op6_packing_buckets, "op8_embedding_pq": op8_embedding_pq, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
