@@ -27,7 +27,7 @@ from .toxicity import held_out
 
 CONTEXTS = 1 << 16
 SWEEPS, BURN_IN, STRENGTH = 4, 1, 1.0
-BLOCK_BYTES, SLICES = 8 << 20, 16
+BLOCK_BYTES, SLICES = 3 << 20, 16
 #: Buckets: one for about so many bytes of text, so many at least.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 _START, _END = np.uint64(0x1234567), np.uint64(0x89ABCDEF)
@@ -202,7 +202,8 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables, root = state.value
             for batch in batches:
-                for r in batch.to_pylist():
+                for i in range(batch.num_rows):  # a row is a bucket; one is worked on at a time
+                    r = {k: batch.column(k)[i].as_py() for k in ("bucket", "words", "pairs", "ctx", "n", "tables", "seated", "roots")}
                     rng = np.random.default_rng([r["bucket"], sweep])
                     kinds, ctx = _unpack(r["pairs"], "u4").astype(np.int64), _unpack(r["ctx"], "u2").astype(np.int64)
                     n, t = _unpack(r["n"], "u4").astype(np.int64), _unpack(r["tables"], "u4").astype(float)

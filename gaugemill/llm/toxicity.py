@@ -23,8 +23,9 @@ SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 20_000
 BITS = 18
 #: Log likelihood ratio from which a form counts as going with toxic documents, the least share of these, and rounds of
 #: taking such forms.
-ASSOCIATION, PURITY, ROUNDS = 20.0, 0.93, 16
-SPAN_AT = 0.5
+ASSOCIATION, PURITY, ROUNDS = 12.0, 0.93, 16
+SPAN_AT, DAMPING = 0.5, 0.3
+_MARKS = np.isin(np.arange(256), list(b".,!?;:|\"')]}"))
 SCHEMA = "n_tokens long, score double, spans array<struct<start:int,end:int,prob:double>>"
 
 
@@ -38,12 +39,15 @@ def _features(words: Words) -> np.ndarray:
     n = len(words.starts)
     if not n:
         return np.zeros((9, 0), np.int32)
-    size, slot = words.ends - words.starts, np.uint64(64 - BITS)
-    rows = [words.hashes()]
+    ends = words.ends.copy()
+    for _ in range(3):  # a form goes without the marks that close it
+        ends -= _MARKS[words.data[ends - 1]] & (ends - words.starts > 1)
+    size, slot = ends - words.starts, np.uint64(64 - BITS)
+    rows = [words.span_hash(words.starts, ends)]
     for k in (3, 4, 5, 6):
-        rows.append(words.span_hash(words.starts, np.minimum(words.starts + k, words.ends)) + np.uint64(k))
+        rows.append(words.span_hash(words.starts, np.minimum(words.starts + k, ends)) + np.uint64(k))
     for k in (3, 5):
-        rows.append(words.span_hash(np.maximum(words.ends - k, words.starts), words.ends) + np.uint64(20 + k))
+        rows.append(words.span_hash(np.maximum(ends - k, words.starts), ends) + np.uint64(20 + k))
     prior, after = np.roll(rows[0], 1), np.roll(rows[0], -1)
     prior[words.first[:-1][words.first[:-1] < n]] = 0
     after[words.first[1:][words.first[1:] > 0] - 1] = 0
@@ -159,7 +163,7 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 5, rate: float = 0.
     squares, extra = np.full(1 << BITS, 1e-6), np.full(5, 1e-6)
     for epoch in range(epochs):
         mixed = np.random.default_rng(epoch).permutation(len(size))
-        for lot in np.array_split(mixed, max(1, len(mixed) // 300)):
+        for lot in np.array_split(mixed, max(min(10, len(mixed)), len(mixed) // 300)):
             tokens = np.concatenate([np.arange(first[r], first[r + 1]) for r in lot])
             if not len(tokens):
                 continue
@@ -181,7 +185,7 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 5, rate: float = 0.
     beta = np.zeros(3)
     for _ in range(30):  # Newton steps of a slightly damped logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        beta += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (t - q) - 0.05 * beta)
+        beta += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + DAMPING * np.eye(3), x.T @ (t - q) - DAMPING * beta)
     chain.calibration = beta
     chain.weight = chain.weight.astype(np.float32)
     return chain

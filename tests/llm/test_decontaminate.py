@@ -17,9 +17,9 @@ def wanted(docs, items):
         for j, item in items:
             words = brute.WORD.findall((item or "").lower())
             k, best = min(5, len(words)), (0, 0)
-            if not words:
+            m, own = len(words) - k + 1, multiset(words, k) if words else {}
+            if not words or not own.keys() & multiset(doc, k).keys():
                 continue
-            m, own = len(words) - k + 1, multiset(words, k)
             for s in range(max(1, len(doc) - len(words) + 1)):
                 window = multiset(doc[s : s + len(words)], k)
                 n = sum(window.values())
