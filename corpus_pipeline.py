@@ -4,12 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gaugemill.llm import decontaminate, lshforest, packing, pii, toxicity
+from gaugemill.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+TOXIC_FROM = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below TOXIC_FROM; the labels' own documents of the training part train the scorer."""
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    plain = docs.select(*(F.col(c).alias(f"c_{c}") if c in ("n_tokens", "score", "spans") else F.col(c) for c in docs.columns))
+    scored = toxicity.score(plain, chain, spans=False)
+    return scored.where(F.col("score") < TOXIC_FROM).select(*(F.col(f"c_{c}").alias(c) if c in ("n_tokens", "score", "spans") else F.col(c) for c in docs.columns))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; rows without an id or words all stay.
+
+    Equal rows under one id are one document and stay together.
+    """
+    groups = lshforest.group(docs).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("minhash_dedup", one_of_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("pii", redact),
+    ("packing", pack),
+]
+#: Scores, contexts and groups aren't SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies the stages to ``documents``; what a stage keeps is a table of its own in the shared folder."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs
