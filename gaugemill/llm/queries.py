@@ -87,5 +87,43 @@ def queries() -> dict[str, Query]:
     return {"op1_toxicity_crf": op1_toxicity_crf, "op2_decontamination_simhash": op2_decontamination_simhash, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op4_sharding_differencing": op4_sharding_differencing, "op5_pii_bootstrap": op5_pii_bootstrap, "op6_packing_buckets": op6_packing_buckets, "op7_warc_source": op7_warc_source, "op8_embedding_pq": op8_embedding_pq, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest}
 
 
+_SPACE = r"[\x20\x09-\x0D]+"
+_REACH = """r AS (SELECT {id} AS x, {id} AS y FROM {nodes} UNION SELECT r.x, e.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) AS e ON r.y = e.a), c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)"""
+
+ORACLES = {
+    "op2_decontamination_simhash": rf"""
+WITH w AS (SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents
+ UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '{_SPACE}'), lambda x: x <> '') FROM benchmark),
+s AS (SELECT kind, id, len(ws) - 4 AS m, unnest(range(len(ws) - 4)) AS p, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS h FROM w WHERE len(ws) >= 5),
+i AS (SELECT id AS item_id, m, h, count(*) AS n FROM s WHERE kind = 'i' GROUP BY ALL),
+hit AS (SELECT s.id AS doc_id, s.m AS len, s.p, s.h, i.item_id, i.m, i.n FROM s JOIN i USING (h) WHERE kind = 'd'),
+b AS (SELECT DISTINCT doc_id, item_id, len, m, greatest(0, least(p, len - m)) AS start FROM hit),
+k AS (SELECT b.doc_id, b.item_id, b.len, b.m, b.start, hit.h, least(count(*), any_value(hit.n)) AS n FROM b JOIN hit ON b.doc_id = hit.doc_id AND b.item_id = hit.item_id AND hit.p >= b.start AND hit.p < b.start + b.m GROUP BY ALL),
+j AS (SELECT doc_id, item_id, start, sum(n) / (least(m, len) + m - sum(n)) AS similarity FROM k GROUP BY doc_id, item_id, len, m, start)
+SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, min_by(start, (-similarity, start))::BIGINT AS start_word FROM j WHERE similarity >= 0.75 GROUP BY doc_id, item_id""",
+    "op7_warc_source": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), b AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS best FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to FROM b""",
+    "op8_embedding_pq": f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+e AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p, v q WHERE p.vec_id < q.vec_id AND list_dot_product(p.x, q.x) / (p.n * q.n) >= 0.95), {_REACH.format(id='vec_id', nodes='v')},
+l AS (SELECT z, count(*) AS n FROM (SELECT a AS z FROM e UNION ALL SELECT b FROM e) GROUP BY z)
+SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN l ON l.z = v.vec_id""",
+    "op9_substring_anchors": rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest(list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(ws[i:i+19], ' ')))) AS h FROM w WHERE len(ws) >= 20),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM p),
+k AS (SELECT DISTINCT doc_id, i + o AS pos FROM g, (SELECT unnest(range(20)) AS o) WHERE rn > 1),
+r AS (SELECT doc_id, count(*) AS n, sum(fresh) AS ranges, list(pos) AS gone FROM (SELECT doc_id, pos, (coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -9) <> pos - 1)::INT AS fresh FROM k) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256, coalesce(ranges, 0)::INTEGER AS n_ranges FROM w LEFT JOIN r USING (doc_id)""",
+    "op10_minhash_forest": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i+4], ' '))) WHEN len(ws) > 0 THEN [md5(array_to_string(ws, ' '))] ELSE []::VARCHAR[] END) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.h = q.h AND p.doc_id < q.doc_id GROUP BY ALL) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), {_REACH.format(id='doc_id', nodes='documents')}
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
