@@ -23,23 +23,25 @@ MOST_BROADCAST = 500_000
 WORDS = r"filter(split(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once a row: the optimizer doesn't copy an expression across a generator, as it
+    would copy one that is used in several places, down into lambdas and pushed filters."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _shingled(df: DataFrame, size: int) -> DataFrame:
     """Adds ``hashes``, the hashes of the runs of ``size`` of ``words``, in order."""
     parts = ", ".join(f"words[i + {k}]" for k in range(size))
-    return df.withColumn("hashes", F.expr(f"case when size(words) >= {size} then transform(sequence(0, size(words) - {size}), i -> xxhash64({parts})) else cast(array() as array<bigint>) end"))
+    return _once(df, "hashes", F.expr(f"case when size(words) >= {size} then transform(sequence(0, size(words) - {size}), i -> xxhash64({parts})) else cast(array() as array<bigint>) end"))
 
 
-def _fingerprint(h: Column, n: Column) -> tuple[list[Column], Column]:
-    """Sums for a group's shingle hashes ``h``, two bits counted in each, and from them the SimHash of ``n`` shingles."""
-    one = lambda b: F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long"))
-    sums = [F.sum(one(b) + F.shiftleft(one(b + 1), 32)).alias(f"_s{b}") for b in range(0, 64, 2)]
-    bits = []
-    for b in range(0, 64, 2):
-        low, high = F.col(f"_s{b}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(F.col(f"_s{b}"), 32)
-        bits += [F.when(2 * c > n, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")) for c, k in ((low, b), (high, b + 1))]
-    while len(bits) > 1:  # as a tree: a chain of 64 operators is deep
-        bits = [x.bitwiseOR(y) for x, y in zip(bits[::2], bits[1::2], strict=True)]
-    return sums, bits[0]
+def _printed(rows: DataFrame, *by: str) -> DataFrame:
+    """size and SimHash (``print``) of each group's shingle hashes ``h``, counted ``n`` times; a sum counts two bits."""
+    one = lambda b: F.shiftright("h", b).bitwiseAND(F.lit(1).cast("long"))
+    sums = [F.sum(F.col("n") * (one(b) + F.shiftleft(one(b + 1), 32))).alias(f"_s{b}") for b in range(0, 64, 2)]
+    most = "transform(array({}), (s, i) -> shiftleft(cast(2 * (s & 4294967295L) > size as bigint), 2 * i) | shiftleft(cast(2 * shiftrightunsigned(s, 32) > size as bigint), 2 * i + 1))"
+    bits = most.format(", ".join(f"_s{b}" for b in range(0, 64, 2)))
+    return rows.groupBy(*by).agg(F.sum("n").alias("size"), *sums).select(*by, "size", F.expr(f"aggregate({bits}, 0L, (x, y) -> x | y)").alias("print"))
 
 
 def _blocks(df: DataFrame, near: bool) -> DataFrame:
@@ -64,7 +66,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     different texts apart, and equal rows are found once.
     """
     scratch = Scratch(documents.sparkSession, "leaks")
-    words = benchmark.select("item_id", F.expr(WORDS).alias("words")).where("size(words) > 0")
+    words = _once(benchmark, "words", F.expr(WORDS)).select("item_id", "words").where("size(words) > 0")
     words = words.withColumn("k", F.least(F.lit(SHINGLE), F.size("words"))).withColumn("item", F.xxhash64("item_id", F.array_join("words", " ")))
     sizes = sorted(r.k for r in words.select("k").distinct().collect())  # five values at most
     found = None
@@ -89,28 +91,29 @@ def _leaks(documents: DataFrame, words: DataFrame, k: int, scratch: Scratch) ->
     short = F.ceil(F.col("m") * NEED[0] / F.lit(float(NEED[1])) - 1e-9)
     asked = counted.select("h", "item", "m")
     asked = F.broadcast(asked) if counted.count() <= MOST_BROADCAST else asked
-    read = _shingled(documents.select("doc_id", key().alias("key"), F.expr(WORDS).alias("words")), k).select("doc_id", "key", "hashes")
+    read = _shingled(_once(documents.select("doc_id", key().alias("key"), "text"), "words", F.expr(WORDS)).select("doc_id", "key", "words"), k).select("doc_id", "key", "hashes")
     hits = (
         read.select("doc_id", "key", F.size("hashes").alias("len"), F.posexplode("hashes").alias("pos", "h"))
         .join(asked, "h")
         .groupBy("doc_id", "key", "len", "item", "m")
         .agg(F.sort_array(F.collect_set("pos")).alias("at"))
-        .withColumn("need", F.when(F.col("len") < F.col("m"), short).otherwise(need).cast("int"))
-        .where(F.size("at") >= F.col("need"))
     )
+    # saved before the filter: with the filter's conditions on its own expressions, planning takes minutes
+    hits = scratch.save(hits.where(F.size("at") >= F.least(need, short)), f"hits{k}").withColumn("need", F.when(F.col("len") < F.col("m"), short).otherwise(need).cast("int"))
+    hits = hits.where(F.size("at") >= F.col("need"))
     begins = F.expr("transform(filter(sequence(0, size(at) - need), i -> at[i + need - 1] - at[i] < m), i -> greatest(0, least(at[i], len - m)))")
     starts = scratch.save(hits.select("doc_id", "key", "m", F.explode(F.array_distinct(begins)).alias("start")).distinct(), f"starts{k}")
-    slots = starts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("m", "start")).alias("slots"))
+    # the texts are shuffled at every size: what has leaked grows with them
+    slots = starts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("m", "start")).alias("slots")).hint("merge")
     same = (F.col("d.key") == F.col("s.key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
     texts = documents.select("doc_id", key().alias("key"), "text").alias("d").join(slots.alias("s"), same).select("d.doc_id", "d.key", "d.text", "s.slots").dropDuplicates(["doc_id", "key"])
-    cut = _shingled(texts.withColumn("words", F.expr(WORDS)), k).select("doc_id", "key", "hashes", F.explode("slots").alias("s"))
+    cut = _shingled(_once(texts, "words", F.expr(WORDS)), k).select("doc_id", "key", "hashes", F.explode("slots").alias("s"))
     windows = cut.select("doc_id", "key", "s.m", "s.start", F.explode(F.expr("slice(hashes, s.start + 1, s.m)")).alias("h"))
     shared = scratch.save(windows.groupBy("doc_id", "key", "m", "start", "h").agg(F.count("*").alias("n")), f"windows{k}")
 
-    sums, fingerprint = _fingerprint(F.col("h"), F.col("_n"))
-    printed = lambda rows, *by: rows.withColumn("h", F.explode(F.array_repeat("h", F.col("n").cast("int")))).groupBy(*by).agg(*sums, F.count("*").alias("_n")).select(*by, F.col("_n").alias("size"), fingerprint.alias("print"))
-    of_items = _blocks(printed(counted, "item_id", "item", "m"), True).select("item_id", "item", "m", "block", "value", F.col("print").alias("item_print"))
-    of_windows = _blocks(printed(shared, "doc_id", "key", "m", "start"), False)
+    printed = scratch.save(_printed(counted, "item_id", "item", "m"), f"item_prints{k}")
+    of_items = _blocks(printed, True).select("item_id", "item", "m", "block", "value", F.col("print").alias("item_print"))
+    of_windows = _blocks(scratch.save(_printed(shared, "doc_id", "key", "m", "start"), f"window_prints{k}"), False)
     pairs = of_windows.join(of_items, ["m", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     pairs = pairs.select("doc_id", "key", "m", "start", "size", "item_id", "item").distinct()
 
@@ -126,4 +129,4 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a benchmark item; columns as they are."""
     found = leaks(documents, benchmark).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
     marked = documents.withColumn("_key", key())
-    return marked.join(found.alias("f"), (marked["_key"] == F.col("f._key")) & marked["doc_id"].eqNullSafe(F.col("f._id")), "left_anti").select(*documents.columns)
+    return marked.join(found.alias("f").hint("merge"), (marked["_key"] == F.col("f._key")) & marked["doc_id"].eqNullSafe(F.col("f._id")), "left_anti").select(*documents.columns)
