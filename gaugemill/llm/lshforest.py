@@ -4,7 +4,9 @@ Every distinct shingle set gets a MinHash signature. A tree of the forest is one
 sets are sorted by it, and the neighbours with the longest common prefix, at least ``LEAST_DEPTH`` values, are
 candidates. Where many sets share a prefix, the order itself goes deeper, as far as the signature does; so the depth
 adapts to each region and no region makes all its pairs. Candidates are confirmed on the full shingle sets: first the
-best of each set, then, after the confirmed links are contracted, all that would still join two components.
+best of each set, then, after the confirmed links are contracted, all that would still join two components. In a region
+with many members of one component, a set outside it may have its only partners farther away in the order; such sets
+are looked up once more, against the nearest ``FAR`` of those members on either side.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ POSITIONS, TREES, LEAST_DEPTH = 64, 32, 3
 #: Neighbours looked at on either side, best ones confirmed in the first round, and agreeing sketch bits of 64 below
 #: which no pair of the wanted similarity is expected (4.6 standard deviations at 0.75).
 NEIGHBOURS, BEST, LEAST_AGREEING = 4, 3, 44
+#: Members that make a component large, and how many of them a set outside is held against, in every order and side.
+LARGE, FAR = 32, 128
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -102,6 +106,40 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _strays(classes: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of a set outside a large component and members of it that stand near in some order.
+
+    What is compared are only regions that members of large components lie in; a stray is of a small component itself.
+    """
+    sizes = named.groupBy("component").agg(F.count("*").alias("size"))
+    large = scratch.save(named.join(sizes.where(F.col("size") >= LARGE), "component").select(F.col("node").alias("doc_id"), "component"), "large")
+    members = _forest(classes.join(large.select("doc_id"), "doc_id"))
+    prefixes = scratch.save(members.select((F.shiftright("high", 11)).alias("prefix")).distinct(), "regions")
+    near = _forest(classes).withColumn("prefix", F.shiftright("high", 11)).join(prefixes, "prefix", "left_semi").join(large, "doc_id", "left").drop("prefix")
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = scratch.save(near, "near").repartitionByRange(tasks, "high", "deep", "doc_id").sortWithinPartitions("high", "deep", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        key = table.column("high").to_numpy().view(np.uint64) >> np.uint64(11)
+        ids, sketch = table.column("doc_id").to_numpy(), table.column("sketch").to_numpy().view(np.uint64)
+        outside = table.column("component").is_null().to_numpy(zero_copy_only=False)
+        inside = np.flatnonzero(~outside)
+        for at in np.array_split(np.flatnonzero(outside), max(1, int(outside.sum()) // 1000)):
+            where = np.searchsorted(inside, at)[:, None] + np.arange(-FAR, FAR)
+            ok = (where >= 0) & (where < len(inside))
+            other = inside[np.clip(where, 0, max(0, len(inside) - 1))] if len(inside) else np.zeros_like(where)
+            ok &= key[other] == key[at][:, None]
+            ok &= 64 - np.bitwise_count(sketch[other] ^ sketch[at][:, None]).astype(int) >= LEAST_AGREEING
+            i, j = np.nonzero(ok)
+            a, b = ids[at[i]], ids[other[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return scratch.save(ordered.select("high", "doc_id", "sketch", "component").mapInArrow(run, "a long, b long").distinct(), "strays")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
@@ -176,6 +214,10 @@ def group(documents: DataFrame) -> DataFrame:
     if not left.isEmpty():
         links = scratch.save(links.unionByName(confirmed(left, documents)), "all_links")
         named = scratch.save(components(links, scratch, "more"), "all_named")
+    strays = _strays(classes, named, scratch).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    if not strays.isEmpty():
+        links = scratch.save(links.unionByName(confirmed(strays, documents)), "stray_links")
+        named = scratch.save(components(links, scratch, "stray"), "stray_named")
     found = classes.select("digest", F.col("doc_id").alias("node")).join(named, "node", "left").select("digest", F.coalesce("component", "node").alias("of_set"))
     out = every.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("of_set", "doc_id").alias("component_id"))
