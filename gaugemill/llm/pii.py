@@ -198,7 +198,7 @@ def redact(documents: DataFrame) -> DataFrame:
     Spans that overlap are replaced together, under the kind of the first.
     """
     found = extract(documents, []).select("_key", F.concat("base", "learnt").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
-    joined_rows = documents.withColumn("_key", row_key()).join(found, "_key", "left")
+    joined_rows = documents.withColumn("_key", row_key()).join(found.hint("merge"), "_key", "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
