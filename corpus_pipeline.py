@@ -27,7 +27,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Equal rows under one id are one document and stay together.
     """
     groups = lshforest.group(docs).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(groups.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
