@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +30,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def new_folder(self) -> str:
+        """A new folder under the cluster's shared one; under a temporary one where none is set, as in tests."""
+        root = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        return f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}"
