@@ -8,6 +8,9 @@ from pyspark.sql import Column, functions as F
 DELIVERY = (("laughter", ("laugh", "chuckle", "giggle")), ("high_energy", ("shout", "yell", "scream", "cheer")), ("soft", ("whisper", "murmur", "soft", "quietly")))
 # Tokens that show how many speak; the first set is tried first.
 SPEAKER_MODES = (("multi_speaker", ("conversation", "dialogue", "talking", "speakers")), ("single_speaker", ("narration", "monologue", "speaking", "speech")))
+# Words for people in a label, and the labels' default keywords.
+PEOPLE = ("people", "person", "man", "woman", "boy", "girl", "human", "crowd", "audience", "child", "adult")
+KEYWORDS = ("hammer", "clap", "slap", "slam", "bang", "smash", "knock", "hit", "punch", "thud")
 # Fixed value: words that a clip shown to people must not hold.
 PROFANITY = r"(?i)\b(fuck|fucking|shit|bitch|cunt|dick|asshole)\b"
 # Answers without and with context that differ tellingly, and words for physical surroundings.
@@ -107,7 +110,13 @@ def safe_event(*values) -> Column:
 
 
 def people_priority(label) -> Column:
-    return F.lower(col(label)).rlike("people|man|woman|child|speech").cast("int")
+    return F.lower(col(label)).rlike("|".join(PEOPLE)).cast("int")
+
+
+def matches_keywords(label, keywords: tuple[str, ...] = KEYWORDS) -> Column:
+    """Whether any keyword stands in the label, also inside a word."""
+    lower = F.lower(col(label))
+    return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(lower, k))
 
 
 def is_safe(text) -> Column:

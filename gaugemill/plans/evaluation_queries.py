@@ -169,12 +169,16 @@ def adaptive_sampler(t: Tables) -> DataFrame:
     return _chosen(t, [96, 64, 48], 2)
 
 
+LABEL_WORDS = ("red", "metal", "wid", "gad", "b")
+
+
 @query(f"""
-WITH {SRC_ITEMS}, k AS (SELECT *, regexp_matches(lower(name), 'people|man|woman|child|speech')::INT AS people, row_number() OVER (PARTITION BY grp, name ORDER BY {digest_sql(42, 'id')}, id) AS rnd FROM src_items)
+WITH {SRC_ITEMS}, k AS (SELECT *, regexp_matches(lower(name), '{'|'.join(T.PEOPLE)}')::INT AS people, row_number() OVER (PARTITION BY grp, name ORDER BY {digest_sql(42, 'id')}, id) AS rnd FROM src_items WHERE regexp_matches(lower(name), '{'|'.join(LABEL_WORDS)}'))
 SELECT grp, id, name, row_number() OVER (PARTITION BY grp ORDER BY rnd, -people, name)::INT AS pick FROM k WHERE rnd <= 5 QUALIFY pick <= 40""")
 def keyword_round_robin(t: Tables) -> DataFrame:
     """Names in turn, those about people first, five rows a name at most."""
-    return S.round_robin(src_items(t), ["grp"], "name", ["id"], 42, 40, cap=5, priority=[-T.people_priority("name")], small_first=False).select("grp", "id", "name", "pick")
+    kept = src_items(t).where(T.matches_keywords("name", LABEL_WORDS))
+    return S.round_robin(kept, ["grp"], "name", ["id"], 42, 40, cap=5, priority=[-T.people_priority("name")], small_first=False).select("grp", "id", "name", "pick")
 
 
 @query(f"""WITH k AS (SELECT event_id, user_id % 50 AS scenario, event_type, row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY {digest_sql(42, 'event_id')}, event_id) AS rnd FROM events)
