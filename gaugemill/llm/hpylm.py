@@ -36,12 +36,15 @@ _FIELDS = [("bucket", pa.int32()), *((k, pa.binary()) for k in ("words", "pairs"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Values byte plane by byte plane: high bytes of small values compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Values byte plane by byte plane, compressed at once: most are small, and a bucket's row has megabytes of them."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="lz4_raw", asbytes=True)
 
 
 def _unpack(x: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    size = int.from_bytes(x[:8], "little")
+    planes = pa.decompress(x[8:], size, codec="lz4_raw", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,16 +75,18 @@ def _pairs(h: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, (index.astype(np.uint64) << np.uint64(16)) | ctx
 
 
-def _counted(batch: pa.RecordBatch, bits: int) -> Iterator[dict]:
-    """For each bucket, words in order, contexts of each, and how often each pair came."""
+def _counted(batch: pa.RecordBatch, bits: int) -> Iterator[list[dict]]:
+    """For each block of rows and each bucket, words in order, contexts of each, and how often each pair came."""
     learnt = batch.column("learnt").to_numpy(zero_copy_only=False)
     for lo, _, h, ctx, rows in _chunks(batch):
         keep = learnt[lo + rows]
         words, code = _pairs(h[keep], ctx[keep])
         code, n = np.unique(code, return_counts=True)
+        out = []
         for b, a, z, x, y in _ranges(words, code, bits):
             pairs = np.bincount((code[x:y] >> np.uint64(16)).astype(np.int64) - a, minlength=z - a)
-            yield {"bucket": b, "words": words[a:z].tobytes(), "pairs": _pack(pairs.astype(np.uint32)), "ctx": _pack(code[x:y].astype(np.uint16)), "n": _pack(n[x:y].astype(np.uint32))}
+            out.append({"bucket": b, "words": words[a:z].tobytes(), "pairs": _pack(pairs.astype(np.uint32)), "ctx": _pack(code[x:y].astype(np.uint16)), "n": _pack(n[x:y].astype(np.uint32))})
+        yield out
 
 
 def _ranges(words: np.ndarray, code: np.ndarray, bits: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -161,8 +166,8 @@ class Model:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = {"bucket": pa.int32(), "words": pa.binary(), "pairs": pa.binary(), "ctx": pa.binary(), "n": pa.binary()}
             for batch in batches:
-                rows = list(_counted(batch, bits))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
+                for rows in _counted(batch, bits):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 
         def open_tables(table):
             words, code, n = _gathered(table)
@@ -176,7 +181,7 @@ class Model:
             return pa.table({k: pa.array([row[k]], t) for k, t in _FIELDS})
 
         counts = documents.select("text", (~held_out("doc_id", 7, 2)).alias("learnt")).mapInArrow(count, "bucket int, words binary, pairs binary, ctx binary, n binary")
-        model = scratch.save(counts.groupBy("bucket").applyInArrow(open_tables, MODEL), "seating0")
+        model = scratch.save(counts.groupBy("bucket").applyInArrow(open_tables, MODEL), "seating0", large_cells=True)
         both, sums = _totals(model)
         both = both if len(both) == 2 * CONTEXTS else np.zeros(2 * CONTEXTS)
         self.customers, tables = both[:CONTEXTS], both[CONTEXTS:]
@@ -187,7 +192,7 @@ class Model:
         root = (float(tables.sum()), float(self.n_words))
         for sweep in range(sweeps):
             state = spark.sparkContext.broadcast((tables, root))
-            model = scratch.save(model.mapInArrow(self._sweep(state, sweep, burn_in), MODEL), f"seating{sweep + 1}")
+            model = scratch.save(model.mapInArrow(self._sweep(state, sweep, burn_in), MODEL), f"seating{sweep + 1}", large_cells=True)
             scratch.drop(f"seating{sweep}")
             tables, sums = _totals(model)
             tables = tables if len(tables) == CONTEXTS else np.zeros(CONTEXTS)

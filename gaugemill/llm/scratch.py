@@ -29,8 +29,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, large_cells: bool = False) -> DataFrame:
+        """``large_cells``: pages end by size after every row, else a hundred cells of megabytes are buffered off the heap."""
+        options = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"} if large_cells else {}
+        df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

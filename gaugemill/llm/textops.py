@@ -73,7 +73,7 @@ class Words:
 
 def blocks(column: pa.Array, fold: bool = True, hashed: bool = True) -> Iterator[Words]:
     """The column's rows in order, a block at a time; null counts as the empty text."""
-    column = pc.fill_null(column, "")
+    column = pc.fill_null(column, "") if column.null_count else column
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     buffers, n = column.buffers(), len(column)
