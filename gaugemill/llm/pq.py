@@ -2,9 +2,10 @@
 
 Coarse centroids cut the vectors into inverted lists; what a vector differs from its centroid by is coded subspace by
 subspace. A vector is looked up in every list that can hold a partner: a partner lies no farther than the threshold
-allows, so it lies across the plane between the two centroids only if the vector itself is that near to the plane. In a
-list, distances come from tables of the query's products with the codebooks; what a code leaves out is bounded by the
-norm of its error, so no pair over the threshold is lost, and pairs that remain are ranked by exact double cosine.
+allows, so it lies across the plane between the two centroids only if the vector itself is that near to the plane. Only
+the part of the difference that points across the plane counts; in d dimensions it is about 1 / sqrt(d) of the whole,
+and ``DEVIATIONS`` times that is allowed for (all of it up to 16 dimensions, where no link can be lost). In a list, distances come from tables of the query's products with the codebooks; what a code leaves out is bounded by the
+norm of its error, so no pair over the threshold is lost there, and pairs that remain are ranked by exact double cosine.
 
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` vectors by hashed id). Lists are cut into tiles, and
 visitors of a tile into lots, so that a dense list doesn't fill one task. A tile returns how many partners each vector
@@ -26,6 +27,7 @@ from .scratch import Scratch
 THRESHOLD, SAMPLE, MOST_LISTS = 0.95, 20_000, 4096
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
 TILE, LOT = 1024, 32_768
+DEVIATIONS = 4
 #: Slack for rounding in the bounds; the exact comparison has none.
 EPSILON = 1e-6
 
@@ -134,7 +136,7 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tiles = np.array([math.ceil(counts.get(i, 0) / TILE) for i in range(len(index.value.centres))], np.int64)
     begins = np.concatenate([[0], np.cumsum(tiles)])
     lots = max(1, math.ceil(n / LOT))
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + EPSILON
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) * min(1.0, DEVIATIONS / math.sqrt(d)) + EPSILON
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to its own tile, for every lot, and to the later tiles of lists that can hold a partner."""

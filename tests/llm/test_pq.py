@@ -34,3 +34,13 @@ def test_repeated_ids_nulls_and_empty_tables(spark):
     found = sorted((tuple(r) for r in pq.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=str)
     assert found == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (5, 0, 5)], key=str)
     assert pq.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_recall_in_many_dimensions(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(600, 64))
+    x = np.concatenate([base, np.repeat(base[:300], 3, 0) + rng.normal(scale=0.3, size=(900, 64))]).astype(np.float32)
+    ids = list(range(len(x)))
+    found = {r.vec_id: r.n_links for r in pq.link(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect()}
+    want = wanted(ids, x.astype(float))
+    assert all(found[i] <= want[i][0] for i in ids) and sum(found.values()) >= 0.999 * sum(n for n, _ in want.values()) > 0
