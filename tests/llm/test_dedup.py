@@ -61,3 +61,17 @@ def test_anchors_repeated_rows_nulls_and_empty_tables(spark):
     found = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert found == sorted([(3, 30, 0), (3, 30, 0), (5, 30, 30), (None, 30, 30), (None, 0, 0), (9, 0, 0)], key=str)
     assert substring.removals(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sets_outside_a_large_component_are_looked_up_again(spark, monkeypatch):
+    monkeypatch.setattr(lshforest, "LARGE", 4)
+    rnd = random.Random(9)
+    base = [f"v{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            copy[rnd.randrange(80)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    found = lshforest.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near(rows)
