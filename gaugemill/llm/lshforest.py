@@ -6,7 +6,7 @@ candidates. Where many sets share a prefix, the order itself goes deeper, as far
 adapts to each region and no region makes all its pairs. Candidates are confirmed on the full shingle sets: first the
 best of each set, then, after the confirmed links are contracted, all that would still join two components. In a region
 with many members of one component, a set outside it may have its only partners farther away in the order; such sets
-are looked up once more, against the nearest ``FAR`` of those members on either side.
+are then also held against all members of such a component, tile by tile.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ POSITIONS, TREES, LEAST_DEPTH = 64, 32, 3
 #: Neighbours looked at on either side, best ones confirmed in the first round, and agreeing sketch bits of 64 below
 #: which no pair of the wanted similarity is expected (4.6 standard deviations at 0.75).
 NEIGHBOURS, BEST, LEAST_AGREEING = 4, 3, 44
-#: Members that make a component large, and how many of them a set outside is held against, in every order and side.
-LARGE, FAR = 32, 128
+#: Members that make a component large, orders in which a set outside shares a region with it, members in a tile, and
+#: outsiders in a lot.
+LARGE, LEAST_ORDERS, TILE, LOT = 32, 3, 1024, 4096
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -106,38 +107,64 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _strays(classes: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of a set outside a large component and members of it that stand near in some order.
+def _stray_links(classes: DataFrame, named: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between sets outside large components and members of these, whichever members they are.
 
-    What is compared are only regions that members of large components lie in; a stray is of a small component itself.
+    A set is held against a component if it shares a region with it in ``LEAST_ORDERS`` orders at least; a partner of the
+    wanted similarity alone gives 13 of 32 on average. Members are dealt into tiles and outsiders into lots; a tile gets
+    each set once and returns links only, so what is sent grows with the sets, not with their pairs.
     """
-    sizes = named.groupBy("component").agg(F.count("*").alias("size"))
-    large = scratch.save(named.join(sizes.where(F.col("size") >= LARGE), "component").select(F.col("node").alias("doc_id"), "component"), "large")
-    members = _forest(classes.join(large.select("doc_id"), "doc_id"))
-    prefixes = scratch.save(members.select((F.shiftright("high", 11)).alias("prefix")).distinct(), "regions")
-    near = _forest(classes).withColumn("prefix", F.shiftright("high", 11)).join(prefixes, "prefix", "left_semi").join(large, "doc_id", "left").drop("prefix")
-    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = scratch.save(near, "near").repartitionByRange(tasks, "high", "deep", "doc_id").sortWithinPartitions("high", "deep", "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        key = table.column("high").to_numpy().view(np.uint64) >> np.uint64(11)
-        ids, sketch = table.column("doc_id").to_numpy(), table.column("sketch").to_numpy().view(np.uint64)
-        outside = table.column("component").is_null().to_numpy(zero_copy_only=False)
-        inside = np.flatnonzero(~outside)
-        for at in np.array_split(np.flatnonzero(outside), max(1, int(outside.sum()) // 1000)):
-            where = np.searchsorted(inside, at)[:, None] + np.arange(-FAR, FAR)
-            ok = (where >= 0) & (where < len(inside))
-            other = inside[np.clip(where, 0, max(0, len(inside) - 1))] if len(inside) else np.zeros_like(where)
-            ok &= key[other] == key[at][:, None]
-            ok &= 64 - np.bitwise_count(sketch[other] ^ sketch[at][:, None]).astype(int) >= LEAST_AGREEING
-            i, j = np.nonzero(ok)
-            a, b = ids[at[i]], ids[other[i, j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return scratch.save(ordered.select("high", "doc_id", "sketch", "component").mapInArrow(run, "a long, b long").distinct(), "strays")
+    sizes = named.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+    large = scratch.save(named.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "size"), "large")
+    regions = _forest(classes.join(large.select("doc_id"), "doc_id")).join(large, "doc_id").select(F.shiftright("high", 11).alias("prefix"), "component", "size").distinct()
+    outside = _forest(classes.join(large.select("doc_id"), "doc_id", "left_anti")).select(F.shiftright("high", 11).alias("prefix"), "doc_id")
+    met = outside.join(scratch.save(regions, "regions"), "prefix").groupBy("doc_id", "component", "size").agg(F.count("*").alias("orders"))
+    strays = scratch.save(met.where(F.col("orders") >= LEAST_ORDERS).drop("orders"), "strays")
+    lots = -(-strays.count() // LOT)
+    if not lots:
+        return strays.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    hashed = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    homes = large.join(strays.select("component").distinct(), "component", "left_semi").withColumn("tile", hashed(tiles)).withColumn("lot", spread(F.lit(lots)))
+    guests = strays.withColumn("tile", spread(tiles)).withColumn("lot", hashed(F.lit(lots)))
+    columns = ["doc_id", "component", "tile", "lot"]
+    places = homes.select(*columns, F.lit(True).alias("home")).unionByName(guests.select(*columns, F.lit(False).alias("home")))
+
+    def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owned = []
+            for w in blocks(batch.column("text")):
+                h = w.hashes()
+                s = windows(h, SHINGLE)
+                owned += [set_of(w, h, s, row, SHINGLE).tobytes() for row in range(w.hi - w.lo)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(owned, pa.binary())], names=["doc_id", "own"])
+
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(places.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    sent = places.join(texts.mapInArrow(own_sets, "doc_id long, own binary"), "doc_id")
+
+    def match(table):
+        home, ids = table.column("home").to_numpy(), table.column("doc_id").to_numpy()
+        owned = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("own")]
+        inside, outside = np.flatnonzero(home), np.flatnonzero(~home)
+        size = np.array([len(owned[i]) for i in inside], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(owned[i] for i in inside)])
+        owner = np.repeat(np.arange(len(inside)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        a, b = [], []
+        for i in outside:
+            lo, hi = np.searchsorted(flat, owned[i]), np.searchsorted(flat, owned[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(inside))
+            found = np.flatnonzero((NEED[1] * shared >= NEED[0] * (size + len(owned[i]) - shared)) & (shared > 0))
+            a += [ids[i]] * len(found)
+            b += ids[inside[found]].tolist()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return sent.groupBy("component", "tile", "lot").applyInArrow(match, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -211,13 +238,10 @@ def group(documents: DataFrame) -> DataFrame:
     links = scratch.save(confirmed(best, documents), "links")
     named = scratch.save(components(links, scratch), "named")
     left = scratch.save(_apart(pairs.join(best, ["a", "b"], "left_anti"), named), "left")
-    if not left.isEmpty():
-        links = scratch.save(links.unionByName(confirmed(left, documents)), "all_links")
-        named = scratch.save(components(links, scratch, "more"), "all_named")
-    strays = _strays(classes, named, scratch).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    if not strays.isEmpty():
-        links = scratch.save(links.unionByName(confirmed(strays, documents)), "stray_links")
-        named = scratch.save(components(links, scratch, "stray"), "stray_named")
+    more = _stray_links(classes, named, documents, scratch)
+    more = scratch.save(more if left.isEmpty() else more.unionByName(confirmed(left, documents)), "more_links")
+    if not more.isEmpty():
+        named = scratch.save(_merged(named, more, scratch), "all_named")
     found = classes.select("digest", F.col("doc_id").alias("node")).join(named, "node", "left").select("digest", F.coalesce("component", "node").alias("of_set"))
     out = every.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("of_set", "doc_id").alias("component_id"))
@@ -228,3 +252,13 @@ def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
     name = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     both = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left")
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _merged(named: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after further links; only the components that these join are gone through again."""
+    ends = [links.select(F.col(c).alias("node"), F.col(c).alias("component")) for c in ("a", "b")]
+    every = scratch.save(named.unionByName(ends[0]).unionByName(ends[1]).groupBy("node").agg(F.min("component").alias("component")), "every_named")
+    name = lambda side: every.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    joins = links.join(name("a"), "a").join(name("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = components(joins, scratch, "more").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return every.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
