@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gaugemill.llm import pq
 
@@ -44,3 +45,16 @@ def test_recall_in_many_dimensions(spark):
     found = {r.vec_id: r.n_links for r in pq.link(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect()}
     want = wanted(ids, x.astype(float))
     assert all(found[i] <= want[i][0] for i in ids) and sum(found.values()) >= 0.999 * sum(n for n, _ in want.values()) > 0
+
+
+@pytest.mark.parametrize("d", [64, 384])
+def test_no_link_is_lost_among_low_rank_vectors_and_drifting_copies(spark, d):
+    rng = np.random.default_rng(d)
+    flat = rng.normal(size=(500, 3)) @ rng.normal(size=(3, d))
+    start, way = (np.linalg.qr(rng.normal(size=(d, 2)))[0].T for _ in range(2))
+    turn = np.arange(0, 6, 0.3)
+    chains = np.concatenate([np.outer(np.cos(turn), a[0]) + np.outer(np.sin(turn), a[1]) for a in (start, way, start[::-1] + 0.5 * way)])
+    x = np.concatenate([flat, chains, rng.normal(size=(100, d))]).astype(np.float32)
+    ids = [int(i) for i in rng.permutation(len(x))]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in pq.link(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect()}
+    assert found == wanted(ids, x.astype(float))
