@@ -2,11 +2,10 @@
 
 Every distinct shingle set gets a MinHash signature. A tree of the forest is one order of the signature's positions;
 sets are sorted by it, and the neighbours with the longest common prefix, at least ``LEAST_DEPTH`` values, are
-candidates. Where many sets share a prefix, the order itself goes deeper, as far as the signature does; so the depth
-adapts to each region and no region makes all its pairs. Candidates are confirmed on the full shingle sets: first the
-best of each set, then, after the confirmed links are contracted, all that would still join two components. In a region
-with many members of one component, a set outside it may have its only partners farther away in the order; such sets
-are then also held against all members of such a component, tile by tile.
+candidates. Where many sets share a prefix, the order itself goes deeper, by eight values in all. Candidates are
+confirmed on the full shingle sets: first the best of each set, then, after the confirmed links are contracted, all that
+would still join two components. A window of neighbours can't hold all pairs of a region with more sets than it; in such
+regions all sets of different components are then compared in full, tile by tile, and only links are returned.
 """
 
 from __future__ import annotations
@@ -28,9 +27,8 @@ POSITIONS, TREES, LEAST_DEPTH = 64, 32, 3
 #: Neighbours looked at on either side, best ones confirmed in the first round, and agreeing sketch bits of 64 below
 #: which no pair of the wanted similarity is expected (4.6 standard deviations at 0.75).
 NEIGHBOURS, BEST, LEAST_AGREEING = 4, 3, 44
-#: Members that make a component large, orders in which a set outside shares a region with it, members in a tile, and
-#: outsiders in a lot.
-LARGE, LEAST_ORDERS, TILE, LOT = 32, 3, 1024, 4096
+#: Members of a group of regions that make a component large, so that it gets tiles of its own; members in a tile.
+LARGE, TILE = 512, 512
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -107,29 +105,34 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _stray_links(classes: DataFrame, named: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between sets outside large components and members of these, whichever members they are.
+def _dense_links(classes: DataFrame, named: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components, of all sets in regions with more sets than the window of neighbours.
 
-    A set is held against a component if it shares a region with it in ``LEAST_ORDERS`` orders at least; a partner of the
-    wanted similarity alone gives 13 of 32 on average. Members are dealt into tiles and outsiders into lots; a tile gets
-    each set once and returns links only, so what is sent grows with the sets, not with their pairs.
+    Regions that share a set are one group. A group's sets are dealt into tiles, a large component's into tiles of its
+    own, and all tiles meet but those of one large component; two tiles return links enough to join what their links
+    join. So each pair of the group's sets in two components is compared in full, wherever it is in an order.
     """
-    sizes = named.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
-    large = scratch.save(named.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "size"), "large")
-    regions = _forest(classes.join(large.select("doc_id"), "doc_id")).join(large, "doc_id").select(F.shiftright("high", 11).alias("prefix"), "component", "size").distinct()
-    outside = _forest(classes.join(large.select("doc_id"), "doc_id", "left_anti")).select(F.shiftright("high", 11).alias("prefix"), "doc_id")
-    met = outside.join(scratch.save(regions, "regions"), "prefix").groupBy("doc_id", "component", "size").agg(F.count("*").alias("orders"))
-    strays = scratch.save(met.where(F.col("orders") >= LEAST_ORDERS).drop("orders"), "strays")
-    lots = -(-strays.count() // LOT)
-    if not lots:
-        return strays.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    hashed = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    homes = large.join(strays.select("component").distinct(), "component", "left_semi").withColumn("tile", hashed(tiles)).withColumn("lot", spread(F.lit(lots)))
-    guests = strays.withColumn("tile", spread(tiles)).withColumn("lot", hashed(F.lit(lots)))
-    columns = ["doc_id", "component", "tile", "lot"]
-    places = homes.select(*columns, F.lit(True).alias("home")).unionByName(guests.select(*columns, F.lit(False).alias("home")))
+    forest = _forest(classes).select("doc_id", F.shiftright("high", 11).alias("prefix"))
+    placed = forest.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    regions = placed.groupBy("prefix").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min("component").alias("c"), F.max("component").alias("d"))
+    dense = regions.where((F.col("n") > NEIGHBOURS + 1) & (F.col("c") != F.col("d"))).select("prefix", "least")
+    stars = scratch.save(placed.join(dense, "prefix").select("doc_id", "component", "least").distinct(), "dense")
+    if stars.isEmpty():
+        return stars.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    groups = components(stars.select(F.col("doc_id").alias("a"), F.col("least").alias("b")), scratch, "dense_stars")
+    members = scratch.save(stars.select("doc_id", "component").distinct().join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id"), "members")
+    sizes = members.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    own = F.col("n") >= LARGE
+    blocks_ = sizes.select("grp", "component", "n", own.alias("own"), F.when(own, F.col("component")).otherwise(F.col("grp")).alias("block"))
+    counts = blocks_.groupBy("grp", "own", "block").agg(F.ceil(F.sum("n") / F.lit(TILE)).cast("int").alias("tiles"))
+    dealt = members.join(blocks_.drop("n"), ["grp", "component"]).join(counts, ["grp", "own", "block"])
+    at = F.struct("own", "block", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int").alias("tile"))
+    dealt = scratch.save(dealt.select("doc_id", "component", "grp", at.alias("at")), "dealt")
+    tiles = dealt.select("grp", "at").distinct()
+    met = tiles.withColumnRenamed("at", "x").join(tiles.withColumnRenamed("at", "y"), "grp").where("x <= y and not (x.own and y.own and x.block = y.block)")
+    cell = F.struct("x", "y").alias("cell")
+    sides = met.select("grp", F.col("x").alias("at"), cell, F.lit(True).alias("home")).unionByName(met.where("x <> y").select("grp", F.col("y").alias("at"), cell, F.lit(False).alias("home")))
+    places = dealt.join(sides, ["grp", "at"]).drop("at")
 
     def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,31 +143,39 @@ def _stray_links(classes: DataFrame, named: DataFrame, documents: DataFrame, scr
                 owned += [set_of(w, h, s, row, SHINGLE).tobytes() for row in range(w.hi - w.lo)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(owned, pa.binary())], names=["doc_id", "own"])
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(places.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(members.select("doc_id").hint("merge"), "doc_id", "left_semi")
     sent = places.join(texts.mapInArrow(own_sets, "doc_id long, own binary"), "doc_id")
 
     def match(table):
-        home, ids = table.column("home").to_numpy(), table.column("doc_id").to_numpy()
+        home, ids, part = table.column("home").to_numpy(), table.column("doc_id").to_numpy(), table.column("component").to_numpy()
         owned = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("own")]
-        inside, outside = np.flatnonzero(home), np.flatnonzero(~home)
+        inside = np.flatnonzero(home)
+        alone = len(inside) == len(ids)
         size = np.array([len(owned[i]) for i in inside], np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *(owned[i] for i in inside)])
         owner = np.repeat(np.arange(len(inside)), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
+        values, first = np.unique(flat, return_index=True)
+        ends = np.append(first, len(flat))
+        _, root = np.unique(part, return_inverse=True)
         a, b = [], []
-        for i in outside:
-            lo, hi = np.searchsorted(flat, owned[i]), np.searchsorted(flat, owned[i], "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], minlength=len(inside))
+        for i in inside if alone else np.flatnonzero(~home):
+            place = np.minimum(np.searchsorted(values, owned[i]), max(0, len(values) - 1))
+            place = place[values[place] == owned[i]] if len(values) else place[:0]
+            lo, n = ends[place], ends[place + 1] - ends[place]
+            index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            shared = np.bincount(owner[index], minlength=len(inside))
             found = np.flatnonzero((NEED[1] * shared >= NEED[0] * (size + len(owned[i]) - shared)) & (shared > 0))
-            a += [ids[i]] * len(found)
-            b += ids[inside[found]].tolist()
+            for j in inside[found]:
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    a.append(ids[i])
+                    b.append(ids[j])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return sent.groupBy("component", "tile", "lot").applyInArrow(match, "a long, b long")
+    return sent.groupBy("grp", "cell").applyInArrow(match, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -238,7 +249,7 @@ def group(documents: DataFrame) -> DataFrame:
     links = scratch.save(confirmed(best, documents), "links")
     named = scratch.save(components(links, scratch), "named")
     left = scratch.save(_apart(pairs.join(best, ["a", "b"], "left_anti"), named), "left")
-    more = _stray_links(classes, named, documents, scratch)
+    more = _dense_links(classes, named, documents, scratch)
     more = scratch.save(more if left.isEmpty() else more.unionByName(confirmed(left, documents)), "more_links")
     if not more.isEmpty():
         named = scratch.save(_merged(named, more, scratch), "all_named")

@@ -75,3 +75,17 @@ def test_sets_outside_a_large_component_are_looked_up_again(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     found = lshforest.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near(rows)
+
+
+def test_pairs_in_a_dense_region_without_a_large_component_are_found(spark):
+    """Pages of one template, alike by 0.70; a few pairs far apart in any order of ids reach 0.76."""
+    template, n = [f"t{i}" for i in range(173)], 2000
+    ends = [[f"u{i}x{k}" for k in range(35)] for i in range(n)]
+    for i in range(8):
+        ends[n // 2 + 101 * i + 7] = ends[101 * i][:8] + ends[n // 2 + 101 * i + 7][8:]
+    rows = [(i, " ".join(template + e)) for i, e in enumerate(ends)]
+    found = {r.doc_id: r.component_id for r in lshforest.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = {n // 2 + 101 * i + 7: 101 * i for i in range(8)}
+    sets = {i: brute.shingles(t) for i, t in rows if i in pairs or i in pairs.values() or i < 5}
+    assert {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])} == {(b, a) for a, b in pairs.items()}
+    assert found == {i: pairs.get(i, i) for i in range(n)}
