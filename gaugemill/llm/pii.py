@@ -77,9 +77,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """Spans outside the base ones that could be of a kind: dotted quads, 12 to 19 digits, 7 to 15 digits in groups."""
+    """Spans outside the base ones that could be of a kind: words with an at sign, dotted quads, 12 to 19 digits for a
+    card, 7 to 15 for a phone. Digits that could be of two kinds are of both; the patterns decide."""
     held = sorted((a, b) for _, a, b in taken)
     at = 0
+    for m in WORD.finditer(text) if "@" in text else ():
+        a = m.start() + len(m[0]) - len(m[0].lstrip(TRIM))
+        b = m.start() + len(m[0].rstrip(TRIM))
+        while at < len(held) and held[at][1] <= a:
+            at += 1
+        if (at == len(held) or held[at][0] >= b) and "@" in text[a + 1 : b - 1]:
+            yield 0, a, b
+    at = 0
     for m in LOOSE.finditer(text):
         a, b = m.span()
         while at < len(held) and held[at][1] <= a:
@@ -89,9 +98,9 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
         n = sum(c.isdigit() for c in m[0])
         if re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", m[0]):
             yield 1, a, b
-        elif 12 <= n <= 19:
+        if 12 <= n <= 19:
             yield 2, a, b
-        elif 7 <= n <= 15 and re.search(r"[ ().-]", m[0]):
+        if 7 <= n <= 15:
             yield 3, a, b
 
 
@@ -177,8 +186,9 @@ def extract(documents: DataFrame, keep: list[str]) -> DataFrame:
     learnt = (
         mentions.where(~F.col("seed"))
         .select("_key", "kind", "start", "end", "value")
-        .join(trusted.select("kind", "value"), ["kind", "value"])
-        .distinct()
+        .join(trusted, ["kind", "value"])
+        .groupBy("_key", "start", "end")
+        .agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
         .groupBy("_key")
         .agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("learnt"))
     )

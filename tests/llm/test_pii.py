@@ -34,3 +34,14 @@ def test_repeated_rows_stay_and_keep_their_own_spans(spark):
     found = pii.extract(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
     text = pii.spans_text(pii.F.concat("base", "learnt")).alias("s")
     assert sorted(r.s for r in found.select(text).collect()) == ["email:3:9", "email:3:9", "phone:0:14"]
+
+
+def test_contexts_teach_every_kind_whatever_its_form(spark):
+    rows = [(i, f"n{i} call me at +1 555 010 {1000 + i} now{i}") for i in range(30)]
+    rows += [(100 + i, f"n{i} please mail to user{i}@site{i}.example today{i}") for i in range(30)]
+    rows += [(200 + i, f"n{i} my card is {c} ok") for i, c in enumerate(["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005", "6011111111111117", "4222222222222"])]
+    rows += [(40, "n call me at 5551234567 please"), (41, "n call me at 0044 20 7946 0958 please"), (42, "n please mail to user@localhost, thanks"), (43, "n my card is 123456789012345 ok"), (44, "order 5551234567 of x@y and 0044 20 7946 0958")]
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [clean[i] for i in (40, 41)] == ["n call me at <PHONE> please"] * 2
+    assert clean[42] == "n please mail to <EMAIL>, thanks" and clean[43] == "n my card is <CARD> ok"
+    assert {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows[-1:], "doc_id long, text string")).collect()} == dict(rows[-1:])
