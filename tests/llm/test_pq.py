@@ -18,7 +18,7 @@ def wanted(ids, x, at=0.95):
 
 def test_all_links_are_found(spark, monkeypatch):
     monkeypatch.setattr(pq, "TILE", 40)
-    monkeypatch.setattr(pq, "LOT", 200)
+    monkeypatch.setattr(pq, "LOT_BYTES", 60 * 8 * 16)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(200, 16))
     x = np.concatenate([base, base[:100] + rng.normal(scale=0.25, size=(100, 16)), base[:1] * 3 + rng.normal(scale=0.3, size=(150, 16)), base[:5]]).astype(np.float32)
@@ -58,3 +58,30 @@ def test_no_link_is_lost_among_low_rank_vectors_and_drifting_copies(spark, d):
     ids = [int(i) for i in rng.permutation(len(x))]
     found = {r.vec_id: (r.n_links, r.component_id) for r in pq.link(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect()}
     assert found == wanted(ids, x.astype(float))
+
+
+@pytest.mark.parametrize("kind", ["noise", "drift"])
+def test_recall_with_a_measured_reach(spark, monkeypatch, kind):
+    """More vectors than queries, so that the reach is measured; differences in all directions, or along few."""
+    monkeypatch.setattr(pq, "QUERIES", (300,))
+    monkeypatch.setattr(pq, "TILE", 100)
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(900, 32))
+    if kind == "noise":
+        near = np.repeat(base[:400], 4, 0) + rng.normal(scale=0.2, size=(1600, 32))
+    else:
+        near = np.repeat(base[:400], 4, 0) + np.tile([[0.1], [0.2], [0.3], [0.4]], (400, 1)) * np.linalg.norm(base[0]) * np.eye(32)[0]
+    x = np.concatenate([base, near]).astype(np.float32)
+    ids = list(range(len(x)))
+    found = {r.vec_id: r.n_links for r in pq.link(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect()}
+    want = wanted(ids, x.astype(float))
+    assert all(found[i] <= want[i][0] for i in ids)
+    assert sum(found.values()) >= 0.99 * sum(n for n, _ in want.values()) > 1000
+
+
+def test_a_vector_that_a_third_of_all_rows_hold(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 24)), 4000, 0), rng.normal(size=(40, 24))]).astype(np.float32)
+    x[4000] = x[0] + 0.01
+    found = {r.vec_id: (r.n_links, r.component_id) for r in pq.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    assert found[17] == (4000, 0) and found[4000] == (4000, 0) and sum(n for n, _ in found.values()) == 4000 * 4001
