@@ -28,16 +28,22 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: What may be an identifier: digits, perhaps in groups, and words with an at sign.
 LOOSE = re.compile(r"(?<![A-Za-z0-9])(?=[0-9(])\(?[0-9]++(?:[ ().-]{1,2}[0-9]++)*+(?![A-Za-z0-9])")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SPACES = frozenset(" \t\n\x0b\x0c\r")
 TRIM = ".,;:!?\"'()[]<>|"
 
 #: A pattern counts with so many distinct seeds and such a share of trusted values; a value, from such a score.
 LEAST_SEEDS, LEAST_SHARE, LEAST_SCORE, ROUNDS = 5, 0.8, 0.9, 3
+#: Parts that the rows of a common pattern or value are dealt into before a join.
+SALTS = 16
 SCHEMA = (
     "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,end:int>>, "
     "mentions array<struct<kind:int,start:int,end:int,seed:boolean,value:string,contexts:array<string>>>"
 )
 
 
+RESULTS = ("row_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "learnt")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -104,24 +110,44 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
             yield 3, a, b
 
 
+def _word_before(text: str, end: int) -> tuple[str, int]:
+    """The word before a place, and where it begins; of a very long word only the end, which is too long for a context."""
+    while end and text[end - 1] in SPACES:
+        end -= 1
+    start = end
+    while start and text[start - 1] not in SPACES and end - start < 80:
+        start -= 1
+    return text[start:end], start
+
+
 def _contexts(text: str, a: int, b: int) -> list[str]:
-    """Patterns of a span: the two words before it; the word before and the word after. Long words are no context."""
-    before = [w.strip(TRIM).lower() for w in WORD.findall(text[max(0, a - 80) : a])][-2:]
-    after = [w.strip(TRIM).lower() for w in WORD.findall(text[b : b + 80])][:1]
+    """Patterns of a span: the two words before it; the word before and the word after, however far off. Long words are
+    no context."""
+    last, at = _word_before(text, a)
+    first, _ = _word_before(text, at)
+    after = WORD.search(text, b)
+    first, last, after = (w.strip(TRIM).lower() for w in (first, last, after[0][:80] if after else ""))
     out = []
-    if len(before) == 2 and all(0 < len(w) < 40 for w in before):
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after and 0 < len(before[-1]) < 40 and 0 < len(after[0]) < 40:
-        out.append(f"{before[-1]} _ {after[0]}")
+    if 0 < len(first) < 40 and 0 < len(last) < 40:
+        out.append(f"{first} {last} _")
+    if 0 < len(last) < 40 and 0 < len(after) < 40:
+        out.append(f"{last} _ {after}")
     return out
 
 
+def _value(text: str, kind: int) -> str:
+    """What a mention is known by: its text, of digits in groups without what parts them; a very long one, its digest."""
+    value = text if kind == 1 else re.sub(r"[ ().-]", "", text)
+    return value if len(value) <= 64 else hashlib.sha256(value.encode()).hexdigest()
+
+
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
 def scan(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """Each row's base spans and mentions with contexts; null counts as the empty text. Nothing is shuffled."""
+    """Each row's base spans and mentions with contexts, beside the columns ``keep``; null counts as the empty text.
+    Texts are read whole, rows stay where they are read, repeated ones are rows like others."""
     source = documents.select(*dict.fromkeys([*keep, "text"]))
     schema = f"{source.select(*keep).schema.toDDL()}, {SCHEMA}"
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
@@ -137,7 +163,7 @@ def scan(documents: DataFrame, keep: list[str]) -> DataFrame:
                 digests.append(hashlib.sha256(joined(found).encode()).hexdigest())
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
                 every = [(True, *x) for x in found] + [(False, *x) for x in _candidates(text, found)]
-                mentions.append([{"kind": k, "start": a, "end": b, "seed": s, "value": re.sub(r"[ ().-]", "", text[a:b])[:64] if k != 1 else text[a:b][:64], "contexts": _contexts(text, a, b)} for s, k, a, b in every])
+                mentions.append([{"kind": k, "start": a, "end": b, "seed": s, "value": _value(text[a:b], k), "contexts": _contexts(text, a, b)} for s, k, a, b in every])
             columns = [*map(batch.column, keep), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(digests, pa.string()), pa.array(base, pa.list_(span)), pa.array(mentions, pa.list_(mention))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"])
 
@@ -149,6 +175,14 @@ def row_key():
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
 
 
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def trusted_values(mentions: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """(kind, value, score) of mentions that aren't seeds but whose contexts are those of seeds.
 
@@ -167,8 +201,8 @@ def trusted_values(mentions: DataFrame, scratch: Scratch, rounds: int = ROUNDS)
             .select("pattern", "kind", (F.col("trusted") / (F.col("n") + 1)).alias("share"))
         )
         found = scratch.save(
-            edges.where(~F.col("seed"))
-            .join(patterns, ["pattern", "kind"])
+            _dealt(edges.where(~F.col("seed")), "value")
+            .join(_copied(patterns), ["pattern", "kind", "salt"])
             .groupBy("kind", "value")
             .agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("share"), F.lit(0.999)))))).alias("score"))
             .where(F.col("score") >= 0.5),
@@ -178,22 +212,30 @@ def trusted_values(mentions: DataFrame, scratch: Scratch, rounds: int = ROUNDS)
 
 
 def extract(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """Base counts, base spans and learnt spans (``learnt``, an array like ``base``) of every row, beside ``keep``."""
+    """Base counts, base spans and learnt spans (``learnt``, an array like ``base``) of every row, beside ``keep`` and
+    ``row_key``, which names the row's id and text.
+
+    A null text counts as empty, without spans; so an empty table gives an empty one. Repeated rows are rows like others,
+    but the values in them count once. Whole texts are read, however long. Kept columns that bear a result's name are
+    replaced.
+    """
     scratch = Scratch(documents.sparkSession, "pii")
-    rows = scratch.save(scan(documents.withColumn("_key", row_key()), [*keep, "_key"]), "rows")
-    mentions = rows.select("_key", F.explode("mentions").alias("m")).select("_key", "m.*")
+    names = [c for c in keep if c not in RESULTS]
+    row = [F.struct(*map(F.col, names)).alias("row")] if names else []
+    rows = scratch.save(scan(documents.select(*row, row_key().alias("row_key"), "text"), [*(["row"] if names else []), "row_key"]), "rows")
+    mentions = rows.select("row_key", F.explode("mentions").alias("m")).select("row_key", "m.*")
     trusted = trusted_values(mentions, scratch)
     learnt = (
-        mentions.where(~F.col("seed"))
-        .select("_key", "kind", "start", "end", "value")
-        .join(trusted, ["kind", "value"])
-        .groupBy("_key", "start", "end")
+        _dealt(mentions.where(~F.col("seed")).select("row_key", "kind", "start", "end", "value"), "row_key")
+        .join(_copied(trusted), ["kind", "value", "salt"])
+        .groupBy("row_key", "start", "end")
         .agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-        .groupBy("_key")
+        .groupBy("row_key")
         .agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("learnt"))
     )
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.drop("mentions").join(learnt, "_key", "left").withColumn("learnt", F.coalesce("learnt", empty))
+    out = rows.drop("mentions").join(learnt, "row_key", "left").withColumn("learnt", F.coalesce("learnt", empty))
+    return out.select(*(["row.*"] if names else []), *RESULTS)
 
 
 def spans_text(spans):
@@ -207,8 +249,8 @@ def redact(documents: DataFrame) -> DataFrame:
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    found = extract(documents, []).select("_key", F.concat("base", "learnt").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
-    joined_rows = documents.withColumn("_key", row_key()).join(found.hint("merge"), "_key", "left")
+    found = extract(documents, []).select("row_key", F.concat("base", "learnt").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["row_key"])
+    marked = documents.select(F.struct("*").alias("row"), row_key().alias("row_key")).join(found.hint("merge"), "row_key", "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -226,5 +268,6 @@ def redact(documents: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    changed = joined_rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
-    return changed.select(*documents.columns)
+    text = F.col("row")["text"]
+    changed = F.when(F.col("spans").isNull(), text).otherwise(cut(text, F.col("spans"))).alias("text")
+    return marked.select(*(changed if c == "text" else F.col("row")[c].alias(c) for c in documents.columns))
