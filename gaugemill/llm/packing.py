@@ -1,8 +1,8 @@
 """Batches of similar lengths: bucket boundaries of least padding, and a token budget for each batch.
 
-The histogram of lengths over all documents is the only thing that reaches the driver. It is exact up to ``EXACT``
-tokens and beyond that has ``EXACT / 2`` bins for each doubling, so its size is bounded by the logarithm of the longest
-text; a bin knows its count, its tokens and its longest member. A dynamic programme over it picks the boundaries.
+The exact histogram of lengths over all documents is the only thing that reaches the driver: k distinct lengths take
+k * k / 2 tokens at least, so it has at most the square root of twice the corpus' tokens as rows (100 TB: some millions,
+of 16 bytes), and as many as the longest text has tokens. A dynamic programme over it picks the boundaries.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from .scratch import Scratch
 from .sharding import numbered
 
-BUCKETS, BUDGET, EXACT = 16, 65_536, 4096
+BUCKETS, BUDGET = 16, 65_536
 
 
 def length():
@@ -21,39 +21,34 @@ def length():
     return F.size(F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')")) + 1
 
 
-def _bin(n):
-    """Bins of one value up to EXACT, then of a width that doubles with the length."""
-    width = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(n / EXACT)) + 1)).cast("long")
-    return F.when(n < EXACT, n.cast("long")).otherwise(F.ceil(n / width) * width)
-
-
 def boundaries(top: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
     """The upper ends of at most so many buckets, with the least padding when each text is filled up to its end.
 
-    ``top`` are the bins' longest lengths in order. The best cut for a longer prefix never lies further left, so each
-    round of the programme is solved by halving, in bins times their logarithm.
+    ``top`` are the lengths in order. The best cut for a longer prefix never lies further left, so each round of the
+    programme is solved by halving, all halves of a level at once: lengths times their logarithm, in whole numbers.
     """
     n = len(top)
     if not n:
         return []
-    cumulated = np.concatenate([[0], np.cumsum(count)]).astype(float)
-    cost = lambda i, j: top[j - 1] * (cumulated[j] - cumulated[i])  # noqa: E731  tokens of bins i to j - 1, filled up
-    best = np.array([0.0, *(cost(0, j) for j in range(1, n + 1))])
+    top, cumulated = top.astype(np.int64), np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+    best = np.concatenate([[0], top * cumulated[1:]])  # tokens of the first lengths, filled up to the last of them
     cuts = []
     for _ in range(1, min(buckets, n)):
-        now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        now[0] = 0.0
-        stack = [(1, n, 0, n)]
-        while stack:
-            lo, hi, left, right = stack.pop()
-            if lo > hi:
-                continue
+        now, cut = best.copy(), np.zeros(n + 1, np.int64)
+        lo, hi, left, right = (np.array([v]) for v in (1, n, 0, n))
+        while len(lo):
             mid = (lo + hi) // 2
-            i = np.arange(left, min(mid - 1, right) + 1)
-            value = best[i] + top[mid - 1] * (cumulated[mid] - cumulated[i])
-            at = int(np.argmin(value))
-            now[mid], cut[mid] = value[at], i[at]
-            stack += [(lo, mid - 1, left, int(i[at])), (mid + 1, hi, int(i[at]), right)]
+            size = np.minimum(mid - 1, right) - left + 1
+            ends = np.cumsum(size)
+            i = np.arange(ends[-1]) + np.repeat(left - (ends - size), size)
+            value = best[i] + np.repeat(top[mid - 1], size) * (np.repeat(cumulated[mid], size) - cumulated[i])
+            least = np.minimum.reduceat(value, ends - size)
+            hits = np.flatnonzero(value == np.repeat(least, size))
+            at = i[hits[np.searchsorted(hits, ends - size)]]
+            now[mid], cut[mid] = least, at
+            lo, hi, left, right = (np.stack(p, 1).ravel() for p in ((lo, mid + 1), (mid - 1, hi), (left, at), (at, right)))
+            open_ = lo <= hi
+            lo, hi, left, right = lo[open_], hi[open_], left[open_], right[open_]
         if now[n] >= best[n]:
             break
         best = now
@@ -74,12 +69,12 @@ def pack(documents: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) ->
     and slot (int, in the batch).
 
     A batch holds as many rows as fit the budget when filled up, one at least: a text beyond the budget is alone and
-    whole. Null and empty texts have one token. Repeated rows are packed like others.
+    whole. Null and empty texts have one token. Repeated rows are packed like others; rows of one length are taken by id.
     """
     scratch = Scratch(documents.sparkSession, "packing")
     rows = scratch.save(documents.select("doc_id", length().cast("long").alias("n_tokens")), "lengths")
-    bins = rows.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("top")).orderBy("bin").collect()
-    ends = boundaries(np.array([b.top for b in bins], np.int64), np.array([b.n for b in bins], np.int64), buckets)
+    bins = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
+    ends = boundaries(bins.column("n_tokens").to_numpy(), bins.column("n").to_numpy(), buckets)
     table = F.array(*map(F.lit, ends)).cast("array<long>") if ends else F.array(F.lit(0)).cast("array<long>")
     bucket = F.size(F.filter(table, lambda e: e < F.col("n_tokens")))
     placed = rows.withColumn("bucket", bucket).withColumn("padded", F.get(table, F.col("bucket")))
