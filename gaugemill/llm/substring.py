@@ -2,8 +2,8 @@
 
 Reference blocks of ``size // 2`` words, end to end in every document, are indexed; every rolling window of that length
 probes them. A passage of ``size`` words holds a whole block wherever it begins, so a repeated passage always has a
-probe that meets a block of its other copy. Only around such hits are passages of ``size`` words compared, and those
-with an earlier copy are removed; neighbouring ones run together into maximal repeats.
+probe that meets a block of its other copy. Only around such hits are passages of ``size`` words compared, by
+fingerprints of 128 bits, and those with an earlier copy are removed; neighbouring ones run together into maximal repeats.
 
 Documents are dealt into groups, by id, of bounded size. A group sends its distinct fingerprints once, packed by bucket,
 and gets back those that met others; so a passage that stands in a third of all rows costs each group one entry, and no
@@ -50,6 +50,13 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _fresh(code: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Where, among sorted fingerprints of two parts, another one begins."""
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = (code[1:] != code[:-1]) | (more[1:] != more[:-1])
+    return fresh
+
+
 def _probes(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprint, position among the group's words, and offset in its row, of every window of ``length`` words."""
     hashes, rows = _hashes(table)
@@ -62,12 +69,13 @@ def removals(documents: DataFrame, size: int = SIZE, group_bytes: int = GROUP_BY
 
     A word goes if a window of ``size`` words that covers it, in one document, also starts earlier: in a row with a
     smaller id, or earlier in the same one. Rows with equal ids are taken as one place, so neither is earlier; rows
-    without an id come after all others. Null and empty texts, and texts of under ``size`` words, lose nothing.
+    without an id come after all others. Null and empty texts, and texts of under ``size`` words, lose nothing. A text
+    is read whole, however long. Ids are whole numbers; others are an error.
     """
     length = size // 2
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(LEAST_GROUPS, math.ceil(total / group_bytes))
-    bits = max(6, math.ceil(math.log2(groups / 4)))
+    bits = max(9, math.ceil(math.log2(groups / 4)))
     shift = np.uint64(64 - bits)
     grouped = documents.select(F.expr(f"cast(pmod(xxhash64(doc_id), {groups}) as int)").alias("grp"), "doc_id", "text")
 
@@ -115,25 +123,24 @@ def removals(documents: DataFrame, size: int = SIZE, group_bytes: int = GROUP_BY
         reach = np.concatenate([[0], np.cumsum(near)])
         n = max(0, len(rows) - size + 1)
         at = np.flatnonzero((reach[length + 1 :][:n] > reach[:n]) & within(rows, size)) if n else np.zeros(0, np.int64)
-        code = windows(hashes, size)[at]
+        code, more = windows(hashes, size)[at], windows(hashes, size, True)[at]
         ids = table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
         row_first = np.searchsorted(rows, np.arange(len(ids)))
         place = np.unique(ids, return_inverse=True)[1][rows[at]] * np.int64(len(rows) + 1) + at - row_first[rows[at]]
-        order = np.lexsort((place, code))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = code[order][1:] != code[order][:-1]
+        order = np.lexsort((place, more, code))
+        fresh = _fresh(code[order], more[order])
         lead = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0)) if len(order) else order
         again = place[order] > place[order][lead]
         settled = np.sort(at[order[again]])
         first = np.sort(order[fresh])
-        code, at, owner = code[first], at[first], ids[rows[at[first]]]
+        code, more, at, owner = code[first], more[first], at[first], ids[rows[at[first]]]
         bucket = (code >> shift).astype(np.int32)
         out = {"bucket": [-1 - key[0].as_py()], "grp": [], "codes": [b""], "owner": [b""], "at": [_pack(settled.astype(np.uint32))]}
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
         for b in np.flatnonzero(np.diff(cut)):
             own = by[cut[b] : cut[b + 1]]
-            for name, value in (("bucket", int(b)), ("codes", code[own].tobytes()), ("owner", _pack(owner[own])), ("at", _pack(at[own].astype(np.uint32)))):
+            for name, value in (("bucket", int(b)), ("codes", np.concatenate([code[own], more[own]]).tobytes()), ("owner", _pack(owner[own])), ("at", _pack(at[own].astype(np.uint32)))):
                 out[name].append(value)
         out["grp"] = [key[0].as_py()] * len(out["bucket"])
         kinds = {"bucket": pa.int32(), "grp": pa.int32(), "codes": pa.binary(), "owner": pa.binary(), "at": pa.binary()}
@@ -144,11 +151,10 @@ def removals(documents: DataFrame, size: int = SIZE, group_bytes: int = GROUP_BY
         groups_, places = table.column("grp").to_pylist(), [_unpack(x.as_py(), "u4") for x in table.column("at")]
         if table.column("bucket")[0].as_py() < 0:
             return pa.table({"grp": pa.array(groups_, pa.int32()), "at": table.column("at").cast(pa.binary())})
-        code = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("codes")])
+        code, more = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in table.column("codes")], 1)
         owner = np.concatenate([_unpack(x.as_py(), "i8") for x in table.column("owner")])
-        order = np.lexsort((owner, code))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = code[order][1:] != code[order][:-1]
+        order = np.lexsort((owner, more, code))
+        fresh = _fresh(code[order], more[order])
         lead = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
         later = np.zeros(len(order), bool)
         later[order] = owner[order] > owner[order][lead]

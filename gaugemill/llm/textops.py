@@ -23,6 +23,7 @@ _FOLDED = np.concatenate([_BYTE[:65], _BYTE[97:123], _BYTE[91:]])
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _COEFFICIENT = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+_SECOND = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
 
@@ -103,14 +104,15 @@ def _split(lo: int, hi: int, data: np.ndarray, row_at: np.ndarray, fold: bool, h
     return Words(lo, hi, data, row_at, starts, ends, np.searchsorted(starts, row_at), sums)
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` values, in order (runs may cross rows; see ``within``)."""
+def windows(hashes: np.ndarray, size: int, second: bool = False) -> np.ndarray:
+    """Hash of each run of ``size`` values, in order (runs may cross rows; see ``within``); ``second``, another hash,
+    which with the first has 128 bits."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out += hashes[k : k + n] * _COEFFICIENT[k]
+        out += hashes[k : k + n] * (_SECOND if second else _COEFFICIENT)[k]
     return mix(out + np.uint64(size))
 
 
