@@ -29,6 +29,8 @@ POSITIONS, TREES, LEAST_DEPTH = 64, 32, 3
 NEIGHBOURS, BEST, LEAST_AGREEING = 4, 3, 44
 #: Members of a group of regions that make a component large, so that it gets tiles of its own; members in a tile.
 LARGE, TILE = 512, 512
+#: Part of rows that are compared with rows of the same part.
+WHOLE = -1
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -82,27 +84,39 @@ def _forest(kept: DataFrame) -> DataFrame:
 
 
 def _neighbours(ordered: DataFrame) -> DataFrame:
-    """Pairs of near rows of an order that share a prefix and whose sketches don't speak against the similarity."""
+    """Pairs (a, b) of near rows of an order that share a prefix and whose sketches don't speak against the similarity;
+    and, with a null b, the first and last rows of each partition, which may have neighbours in the next one."""
     prefix = np.uint64(11)
+    kinds = {"a": pa.int64(), "b": pa.int64(), "high": pa.int64(), "deep": pa.int64(), "sketch": pa.int64(), "part": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        held = None
         for batch in batches:
-            new = [batch.column("high").to_numpy().view(np.uint64) >> prefix, batch.column("doc_id").to_numpy(), batch.column("sketch").to_numpy().view(np.uint64)]
-            key, ids, sketch = (np.concatenate(x) for x in zip(tail, new, strict=True))
-            old, out = len(tail[0]), []
-            for k in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
-                right = np.arange(max(k, old), len(key))
-                right = right[key[right] == key[right - k]]
-                agree = 64 - np.bitwise_count(sketch[right] ^ sketch[right - k]).astype(int)
-                right = right[agree >= LEAST_AGREEING]
-                out.append(np.stack([ids[right], ids[right - k]]))
-            tail = [x[-NEIGHBOURS:] for x in (key, ids, sketch)]
-            if out:
-                pairs = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"])
-
-    return ordered.mapInArrow(run, "a long, b long")
+            columns = [batch.column(c).to_numpy() for c in ("high", "doc_id", "sketch", "deep", "part")]
+            table = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            old = 0 if held is None else len(held[0])
+            yield from pairs(table, old)
+            if held is None:
+                yield edge([x[:NEIGHBOURS] for x in table])
+            held = [x[-NEIGHBOURS:] for x in table]
+        if held is not None:
+            yield edge(held)
+
+    def edge(rows) -> pa.RecordBatch:
+        high, ids, sketch, deep, part = rows
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(high), pa.array(deep), pa.array(sketch), pa.array(part)], names=list(kinds))
+
+    def pairs(table, old: int) -> Iterator[pa.RecordBatch]:
+        key, ids, sketch, part = table[0].view(np.uint64) >> prefix, table[1], table[2].view(np.uint64), table[4]
+        for k in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
+            right = np.arange(max(k, old), len(key))
+            right = right[(key[right] == key[right - k]) & ((part[right] != part[right - k]) | (part[right] == WHOLE))]
+            right = right[64 - np.bitwise_count(sketch[right] ^ sketch[right - k]).astype(int) >= LEAST_AGREEING]
+            both = np.stack([ids[right], ids[right - k]])
+            none = pa.nulls(len(right), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0)), none, none, none, pa.nulls(len(right), pa.int32())], names=list(kinds))
+
+    return ordered.select("high", "deep", "doc_id", "sketch", "part").mapInArrow(run, "a long, b long, high long, deep long, sketch long, part int")
 
 
 def _dense_links(classes: DataFrame, named: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -225,8 +239,15 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 def candidates(kept: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, trees) of sets that are neighbours in some tree, and in how many."""
     tasks = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _forest(kept).repartitionByRange(tasks, "high", "deep", "doc_id").sortWithinPartitions("high", "deep", "doc_id")
-    return scratch.save(_neighbours(ordered).groupBy("a", "b").agg(F.count("*").alias("trees")), "candidates")
+    order = ["high", "deep", "doc_id"]
+    ordered = _forest(kept).withColumn("part", F.lit(WHOLE)).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    found = _neighbours(ordered).withColumn("part", F.when(F.col("b").isNull(), F.spark_partition_id()))
+    found = scratch.save(found, "neighbours")
+    # at most 2 * NEIGHBOURS rows of each partition are looked at once more, in one order
+    edges = found.where("b is null").select("high", "deep", F.col("a").alias("doc_id"), "sketch", "part").distinct().repartition(1).sortWithinPartitions(*order)
+    across = _neighbours(edges).where("b is not null")
+    pairs = found.where("b is not null").select("a", "b").unionByName(across.select("a", "b"))
+    return scratch.save(pairs.groupBy("a", "b").agg(F.count("*").alias("trees")), "candidates")
 
 
 def group(documents: DataFrame) -> DataFrame:
@@ -235,7 +256,9 @@ def group(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and are alone; texts of under five words are one shingle. Equal sets are one
     candidate under their smallest id, so copies cost nothing more; rows that share an id are one document; a row
-    without an id keeps a null component unless its set equals another's.
+    without an id keeps a null component unless its set equals another's. Texts are read whole, however long. Ids are
+    whole numbers; others are an error. Shingles are compared by 64-bit hashes: two different ones of a pair of documents
+    meet once in some 10^13 pairs of a thousand words, and one such meeting moves a similarity by a thousandth.
     """
     scratch = Scratch(documents.sparkSession, "forest")
     every = scratch.save(sets(documents), "sets")
