@@ -41,20 +41,60 @@ def test_chances_of_all_words_and_the_unknown_add_up(spark):
     assert total + sum(mass) < 1 + 1e-6 and total + sum(mass) > 0.5
 
 
-def test_seating_follows_the_restaurant():
-    rng = np.random.default_rng(0)
-    many = np.full(4000, 20)
-    tables = hpylm.seat(many, np.zeros(4000), np.full(4000, 1.0), 0.5, 1.0, rng)
-    chance, at = {1: 1.0}, 1
-    for at in range(1, 20):  # exact law of the number of tables
-        new = {}
-        for t, p in chance.items():
-            q = (1 + 0.5 * t) / (at - 0.5 * t + 1 + 0.5 * t)
-            new[t] = new.get(t, 0) + p * (1 - q)
-            new[t + 1] = new.get(t + 1, 0) + p * q
-        chance = new
-    assert abs(tables.mean() - sum(t * p for t, p in chance.items())) < 0.15
-    assert (hpylm.seat(np.array([1, 5000]), np.zeros(2), np.array([0.1, 0.1]), 0.5, 1.0, rng) >= 1).all()
+def partitions(n):
+    """All ways to split n customers into tables, as lists of sizes."""
+    if n == 0:
+        yield []
+        return
+    for rest in partitions(n - 1):
+        yield [*rest, 1]
+        for i in range(len(rest)):
+            yield rest[:i] + [rest[i] + 1] + rest[i + 1 :]
+
+
+def test_one_step_follows_the_law_over_all_seatings():
+    """The chances of t tables, summed over all splits of the customers, are those that a Gibbs step draws from, wherever
+    it starts: so the law stays as it is under the step."""
+    rng, (c, d, b, others, parent) = np.random.default_rng(0), (6, 0.6, 1.0, 2.0, 0.2)
+    weight = Counter()
+    for sizes in partitions(c):
+        tables = math.prod((b + d * (others + j)) * parent for j in range(len(sizes)))
+        weight[len(sizes)] += tables * math.prod(k - d for n in sizes for k in range(1, n))
+    total, n = sum(weight.values()), 40_000
+    for start in (1, 4):
+        drawn = Counter(hpylm.seat(np.full(n, c), np.full(n, start), np.full(n, others), np.full(n, parent), d, b, rng).tolist())
+        assert all(abs(drawn[t] / n - w / total) < 4 * math.sqrt(w / total / n) + 1e-4 for t, w in weight.items())
+
+
+def test_metropolis_steps_of_many_customers_follow_the_exact_chances():
+    d, c, b, others, parent = 0.7, 400, 1.0, 30.0, 0.05
+    ways = hpylm.stirling(d, c)[c, 1 : c + 1]
+    log = ways + np.cumsum(np.log((b + d * (others + np.arange(c))) * parent))
+    chance = np.exp(log - log.max())
+    chance /= chance.sum()
+    mean = (chance * np.arange(1, c + 1)).sum()
+    wide = math.sqrt((chance * (np.arange(1, c + 1) - mean) ** 2).sum())
+    rng, n, t = np.random.default_rng(1), 4000, np.ones(4000)
+    for _ in range(5):
+        t = hpylm.seat(np.full(n, c), t, np.full(n, others), np.full(n, parent), d, b, rng)
+    assert abs(t.mean() - mean) < 0.1 * wide and 0.9 < t.std() / wide < 1.1
+    for c in (400, 3000):
+        t = np.concatenate([np.arange(1.0, 10), np.arange(10.0, 200, 13)])
+        assert np.abs(hpylm.log_stirling(np.full(len(t), float(c)), t, d) - hpylm.stirling(d, c)[c, t.astype(int)]).max() < 0.05
+    assert (hpylm.seat(np.array([1, 500_000]), np.ones(2), np.zeros(2), np.array([0.1, 0.1]), 0.5, 1.0, rng) >= 1).all()
+
+
+def test_lots_and_levels_give_the_same_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"v{(i * k) % 23}" for k in range(40))) for i in range(80)] + [(500, "w " * 30_000)], "doc_id long, text string").repartition(6)
+    plain = {r.doc_id: r for r in hpylm.Model(docs, Scratch(spark, "t")).score(docs).collect()}
+    for name, value in (("LOT_BYTES", 3000), ("FAN_IN", 2), ("LOT_TOKENS", 200), ("BLOCK_BYTES", 2000)):
+        monkeypatch.setattr(hpylm, name, value)
+    model = hpylm.Model(docs, Scratch(spark, "t"))
+    found = {r.doc_id: r for r in model.score(docs).collect()}
+    assert model.lots and found.keys() == plain.keys()
+    for i, r in found.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (plain[i].n_tokens, plain[i].n_known, plain[i].train_tokens)
+        assert abs(r.base_score - plain[i].base_score) < 1e-6 * abs(plain[i].base_score) and abs(r.score - plain[i].score) < 0.1 * abs(plain[i].score)
 
 
 def test_no_training_rows_and_no_rows(spark):
