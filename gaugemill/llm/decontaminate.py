@@ -116,7 +116,7 @@ def _leaks(documents: DataFrame, words: DataFrame, k: int, scratch: Scratch) ->
     shared = scratch.save(windows.groupBy("doc_id", "key", "len", "m", "start", "h").agg(F.count("*").alias("n")), f"windows{k}")
 
     printed = scratch.save(_printed(counted, "item_id", "item", "m"), f"item_prints{k}")
-    of_items = _blocks(printed, True).select("item_id", "item", "m", "block", "value", F.col("print").alias("item_print"))
+    of_items = _blocks(printed, True).select("item_id", "item", "m", "block", "value", F.col("print").alias("item_print")).hint("merge")
     of_windows = _blocks(scratch.save(_printed(shared, "doc_id", "key", "m", "start"), f"window_prints{k}"), False)
     pairs = of_windows.join(of_items, ["m", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     pairs = scratch.save(pairs.select("doc_id", "key", "m", "item_id", "item").distinct(), f"pairs{k}")
