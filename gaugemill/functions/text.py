@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Keywords of the delivery classes, in order of precedence.
 DELIVERY = (("laughter", ("laugh", "chuckle", "giggle")), ("high_energy", ("shout", "yell", "scream", "cheer")), ("soft", ("whisper", "murmur", "soft", "quietly")))
@@ -68,10 +68,11 @@ def first_integer(text) -> Column:
     return F.regexp_extract(col(text), "-?[0-9]+", 0).try_cast("long")
 
 
-def video_id(name) -> Column:
-    """What stands before the frame size, or else before the ``_full_video`` mark."""
-    sized = F.regexp_extract(col(name), r"^(.*?)_[0-9]+x[0-9]+_full_video", 1)
-    return F.when(sized != "", sized).otherwise(F.split_part(col(name), F.lit("_full_video"), F.lit(1)))
+def video_id(name, short: bool = False) -> Column:
+    """What stands before the frame size, or else before the ``_full_video`` mark; with ``short``, before the first
+    underscore."""
+    sized = F.regexp_extract(col(name), r"^(.+?)_[0-9]+x[0-9]+_full_video_?", 1)
+    return F.when(sized != "", sized).otherwise(F.split_part(col(name), F.lit("_" if short else "_full_video"), F.lit(1)))
 
 
 def letters(text, valid: list[str]) -> Column:
@@ -177,10 +178,42 @@ def controlled_signature(count, delivery_, talking, bucket) -> Column:
 
 
 def four_decimals(value) -> Column:
-    """Half to even, empty for null."""
-    return F.coalesce(F.replace(F.format_number(col(value).cast("double"), 4), F.lit(","), F.lit("")), F.lit(""))
+    """Half to even; text that isn't a number as it is, empty for null."""
+    number = col(value).try_cast("double")
+    return F.coalesce(F.replace(F.format_number(number, 4), F.lit(","), F.lit("")), col(value).cast("string"), F.lit(""))
 
 
-def string_leaves(json: Column, depth: int = 4) -> Column:
-    """Strings of a JSON text in document order, down to ``depth`` levels of arrays and objects (regular JSON text)."""
-    return F.regexp_extract_all(json, F.lit(r'(?:[:\[,]\s*)"((?:[^"\\]|\\.)*)"(?!\s*:)'), 1)
+def event_phrase(name) -> Column:
+    return F.replace(col(name), F.lit("_"), F.lit(" "))
+
+
+def group_key(name) -> Column:
+    """The first part of a name; all names of people are one group."""
+    first = F.split_part(col(name), F.lit("_"), F.lit(1))
+    return F.when(F.startswith(col(name), F.lit("people_")), "people").otherwise(first)
+
+
+def shared_traits(a: dict[str, Column], b: dict[str, Column], points: dict[str, float], words: tuple[Column, Column], each: float) -> Column:
+    """Points for every trait that both sides have alike, and ``each`` for every token in common."""
+    out = F.size(F.array_intersect(*words)) * F.lit(each)
+    for trait, value in points.items():
+        out = out + F.when(a[trait] == b[trait], value).otherwise(0.0)
+    return out
+
+
+def string_leaves(df: DataFrame, json: str, depth: int = 4) -> DataFrame:
+    """(row's columns, leaf): the strings of a JSON text in document order, down to ``depth`` levels of arrays and objects.
+
+    Levels are opened one by one; a leaf's ``path`` of places orders it. Objects' members come in the order in which the
+    variant type holds them, by name. Text that isn't JSON has no leaves."""
+    keep = df.columns
+    open_ = df.select("*", F.try_parse_json(json).alias("_v"), F.array().cast("array<int>").alias("path"))
+    leaves = None
+    for level in range(depth + 1):
+        kind = F.schema_of_variant("_v")
+        found = open_.where(kind == "STRING").select(*keep, F.expr("variant_get(_v, '$', 'string')").alias("leaf"), "path")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        if level < depth:
+            inner = open_.where(kind.startswith("ARRAY") | kind.startswith("OBJECT"))
+            open_ = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keep, F.col("value").alias("_v"), F.concat("path", F.array(F.col("pos"))).alias("path"))
+    return leaves

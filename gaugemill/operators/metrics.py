@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.seeded import draw
 
+POISSON_RANGE = 10**9
+#: Where the chances of at most 0, 1, 2, ... end, out of POISSON_RANGE.
+POISSON_EDGES = [round(POISSON_RANGE * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
+
 
 def macro_f1(rows: DataFrame, by: list[str], gold: str, predicted: str) -> DataFrame:
     """Unweighted mean precision, recall and F1 over the labels seen on either side; no labels, no row."""
@@ -34,16 +40,21 @@ def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def replicate_means(rows: DataFrame, by: list[str], value: str, order: list[str], samples: int, seed: int) -> DataFrame:
-    """Mean of each bootstrap replicate of each group: draws are seeded by group, replicate and ordinal.
+    """Mean of each bootstrap replicate of each group; a row counts in a replicate as often as a seeded Poisson draw says.
 
-    A replicate's mean only asks how often each ordinal is drawn, so draws are counted by (group, replicate, ordinal)
-    before they meet the values.
+    Such counts are, for many rows, those of drawing as many rows with replacement, and need neither ordinals nor a join:
+    all replicates are sums in one pass, combined before the shuffle, which carries groups times replicates. Replicates
+    in which no row counts are left out. ``order`` are the key columns of a row.
     """
-    base = numbered(rows.select(*by, value, *order), by, order)
-    drawn = base.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    drawn = drawn.withColumn("j", draw(F.col("n"), seed, *map(F.col, by), F.col("b"), F.col("i"))).groupBy(*by, "b", "j").agg(F.count("*").alias("times"))
-    values = base.select(*by, F.col("i").cast("long").alias("j"), value)
-    return drawn.join(values, [*by, "j"]).groupBy(*by, "b").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+    drawn = rows.select(*by, value, *order, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    times = poisson(draw(F.lit(POISSON_RANGE), seed, *map(F.col, [*by, "b", *order])))
+    sums = drawn.withColumn("times", times).groupBy(*by, "b").agg(F.sum(F.col(value) * F.col("times")).alias("v"), F.sum("times").alias("n"))
+    return sums.where("n > 0").select(*by, "b", (F.col("v") / F.col("n")).alias("mean"))
+
+
+def poisson(u: Column) -> Column:
+    """A count of mean one from an even whole number below ``POISSON_RANGE``."""
+    return sum((u >= F.lit(edge)).cast("int") for edge in POISSON_EDGES)
 
 
 def bootstrap_ci(rows: DataFrame, by: list[str], value: str, order: list[str], samples: int = 100, seed: int = 42, confidence: float = 0.95) -> DataFrame:
@@ -69,7 +80,7 @@ def paired_comparison(rows: DataFrame, by: list[str], current: str, reference: s
     ends = means.groupBy(*by).agg(
         F.percentile("mean", F.lit(tail)).alias("ci_low"),
         F.percentile("mean", F.lit(1 - tail)).alias("ci_high"),
-        F.least(F.lit(1.0), 2.0 * F.least(above + 1, below + 1) / F.lit(samples + 1)).alias("p_value"),
+        F.least(F.lit(1.0), 2.0 * F.least(above + 1, below + 1) / (F.count("*") + 1)).alias("p_value"),
     )
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("difference").alias("observed_difference"), effect_size("difference").alias("hedges_g")).join(ends, by)
 

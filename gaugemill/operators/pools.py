@@ -1,14 +1,17 @@
-"""Candidate pools: similar, dissimilar, filtered and neighbouring rows for every target.
+"""Candidate pools: similar, dissimilar, filtered, seeded and neighbouring rows for every target.
 
-Similarity needs something in common, so similar candidates come from equi-joins on what is common; rows of one name
-are taken together first, and only the few best of each name can matter. Nothing compares all rows with all rows.
+What has something in common meets by it; what has nothing is read off a list in the order of ids, as far as needed. Rows
+of one name are taken together first, and only the few best of each name can matter. Nothing compares all rows with all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.seeded import digest
+from ..functions.seeded import digest, draw
+
+#: Names of the list tried first, kinds of rows, rows of a block.
+LIST, KINDS, BLOCK = 64, 4096, 256
 
 
 def name_scores(names: DataFrame) -> DataFrame:
@@ -25,60 +28,98 @@ def name_scores(names: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("s") + (people("a") & people("b")).cast("int")).cast("double").alias("score"))
 
 
-def top_similar(items: DataFrame, cap: int, k: int, seed: int) -> DataFrame:
-    """For every item ``k`` others, drawn in seeded order from the ``cap`` best by (score desc, id); items that have
-    something in common only. Columns id, candidate, score, rank (from 1 in the ranking), pick."""
-    names = items.groupBy("name").agg(F.min("grp").alias("grp"))
-    first = items.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("_n") <= cap + 1)
-    pairs = name_scores(names).join(first.select(F.col("name").alias("b"), F.col("id").alias("candidate")), "b")
-    w = Window.partitionBy("a").orderBy(F.col("score").desc(), "candidate")
-    pool = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap + 1)
-    return _picked(items.join(pool, items["name"] == pool["a"]).where(F.col("id") != F.col("candidate")), [F.col("score").desc(), F.col("candidate")], cap, k, seed)
-
+def _unrelated(names: DataFrame, scored: DataFrame, n: int) -> DataFrame:
+    """(a, b): of every name the ``n`` first other names, by their smallest id, that it shares nothing with.
 
-def _picked(pairs: DataFrame, order: list[Column], cap: int, k: int, seed: int) -> DataFrame:
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= cap)
+    The list of names in this order is tried as far as its first ``LIST`` names; names that lack some then try four times
+    as many, and so on, so only what is related to nearly everything reads far.
+    """
+    size, open_, out, total = max(LIST, 2 * n), names.select(F.col("name").alias("a")), None, names.count()
+    while True:
+        listed = names.orderBy("least", "name").limit(size).agg(F.collect_list(F.struct("least", F.col("name").alias("b"))).alias("bs"))
+        met = open_.join(F.broadcast(listed)).select("a", F.explode("bs").alias("x")).select("a", "x.*").where("a <> b").join(scored.select("a", "b"), ["a", "b"], "left_anti")
+        near = met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("least", "b"))).where(F.col("_r") <= n)
+        part = near.select("a", "b")
+        if size >= total:
+            return part if out is None else out.unionByName(part)
+        full = part.groupBy("a").count().where(F.col("count") >= n).select("a")
+        done = part.join(full, "a", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        open_ = open_.join(full, "a", "left_anti")
+        if open_.isEmpty():
+            return out
+        size *= 4
+
+
+def _ranked(items: DataFrame, order: list[Column], cap: int, k: int, seed: int, other_names: bool) -> DataFrame:
+    names = items.groupBy("name").agg(F.min("grp").alias("grp"), F.min("id").alias("least"))
+    scored = name_scores(names)
+    first = items.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("_n") <= (1 if other_names else cap + 1))
+    pairs = scored.unionByName(_unrelated(names, scored, cap + 1).withColumn("score", F.lit(0.0)))
+    pairs = pairs.where("a <> b") if other_names else pairs
+    pool = pairs.join(first.select(F.col("name").alias("b"), F.col("id").alias("candidate")), "b")
+    pool = pool.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(*order, "candidate"))).where(F.col("_r") <= cap + 1)
+    met = items.join(pool, items["name"] == pool["a"]).where(F.col("id") != F.col("candidate"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order, "candidate"))).where(F.col("rank") <= cap)
     mixed = Window.partitionBy("id").orderBy(digest(seed, F.col("id"), F.col("candidate")), "candidate")
     return ranked.withColumn("pick", F.row_number().over(mixed)).where(F.col("pick") <= k).select("id", "candidate", "score", "rank", "pick")
 
 
+def top_similar(items: DataFrame, cap: int, k: int, seed: int, other_names: bool = False) -> DataFrame:
+    """For every item ``k`` others, drawn in seeded order from the ``cap`` best of all by (score desc, id); with
+    ``other_names``, of the first items of the other names. Columns id, candidate, score, rank (from 1 in the ranking), pick."""
+    return _ranked(items, [F.col("score").desc()], cap, k, seed, other_names)
+
+
 def top_dissimilar(items: DataFrame, cap: int, k: int, seed: int) -> DataFrame:
-    """As ``top_similar`` from the worst end, (score asc, id): the smallest ids among names without anything in common.
+    """As ``top_similar`` from the worst end, (score asc, id)."""
+    return _ranked(items, [F.col("score").asc()], cap, k, seed, False)
+
 
-    Of the names in the order of their smallest id, a target needs no more than ``cap`` beyond those it shares something
-    with, so a list of that length, the same for all, holds every candidate name.
+def filtered_top(rows: DataFrame, equal: list[str], differ: str, id_: str, k: int, last: bool = True) -> DataFrame:
+    """For every row the ``k`` last (or first) ids among rows with equal values in ``equal`` and another in ``differ``.
+
+    Of each value of ``differ`` the last ``k`` are kept, and of these the last ``2 * k`` of the group: a row's own value
+    has at most ``k`` of them, so ``k`` others are left if there are so many.
     """
-    names = items.groupBy("name").agg(F.min("grp").alias("grp"), F.min("id").alias("least"))
-    scored = name_scores(names)
-    most = scored.groupBy("a").count().agg(F.max("count")).first()[0] or 0
-    near = names.orderBy("least").limit(most + cap + 1).select(F.col("name").alias("b"))
-    listed = near.agg(F.collect_list("b").alias("bs"))
-    pairs = names.select(F.col("name").alias("a")).join(F.broadcast(listed)).select("a", F.explode("bs").alias("b")).join(scored.select("a", "b"), ["a", "b"], "left_anti")
-    first = items.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("_n") <= cap)
-    pool = pairs.join(first.select(F.col("name").alias("b"), F.col("id").alias("candidate")), "b").withColumn("score", F.lit(0.0))
-    pool = pool.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("candidate"))).where(F.col("_r") <= cap)
-    return _picked(items.join(pool, items["name"] == pool["a"]), [F.col("score"), F.col("candidate")], cap, k, seed)
+    end = (lambda c: F.col(c).desc()) if last else (lambda c: F.col(c).asc())
+    each = rows.select(*equal, F.col(differ).alias("_other"), F.col(id_).alias("candidate"))
+    each = each.withColumn("_n", F.row_number().over(Window.partitionBy(*equal, "_other").orderBy(end("candidate")))).where(F.col("_n") <= k)
+    few = each.withColumn("_m", F.row_number().over(Window.partitionBy(*equal).orderBy(end("candidate")))).where(F.col("_m") <= 2 * k).drop("_n", "_m")
+    met = rows.select(id_, differ, *equal).join(few, equal).where(F.col(differ) != F.col("_other"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(id_).orderBy(end("candidate")))).where(F.col("rank") <= k).select(id_, "candidate", "rank")
 
 
-def filtered_top(rows: DataFrame, equal: list[str], differ: str, id_: str, k: int) -> DataFrame:
-    """For every row the ``k`` last ids among rows with equal values in ``equal`` and another in ``differ``.
+def least_alike(rows: DataFrame, traits: list[str], id_: str, k: int) -> DataFrame:
+    """For every row the ``k`` first others by (traits in common, id). Columns id, candidate, rank.
 
-    Only the last ``k`` ids of each (equal, differ) can be among them, so that many are kept before rows meet.
+    Rows with the same traits are one kind, and ``k + 1`` rows of a kind suffice; kinds are few values together, and it is
+    an error if there are more than ``KINDS`` of them.
     """
-    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*equal, differ).orderBy(F.col(id_).desc()))).where(F.col("_n") <= k)
-    other = last.select(*equal, F.col(differ).alias("_other"), F.col(id_).alias("candidate"))
-    # of one equal-group, the last k ids of all and of all but one value: k of each value suffice, and k + values overall
-    met = rows.select(id_, differ, *equal).join(other, equal).where(F.col(differ) != F.col("_other"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy(id_).orderBy(F.col("candidate").desc()))).where(F.col("rank") <= k).select(id_, "candidate", "rank")
+    kind = F.struct(*traits)
+    kinds = rows.select(kind.alias("kind")).distinct()
+    listed = kinds.agg(F.collect_set("kind").alias("kinds"), F.count("*").alias("n")).select("kinds", F.assert_true(F.col("n") <= KINDS, F.lit("too many kinds")).alias("ok"))
+    pairs = kinds.join(F.broadcast(listed.where("ok is null"))).select(F.col("kind").alias("a"), F.explode("kinds").alias("b"))
+    score = sum((F.col("a")[c] == F.col("b")[c]).cast("int") for c in traits)
+    few = rows.select(kind.alias("b"), F.col(id_).alias("candidate"))
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("b").orderBy("candidate"))).where(F.col("_n") <= k + 1)
+    pool = pairs.withColumn("_s", score).join(few, "b")
+    pool = pool.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("_s", "candidate"))).where(F.col("_r") <= k + 1)
+    met = rows.select(id_, kind.alias("a")).join(pool, "a").where(F.col(id_) != F.col("candidate"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(id_).orderBy("_s", "candidate"))).where(F.col("rank") <= k).select(id_, "candidate", "rank")
 
 
 def first_neighbour(rows: DataFrame, group: str, index: str, id_: str) -> DataFrame:
-    """For every row the first other row of its group by (index, id): the group's first, or for that one the second."""
-    ends = rows.groupBy(group).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col(index).alias("x"), F.col(id_).alias("y")))), 1, 2).alias("two"))
-    joined = rows.join(ends, group)
-    first = F.get("two", F.lit(0))["y"]
-    pick = F.when(first != F.col(id_), first).otherwise(F.get("two", F.lit(1))["y"])
-    return joined.select(id_, pick.alias("neighbour")).where("neighbour is not null")
+    """For every row the first other row of its group by (index, id): the group's first, or for that one the second.
+
+    Both are smallest values, which combine before they are shuffled."""
+    place = F.struct(F.col(index).alias("x"), F.col(id_).alias("y"))
+    first = rows.groupBy(group).agg(F.min(place).alias("first"))
+    marked = rows.select(group, place.alias("own")).join(first, group)
+    second = marked.where("own > first").groupBy(group).agg(F.min("own").alias("second"))
+    ends = first.join(second, group)
+    pick = F.when(F.col("first.y") != F.col(id_), F.col("first.y")).otherwise(F.col("second.y"))
+    return rows.join(ends, group).select(id_, pick.alias("neighbour"))
 
 
 def fallback_pool(targets: DataFrame, rows: DataFrame, first: str, second: str, k: int, seed: int) -> DataFrame:
@@ -97,9 +138,37 @@ def fallback_pool(targets: DataFrame, rows: DataFrame, first: str, second: str,
 
 
 def cyclic_pairs(rows: DataFrame, block: str, id_: str, seed: int, n: int) -> DataFrame:
-    """For every row the ``n`` next ones of its block in seeded order, round the end; blocks are of bounded size."""
+    """For every row the ``n`` next ones of its block in seeded order, round the end, each at most once and never itself;
+    blocks are of bounded size."""
     order = Window.partitionBy(block).orderBy(digest(seed, F.col(id_)), id_)
     placed = rows.select(block, id_).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(block)))
-    ahead = placed.where(F.col("_n") > n).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_j", (F.col("_i") + F.col("step")) % F.col("_n"))
+    ahead = placed.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))).where(F.col("step") < F.col("_n")).withColumn("_j", (F.col("_i") + F.col("step")) % F.col("_n"))
     there = placed.select(block, F.col("_i").alias("_j"), F.col(id_).alias("candidate"))
     return ahead.join(there, [block, "_j"]).select(id_, "step", "candidate")
+
+
+def seeded_others(rows: DataFrame, event: str, k: int, seed: int) -> DataFrame:
+    """For every row ``k`` others, of other events first: the next ones in a seeded order, round the end.
+
+    Rows are dealt by hash into blocks of about ``BLOCK``, and each looks for others in its own, so every row can be drawn
+    and none meets more than a block. Columns id, candidate, pick (from 1).
+    """
+    blocks = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.select("id", F.col(event).alias("event"), draw(F.lit(blocks), seed, F.col("id")).alias("block"), digest(seed + 1, F.col("id")).alias("h"))
+    held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("h", "id", "event"))).alias("held"))
+    own = F.array_position(F.transform("held", lambda x: x["id"]), F.col("id")).cast("int")
+    after = F.expr("concat(slice(held, own + 1, size(held)), slice(held, 1, own - 1))")
+    met = dealt.join(held, "block").withColumn("own", own).withColumn("after", after)
+    ordered = F.concat(F.filter("after", lambda x: x["event"] != F.col("event")), F.filter("after", lambda x: x["event"] == F.col("event")))
+    picked = met.select("id", F.posexplode(F.slice(ordered, 1, k)).alias("pick", "x"))
+    return picked.select("id", F.col("x.id").alias("candidate"), (F.col("pick") + 1).alias("pick"))
+
+
+def in_other_group(rows: DataFrame, id_: str, group: str) -> DataFrame:
+    """For every row one of its block of ``BLOCK`` ids that is of another group: the row's place in the block, counted
+    round among these. Columns id, candidate; rows of a block with one group have none."""
+    placed = rows.select(F.col(id_).alias("id"), F.col(group).alias("g"), F.floor(F.col(id_) / BLOCK).alias("block"))
+    held = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "g"))).alias("held"))
+    met = placed.join(held, "block").withColumn("others", F.filter("held", lambda x: x["g"] != F.col("g")))
+    place = (F.array_position(F.transform("held", lambda x: x["id"]), F.col("id")) - 1).cast("int")
+    return met.where(F.size("others") > 0).select("id", F.get("others", place % F.size("others"))["id"].alias("candidate"))

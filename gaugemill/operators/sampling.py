@@ -16,13 +16,17 @@ def round_robin(rows: DataFrame, by: list[str], group: str, key: list[str], seed
     """Up to ``limit`` rows of each task, group by group in turn, in seeded order within a group; adds ``pick`` from 1.
 
     Groups are visited by ``priority``, then (with ``small_first``) by size, then by name. ``cap`` bounds rows a group.
+    No more than ``limit`` rows of a group can be picked, so only these go on to the task's own order; sizes are counted
+    apart, so that the bound reaches the rows before they are shuffled.
     """
     inner = Window.partitionBy(*by, group).orderBy(digest(seed, *map(F.col, key)), *key)
-    sized = rows.withColumn("_round", F.row_number().over(inner)).withColumn("_size", F.count("*").over(Window.partitionBy(*by, group)))
-    sized = sized.where(F.col("_round") <= cap) if cap else sized
+    bound = limit if cap is None else min(cap, limit) if isinstance(limit, int) else F.least(F.lit(cap), limit)
+    sized = rows.withColumn("_round", F.row_number().over(inner)).where(F.col("_round") <= bound)
+    if small_first:
+        sized = sized.join(rows.groupBy(*by, group).agg(F.count("*").alias("_size")), [*by, group])
     turn = [F.col("_round"), *priority, *([F.col("_size")] if small_first else []), F.col(group)]
     picked = sized.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(*turn)))
-    return picked.where(F.col("pick") <= limit).drop("_round", "_size")
+    return picked.where(F.col("pick") <= limit).select(*rows.columns, "pick")
 
 
 def random_sample(rows: DataFrame, key: list[str], seed: int, limit: int) -> DataFrame:

@@ -17,11 +17,18 @@ SRC_ITEMS = "src_items AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS
 
 def clips(t: Tables) -> DataFrame:
     return t.conversations.select(
-        F.format_string("%d:%d", "conv_id", "turn").alias("id"), F.col("conv_id").alias("video"), F.col("turn").alias("clip_index"), F.col("role").alias("delivery"), (F.length("text") / 100.0).alias("duration"), "text"
+        F.format_string("%d:%d", "conv_id", "turn").alias("id"), F.col("conv_id").alias("video"), F.col("turn").alias("clip_index"), F.col("role").alias("delivery"), (F.length("text") / 100.0).alias("duration"), "text", (F.col("turn") % 3 + 1).alias("speakers"), (F.length("text") % 2 == 0).alias("is_talking")
     )
 
 
-CLIPS = "clips AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, conv_id AS video, turn AS clip_index, role AS delivery, length(text) / 100.0::DOUBLE AS duration, text FROM conversations)"
+CLIPS = "clips AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, conv_id AS video, turn AS clip_index, role AS delivery, length(text) / 100.0::DOUBLE AS duration, text, turn % 3 + 1 AS speakers, length(text) % 2 = 0 AS is_talking FROM conversations)"
+
+
+def long_items(t: Tables) -> DataFrame:
+    return t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("event"), (F.col("user_id") % 50).alias("scenario"), F.when(F.col("value") < 50, "unknown").otherwise("single_speaker").alias("mode"), F.col("props").alias("text"))
+
+
+LONG_ITEMS = "long_items AS (SELECT event_id AS id, event_type AS event, user_id % 50 AS scenario, CASE WHEN value < 50 THEN 'unknown' ELSE 'single_speaker' END AS mode, props AS text FROM events)"
 
 
 def label_rows(t: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import arrays as A, seeded, text as T
 from ..operators import metrics as M, pools, sampling as S, scoring as P
 from .bindings import BIG_ROWS, CLIPS, LABEL_ROWS, MODEL_SCORES, SRC_ITEMS, big_rows, clips, digest_sql, draw_sql, index_rows, label_rows, model_scores, src_items
+from .pipelines import results_table
 from .registry import Tables, query
 
 
@@ -36,7 +37,7 @@ def score_label(t: Tables) -> DataFrame:
 INDEX_ROWS = f"""
 b AS (SELECT vec_id, vec_id // 256 AS block, embedding FROM embeddings),
 o AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {digest_sql(11, 'vec_id')}, vec_id) - 1 AS i, count(*) OVER (PARTITION BY block) AS n FROM b),
-c AS (SELECT a.vec_id, z.vec_id AS candidate, s AS pos FROM o a, (SELECT unnest([1, 2, 3]) AS s) JOIN o z ON z.block = a.block AND z.i = (a.i + s) % a.n WHERE a.n > 3 UNION ALL SELECT vec_id, vec_id, 0 FROM o WHERE n > 3),
+c AS (SELECT a.vec_id, z.vec_id AS candidate, s AS pos FROM o a, (SELECT unnest([1, 2, 3]) AS s) JOIN o z ON z.block = a.block AND z.i = (a.i + s) % a.n WHERE s < a.n UNION ALL SELECT vec_id, vec_id, 0 FROM o WHERE n > 1),
 m AS (SELECT vec_id, candidate, pos, row_number() OVER (PARTITION BY vec_id ORDER BY {digest_sql(12, 'vec_id', 'pos')}, pos) - 1 AS idx FROM c),
 g AS (SELECT vec_id, max(CASE WHEN pos = 0 THEN idx END) AS gold_index FROM m GROUP BY vec_id)"""
 
@@ -91,9 +92,9 @@ def metric_levels(t: Tables) -> DataFrame:
 
 
 def _replicates(src: str, by: str, value: str, key: str, samples: int, seed: int) -> str:
-    return f"""n AS (SELECT {by}, {value} AS v, row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {src}),
-d AS (SELECT {by}, b, {draw_sql('n', seed, by, 'b', 'i')} AS j FROM n, (SELECT unnest(range({samples})) AS b)),
-r AS (SELECT d.{by}, d.b, avg(n.v) AS mean FROM d JOIN n ON d.{by} = n.{by} AND n.i = d.j GROUP BY ALL)"""
+    times = " + ".join(f"(u >= {edge})::INT" for edge in M.POISSON_EDGES)
+    return f"""d AS (SELECT {by}, b, {value} AS v, {draw_sql(str(M.POISSON_RANGE), seed, by, 'b', key)} AS u FROM {src}, (SELECT unnest(range({samples})) AS b)),
+r AS (SELECT {by}, b, sum(v * ({times})) / sum({times}) AS mean FROM d GROUP BY ALL HAVING sum({times}) > 0)"""
 
 
 @query(f"""WITH {LABEL_ROWS}, x AS (SELECT lang, doc_id, (gold_label = predicted_label)::INT::DOUBLE AS m FROM label_rows), {_replicates('x', 'lang', 'm', 'doc_id', 100, 42)}
@@ -105,7 +106,7 @@ def bootstrap_ci(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {MODEL_SCORES}, x AS (SELECT a.lang, a.doc_id, a.metric - b.metric AS m FROM model_scores a JOIN model_scores b USING (doc_id) WHERE a.model = 'model_2' AND b.model = 'model_0'), {_replicates('x', 'lang', 'm', 'doc_id', 100, 42)},
-e AS (SELECT lang, round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high, least(1.0, 2.0 * least(sum((mean >= 0)::INT) + 1, sum((mean <= 0)::INT) + 1) / 101) AS p FROM r GROUP BY lang)
+e AS (SELECT lang, round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high, least(1.0, 2.0 * least(sum((mean >= 0)::INT) + 1, sum((mean <= 0)::INT) + 1) / (count(*) + 1)) AS p FROM r GROUP BY lang)
 SELECT lang, count(*) AS n, round(avg(m), 9) AS observed_difference, round(CASE WHEN count(*) >= 2 AND stddev_samp(m) > 1e-12 THEN avg(m) / stddev_samp(m) * (1 - 3.0 / greatest(1, 4 * count(*) - 5)) ELSE 0 END, 9) AS hedges_g,
  any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high, round(any_value(p), 9)::DOUBLE AS p_value FROM x JOIN e USING (lang) GROUP BY lang""")
 def paired_bootstrap(t: Tables) -> DataFrame:
@@ -159,14 +160,14 @@ def _chosen(t: Tables, sizes: list[int], n: int) -> DataFrame:
     return _rounded(S.best_attempt(tried, ["task"]).select("task", "size", "attempt", "violation", "passed"), "violation")
 
 
-@query(f"WITH {BIG_ROWS}, {_tried([60], 4)}")
+@query(f"WITH {BIG_ROWS}, {_tried([60], 8)}")
 def retry_sampler(t: Tables) -> DataFrame:
-    return _chosen(t, [60], 4)
+    return _chosen(t, [60], 8)
 
 
-@query(f"WITH {BIG_ROWS}, {_tried([96, 64, 48], 2)}")
+@query(f"WITH {BIG_ROWS}, {_tried([96, 64, 48], 4)}")
 def adaptive_sampler(t: Tables) -> DataFrame:
-    return _chosen(t, [96, 64, 48], 2)
+    return _chosen(t, [96, 64, 48], 4)
 
 
 LABEL_WORDS = ("red", "metal", "wid", "gad", "b")
@@ -199,17 +200,17 @@ f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM src_
 q AS (SELECT a.id, b.id AS candidate, s.score FROM src_items a JOIN s ON s.an = a.name JOIN f b ON b.name = s.bn AND b.n <= 10 WHERE a.id <> b.id)"""
 
 
-def _top(order: str, having: str) -> str:
-    return f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {order}, candidate) AS rank FROM q {having} QUALIFY rank <= 9)
+def _top(order: str) -> str:
+    return f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {order}, candidate) AS rank FROM q QUALIFY rank <= 9)
 SELECT id, candidate, score, rank::INT AS rank, row_number() OVER (PARTITION BY id ORDER BY {digest_sql(42, 'id', 'candidate')}, candidate)::INT AS pick FROM r QUALIFY pick <= 3"""
 
 
-@query(_top("score DESC", "WHERE score > 0"))
+@query(_top("score DESC"))
 def similar_topk(t: Tables) -> DataFrame:
     return pools.top_similar(src_items(t), 9, 3, 42)
 
 
-@query(_top("score", "WHERE score = 0"))
+@query(_top("score"))
 def dissimilar_topk(t: Tables) -> DataFrame:
     return pools.top_dissimilar(src_items(t), 9, 3, 42)
 
@@ -241,7 +242,7 @@ def neighbour_first(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH b AS (SELECT vec_id, vec_id // 256 AS block FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {digest_sql(11, 'vec_id')}, vec_id) - 1 AS i, count(*) OVER (PARTITION BY block) AS n FROM b)
-SELECT a.vec_id, s::INT AS step, z.vec_id AS candidate FROM o a, (SELECT unnest([1, 2]) AS s) JOIN o z ON z.block = a.block AND z.i = (a.i + s) % a.n WHERE a.n > 2""")
+SELECT a.vec_id, s::INT AS step, z.vec_id AS candidate FROM o a, (SELECT unnest([1, 2]) AS s) JOIN o z ON z.block = a.block AND z.i = (a.i + s) % a.n WHERE s < a.n""")
 def modular_pairing(t: Tables) -> DataFrame:
     return pools.cyclic_pairs(t.embeddings.select("vec_id", (F.col("vec_id") / 256).cast("long").alias("block")), "block", "vec_id", 11, 2)
 
@@ -286,12 +287,13 @@ def binary_flip_probe(t: Tables) -> DataFrame:
 
 @query(f"""WITH {MODEL_SCORES}, s AS (SELECT lang, model, avg(metric) AS score FROM model_scores GROUP BY ALL), b AS (SELECT lang, model, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, model) AS rn FROM s),
 p AS (SELECT lang, max(CASE WHEN model = 'model_0' THEN score END) AS m0, max(CASE WHEN model = 'model_1' THEN score END) AS m1, max(CASE WHEN model = 'model_2' THEN score END) AS m2 FROM s GROUP BY lang)
-SELECT p.lang, round(m0, 6) AS model_0, round(m1, 6) AS model_1, round(m2, 6) AS model_2, b.model AS best_model, round(b.score, 6) AS best_score FROM p JOIN b ON p.lang = b.lang AND b.rn = 1""")
+SELECT t.lang, round(m0, 6) AS model_0, round(m1, 6) AS model_1, round(m2, 6) AS model_2, b.model AS best_model, round(b.score, 6) AS best_score FROM (SELECT DISTINCT lang FROM documents) t LEFT JOIN p ON p.lang = t.lang LEFT JOIN b ON b.lang = t.lang AND b.rn = 1""")
 def results_pivot(t: Tables) -> DataFrame:
-    """A row for each task, a column for each model, and the best of them."""
-    scores = model_scores(t).groupBy("lang", "model").agg(F.avg("metric").alias("score"))
-    wide = scores.groupBy("lang").pivot("model", ["model_0", "model_1", "model_2"]).agg(F.first("score"))
-    return _rounded(wide.join(M.best_model(scores, ["lang"]), "lang"), "model_0", "model_1", "model_2", "best_score", digits=6)
+    """A row for each task, a column for each model, and the best of them; tasks without results stay."""
+    scores = model_scores(t).groupBy(F.lit("all").alias("tier"), F.col("lang").alias("task_dir"), "model").agg(F.avg("metric").alias("score"))
+    tasks = t.documents.select(F.lit("all").alias("tier"), F.col("lang").alias("task_dir")).distinct()
+    wide = results_table(tasks, scores, ["model_0", "model_1", "model_2"])
+    return _rounded(wide.select(F.col("task_dir").alias("lang"), "model_0", "model_1", "model_2", "best_model", "best_score"), "model_0", "model_1", "model_2", "best_score", digits=6)
 
 
 @query(f"""WITH {LABEL_ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM label_rows)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import models, scoring as P
 from ..sources import readers, writers
+from ..functions import text as T
 from . import tasks
-from .bindings import CLIPS, LABEL_ROWS, SRC_ITEMS, clips, digest_sql, label_rows, src_items
+from .bindings import CLIPS, LABEL_ROWS, LONG_ITEMS, SRC_ITEMS, clips, digest_sql, draw_sql, label_rows, long_items, src_items
 from .evaluation_queries import SCORED
 from .registry import Tables, query
 
@@ -32,7 +33,7 @@ def task_three_way(t: Tables) -> DataFrame:
 _PICK = "SELECT id, candidate FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {d}, candidate) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {o}, candidate) AS rank FROM q WHERE {w}) WHERE rank <= 3) WHERE pick = 1".format
 
 
-@query(f"""WITH {SCORED}, near AS ({_PICK(d=digest_sql(5, 'id', 'candidate'), o='score DESC', w='score > 0')}), far AS ({_PICK(d=digest_sql(5, 'id', 'candidate'), o='score', w='score = 0')}),
+@query(f"""WITH {SCORED}, near AS ({_PICK(d=digest_sql(5, 'id', 'candidate'), o='score DESC', w='true')}), far AS ({_PICK(d=digest_sql(5, 'id', 'candidate'), o='score', w='true')}),
 u AS (SELECT id, unnest([near.id, near.candidate, far.candidate]) AS v, unnest([0, 1, 2]) AS i FROM near JOIN far USING (id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {digest_sql(5, 'id', 'i')}, i) - 1 AS k FROM u)
 SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS options, string_agg(k::VARCHAR, '>' ORDER BY i) AS gold_ranking FROM k GROUP BY id""")
@@ -45,8 +46,17 @@ def task_ranking(t: Tables) -> DataFrame:
 _NEXT = "n AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY clip_index, id) AS n FROM clips), r AS (SELECT a.id, b.id AS right_ FROM n a JOIN n b ON a.video = b.video AND b.n = CASE WHEN a.n = 1 THEN 2 ELSE 1 END)"
 
 
-@query(f"""WITH {CLIPS}, {_NEXT}, b AS (SELECT *, CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END AS bucket FROM clips),
-w AS (SELECT a.id, max(z.id) AS wrong FROM b a JOIN b z ON a.clip_index = z.clip_index AND a.bucket = z.bucket AND a.video <> z.video GROUP BY a.id), o AS (SELECT id, right_, wrong FROM r JOIN w USING (id)),
+def _one(pool: str, seed: int) -> str:
+    return f"(SELECT id, candidate AS wrong FROM {pool} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {digest_sql(seed, 'id', 'candidate')}, candidate) = 1)"
+
+
+_ALIKE = """b AS (SELECT *, CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END AS bucket FROM clips),
+least_ AS (SELECT a.id, z.id AS candidate FROM clips a JOIN clips z ON a.id <> z.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.speakers = z.speakers)::INT + (a.is_talking = z.is_talking)::INT + (a.delivery = z.delivery)::INT, z.id) <= 8)"""
+
+
+@query(f"""WITH {CLIPS}, {_NEXT}, {_ALIKE},
+near AS (SELECT a.id, z.id AS candidate FROM b a JOIN b z ON a.speakers = z.speakers AND a.is_talking = z.is_talking AND a.delivery = z.delivery AND a.bucket = z.bucket AND a.video <> z.video QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY z.id) <= 8),
+w AS (SELECT * FROM {_one('near', 6)} UNION ALL SELECT * FROM {_one('least_', 6)} WHERE id NOT IN (SELECT id FROM near)), o AS (SELECT id, right_, wrong FROM r JOIN w USING (id)),
 {_mixed(['right_', 'wrong'], 6)}""")
 def task_dyadic(t: Tables) -> DataFrame:
     return _flat(tasks.dyadic(clips(t), 6))
@@ -79,5 +89,141 @@ def jsonl_roundtrip(t: Tables) -> DataFrame:
 @query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand FROM part")
 def csv_roundtrip(t: Tables) -> DataFrame:
     path = t.new_folder()
-    t.part.select("p_partkey", "p_name", "p_brand").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    writers.csv(t.part.select("p_partkey", "p_name", "p_brand"), path)
     return readers.csv(t.spark, path, ["p_partkey", "p_name", "p_brand"])
+
+
+_PICKS = "p AS (SELECT id, candidate, row_number() OVER (PARTITION BY id ORDER BY {d}, candidate) AS pick FROM (SELECT * FROM q {w} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {o}, candidate) <= {cap}) QUALIFY pick <= {k})".format
+
+
+@query(f"""WITH {SCORED}, {_PICKS(d=digest_sql(4, 'id', 'candidate'), o='score', w='', cap=9, k=3)}, o AS (SELECT id, max(CASE WHEN pick = 1 THEN candidate END) AS c1, max(CASE WHEN pick = 2 THEN candidate END) AS c2, max(CASE WHEN pick = 3 THEN candidate END) AS c3 FROM p GROUP BY id),
+{_mixed(['id', 'c1', 'c2', 'c3'], 4)}""")
+def task_target_sound(t: Tables) -> DataFrame:
+    return _flat(tasks.target_sound(src_items(t), 4))
+
+
+@query(f"""WITH {SCORED}, {_PICKS(d=digest_sql(4, 'id', 'candidate'), o='score DESC', w='', cap=3, k=1)}, o AS (SELECT id, candidate FROM p), {_mixed(['id', 'candidate'], 4)}""")
+def task_acoustic_contrast(t: Tables) -> DataFrame:
+    return _flat(tasks.acoustic_contrast(src_items(t), 4))
+
+
+@query(f"""WITH {SCORED}, e AS (SELECT q.* FROM q JOIN src_items a ON a.id = q.id JOIN src_items z ON z.id = q.candidate WHERE a.name <> z.name AND z.id = (SELECT min(id) FROM src_items y WHERE y.name = z.name)),
+{_PICKS(d=digest_sql(3, 'id', 'candidate'), o='score DESC', w='', cap=9, k=3).replace('FROM q ', 'FROM e ')}, n AS (SELECT p.id, pick, name FROM p JOIN src_items s ON s.id = p.candidate),
+o AS (SELECT s.id, s.name, max(CASE WHEN pick = 1 THEN n.name END) AS c1, max(CASE WHEN pick = 2 THEN n.name END) AS c2, max(CASE WHEN pick = 3 THEN n.name END) AS c3 FROM n JOIN src_items s ON s.id = n.id GROUP BY s.id, s.name),
+{_mixed(['name', 'c1', 'c2', 'c3'], 3)}""")
+def task_hard_negatives(t: Tables) -> DataFrame:
+    return _flat(tasks.hard_negatives(src_items(t), 3))
+
+
+def _two_way_sql(source: str, first: str, options: tuple[str, str], bucket: str = "NULL") -> str:
+    return f"WITH {source[0]} SELECT id, '{options[0]}|{options[1]}' AS options, CASE WHEN {first} THEN 0 ELSE 1 END::BIGINT AS gold_index, {bucket}::VARCHAR AS balance_bucket FROM {source[1]}"
+
+
+def _two(df: DataFrame) -> DataFrame:
+    return df.select("id", F.array_join("options", "|").alias("options"), "gold_index", "balance_bucket")
+
+
+@query(_two_way_sql((SRC_ITEMS, "src_items"), "flag = 1", tasks.PERIODICITY))
+def task_periodicity(t: Tables) -> DataFrame:
+    return _two(tasks.periodicity(src_items(t)))
+
+
+@query(_two_way_sql((SRC_ITEMS, "src_items"), "flag = 1", tasks.ONSET, "grp"))
+def task_onset(t: Tables) -> DataFrame:
+    return _two(tasks.onset_sharpness(src_items(t)))
+
+
+@query(_two_way_sql((CLIPS, "clips"), "is_talking", tasks.SPEECH))
+def task_speech_activity(t: Tables) -> DataFrame:
+    return _two(tasks.speech_activity(clips(t)))
+
+
+@query(_two_way_sql((CLIPS, "clips"), "speakers <= 1", tasks.SPEAKERS, "CASE WHEN speakers > 1 THEN 'multiple_speakers' ELSE 'single_speaker' END"))
+def task_speaker_count(t: Tables) -> DataFrame:
+    return _two(tasks.speaker_count(clips(t)))
+
+
+@query(f"""WITH {CLIPS}, d AS (SELECT id, CASE WHEN regexp_matches(lower(text), 'laugh|chuckle|giggle') THEN 'laughter' WHEN regexp_matches(lower(text), 'shout|yell|scream|cheer') THEN 'high_energy'
+ WHEN regexp_matches(lower(text), 'whisper|murmur|soft|quietly') THEN 'soft' ELSE 'neutral_speech' END AS gold_label FROM clips) SELECT id, '{','.join(tasks.DELIVERIES)}' AS label_space, gold_label FROM d""")
+def task_delivery_style(t: Tables) -> DataFrame:
+    rows = tasks.delivery_style(clips(t).withColumn("delivery", T.delivery("text")))
+    return rows.select("id", F.array_join("label_space", ",").alias("label_space"), "gold_label")
+
+
+@query(f"""WITH {SRC_ITEMS}, b AS (SELECT id, grp, id // 256 AS block, row_number() OVER (PARTITION BY id // 256 ORDER BY id) - 1 AS i FROM src_items),
+c AS (SELECT a.id, a.grp, a.i, z.id AS candidate, z.grp AS other_grp, row_number() OVER (PARTITION BY a.id ORDER BY z.id) - 1 AS k, count(*) OVER (PARTITION BY a.id) AS n FROM b a JOIN b z ON a.block = z.block AND a.grp <> z.grp)
+SELECT id, candidate, {draw_sql('2', 2, 'id')} AS gold_index, grp || '__' || other_grp AS balance_bucket FROM c WHERE k = i % n""")
+def task_causal_order(t: Tables) -> DataFrame:
+    return tasks.causal_order(src_items(t), 2).select("id", "candidate", "gold_index", "balance_bucket")
+
+
+_LONG_TEXT = "len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) >= 4"
+
+
+@query(f"""WITH {CLIPS}, l AS (SELECT * FROM clips WHERE {_LONG_TEXT}), {_NEXT.replace('FROM clips)', 'FROM l)')}, {_ALIKE}, w AS (SELECT x.* FROM {_one('least_', 7)} x JOIN l ON l.id = x.wrong),
+o AS (SELECT id, right_, wrong FROM r JOIN w USING (id)), {_mixed(['right_', 'wrong'], 7)}""")
+def task_turn_holding(t: Tables) -> DataFrame:
+    return _flat(tasks.turn_holding(clips(t), 7))
+
+
+@query(f"""WITH {CLIPS}, l AS (SELECT * FROM clips WHERE {_LONG_TEXT}),
+x AS (SELECT a.id, max(z.id) AS right_ FROM l a JOIN l z ON a.delivery = z.delivery AND a.speakers = z.speakers AND a.video <> z.video GROUP BY a.id),
+w AS (SELECT a.id, max(z.id) AS wrong FROM l a JOIN l z ON a.delivery = z.delivery AND a.speakers <> z.speakers GROUP BY a.id), o AS (SELECT id, right_, wrong FROM x JOIN w USING (id)),
+{_mixed(['right_', 'wrong'], 9)}""")
+def task_speaker_continuation(t: Tables) -> DataFrame:
+    return _flat(tasks.continuation(clips(t), ["delivery"], "speakers", "speaker_count_aware_continuation", 9))
+
+
+def _others(seed: int, k: int) -> str:
+    return f"""{LONG_ITEMS}, nb AS (SELECT greatest(1, (count(*) + 255) // 256) AS n FROM long_items),
+d AS (SELECT id, event, {draw_sql('nb.n', seed, 'id')} AS block, {digest_sql(seed + 1, 'id')} AS h FROM long_items, nb),
+e AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY h, id) AS i, count(*) OVER (PARTITION BY block) AS n FROM d),
+c AS (SELECT a.id, z.id AS candidate, row_number() OVER (PARTITION BY a.id ORDER BY a.event = z.event, (z.i - a.i + a.n) % a.n) AS pick FROM e a JOIN e z ON a.block = z.block AND a.id <> z.id QUALIFY pick <= {k})"""
+
+
+@query(f"""WITH {_others(1, 3)}, o AS (SELECT id, max(CASE WHEN pick = 1 THEN candidate END) AS c1, max(CASE WHEN pick = 2 THEN candidate END) AS c2, max(CASE WHEN pick = 3 THEN candidate END) AS c3 FROM c GROUP BY id), {_mixed(['id', 'c1', 'c2', 'c3'], 1)}""")
+def task_event_window(t: Tables) -> DataFrame:
+    return _flat(tasks.event_window(long_items(t), 1))
+
+
+@query(f"""WITH {_others(2, 3)}, o AS (SELECT id, max(CASE WHEN pick = 1 THEN candidate END) AS c1, max(CASE WHEN pick = 2 THEN candidate END) AS c2, max(CASE WHEN pick = 3 THEN candidate END) AS c3 FROM c GROUP BY id),
+m AS ({_mixed(['id', 'c1', 'c2', 'c3'], 2).replace('u AS', 'WITH u AS', 1)}) SELECT m.*, text AS query_text FROM m JOIN long_items USING (id)""")
+def task_event_retrieval(t: Tables) -> DataFrame:
+    rows = tasks.event_retrieval(long_items(t), 2)
+    return rows.select("id", F.array_join(F.transform("options", lambda v: v.cast("string")), ",").alias("options"), "gold_index", "query_text")
+
+
+@query(f"""WITH {_others(3, 1)}, o AS (SELECT id, id AS right_, candidate FROM c), {_mixed(['right_', 'candidate'], 3)}""")
+def task_sequential(t: Tables) -> DataFrame:
+    return _flat(tasks.sequential(long_items(t), 3))
+
+
+@query(f"""WITH {_others(4, 2)}, z AS (SELECT a.id, b.id AS candidate, min(CASE WHEN a.event = b.event THEN 0 ELSE 1 END) AS tag, any_value({digest_sql(4, 'b.id')}) AS h FROM long_items a JOIN long_items b ON (a.event = b.event OR a.scenario = b.scenario) AND a.id <> b.id GROUP BY ALL),
+s AS (SELECT id, candidate AS right_ FROM z QUALIFY row_number() OVER (PARTITION BY id ORDER BY tag, h, candidate) = 1),
+o AS (SELECT s.id, right_, max(CASE WHEN pick = 1 THEN c.candidate END) AS c1, max(CASE WHEN pick = 2 THEN c.candidate END) AS c2 FROM s JOIN c USING (id) GROUP BY s.id, right_), {_mixed(['right_', 'c1', 'c2'], 4)}""")
+def task_narrative(t: Tables) -> DataFrame:
+    return _flat(tasks.narrative(long_items(t), 4))
+
+
+@query(_two_way_sql((LONG_ITEMS, "(SELECT * FROM long_items ORDER BY id LIMIT 1024)"), "true", ("first, then second", "second, then first")))
+def task_coarse_order(t: Tables) -> DataFrame:
+    """A budget of 1,024 items is the task's own."""
+    return _two(tasks.coarse_order(long_items(t), 1024))
+
+
+@query(_two_way_sql((LONG_ITEMS, "long_items WHERE mode <> 'unknown'"), "true", ("with speech", "without speech")))
+def task_overlap(t: Tables) -> DataFrame:
+    return _two(tasks.overlap(long_items(t)))
+
+
+def cue_candidates(t: Tables) -> DataFrame:
+    label = F.when(F.length("text") % 2 == 0, "short_acknowledgment").otherwise("not_short_acknowledgment")
+    return t.conversations.select(label.alias("label"), "text", (F.length("text") / 10.0).alias("seconds"), (F.col("turn") / 4.0).alias("clear_score"), (F.col("conv_id") % 7 / 7.0).alias("dover_score"), F.format_string("%d:%d", "conv_id", "turn").alias("source_item_id"))
+
+
+@query("""WITH c AS (SELECT CASE WHEN length(text) % 2 = 0 THEN 'short_acknowledgment' ELSE 'not_short_acknowledgment' END AS label, text, length(text) / 10.0::DOUBLE AS seconds, turn / 4.0::DOUBLE AS clear_score, (conv_id % 7) / 7.0::DOUBLE AS dover_score, conv_id || ':' || turn AS source_item_id FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(seconds - 18), clear_score DESC, dover_score DESC, source_item_id) AS o FROM c WHERE NOT regexp_matches(text, '(?i)\\b(fuck|fucking|shit|bitch|cunt|dick|asshole)\\b') AND trim(text) <> '')
+SELECT printf('acknowledgment_cue_detection_%s_%05d', label, o) AS id, label AS gold_label, least(greatest(seconds, 12), 24)::DOUBLE AS window_duration_seconds, source_item_id FROM k WHERE o <= 144""")
+def task_cues(t: Tables) -> DataFrame:
+    """The 144 best candidates of each label are the task's own number."""
+    return tasks.cues(cue_candidates(t), "acknowledgment_cue_detection", 144).select("id", "gold_label", "window_duration_seconds", "source_item_id")

@@ -76,20 +76,18 @@ def onset_sharpness(items: DataFrame) -> DataFrame:
 
 
 def hard_negatives(items: DataFrame, seed: int) -> DataFrame:
-    """Its own name among those of similar items with other names."""
+    """Its own name among those of three of the most similar items with other names."""
     names = items.select(F.col("id").alias("candidate"), F.col("name").alias("other"))
-    pool = pools.top_similar(items, 60, 60, seed).join(names, "candidate").join(items.select("id", "name"), "id").where("other <> name")
-    few = pool.groupBy("id", "name").agg(F.slice(F.array_sort(F.collect_set("other")), 1, 3).alias("others"))
-    return with_options(few, "audio_text_hard_negative_matching", "name", "others", seed)
+    pool = pools.top_similar(items, 9, 3, seed, other_names=True).join(names, "candidate")
+    few = pool.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pick", "other"))), lambda s: s["other"]).alias("others"))
+    return with_options(few.join(items.select("id", "name"), "id"), "audio_text_hard_negative_matching", "name", "others", seed)
 
 
 def causal_order(items: DataFrame, seed: int) -> DataFrame:
-    """Pairs within blocks of ids in seeded order; the bucket is their pair of groups."""
-    blocks = items.withColumn("block", F.floor(F.col("id") / 256))
-    pairs = pools.cyclic_pairs(blocks, "block", "id", seed, 1)
+    """An item and one of another group near it, and which of the two orders stands first; the bucket is their groups."""
     other = items.select(F.col("id").alias("candidate"), F.col("grp").alias("other_grp"))
-    rows = pairs.join(items.select("id", "grp"), "id").join(other, "candidate")
-    return rows.select(F.lit("causal_event_order").alias("task_name"), "id", "candidate", seeded.draw(F.lit(2), seed, F.col("id")).alias("gold_index"), F.concat_ws("->", "grp", "other_grp").alias("balance_bucket"))
+    rows = pools.in_other_group(items, "id", "grp").join(items.select("id", "grp"), "id").join(other, "candidate")
+    return rows.select(F.lit("causal_event_order").alias("task_name"), "id", "candidate", seeded.draw(F.lit(2), seed, F.col("id")).alias("gold_index"), F.concat_ws("__", "grp", "other_grp").alias("balance_bucket"))
 
 
 def speech_activity(clips: DataFrame) -> DataFrame:
@@ -104,12 +102,24 @@ def delivery_style(clips: DataFrame) -> DataFrame:
     return clips.select(F.lit("delivery_style_grounding").alias("task_name"), "id", F.array(*map(F.lit, DELIVERIES)).alias("label_space"), F.col("delivery").alias("gold_label")).where(F.col("gold_label").isin(*DELIVERIES))
 
 
+TRAITS = ["speakers", "is_talking", "delivery"]
+
+
+def _negatives(clips: DataFrame, controlled: DataFrame, seed: int) -> DataFrame:
+    """One of up to eight controlled candidates in seeded order; for clips without any, one of the eight least alike."""
+    draw_one = lambda pool: pool.groupBy("id").agg(F.min(F.struct(seeded.digest(seed, F.col("id"), F.col("candidate")).alias("h"), F.col("candidate").alias("c"))).alias("x")).select("id", F.col("x.c").alias("wrong"))
+    best = draw_one(controlled)
+    rest = clips.join(best, "id", "left_anti").select("id")
+    return best.unionByName(draw_one(pools.least_alike(clips, TRAITS, "id", 8).join(rest, "id", "left_semi")))
+
+
 def dyadic(clips: DataFrame, seed: int) -> DataFrame:
-    """The first other clip of the same video against one of another video that is alike in index and duration."""
+    """The first other clip of the same video against one of another video that is alike in speakers, delivery, duration
+    and talking, or else the least alike of all."""
     right = pools.first_neighbour(clips, "video", "clip_index", "id").select("id", F.col("neighbour").alias("right"))
     alike = clips.withColumn("bucket", T.duration_bucket("duration"))
-    wrong = pools.filtered_top(alike, ["clip_index", "bucket"], "video", "id", 1).select("id", F.array("candidate").alias("wrong"))
-    return with_options(right.join(wrong, "id"), "dyadic_matching", "right", "wrong", seed)
+    wrong = _negatives(clips, pools.filtered_top(alike, [*TRAITS, "bucket"], "video", "id", 8, last=False), seed)
+    return with_options(right.join(wrong.select("id", F.array("wrong").alias("wrong")), "id"), "dyadic_matching", "right", "wrong", seed)
 
 
 def continuation(clips: DataFrame, equal: list[str], differ: str, task: str, seed: int) -> DataFrame:
@@ -121,28 +131,16 @@ def continuation(clips: DataFrame, equal: list[str], differ: str, task: str, see
 
 
 def turn_holding(clips: DataFrame, seed: int) -> DataFrame:
+    """The first other clip of the same video with text against one of the least alike; dropped if that one has under
+    four tokens."""
     long = clips.where(F.size(T.tokens("text")) >= 4)
     right = pools.first_neighbour(long, "video", "clip_index", "id").select("id", F.col("neighbour").alias("right"))
-    wrong = pools.filtered_top(long, ["clip_index"], "video", "id", 1).select("id", F.array("candidate").alias("wrong"))
-    return with_options(right.join(wrong, "id"), "turn_holding_continuation", "right", "wrong", seed)
-
-
-def _other_events(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """``k`` rows of other events: of each event a seeded few are kept, and each row takes from the others' few."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event").orderBy(seeded.digest(seed, F.col("id")), "id")
-    few = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 64).select(F.col("event").alias("other"), F.col("id").alias("candidate"), (F.col("_n") - 1).alias("slot"))
-    events = few.select("other").distinct()
-    kinds = rows.select("event").distinct()
-    next_ = kinds.join(events, F.col("event") != F.col("other")).withColumn("turn", F.row_number().over(Window.partitionBy("event").orderBy(seeded.digest(seed, F.col("event"), F.col("other")), "other"))).where(F.col("turn") <= k)
-    size = few.groupBy("other").agg(F.count("*").alias("m"))
-    drawn = rows.select("id", "event").join(F.broadcast(next_.join(size, "other")), "event").withColumn("slot", seeded.draw(F.col("m"), seed, F.col("id"), F.col("other")).cast("int"))
-    return drawn.join(few, ["other", "slot"]).select("id", "candidate", F.col("turn").alias("pick"))
+    wrong = _negatives(clips, clips.select("id", F.lit(None).cast("string").alias("candidate")).where(F.lit(False)), seed).join(long.select(F.col("id").alias("wrong")), "wrong", "left_semi")
+    return with_options(right.join(wrong.select("id", F.array("wrong").alias("wrong")), "id"), "turn_holding_continuation", "right", "wrong", seed)
 
 
 def event_window(rows: DataFrame, seed: int) -> DataFrame:
-    return with_options(_gathered(_other_events(rows, 3, seed)), "event_window_grounding", "id", "others", seed)
+    return with_options(_gathered(pools.seeded_others(rows, "event", 3, seed)), "event_window_grounding", "id", "others", seed)
 
 
 def event_retrieval(rows: DataFrame, seed: int) -> DataFrame:
@@ -157,7 +155,7 @@ def coarse_order(rows: DataFrame, budget: int) -> DataFrame:
 
 def narrative(rows: DataFrame, seed: int) -> DataFrame:
     near = pools.fallback_pool(rows, rows, "event", "scenario", 1, seed).select("id", F.col("candidate").alias("right"))
-    far = _gathered(_other_events(rows, 2, seed)).withColumnRenamed("others", "wrong")
+    far = _gathered(pools.seeded_others(rows, "event", 2, seed)).withColumnRenamed("others", "wrong")
     return with_options(near.join(far, "id"), "narrative_continuation_plausibility", "right", "wrong", seed)
 
 
@@ -167,7 +165,7 @@ def overlap(rows: DataFrame) -> DataFrame:
 
 
 def sequential(rows: DataFrame, seed: int) -> DataFrame:
-    far = _gathered(_other_events(rows, 1, seed)).withColumnRenamed("others", "wrong")
+    far = _gathered(pools.seeded_others(rows, "event", 1, seed)).withColumnRenamed("others", "wrong")
     return with_options(far.withColumn("right", F.col("id")), "sequential_causal_consistency", "right", "wrong", seed)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import schema as S
 
@@ -25,8 +25,9 @@ def lossy_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """With a header; every value is a string."""
-    return spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
+    """With a header, by whose names the columns are found; every value is a string, a missing column is null."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return rows.select(*(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def label_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -37,10 +38,11 @@ def label_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def suite(spark: SparkSession, root: str, file: str = "all.jsonl", schema: str = S.TASK_ROWS) -> DataFrame:
-    """Rows of every ``task_*`` directory under ``root``, at any depth, with its name as task_dir and that above as tier."""
+    """Rows of every ``task_*`` directory under ``root``, at any depth, with its name as task_dir and that above as tier;
+    also of those that the writer of suites makes."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", file).json(root)
     where = F.col("_metadata.file_path")
-    rows = rows.withColumn("task_dir", F.regexp_extract(where, r"/(task_[^/]+)/[^/]+$", 1)).withColumn("tier", F.regexp_extract(where, r"/([^/]+)/task_[^/]+/[^/]+$", 1))
+    rows = rows.withColumn("task_dir", F.regexp_extract(where, r"/(?:task_dir=)?(task_[^/]+)/[^/]+$", 1)).withColumn("tier", F.regexp_extract(where, r"/(?:tier=)?([^/]+)/(?:task_dir=)?task_[^/]+/[^/]+$", 1))
     return rows.withColumn("row_ord", F.monotonically_increasing_id()).where("task_dir <> ''")
 
 
@@ -84,18 +86,19 @@ def source_pool(pairwise: DataFrame) -> DataFrame:
 def resolved(wanted: DataFrame, listing: DataFrame, key: str, suffix: str) -> DataFrame:
     """For each key the file whose name is it, starts with it, or holds it, in this order, then by path.
 
-    ``listing`` has path and stem. Exact names meet by equality; the few keys left over meet the listing by the stem's
-    first characters, and the rest by the token that holds them.
+    ``listing`` has path and stem. Names and keys meet by equality: exact ones first; the keys left over meet the parts of
+    stems that are as long as they are, of which the distinct lengths of those keys are made.
     """
     files = listing.where(F.endswith("path", F.lit(suffix))).select("path", "stem")
-    exact = wanted.join(files, F.col(key) == F.col("stem")).select(key, "path", F.lit(0).alias("kind"))
-    head = lambda c: F.substring(c, 1, 6)
-    left = wanted.join(exact.select(key).distinct(), key, "left_anti")
-    start = left.join(files, (head(F.col(key)) == head(F.col("stem"))) & F.startswith("stem", F.col(key))).select(key, "path", F.lit(1).alias("kind"))
-    tokens = files.withColumn("token", F.explode(F.array_distinct(F.split("stem", "[^A-Za-z0-9]+"))))
-    inside = left.join(tokens, F.split_part(F.col(key), F.lit("_"), F.lit(1)) == F.col("token")).where(F.contains("stem", F.col(key))).select(key, "path", F.lit(2).alias("kind"))
-    w = Window.partitionBy(key).orderBy("kind", "path")
-    return exact.unionByName(start).unionByName(inside).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(key, "path")
+    names = wanted.select(key).where(F.length(key) > 0).distinct()
+    exact = names.join(files, F.col(key) == F.col("stem")).select(key, "path", F.lit(0).alias("kind"))
+    left = names.join(exact.select(key).distinct(), key, "left_anti")
+    sizes = left.agg(F.collect_set(F.length(key)).alias("sizes"))  # one number for each length of a name
+    cut = files.join(F.broadcast(sizes)).select("path", "stem", F.explode("sizes").alias("n")).where(F.length("stem") > F.col("n"))
+    parts = cut.select("path", F.posexplode(F.expr("transform(sequence(1, length(stem) - n + 1), i -> substring(stem, i, n))")).alias("at", "part"))
+    inside = left.join(parts, F.col(key) == F.col("part")).select(key, "path", F.when(F.col("at") == 0, 1).otherwise(2).alias("kind"))
+    best = exact.unionByName(inside).groupBy(key).agg(F.min(F.struct("kind", "path")).alias("b"))
+    return best.select(key, F.col("b.path").alias("path"), F.col("b.kind").alias("kind"))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -121,6 +124,3 @@ def base64_audio(files: DataFrame) -> DataFrame:
     ending = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
     return files.select("path", F.base64("content").alias("data"), F.when(ending == "mpga", "mp3").otherwise(ending).alias("format"))
 
-
-def present(c: Column) -> Column:
-    return c.isNotNull()

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool = False) -> None:
@@ -31,8 +30,8 @@ def csv_union(frames: list[DataFrame], path: str) -> None:
 
 
 def suite(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A directory for each task."""
-    df.write.mode(mode).partitionBy("task_dir").json(path)
+    """A directory for each tier, where rows have one, and in it one for each task, all in one job."""
+    df.write.mode(mode).partitionBy(*(["tier"] if "tier" in df.columns else []), "task_dir").json(path)
 
 
 def not_yet_made(wanted: DataFrame, made: DataFrame, key: str) -> DataFrame:
@@ -40,10 +39,15 @@ def not_yet_made(wanted: DataFrame, made: DataFrame, key: str) -> DataFrame:
     return wanted.join(made.select(key).distinct(), key, "left_anti")
 
 
-def json_document(value: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(value, file, indent=2, ensure_ascii=False, sort_keys=True)
+def json_document(spark: SparkSession, value: dict, path: str) -> None:
+    """One indented document at a path of any file system that Spark writes to."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True), "utf-8"))
+    finally:
+        stream.close()
 
 
 def task_metadata(df: DataFrame, strategy: str, seed: int) -> DataFrame:
@@ -53,8 +57,8 @@ def task_metadata(df: DataFrame, strategy: str, seed: int) -> DataFrame:
     return each.withColumn("sample_seed", F.lit(seed)).withColumn("sampling_strategy", F.lit(strategy))
 
 
-def markdown(df: DataFrame, title: str, most_rows: int = 1000) -> str:
-    """A table of a small report, four decimals, blanks for nulls."""
+def markdown(df: DataFrame, title: str) -> str:
+    """A table of a report, four decimals, blanks for nulls. A report's rows are few; they are read one by one."""
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in df.limit(most_rows).collect())]) + "\n"
+    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in df.toLocalIterator())]) + "\n"
