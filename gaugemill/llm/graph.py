@@ -29,6 +29,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "stars", most_rou
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 

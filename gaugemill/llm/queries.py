@@ -80,7 +80,7 @@ def op9_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lshforest.group(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def queries() -> dict[str, Query]:

@@ -11,9 +11,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder from ``spark.checkpoint.dir``; where that is unset, as in tests, a new temporary one."""
+    """The cluster's folder from ``spark.checkpoint.dir``; where that is unset and all runs on this machine, as in tests,
+    a new temporary one."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")

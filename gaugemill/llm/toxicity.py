@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .textops import Words, blocks
 
-#: Training takes at most so many documents of each class, each of at most so many bytes.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 20_000
+#: Training takes at most so many documents of each class, each of at most so many bytes, and of a class so many in all.
+SAMPLE_PER_CLASS, SAMPLE_BYTES, SAMPLE_TOTAL = 1500, 20_000, 8 << 20
 BITS = 18
 #: Log likelihood ratio from which a form counts as going with toxic documents, the least share of these, and rounds of
 #: taking such forms.
@@ -194,10 +194,11 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 5, rate: float = 0.
 def sample(documents: DataFrame, labels: DataFrame, allowed, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most ``per_class`` documents of each class (by hashed id) that may be learnt from; only their ids are broadcast."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sized = documents.where((F.octet_length("text") <= most_bytes) & F.col("doc_id").isNotNull()).select("doc_id")
+    sized = documents.where((F.octet_length("text") <= most_bytes) & F.col("doc_id").isNotNull()).select("doc_id", F.octet_length("text").alias("_bytes"))
     both = named.join(sized, "doc_id").withColumn("_at", F.xxhash64("doc_id"))
     chosen = [both.where(F.col("toxic") == c).orderBy("_at", "doc_id").limit(per_class) for c in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
+    so_far = F.sum("_bytes").over(Window.partitionBy("toxic").orderBy("_at", "doc_id"))  # over two bounded lists
+    ids = chosen[0].unionByName(chosen[1]).withColumn("_sum", so_far).where(F.col("_sum") <= SAMPLE_TOTAL).select("doc_id", "toxic").distinct()
     return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 

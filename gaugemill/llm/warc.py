@@ -151,7 +151,7 @@ def _records(file, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]
         if known:
             rest = _EXTRA.unpack(extra)[3] - _FIXED.size - _EXTRA.size
             text, used = b"", 0
-            while text.count(b"\r\n\r\n") < 2 and used < rest and not inflate.eof:
+            while not _headed(text) and used < rest and not inflate.eof:
                 part = stream.take(min(4096, rest - used))
                 used += len(part)
                 text += inflate.decompress(part)
@@ -166,12 +166,24 @@ def _records(file, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]
         else:  # a member of another writer: its end shows only when it is inflated
             stream.back(start + extra)
             inflate, text = zlib.decompressobj(31), b""
-            while not inflate.eof and (part := stream.take(1 << 16)):
+            while not _headed(text) and not inflate.eof and (part := stream.take(1 << 14)):
                 text += inflate.decompress(part)
-            stream.back(inflate.unused_data)
             fields, body = _fields(text)
-            if wanted(fields):
-                yield fields, _payload(fields, body) if payload else None
+            take = wanted(fields)
+            parts = [body]
+            while not inflate.eof and (part := stream.take(1 << 16)):  # what isn't asked for is let go piece by piece
+                piece = inflate.decompress(part)
+                if take and payload:
+                    parts.append(piece)
+            stream.back(inflate.unused_data)
+            if take:
+                yield fields, _payload(fields, b"".join(parts)) if payload else None
+
+
+def _headed(text: bytes) -> bool:
+    """Whether the header lines are there, and those of HTTP where the block begins with them."""
+    _, mark, body = text.partition(b"\r\n\r\n")
+    return bool(mark) and len(body) >= 5 and (not body.startswith(b"HTTP/") or b"\r\n\r\n" in body)
 
 
 def _plain_records(stream: _Stream, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
