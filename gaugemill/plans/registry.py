@@ -32,6 +32,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def new_folder(self) -> str:
-        """A new folder under the cluster's shared one; under a temporary one where none is set, as in tests."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        """A new folder under the cluster's shared one; under a temporary one where none is set and all runs on this
+        machine, as in tests."""
+        root = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="spark-")
         return f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}"
