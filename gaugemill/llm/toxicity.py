@@ -126,7 +126,10 @@ def _toxic_tokens(slots: np.ndarray, row_of: np.ndarray, toxic: np.ndarray) -> n
     So a harmless word isn't blamed for standing, with its copies, beside an offensive one.
     """
     found, kinds = np.zeros(slots.shape[1], bool), (0, 2, 3, 4)
-    seen = [np.unique(np.stack([slots[k].astype(np.int64), row_of]), axis=1) for k in kinds] if slots.shape[1] else []
+    seen = []  # each form once a row, as two short columns
+    for k in kinds if slots.shape[1] else ():
+        both = np.unique((slots[k].astype(np.int64) << 32) | row_of)
+        seen.append(((both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)))
     left = toxic.copy()
     for _ in range(ROUNDS if seen else 0):
         rows = np.array([max(1, np.sum(~toxic)), max(1, np.sum(left))], float)
@@ -156,8 +159,12 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 5, rate: float = 0.
         share = labels.mean() if len(labels) else 0.5
         chain.calibration[0] = np.log((share + 0.01) / (1.01 - share))
         return chain
-    slots = np.concatenate([s for s, _ in parts], 1)
     size = np.concatenate([np.diff(f) for _, f in parts])
+    slots, at = np.empty((9, int(size.sum())), np.int32), 0
+    while parts:  # a block's own features are let go as they are taken over
+        s, _ = parts.pop(0)
+        slots[:, at : at + s.shape[1]] = s
+        at += s.shape[1]
     first = np.concatenate([[0], np.cumsum(size)])
     y = _toxic_tokens(slots, np.repeat(np.arange(len(size)), size), labels)
     squares, extra = np.full(1 << BITS, 1e-6), np.full(5, 1e-6)
@@ -168,7 +175,7 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 5, rate: float = 0.
             if not len(tokens):
                 continue
             at, s, gold = np.concatenate([[0], np.cumsum(size[lot])]), slots[:, tokens], y[tokens]
-            p, moves = _forward_backward(np.clip(chain.weight[s].sum(0) + chain.bias, -30, 30), at, np.exp(chain.move), True)
+            p, moves = _forward_backward(np.clip(sum(chain.weight[k] for k in s) + chain.bias, -30, 30), at, np.exp(chain.move), True)
             error, scale = (gold - p), 1 / len(lot)
             gradient = sum(np.bincount(k, error, 1 << BITS) for k in s) * scale - 1e-4 * chain.weight
             squares += gradient**2
@@ -180,7 +187,7 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 5, rate: float = 0.
             step = rate * step / np.sqrt(extra)
             chain.move += step[:4].reshape(2, 2)
             chain.bias += step[4]
-    p = chain.marginals(chain.weight[slots].sum(0), first)
+    p = chain.marginals(sum(chain.weight[k] for k in slots), first)
     x, t = _totals(p, first), labels.astype(float)
     beta = np.zeros(3)
     for _ in range(30):  # Newton steps of a slightly damped logistic regression
@@ -203,9 +210,22 @@ def sample(documents: DataFrame, labels: DataFrame, allowed, per_class: int = SA
 
 
 def fit(documents: DataFrame, labels: DataFrame, allowed=None, **bounds) -> Chain:
-    rows = sample(documents, labels, held_out() == False if allowed is None else allowed, **bounds).collect()  # noqa: E712
-    once = {r.text: r.toxic for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))}
-    return train([t or "" for t in once], [bool(v) for v in once.values()])
+    """The chain of a bounded sample, trained in one task; the driver gets its weights alone. Equal texts count once."""
+    rows = sample(documents, labels, held_out() == False if allowed is None else allowed, **bounds)  # noqa: E712
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(((i, t or "", v) for b in batches for i, t, v in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)), key=lambda r: r[:2])
+        once = {t: v for _, t, v in found}
+        chain = train(list(once), [bool(v) for v in once.values()])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([chain.weight.astype(np.float32).tobytes()], pa.binary()), pa.array([float(chain.bias)]), pa.array([chain.move.ravel().tolist()]), pa.array([chain.calibration.tolist()])],
+            names=["weight", "bias", "move", "calibration"],
+        )
+
+    made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "weight binary, bias double, move array<double>, calibration array<double>").first()
+    if made is None:  # no row at all
+        return train([], [])
+    return Chain(np.frombuffer(made.weight, np.float32), made.bias, np.array(made.move).reshape(2, 2), np.array(made.calibration))
 
 
 def score(documents: DataFrame, chain: Chain, spans: bool = True, keep: list[str] | None = None) -> DataFrame:
