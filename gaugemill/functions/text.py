@@ -193,6 +193,33 @@ def group_key(name) -> Column:
     return F.when(F.startswith(col(name), F.lit("people_")), "people").otherwise(first)
 
 
+def long_context(dataset, primary, secondary, mode) -> tuple[Column, Column]:
+    """What is said of a long item, in brief and at length; secondary events that are empty and unknown modes aren't said."""
+    first, second = event_phrase(primary), event_phrase(secondary)
+    name, how = (F.lit(dataset) if isinstance(dataset, str) else dataset), col(mode)
+    short = F.concat(F.lit("A long-form audio clip involving "), first, F.lit("."))
+    bits = [F.concat(F.lit("A long-form clip from "), name), F.concat(F.lit("where "), first, F.lit(" is central")), F.when(col(secondary) != "", F.concat(F.lit("and may co-occur with "), second)), F.when(how != "unknown", F.concat(F.lit("with a "), event_phrase(how), F.lit(" interaction pattern")))]
+    return short, F.concat(F.concat_ws(". ", *bits), F.lit("."))
+
+
+def clip_context(talking, speakers, caption) -> tuple[Column, Column]:
+    """What is said of a clip, in brief and at length."""
+    short = F.when(talking, "A speaking portrait clip.").otherwise("A portrait clip with little or no visible speech.")
+    subject = F.when(talking, "with a speaking subject").otherwise("with no strong visible vocalization")
+    bits = [F.lit("A portrait-style video clip"), subject, F.format_string("and %d visible speaker(s)", speakers), F.when(col(caption) != "", F.concat(F.lit("Caption cues: "), col(caption)))]
+    return short, F.concat(F.concat_ws(". ", *bits), F.lit("."))
+
+
+def long_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How alike long items are: their scenario, their mode, half a point for each token of the event in common."""
+    return shared_traits(a, b, {"scenario": 1.0, "mode": 1.0}, (tokens(a["event"]), tokens(b["event"])), 0.5)
+
+
+def clip_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How alike clips are: speakers, talking, delivery, and a twentieth for each token of the caption in common."""
+    return shared_traits(a, b, {"speakers": 1.0, "is_talking": 1.0, "delivery": 1.0}, (tokens(a["text"]), tokens(b["text"])), 0.05)
+
+
 def shared_traits(a: dict[str, Column], b: dict[str, Column], points: dict[str, float], words: tuple[Column, Column], each: float) -> Column:
     """Points for every trait that both sides have alike, and ``each`` for every token in common."""
     out = F.size(F.array_intersect(*words)) * F.lit(each)

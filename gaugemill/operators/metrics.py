@@ -119,3 +119,14 @@ def best_model(scores: DataFrame, by: list[str], model: str = "model", value: st
     """The best score and its model, ties to the first name; a missing score is none."""
     w = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last(), F.col(model))
     return scores.where(F.col(value).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*by, F.col(model).alias("best_model"), F.col(value).alias("best_score"))
+
+
+def metric_means(scored: DataFrame, by: list[str], skip: tuple[str, ...] = ("gold", "predicted")) -> DataFrame:
+    """Count and mean of every metric of a map column ``metrics``; values that aren't numbers don't count."""
+    each = scored.select(*by, F.explode("metrics").alias("metric", "value")).where(~F.col("metric").isin(*skip))
+    return each.withColumn("value", F.col("value").try_cast("double")).where("value is not null").groupBy(*by, "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+def label_histogram(rows: DataFrame, label: str, flag: Column) -> DataFrame:
+    """Rows of each label and how many of them the flag holds for."""
+    return rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.sum(flag.cast("long")).alias("flagged"))

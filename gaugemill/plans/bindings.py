@@ -25,10 +25,10 @@ CLIPS = "clips AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, conv_i
 
 
 def long_items(t: Tables) -> DataFrame:
-    return t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("event"), (F.col("user_id") % 50).alias("scenario"), F.when(F.col("value") < 50, "unknown").otherwise("single_speaker").alias("mode"), F.col("props").alias("text"))
+    return t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("event"), (F.col("user_id") % 50).alias("scenario"), F.when(F.col("value") < 50, "unknown").otherwise("single_speaker").alias("mode"), F.col("props").alias("text"), F.format_string("scenario_%d", F.col("user_id") % 50).alias("secondary"))
 
 
-LONG_ITEMS = "long_items AS (SELECT event_id AS id, event_type AS event, user_id % 50 AS scenario, CASE WHEN value < 50 THEN 'unknown' ELSE 'single_speaker' END AS mode, props AS text FROM events)"
+LONG_ITEMS = "long_items AS (SELECT event_id AS id, event_type AS event, user_id % 50 AS scenario, CASE WHEN value < 50 THEN 'unknown' ELSE 'single_speaker' END AS mode, props AS text, 'scenario_' || (user_id % 50) AS secondary FROM events)"
 
 
 def label_rows(t: Tables) -> DataFrame:

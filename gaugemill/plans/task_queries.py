@@ -138,16 +138,16 @@ def task_speech_activity(t: Tables) -> DataFrame:
     return _two(tasks.speech_activity(clips(t)))
 
 
-@query(_two_way_sql((CLIPS, "clips"), "speakers <= 1", tasks.SPEAKERS, "CASE WHEN speakers > 1 THEN 'multiple_speakers' ELSE 'single_speaker' END"))
+@query(_two_way_sql((CLIPS, "clips"), "speakers <= 1", tasks.SPEAKERS, "delivery || '|' || CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END"))
 def task_speaker_count(t: Tables) -> DataFrame:
     return _two(tasks.speaker_count(clips(t)))
 
 
 @query(f"""WITH {CLIPS}, d AS (SELECT id, CASE WHEN regexp_matches(lower(text), 'laugh|chuckle|giggle') THEN 'laughter' WHEN regexp_matches(lower(text), 'shout|yell|scream|cheer') THEN 'high_energy'
- WHEN regexp_matches(lower(text), 'whisper|murmur|soft|quietly') THEN 'soft' ELSE 'neutral_speech' END AS gold_label FROM clips) SELECT id, '{','.join(tasks.DELIVERIES)}' AS label_space, gold_label FROM d""")
+ WHEN regexp_matches(lower(text), 'whisper|murmur|soft|quietly') THEN 'soft' ELSE 'neutral_speech' END AS gold_label FROM clips) SELECT id, '{'|'.join(tasks.DELIVERY_OPTIONS)}' AS options, list_position({list(tasks.DELIVERIES)}, gold_label) - 1 AS gold_index FROM d""")
 def task_delivery_style(t: Tables) -> DataFrame:
     rows = tasks.delivery_style(clips(t).withColumn("delivery", T.delivery("text")))
-    return rows.select("id", F.array_join("label_space", ",").alias("label_space"), "gold_label")
+    return rows.select("id", F.array_join("options", "|").alias("options"), "gold_index")
 
 
 @query(f"""WITH {SRC_ITEMS}, b AS (SELECT id, grp, id // 256 AS block, row_number() OVER (PARTITION BY id // 256 ORDER BY id) - 1 AS i FROM src_items),
@@ -193,7 +193,8 @@ def task_event_retrieval(t: Tables) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("options", lambda v: v.cast("string")), ",").alias("options"), "gold_index", "query_text")
 
 
-@query(f"""WITH {_others(3, 1)}, o AS (SELECT id, id AS right_, candidate FROM c), {_mixed(['right_', 'candidate'], 3)}""")
+@query(f"""WITH {_others(3, 1)}, o AS (SELECT a.id, replace(a.event, '_', ' ') || ' followed by ' || replace(a.secondary, '_', ' ') AS right_, replace(z.event, '_', ' ') || ' followed by ' || replace(a.event, '_', ' ') AS wrong
+FROM c JOIN long_items a ON a.id = c.id JOIN long_items z ON z.id = c.candidate), {_mixed(['right_', 'wrong'], 3)}""")
 def task_sequential(t: Tables) -> DataFrame:
     return _flat(tasks.sequential(long_items(t), 3))
 
@@ -205,15 +206,25 @@ def task_narrative(t: Tables) -> DataFrame:
     return _flat(tasks.narrative(long_items(t), 4))
 
 
-@query(_two_way_sql((LONG_ITEMS, "(SELECT * FROM long_items ORDER BY id LIMIT 1024)"), "true", ("first, then second", "second, then first")))
+_ALIKE_EVENT = f"""z AS (SELECT a.id, b.id AS candidate, min(CASE WHEN a.event = b.event THEN 0 ELSE 1 END) AS tag, any_value({digest_sql('{seed}', 'b.id')}) AS h FROM long_items a JOIN long_items b ON (a.event = b.event OR a.scenario = b.scenario) AND a.id <> b.id GROUP BY ALL),
+s AS (SELECT id, candidate FROM z QUALIFY row_number() OVER (PARTITION BY id ORDER BY tag, h, candidate) = 1)"""
+
+
+@query(f"WITH {LONG_ITEMS}, {_ALIKE_EVENT.replace('{seed}', '5')} SELECT id, id || '__then__' || candidate || ',' || candidate || '__then__' || id AS options, 0::BIGINT AS gold_index FROM s ORDER BY id LIMIT 1024")
 def task_coarse_order(t: Tables) -> DataFrame:
     """A budget of 1,024 items is the task's own."""
-    return _two(tasks.coarse_order(long_items(t), 1024))
+    return _flat(tasks.coarse_order(long_items(t), 1024, 5))
 
 
-@query(_two_way_sql((LONG_ITEMS, "long_items WHERE mode <> 'unknown'"), "true", ("with speech", "without speech")))
+@query(f"WITH {LONG_ITEMS} SELECT id, mode || ',' || CASE WHEN mode = 'single_speaker' THEN 'multi_speaker' ELSE 'single_speaker' END AS options, 0::BIGINT AS gold_index FROM long_items WHERE mode <> 'unknown'")
 def task_overlap(t: Tables) -> DataFrame:
-    return _two(tasks.overlap(long_items(t)))
+    return _flat(tasks.overlap(long_items(t)))
+
+
+@query(f"""WITH {CLIPS}, {_ALIKE}, p AS (SELECT id, candidate, row_number() OVER (PARTITION BY id ORDER BY {digest_sql(5, 'id', 'candidate')}, candidate) AS pick FROM least_ QUALIFY pick <= 3),
+o AS (SELECT id, max(CASE WHEN pick = 1 THEN candidate END) AS c1, max(CASE WHEN pick = 2 THEN candidate END) AS c2, max(CASE WHEN pick = 3 THEN candidate END) AS c3 FROM p GROUP BY id), {_mixed(['id', 'c1', 'c2', 'c3'], 5)}""")
+def task_phonic_target(t: Tables) -> DataFrame:
+    return _flat(tasks.phonic_target(clips(t), 5))
 
 
 def cue_candidates(t: Tables) -> DataFrame:

@@ -6,17 +6,19 @@ speakers; long items of the third id, event, scenario, mode, text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import seeded, text as T
 from ..operators import pools
 
 # Option texts of the two-way tasks, gold first where the flag holds.
-PERIODICITY = ("a repetitive or rhythmic sound", "a single impact or irregular sound")
-ONSET = ("a sharp, sudden onset", "a diffuse, smeared onset")
-SPEECH = ("someone is talking", "no one is talking")
-SPEAKERS = ("one speaker", "several speakers")
-DELIVERIES = ("neutral_speech", "high_energy", "soft", "laughter")
+PERIODICITY = ("A repetitive, rhythmic acoustic event.", "A single abrupt impact-like event.")
+ONSET = ("A sudden sharp-onset sound.", "A diffuse or smeared-onset sound.")
+SPEECH = ("The visible subject is actively speaking or vocalizing.", "The visible subject is not strongly vocalizing.")
+SPEAKERS = ("A single dominant speaker is present.", "Multiple speakers or a dyadic exchange are present.")
+# The delivery classes in the order of their options, and these options.
+DELIVERIES = ("laughter", "high_energy", "neutral_speech", "soft")
+DELIVERY_OPTIONS = ("Laughter or amused vocal delivery.", "High-energy shouting or cheering.", "Neutral or ordinary speech delivery.", "Soft or whisper-like delivery.")
 CUES = {
     "acknowledgment_cue_detection": ("short_acknowledgment", "not_short_acknowledgment"),
     "clarification_question_detection": ("clarification_question", "not_clarification_question"),
@@ -76,11 +78,13 @@ def onset_sharpness(items: DataFrame) -> DataFrame:
 
 
 def hard_negatives(items: DataFrame, seed: int) -> DataFrame:
-    """Its own name among those of three of the most similar items with other names."""
-    names = items.select(F.col("id").alias("candidate"), F.col("name").alias("other"))
+    """What is said of it (``rich``, or else its name) among what is said of three of the most similar items with other
+    names."""
+    says = "rich" if "rich" in items.columns else "name"
+    names = items.select(F.col("id").alias("candidate"), F.col(says).alias("other"))
     pool = pools.top_similar(items, 9, 3, seed, other_names=True).join(names, "candidate")
     few = pool.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pick", "other"))), lambda s: s["other"]).alias("others"))
-    return with_options(few.join(items.select("id", "name"), "id"), "audio_text_hard_negative_matching", "name", "others", seed)
+    return with_options(few.join(items.select("id", F.col(says).alias("own")), "id"), "audio_text_hard_negative_matching", "own", "others", seed)
 
 
 def causal_order(items: DataFrame, seed: int) -> DataFrame:
@@ -94,12 +98,18 @@ def speech_activity(clips: DataFrame) -> DataFrame:
     return two_way(clips, "speech_activity_grounding", SPEECH, F.col("is_talking"))
 
 
+def delivery_bucket() -> Column:
+    return F.concat_ws("|", "delivery", T.duration_bucket("duration"))
+
+
 def speaker_count(clips: DataFrame) -> DataFrame:
-    return two_way(clips, "speaker_count_grounding", SPEAKERS, F.col("speakers") <= 1, T.speaker_count_label("speakers"))
+    return two_way(clips, "speaker_count_grounding", SPEAKERS, F.col("speakers") <= 1, delivery_bucket())
 
 
 def delivery_style(clips: DataFrame) -> DataFrame:
-    return clips.select(F.lit("delivery_style_grounding").alias("task_name"), "id", F.array(*map(F.lit, DELIVERIES)).alias("label_space"), F.col("delivery").alias("gold_label")).where(F.col("gold_label").isin(*DELIVERIES))
+    """An option for each delivery; clips of none of these are left out."""
+    place = F.array_position(F.array(*map(F.lit, DELIVERIES)), F.col("delivery")) - 1
+    return clips.where(F.col("delivery").isin(*DELIVERIES)).select(F.lit("delivery_style_grounding").alias("task_name"), "id", F.array(*map(F.lit, DELIVERY_OPTIONS)).alias("options"), place.alias("gold_index"))
 
 
 TRAITS = ["speakers", "is_talking", "delivery"]
@@ -113,6 +123,13 @@ def _negatives(clips: DataFrame, controlled: DataFrame, seed: int) -> DataFrame:
     return best.unionByName(draw_one(pools.least_alike(clips, TRAITS, "id", 8).join(rest, "id", "left_semi")))
 
 
+def phonic_target(clips: DataFrame, seed: int) -> DataFrame:
+    """Three in seeded order of the eight clips least alike."""
+    w = Window.partitionBy("id").orderBy(seeded.digest(seed, F.col("id"), F.col("candidate")), "candidate")
+    pool = pools.least_alike(clips, TRAITS, "id", 8).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= 3)
+    return with_options(_gathered(pool), "phonic_target_grounding", "id", "others", seed)
+
+
 def dyadic(clips: DataFrame, seed: int) -> DataFrame:
     """The first other clip of the same video against one of another video that is alike in speakers, delivery, duration
     and talking, or else the least alike of all."""
@@ -148,9 +165,12 @@ def event_retrieval(rows: DataFrame, seed: int) -> DataFrame:
     return event_window(rows, seed).withColumn("task_name", F.lit("long_context_event_retrieval")).join(rows.select("id", F.col("text").alias("query_text")), "id")
 
 
-def coarse_order(rows: DataFrame, budget: int) -> DataFrame:
-    """Gold is always the first: the gate must reject the task. Only the first ``budget`` rows in order."""
-    return two_way(rows.orderBy("id").limit(budget), "coarse_event_order", ("first, then second", "second, then first"), F.lit(True))
+def coarse_order(rows: DataFrame, budget: int, seed: int) -> DataFrame:
+    """A row and one like it in both orders; gold is always the first, so the gate must reject the task. Only the first
+    ``budget`` rows in order, as each renders two files."""
+    near = pools.fallback_pool(rows, rows, "event", "scenario", 1, seed).select("id", "candidate").orderBy("id").limit(budget)
+    both = F.array(F.concat_ws("__then__", "id", "candidate"), F.concat_ws("__then__", "candidate", "id"))
+    return near.select(F.lit("coarse_event_order").alias("task_name"), "id", both.alias("options"), F.lit(0).cast("bigint").alias("gold_index"))
 
 
 def narrative(rows: DataFrame, seed: int) -> DataFrame:
@@ -160,13 +180,17 @@ def narrative(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def overlap(rows: DataFrame) -> DataFrame:
-    """Known speaker modes only; gold is always the first."""
-    return two_way(rows.where("mode <> 'unknown'"), "speaker_event_overlap", ("with speech", "without speech"), F.lit(True))
+    """The speaker mode against another, where it is known; gold is always the first."""
+    other = F.when(F.col("mode") == "single_speaker", "multi_speaker").otherwise("single_speaker")
+    return rows.where("mode <> 'unknown'").select(F.lit("speaker_event_overlap").alias("task_name"), "id", F.array("mode", other).alias("options"), F.lit(0).cast("bigint").alias("gold_index"))
 
 
 def sequential(rows: DataFrame, seed: int) -> DataFrame:
-    far = _gathered(pools.seeded_others(rows, "event", 1, seed)).withColumnRenamed("others", "wrong")
-    return with_options(far.withColumn("right", F.col("id")), "sequential_causal_consistency", "right", "wrong", seed)
+    """The event followed by the one beside it, against another event followed by it."""
+    far = pools.seeded_others(rows, "event", 1, seed).join(rows.select(F.col("id").alias("candidate"), F.col("event").alias("other")), "candidate")
+    after = lambda a, b: F.concat(T.event_phrase(a), F.lit(" followed by "), T.event_phrase(b))
+    both = far.select("id", "other").join(rows.select("id", "event", "secondary"), "id").select("id", after("event", "secondary").alias("right"), F.array(after("other", "event")).alias("wrong"))
+    return with_options(both, "sequential_causal_consistency", "right", "wrong", seed)
 
 
 def cues(candidates: DataFrame, task: str, per_label: int) -> DataFrame:

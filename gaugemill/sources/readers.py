@@ -13,6 +13,12 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool
     return rows.withColumn("row_ord", F.monotonically_increasing_id()).withColumn("file", F.col("_metadata.file_path"))
 
 
+def line_count(spark: SparkSession, path: str) -> DataFrame:
+    """How many lines that aren't blank each file under ``path`` has."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.groupBy("file").agg(F.count_if(F.trim("value") != "").alias("n"))
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 

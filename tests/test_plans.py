@@ -122,7 +122,7 @@ def test_macro_f1_by_hand(spark):
 def test_builders_have_one_gold_and_distinct_options(spark):
     t = Tables(spark, SF)
     items, clips = bindings.src_items(t), bindings.clips(t)
-    long = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("event"), (F.col("user_id") % 5).alias("scenario"), F.lit("unknown").alias("mode"), F.col("props").alias("text"))
+    long = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("event"), (F.col("user_id") % 5).alias("scenario"), F.lit("unknown").alias("mode"), F.col("props").alias("text"), F.lit("x_y").alias("secondary"))
     made = [
         tasks.target_sound(items, 1), tasks.acoustic_contrast(items, 1), tasks.hard_negatives(items, 1), tasks.dyadic(clips, 1), tasks.turn_holding(clips, 1),
         tasks.continuation(clips, ["clip_index"], "delivery", "delivery_conditioned_continuation", 1), tasks.event_window(long, 1), tasks.event_retrieval(long, 1), tasks.narrative(long, 1), tasks.sequential(long, 1),
@@ -137,7 +137,7 @@ def test_builders_have_one_gold_and_distinct_options(spark):
     assert ranked and all(sorted(r.gold_ranking) == [0, 1, 2] and r.candidates[r.gold_ranking[0]] == r.id for r in ranked)
     assert tasks.foreground(items).count() == 3 * items.count()
     assert tasks.periodicity(items).count() == tasks.onset_sharpness(items).count() == items.count() and tasks.causal_order(items, 1).count() == items.count()
-    assert tasks.coarse_order(long, 10).where("gold_index = 0").count() == 10 and tasks.overlap(long).count() == 0
+    assert tasks.coarse_order(long, 10, 1).where("gold_index = 0").count() == 10 and tasks.overlap(long).count() == 0
 
 
 def test_suite_round_trip_evaluation_and_reports(spark, tmp_path):
