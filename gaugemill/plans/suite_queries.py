@@ -58,7 +58,7 @@ UNION ALL SELECT 'task_8_causal_event_order', 't8-' || id || '-' || candidate, '
 SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, n_sources::BIGINT AS n_sources, balance_bucket::VARCHAR AS balance_bucket, heard FROM r""")
 def suite_first_tier(t: Tables) -> DataFrame:
     """All tasks but the ranking, some of whose rows fall out by the seed (``task_ranking`` has these)."""
-    return _shown(suites.first_tier(tier_1(t), 42).where("task_dir not like 'task_4%'"))
+    return _shown(suites.first_tier(tier_1(t), 42, [name for name, _ in suites.TIERS["tier1"] if "ranking" not in name]))
 
 
 _BUCKET = "CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END"
@@ -77,7 +77,7 @@ UNION ALL SELECT 'task_5_delivery_style_grounding', 'sv-t5-' || id, {_SHORT2}, l
 SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, n_sources::BIGINT AS n_sources, balance_bucket::VARCHAR AS balance_bucket, heard FROM x""")
 def suite_second_tier(t: Tables) -> DataFrame:
     """Without the continuations, whose rows depend on which negative is drawn (they have queries of their own)."""
-    return _shown(suites.second_tier(tier_2(t), 42).where("task_dir not like '%continuation'"))
+    return _shown(suites.second_tier(tier_2(t), 42, [name for name, _ in suites.TIERS["tier2"] if "continuation" not in name]))
 
 
 _RICH3 = "'A long-form clip from LFAV. where ' || replace(event, '_', ' ') || ' is central. and may co-occur with ' || replace(secondary, '_', ' ') || CASE WHEN mode <> 'unknown' THEN '. with a ' || replace(mode, '_', ' ') || ' interaction pattern' ELSE '' END || '.'"
@@ -92,8 +92,8 @@ UNION ALL SELECT 'task_6_sequential_causal_consistency', 't3-6-' || id, {_RICH3}
 SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, heard FROM x""")
 def suite_third_tier(t: Tables) -> DataFrame:
     """From all long items; the continuation has a query of its own. 1,024 orders are the task's own budget."""
-    rows = suites.third_tier(tier_3(t), 42, None)
-    return _shown(rows.where("task_dir not like 'task_3%'")).drop("balance_bucket", "n_sources")
+    rows = suites.third_tier(tier_3(t), 42, None, only=[name for name, _ in suites.TIERS["tier3"] if "continuation" not in name])
+    return _shown(rows).drop("balance_bucket", "n_sources")
 
 
 @query(f"""WITH {SRC_ITEMS}, n AS (SELECT count(*) AS n FROM src_items), s AS (SELECT unnest({[name for name, _ in suites.TIERS['tier1']]}) AS task_name, unnest({[m for _, m in suites.TIERS['tier1']]}) AS recommended_metrics, unnest(range(1, 9)) AS i)
@@ -101,7 +101,8 @@ SELECT 'task_' || i || '_' || task_name AS task_dir, task_name, CASE WHEN i = 4
 def suite_index(t: Tables) -> DataFrame:
     """Specs and counts of a first tier of which two tasks are selected, each row marked with where it is from."""
     wanted = t.spark.createDataFrame([("tier1", "task_5_periodicity_aware_grounding"), ("tier1", "task_6_onset_sharpness_grounding")], "tier string, task_dir string")
-    kept = suites.copied(suites.first_tier(tier_1(t), 42), wanted).where(F.col("selected_from") == F.concat_ws("/", "tier", "task_dir"))
+    rows = suites.first_tier(tier_1(t), 42, ["periodicity_aware_grounding", "onset_sharpness_grounding", "causal_event_order"])
+    kept = suites.copied(rows, wanted).where(F.col("selected_from") == F.concat_ws("/", "tier", "task_dir"))
     return suites.counts(kept).select("task_dir", "task_name", "primary_metric", "recommended_metrics", "count")
 
 

@@ -5,6 +5,9 @@ Items have id, label, audio_path, rich and short (what is said of them at length
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
@@ -82,50 +85,44 @@ def _each(name: str) -> Column:
 def _row(rows: DataFrame, tier: str, task: str, prompt: Column | None = None, id_: Column | None = None, **columns: Column) -> DataFrame:
     n = [name for name, _ in TIERS[tier]].index(task) + 1
     fixed = PROMPTS.get(task)
-    dash = "" if tier == "tier3" else "-"
-    number = f"{PREFIXES[tier]}{n}-" if tier == "tier3" else f"{PREFIXES[tier]}{n}{dash}"
-    named = {"id": F.concat(F.lit(number), (F.col("id") if id_ is None else id_).cast("string")), "task_name": F.lit(task), "prompt": F.lit(fixed) if fixed else prompt if prompt is not None else F.lit(None).cast("string"), **columns}
+    named = {"id": F.concat(F.lit(f"{PREFIXES[tier]}{n}-"), (F.col("id") if id_ is None else id_).cast("string")), "task_name": F.lit(task), "prompt": F.lit(fixed) if fixed else prompt if prompt is not None else F.lit(None).cast("string"), **columns}
     wanted = [f.split(" ") for f in schema.TASK_ROWS.split(", ")]
     filled = [named[c].cast(t).alias(c) if c in named else F.lit(None).cast(t).alias(c) for c, t in wanted]
     return rows.select(F.lit(tier).alias("tier"), F.lit(f"task_{n}_{task}").alias("task_dir"), *filled)
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _all(builders: dict[str, Callable[[], DataFrame]], only: list[str] | None) -> DataFrame:
+    return reduce(DataFrame.unionByName, (build() for name, build in builders.items() if only is None or name in only))
 
 
-def first_tier(items: DataFrame, seed: int = 42) -> DataFrame:
-    """The eight tasks on source items; ``items`` also has name, grp, flag. Mixes and sequences are named by the files that
+def first_tier(items: DataFrame, seed: int = 42, only: list[str] | None = None) -> DataFrame:
+    """The eight tasks on source items, or those in ``only``; ``items`` also has name, grp, flag. Mixes and sequences are named by the files that
     the renderer makes of them."""
     rich, short = F.col("own.rich"), F.col("own.short")
     audio = {"candidate_audio_paths": _each("audio_path"), "candidate_labels": _each("label"), "source_item_ids": _each("id")}
     fixed = {"query_audio_path": F.col("own.audio_path"), "source_item_ids": F.array("id"), "text_options": F.col("options"), "gold_index": F.col("gold_index")}
-    far = pools.top_dissimilar(items, 3, 1, seed + 2).select("id", F.array("candidate").alias("far"))
-    mixed = _met(tasks.foreground(items).join(far, "id").select("id", "far").distinct(), items, "far").join(tasks.foreground(items), "id")
-    negatives = tasks.hard_negatives(items, seed + 6)
-    order = tasks.causal_order(items, seed + 7).withColumn("pair", F.array("id", "candidate"))
-    pair, turned = _met(order, items, "pair"), F.col("gold_index") == 1
+    far = lambda: pools.top_dissimilar(items, 3, 1, seed + 2).select("id", F.array("candidate").alias("far"))
+    mixed = lambda: _met(far(), items, "far").join(tasks.foreground(items), "id")
+    pair = lambda: _met(tasks.causal_order(items, seed + 7).withColumn("pair", F.array("id", "candidate")), items, "pair")
+    turned = F.col("gold_index") == 1
     ids, labels = _each("id"), _each("label")
     two = lambda values, joint, fix="": (F.concat(F.lit(fix), F.concat_ws(joint, values[0], values[1])), F.concat(F.lit(fix), F.concat_ws(joint, values[1], values[0])))
     both = lambda a, b: F.when(turned, F.array(b, a)).otherwise(F.array(a, b))
     path = lambda values: tuple(F.concat(v, F.lit(".wav")) for v in two(values, "__then__", "audio/task8_causal_order/"))
     phrase = lambda i: T.event_phrase(labels[i])
-    return _all([
-        _row(_met(tasks.target_sound(items, seed), items), "tier1", "target_sound_grounding", rich, gold_index=F.col("gold_index"), **audio),
-        _row(_met(tasks.acoustic_contrast(items, seed + 1), items), "tier1", "fine_grained_acoustic_contrast", short, gold_index=F.col("gold_index"), **audio),
-        _row(mixed, "tier1", "foreground_event_focus", rich, F.concat_ws("-", "id", "gold_label"), gold_label=F.col("gold_label"), label_space=F.col("label_space"), distractor_label=labels[0], source_item_ids=F.array(F.col("id").cast("string"), ids[0]), query_audio_path=F.concat(F.lit("audio/task3_foreground_focus/"), F.concat_ws("-", "id", "gold_label"), F.lit(".wav"))),
-        _row(_met(tasks.plausibility_ranking(items, seed + 3), items, "candidates"), "tier1", "acoustic_plausibility_ranking", rich, gold_ranking=F.col("gold_ranking"), **audio),
-        _row(_known(tasks.periodicity(items), items), "tier1", "periodicity_aware_grounding", rich, **fixed),
-        _row(_known(tasks.onset_sharpness(items), items), "tier1", "onset_sharpness_grounding", balance_bucket=F.col("balance_bucket"), **fixed),
-        _row(_known(negatives, items), "tier1", "audio_text_hard_negative_matching", short, **fixed),
-        _row(pair, "tier1", "causal_event_order", F.concat(F.lit("First "), phrase(0), F.lit(", then "), phrase(1), F.lit(".")), F.concat_ws("-", "id", "candidate"), candidate_audio_paths=both(*path(ids)), candidate_labels=both(*two(labels, "_then_")), source_item_ids=ids, gold_index=F.col("gold_index"), balance_bucket=F.col("balance_bucket")),
-    ])
-
-
-def second_tier(clips: DataFrame, seed: int = 42) -> DataFrame:
+    return _all({
+        "target_sound_grounding": lambda: _row(_met(tasks.target_sound(items, seed), items), "tier1", "target_sound_grounding", rich, gold_index=F.col("gold_index"), **audio),
+        "fine_grained_acoustic_contrast": lambda: _row(_met(tasks.acoustic_contrast(items, seed + 1), items), "tier1", "fine_grained_acoustic_contrast", short, gold_index=F.col("gold_index"), **audio),
+        "foreground_event_focus": lambda: _row(mixed(), "tier1", "foreground_event_focus", rich, F.concat_ws("-", "id", "gold_label"), gold_label=F.col("gold_label"), label_space=F.col("label_space"), distractor_label=labels[0], source_item_ids=F.array(F.col("id").cast("string"), ids[0]), query_audio_path=F.concat(F.lit("audio/task3_foreground_focus/"), F.concat_ws("-", "id", "gold_label"), F.lit(".wav"))),
+        "acoustic_plausibility_ranking": lambda: _row(_met(tasks.plausibility_ranking(items, seed + 3), items, "candidates"), "tier1", "acoustic_plausibility_ranking", rich, gold_ranking=F.col("gold_ranking"), **audio),
+        "periodicity_aware_grounding": lambda: _row(_known(tasks.periodicity(items), items), "tier1", "periodicity_aware_grounding", rich, **fixed),
+        "onset_sharpness_grounding": lambda: _row(_known(tasks.onset_sharpness(items), items), "tier1", "onset_sharpness_grounding", balance_bucket=F.col("balance_bucket"), **fixed),
+        "audio_text_hard_negative_matching": lambda: _row(_known(tasks.hard_negatives(items, seed + 6), items), "tier1", "audio_text_hard_negative_matching", short, **fixed),
+        "causal_event_order": lambda: _row(pair(), "tier1", "causal_event_order", F.concat(F.lit("First "), phrase(0), F.lit(", then "), phrase(1), F.lit(".")), F.concat_ws("-", "id", "candidate"), candidate_audio_paths=both(*path(ids)), candidate_labels=both(*two(labels, "_then_")), source_item_ids=ids, gold_index=F.col("gold_index"), balance_bucket=F.col("balance_bucket")),
+    }, only)
+
+
+def second_tier(clips: DataFrame, seed: int = 42, only: list[str] | None = None) -> DataFrame:
     """The eight tasks on clips; ``clips`` also has video, clip_index, delivery, duration, text, speakers, is_talking."""
     rich, short = F.col("own.rich"), F.col("own.short")
     gold = {"gold_index": F.col("gold_index")}
@@ -137,19 +134,19 @@ def second_tier(clips: DataFrame, seed: int = 42) -> DataFrame:
     length = T.duration_bucket("own.duration")
     by_delivery = F.concat_ws("|", "own.delivery", length)
     by_speakers = F.concat_ws("|", T.speaker_count_label("own.speakers"), length)
-    return _all([
-        _row(_met(tasks.phonic_target(clips, seed), clips), "tier2", "phonic_target_grounding", rich, candidate_audio_paths=_each("audio_path"), candidate_labels=_each("label"), source_item_ids=_each("id"), **gold),
-        _row(_known(tasks.speech_activity(clips), clips), "tier2", "speech_activity_grounding", rich, **fixed),
-        _row(_known(tasks.speaker_count(clips), clips), "tier2", "speaker_count_grounding", short, balance_bucket=F.col("balance_bucket"), **fixed),
-        _row(_met(tasks.dyadic(clips, seed + 3), clips), "tier2", "dyadic_matching", candidate_audio_paths=_each("audio_path"), candidate_labels=_each("label"), balance_bucket=by_delivery, **pair),
-        _row(_known(tasks.delivery_style(clips), clips), "tier2", "delivery_style_grounding", short, **fixed),
-        _row(_met(tasks.turn_holding(clips, seed + 5), clips), "tier2", "turn_holding_continuation", balance_bucket=by_delivery, **texts),
-        _row(_met(tasks.continuation(clips, ["delivery"], "speakers", "speaker_count_aware_continuation", seed + 6), clips), "tier2", "speaker_count_aware_continuation", balance_bucket=by_delivery, **texts),
-        _row(_met(tasks.continuation(clips, ["speakers"], "delivery", "delivery_conditioned_continuation", seed + 7), clips), "tier2", "delivery_conditioned_continuation", delivery_label=F.col("own.delivery"), balance_bucket=by_speakers, **texts),
-    ])
-
-
-def third_tier(rows: DataFrame, seed: int = 42, max_source_items: int | None = 4096, max_orders: int = 1024) -> DataFrame:
+    return _all({
+        "phonic_target_grounding": lambda: _row(_met(tasks.phonic_target(clips, seed), clips), "tier2", "phonic_target_grounding", rich, candidate_audio_paths=_each("audio_path"), candidate_labels=_each("label"), source_item_ids=_each("id"), **gold),
+        "speech_activity_grounding": lambda: _row(_known(tasks.speech_activity(clips), clips), "tier2", "speech_activity_grounding", rich, **fixed),
+        "speaker_count_grounding": lambda: _row(_known(tasks.speaker_count(clips), clips), "tier2", "speaker_count_grounding", short, balance_bucket=F.col("balance_bucket"), **fixed),
+        "dyadic_matching": lambda: _row(_met(tasks.dyadic(clips, seed + 3), clips), "tier2", "dyadic_matching", candidate_audio_paths=_each("audio_path"), candidate_labels=_each("label"), balance_bucket=by_delivery, **pair),
+        "delivery_style_grounding": lambda: _row(_known(tasks.delivery_style(clips), clips), "tier2", "delivery_style_grounding", short, **fixed),
+        "turn_holding_continuation": lambda: _row(_met(tasks.turn_holding(clips, seed + 5), clips), "tier2", "turn_holding_continuation", balance_bucket=by_delivery, **texts),
+        "speaker_count_aware_continuation": lambda: _row(_met(tasks.continuation(clips, ["delivery"], "speakers", "speaker_count_aware_continuation", seed + 6), clips), "tier2", "speaker_count_aware_continuation", balance_bucket=by_delivery, **texts),
+        "delivery_conditioned_continuation": lambda: _row(_met(tasks.continuation(clips, ["speakers"], "delivery", "delivery_conditioned_continuation", seed + 7), clips), "tier2", "delivery_conditioned_continuation", delivery_label=F.col("own.delivery"), balance_bucket=by_speakers, **texts),
+    }, only)
+
+
+def third_tier(rows: DataFrame, seed: int = 42, max_source_items: int | None = 4096, max_orders: int = 1024, only: list[str] | None = None) -> DataFrame:
     """The six tasks on long items, of which at most ``max_source_items`` (None: all) are taken, round by round over events; ``rows``
     also has event, secondary, scenario, mode, text (what happens in order)."""
     kept = rows if max_source_items is None else S.round_robin(rows.withColumn("_all", F.lit(0)), ["_all"], "event", ["id"], seed, max_source_items, small_first=False).select(*rows.columns)
@@ -157,15 +154,15 @@ def third_tier(rows: DataFrame, seed: int = 42, max_source_items: int | None = 4
     audio = {"candidate_audio_paths": _each("audio_path"), "candidate_item_ids": _each("id"), **gold}
     texts = {"query_audio_path": F.col("own.audio_path"), "text_options": F.col("options"), **gold}
     paths = F.transform("options", lambda o: F.concat(F.lit("audio/task2_coarse_order/"), o, F.lit(".wav")))
-    window = _met(tasks.event_window(kept, seed), kept)
-    return _all([
-        _row(window, "tier3", "event_window_grounding", F.col("own.rich"), **audio),
-        _row(_known(tasks.coarse_order(kept, max_orders, seed + 1), kept), "tier3", "coarse_event_order", F.concat(F.lit("Which sequence better matches this long-form context: "), "own.text", F.lit("?")), candidate_audio_paths=paths, **gold),
-        _row(_met(tasks.narrative(kept, seed + 2), kept), "tier3", "narrative_continuation_plausibility", query_audio_path=F.col("own.audio_path"), **audio),
-        _row(window, "tier3", "long_context_event_retrieval", query_text=T.event_phrase("own.event"), **audio),
-        _row(_known(tasks.overlap(kept), kept), "tier3", "speaker_event_overlap", F.col("own.short"), **texts),
-        _row(_known(tasks.sequential(kept, seed + 5), kept), "tier3", "sequential_causal_consistency", F.col("own.rich"), **texts),
-    ])
+    window = lambda: _met(tasks.event_window(kept, seed), kept)
+    return _all({
+        "event_window_grounding": lambda: _row(window(), "tier3", "event_window_grounding", F.col("own.rich"), **audio),
+        "coarse_event_order": lambda: _row(_known(tasks.coarse_order(kept, max_orders, seed + 1), kept), "tier3", "coarse_event_order", F.concat(F.lit("Which sequence better matches this long-form context: "), "own.text", F.lit("?")), candidate_audio_paths=paths, **gold),
+        "narrative_continuation_plausibility": lambda: _row(_met(tasks.narrative(kept, seed + 2), kept), "tier3", "narrative_continuation_plausibility", query_audio_path=F.col("own.audio_path"), **audio),
+        "long_context_event_retrieval": lambda: _row(window(), "tier3", "long_context_event_retrieval", query_text=T.event_phrase("own.event"), **audio),
+        "speaker_event_overlap": lambda: _row(_known(tasks.overlap(kept), kept), "tier3", "speaker_event_overlap", F.col("own.short"), **texts),
+        "sequential_causal_consistency": lambda: _row(_known(tasks.sequential(kept, seed + 5), kept), "tier3", "sequential_causal_consistency", F.col("own.rich"), **texts),
+    }, only)
 
 
 def counts(rows: DataFrame) -> DataFrame:

@@ -104,8 +104,8 @@ def side_texts(clips: DataFrame, side: DataFrame) -> DataFrame:
     own = readers.resolved(clips.select("clip_name"), named, "clip_name", "").where("kind < 2").select("clip_name", "path")
     left = clips.join(own.select("clip_name"), "clip_name", "left_anti")
     theirs = readers.resolved(left.select("video").distinct(), named, "video", "").where("kind < 2").select("video", "path")
-    chosen = own.unionByName(left.join(theirs, "video").select("clip_name", "path"))
-    return T.string_leaves(chosen.join(named.select("path", "doc").withColumnRenamed("path", "_p"), F.col("path") == F.col("_p")).select("clip_name", "doc"), "doc")
+    chosen = own.unionByName(left.join(theirs, "video").select("clip_name", "path")).select("clip_name", F.regexp_replace("path", r"\.json$", "").alias("stem"))
+    return T.string_leaves(side.select("stem", "doc"), "doc").join(chosen, "stem").select("clip_name", "leaf", "path")
 
 
 def clips(merged: DataFrame, speech: DataFrame, captions: DataFrame, members: dict[str, DataFrame], listing: DataFrame, min_clear: float = 0.45, min_dover: float = 0.45, require_speech: bool = True, max_items: int | None = None) -> DataFrame:
@@ -118,8 +118,8 @@ def clips(merged: DataFrame, speech: DataFrame, captions: DataFrame, members: di
     m = merged.withColumn("video", T.video_id("clip_name", short=True)).withColumn("clear", number("clear")).withColumn("dover", number("dover")).withColumn("conf", number("conf"))
     lasts = number("duration")
     m = m.where((F.col("clear") >= min_clear) & (F.col("dover") >= min_dover)).withColumn("start", number("start_seconds")).withColumn("length", F.when(lasts > 0, lasts).otherwise(number("end_seconds") - F.col("start"))).where("length > 0")
-    m = m.join(readers.resolved(m.select("clip_name"), media(listing), "clip_name", "").select("clip_name", "path"), "clip_name")
     names = m.select("clip_name", "video")
+    m = m.join(readers.resolved(names, media(listing), "clip_name", "").select("clip_name", "path"), "clip_name")
     # the longest string, of several the first
     heard = side_texts(names, speech).groupBy("clip_name").agg(F.min(F.struct(-F.length("leaf"), "path", "leaf"))["leaf"].alias("asr"))
     seen = side_texts(names, captions).where(F.trim("leaf") != "").groupBy("clip_name").agg(F.sort_array(F.collect_list(F.struct("path", F.trim("leaf").alias("leaf")))).alias("s"))

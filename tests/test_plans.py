@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugemill.functions import arrays as A, text as T
 from gaugemill.operators import media, metrics as M, models, pools, sampling as S, scoring as P
-from gaugemill.plans import bindings, pipelines, tasks
+from gaugemill.plans import bindings, packets, pipelines, suite_queries, suites, tasks
 from gaugemill.plans.registry import Tables
 from gaugemill.sources import readers, schema, writers
 from gaugemill.streaming import scoring as streaming
@@ -220,3 +220,32 @@ def test_stream_counts_a_prediction_once_and_adds_only_what_is_new(spark, tmp_pa
     run()
     rows = spark.read.parquet(f"{tmp_path}/out").orderBy("hour").collect()
     assert [(r.n, r["mean"]) for r in rows][:2] == [(2, 0.5), (1, 1.0)]
+
+
+def test_suites_and_packets_are_written_whole(spark, tmp_path):
+    t = Tables(spark, SF)
+    clips = suite_queries.tier_2(t)
+    kinds = ["speech_activity_grounding", "dyadic_matching"]
+    rows = suites.second_tier(clips, 1, kinds)
+    document = suites.write(rows, str(tmp_path / "suite"))
+    index = document["task_index"]
+    assert index["tier2/task_2_speech_activity_grounding"]["count"] == clips.count() and index["tier2/task_1_phonic_target_grounding"]["count"] == 0
+    assert json.loads((tmp_path / "suite" / "metadata.json").read_text())["count"] == document["count"] == rows.count()
+    sound = tmp_path / "a.wav"
+    sound.write_bytes(b"sound")
+    heard = rows.withColumn("query_audio_path", F.lit(str(sound))).withColumn("prompt_audio_path", F.lit(str(tmp_path / "none.wav")))
+    picked = packets.chosen(heard, 2)
+    packets.copy_assets(packets.assets(picked), str(tmp_path / "packet"))
+    items = packets.items(picked).collect()
+    assert len(items) == 4 and all((tmp_path / "packet" / r.item_dir / "query.wav").read_bytes() == b"sound" and not (tmp_path / "packet" / r.item_dir / "prompt.wav").exists() for r in items)
+    packets.write(heard, str(tmp_path / "out"))
+    shared = spark.read.json(str(tmp_path / "out" / "items"))
+    assert shared.count() == 4 and not {"gold_index", "gold_label", "gold_ranking"} & set(shared.columns)
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "answer_key_private")).where("answer_key in ('1', '2')").count() == 4
+
+
+def test_long_items_are_sampled_event_by_event(spark):
+    rows = suite_queries.tier_3(Tables(spark, SF))
+    made = suites.third_tier(rows, 1, 20, only=["event_window_grounding"])
+    events = made.join(rows.select(F.concat(F.lit("t3-1-"), F.col("id").cast("string")).alias("id"), "event"), "id").groupBy("event").count().collect()
+    assert sum(r["count"] for r in events) == 20 and max(r["count"] for r in events) - min(r["count"] for r in events) <= 1
