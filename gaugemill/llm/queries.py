@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hpylm, lshforest, packing, pii, pq, sharding, substring, toxicity, warc
+from . import decontaminate, hpylm, infill, lshforest, packing, pii, pq, sharding, substring, toxicity, warc, whiten
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,8 +83,17 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whiten.apply(embeddings, whiten.fit(embeddings), ["vec_id"])
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"], output=False).drop("output")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity_crf": op1_toxicity_crf, "op2_decontamination_simhash": op2_decontamination_simhash, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op4_sharding_differencing": op4_sharding_differencing, "op5_pii_bootstrap": op5_pii_bootstrap, "op6_packing_buckets": op6_packing_buckets, "op7_warc_source": op7_warc_source, "op8_embedding_pq": op8_embedding_pq, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_toxicity_crf": op1_toxicity_crf, "op2_decontamination_simhash": op2_decontamination_simhash, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op4_sharding_differencing": op4_sharding_differencing, "op5_pii_bootstrap": op5_pii_bootstrap, "op6_packing_buckets": op6_packing_buckets, "op7_warc_source": op7_warc_source, "op8_embedding_pq": op8_embedding_pq, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest, "op12_embedding_whitening": op12_embedding_whitening, "op13_fill_in_middle": op13_fill_in_middle}
 
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -122,6 +131,14 @@ s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN li
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS MATERIALIZED (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.h = q.h AND p.doc_id < q.doc_id GROUP BY ALL) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), {_REACH.format(id='doc_id', nodes='documents')}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op13_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+l AS (SELECT *, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS ls, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS d FROM t),
+c AS (SELECT *, len(ls) AS n, least(d[1] % (len(ls) + 1), d[2] % (len(ls) + 1)) AS a, greatest(d[1] % (len(ls) + 1), d[2] % (len(ls) + 1)) AS b FROM l),
+p AS (SELECT *, array_to_string(ls[1:a], '') AS pre, array_to_string(ls[a+1:b], '') AS mid, array_to_string(ls[b+1:n], '') AS suf,
+ CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR d[3] % 100 >= 100 THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN x WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p""",
 }
 
 
