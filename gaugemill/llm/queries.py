@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hpylm, infill, lshforest, packing, pii, pq, sharding, substring, toxicity, warc, whiten
+from . import decontaminate, hpylm, infill, lshforest, packing, pii, pq, sharding, substring, toxicity, warc, whiten, wrappers
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def op11_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     return whiten.apply(embeddings, whiten.fit(embeddings), ["vec_id"])
@@ -93,7 +97,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity_crf": op1_toxicity_crf, "op2_decontamination_simhash": op2_decontamination_simhash, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op4_sharding_differencing": op4_sharding_differencing, "op5_pii_bootstrap": op5_pii_bootstrap, "op6_packing_buckets": op6_packing_buckets, "op7_warc_source": op7_warc_source, "op8_embedding_pq": op8_embedding_pq, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest, "op12_embedding_whitening": op12_embedding_whitening, "op13_fill_in_middle": op13_fill_in_middle}
+    return {"op1_toxicity_crf": op1_toxicity_crf, "op2_decontamination_simhash": op2_decontamination_simhash, "op3_lm_pitman_yor": op3_lm_pitman_yor, "op4_sharding_differencing": op4_sharding_differencing, "op5_pii_bootstrap": op5_pii_bootstrap, "op6_packing_buckets": op6_packing_buckets, "op7_warc_source": op7_warc_source, "op8_embedding_pq": op8_embedding_pq, "op9_substring_anchors": op9_substring_anchors, "op10_minhash_forest": op10_minhash_forest, "op11_html_wrappers": op11_html_wrappers, "op12_embedding_whitening": op12_embedding_whitening, "op13_fill_in_middle": op13_fill_in_middle}
 
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -131,6 +135,13 @@ s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN li
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS MATERIALIZED (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.h = q.h AND p.doc_id < q.doc_id GROUP BY ALL) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), {_REACH.format(id='doc_id', nodes='documents')}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    # The pages of the given tables mark their main text as articles of headings and paragraphs.
+    "op11_html_wrappers": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1|br)( [^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS x FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d""",
     "op13_fill_in_middle": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
 l AS (SELECT *, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS ls, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS d FROM t),
