@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.seeded import digest, draw
+from .order import placed
 
-#: Names of the list tried first, kinds of rows, rows of a block.
-LIST, KINDS, BLOCK = 64, 4096, 256
+#: Names of the list tried first, kinds of rows, places of a group searched by one task.
+LIST, KINDS, PIECE = 64, 4096, 100_000
 
 
 def name_scores(names: DataFrame) -> DataFrame:
@@ -137,38 +138,62 @@ def fallback_pool(targets: DataFrame, rows: DataFrame, first: str, second: str,
     return once.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k)
 
 
-def cyclic_pairs(rows: DataFrame, block: str, id_: str, seed: int, n: int) -> DataFrame:
-    """For every row the ``n`` next ones of its block in seeded order, round the end, each at most once and never itself;
-    blocks are of bounded size."""
-    order = Window.partitionBy(block).orderBy(digest(seed, F.col(id_)), id_)
-    placed = rows.select(block, id_).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(block)))
-    ahead = placed.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))).where(F.col("step") < F.col("_n")).withColumn("_j", (F.col("_i") + F.col("step")) % F.col("_n"))
-    there = placed.select(block, F.col("_i").alias("_j"), F.col(id_).alias("candidate"))
-    return ahead.join(there, [block, "_j"]).select(id_, "step", "candidate")
+def cyclic_pairs(rows: DataFrame, id_: str, seed: int, n: int) -> DataFrame:
+    """For every row the ``n`` next ones in seeded order, round the end, each at most once and never itself."""
+    keyed = rows.select(id_, digest(seed, F.col(id_)).alias("_h"))
+    at = placed(keyed, ["_h", id_], "_i").select(id_, "_i")
+    total = at.count()
+    ahead = at.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))).where(F.col("step") < total).withColumn("_j", (F.col("_i") + F.col("step")) % F.lit(max(1, total)))
+    return ahead.join(at.select(F.col("_i").alias("_j"), F.col(id_).alias("candidate")), "_j").select(id_, "step", "candidate")
 
 
 def seeded_others(rows: DataFrame, event: str, k: int, seed: int) -> DataFrame:
-    """For every row ``k`` others, of other events first: the next ones in a seeded order, round the end.
+    """For every row ``k`` others drawn without replacement from all of other events; where there are none, from all others.
 
-    Rows are dealt by hash into blocks of about ``BLOCK``, and each looks for others in its own, so every row can be drawn
-    and none meets more than a block. Columns id, candidate, pick (from 1).
+    All rows stand in one order, event by event, so an event's rows are an interval. A draw among the rest that falls on
+    or behind the interval's beginning is moved past it, and the rows met by their places. If the rest has no more than
+    ``k``, all of it is taken. A null event is an event. Columns id, candidate, pick (from 1).
     """
-    blocks = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.select("id", F.col(event).alias("event"), draw(F.lit(blocks), seed, F.col("id")).alias("block"), digest(seed + 1, F.col("id")).alias("h"))
-    held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("h", "id", "event"))).alias("held"))
-    own = F.array_position(F.transform("held", lambda x: x["id"]), F.col("id")).cast("int")
-    after = F.expr("concat(slice(held, own + 1, size(held)), slice(held, 1, own - 1))")
-    met = dealt.join(held, "block").withColumn("own", own).withColumn("after", after)
-    ordered = F.concat(F.filter("after", lambda x: x["event"] != F.col("event")), F.filter("after", lambda x: x["event"] == F.col("event")))
-    picked = met.select("id", F.posexplode(F.slice(ordered, 1, k)).alias("pick", "x"))
-    return picked.select("id", F.col("x.id").alias("candidate"), (F.col("pick") + 1).alias("pick"))
+    keyed = rows.select("id", F.col(event).alias("event"), digest(seed + 1, F.col("id")).alias("h"))
+    at = placed(keyed, ["event", "h", "id"], "at").select("id", "event", "at")
+    total = at.count()
+    spans = at.groupBy("event").agg(F.min("at").alias("first"), F.count("*").alias("same"))
+    met = at.join(spans.withColumnRenamed("event", "_event"), F.col("event").eqNullSafe(F.col("_event")))
+    others = F.col("same") < total
+    met = met.select("id", F.when(others, F.col("first")).otherwise(F.col("at")).alias("first"), F.when(others, F.col("same")).otherwise(F.lit(1)).alias("same"))
+    left = F.lit(total) - F.col("same")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: draw(F.greatest(left - j, F.lit(1)), seed, F.col("id"), j))
+    free = lambda taken, r: F.aggregate(F.array_sort(taken), r, lambda x, y: F.when(y <= x, x + 1).otherwise(x))  # noqa: E731  the r-th place that isn't taken
+    places = F.aggregate(drawn, F.array().cast("array<bigint>"), lambda taken, r: F.array_append(taken, free(taken, r)))
+    every = F.when(left > 0, F.sequence(F.lit(0).cast("long"), left - 1)).otherwise(F.array().cast("array<bigint>"))
+    picked = met.select("id", "first", "same", F.posexplode(F.when(left > k, places).otherwise(every)).alias("pick", "p"))
+    place = F.when(F.col("p") >= F.col("first"), F.col("p") + F.col("same")).otherwise(F.col("p"))
+    there = at.select(F.col("id").alias("candidate"), F.col("at").alias("place"))
+    return picked.withColumn("place", place).join(there, "place").select("id", "candidate", (F.col("pick") + 1).alias("pick"))
 
 
 def in_other_group(rows: DataFrame, id_: str, group: str) -> DataFrame:
-    """For every row one of its block of ``BLOCK`` ids that is of another group: the row's place in the block, counted
-    round among these. Columns id, candidate; rows of a block with one group have none."""
-    placed = rows.select(F.col(id_).alias("id"), F.col(group).alias("g"), F.floor(F.col(id_) / BLOCK).alias("block"))
-    held = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "g"))).alias("held"))
-    met = placed.join(held, "block").withColumn("others", F.filter("held", lambda x: x["g"] != F.col("g")))
-    place = (F.array_position(F.transform("held", lambda x: x["id"]), F.col("id")) - 1).cast("int")
-    return met.where(F.size("others") > 0).select("id", F.get("others", place % F.size("others"))["id"].alias("candidate"))
+    """For every row one of another group: the i-th row of all, in the order of ids, takes the (i modulo m)-th of the m
+    rows outside its group. Columns id, candidate; without other groups there are none. A null group is a group.
+
+    The k-th row outside a group stands k places from the beginning, and one further for each row of the group before it.
+    Those are counted by where the group's rows stand among the others: its t-th row in place i has i - t others before
+    it, so the last row of the group with at most k of these before it tells. That search is a running maximum over the
+    group's runs and the wanted k, piece by piece, so no task holds a group.
+    """
+    at = placed(rows.select(F.col(id_).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g")), ["id"], "i")
+    inner = placed(at, ["g", "i"], "j")
+    total = inner.count()
+    spans = inner.groupBy("g").agg(F.min("j").alias("first"), F.count("*").alias("same"))
+    met = inner.join(spans, "g").where(F.col("same") < total)
+    met = met.select("id", "g", F.col("i") % (F.lit(total) - F.col("same")), (F.col("j") - F.col("first")).alias("t"), "i").toDF("id", "g", "k", "t", "i")
+    runs = met.groupBy("g", (F.col("i") - F.col("t")).alias("key")).agg((F.max("t") + 1).alias("upto")).withColumn("asked", F.lit(0))
+    asked = met.select("g", F.col("k").alias("key")).distinct().select("g", "key", F.lit(None).cast("long").alias("upto"), F.lit(1).alias("asked"))
+    both = runs.unionByName(asked).withColumn("piece", F.floor(F.col("key") / PIECE))
+    carried = both.groupBy("g", "piece").agg(F.max("upto").alias("most"))
+    carried = carried.select("g", "piece", F.max("most").over(Window.partitionBy("g").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    here = F.max("upto").over(Window.partitionBy("g", "piece").orderBy("key", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("here", here).where("asked = 1").join(carried, ["g", "piece"])
+    place = found.select("g", F.col("key").alias("k"), (F.col("key") + F.coalesce("here", "carry", F.lit(0))).alias("place"))
+    there = at.select(F.col("id").alias("candidate"), F.col("i").alias("place"))
+    return met.select("id", "g", "k").join(place, ["g", "k"]).join(there, "place").select("id", "candidate")

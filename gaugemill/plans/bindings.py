@@ -81,10 +81,9 @@ MODEL_SCORES = (
 
 
 def index_rows(t: Tables, k: int = 3) -> DataFrame:
-    """Each vector as a query over itself and the next ``k`` of its block of 256, in seeded option order."""
+    """Each vector as a query over itself and the next ``k`` of all, in seeded option order."""
     from ..operators.pools import cyclic_pairs
 
-    rows = t.embeddings.select("vec_id", (F.col("vec_id") / 256).cast("long").alias("block"))
-    others = cyclic_pairs(rows, "block", "vec_id", 11, k).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "candidate"))), lambda s: s["candidate"]).alias("rest"))
+    others = cyclic_pairs(t.embeddings.select("vec_id"), "vec_id", 11, k).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "candidate"))), lambda s: s["candidate"]).alias("rest"))
     mixed = others.withColumn("mixed", seeded.shuffled(F.concat(F.array("vec_id"), "rest"), 12, F.col("vec_id")))
     return mixed.select("vec_id", F.transform("mixed", lambda s: s["v"]).alias("candidates"), (F.array_position(F.transform("mixed", lambda s: s["i"]), F.lit(0)) - 1).alias("gold_index"))

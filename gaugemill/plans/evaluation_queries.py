@@ -35,9 +35,8 @@ def score_label(t: Tables) -> DataFrame:
 
 
 INDEX_ROWS = f"""
-b AS (SELECT vec_id, vec_id // 256 AS block, embedding FROM embeddings),
-o AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {digest_sql(11, 'vec_id')}, vec_id) - 1 AS i, count(*) OVER (PARTITION BY block) AS n FROM b),
-c AS (SELECT a.vec_id, z.vec_id AS candidate, s AS pos FROM o a, (SELECT unnest([1, 2, 3]) AS s) JOIN o z ON z.block = a.block AND z.i = (a.i + s) % a.n WHERE s < a.n UNION ALL SELECT vec_id, vec_id, 0 FROM o WHERE n > 1),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY {digest_sql(11, 'vec_id')}, vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
+c AS (SELECT a.vec_id, z.vec_id AS candidate, s AS pos FROM o a, (SELECT unnest([1, 2, 3]) AS s) JOIN o z ON z.i = (a.i + s) % a.n WHERE s < a.n UNION ALL SELECT vec_id, vec_id, 0 FROM o WHERE n > 1),
 m AS (SELECT vec_id, candidate, pos, row_number() OVER (PARTITION BY vec_id ORDER BY {digest_sql(12, 'vec_id', 'pos')}, pos) - 1 AS idx FROM c),
 g AS (SELECT vec_id, max(CASE WHEN pos = 0 THEN idx END) AS gold_index FROM m GROUP BY vec_id)"""
 
@@ -241,10 +240,10 @@ def neighbour_first(t: Tables) -> DataFrame:
     return pools.first_neighbour(clips(t), "video", "clip_index", "id")
 
 
-@query(f"""WITH b AS (SELECT vec_id, vec_id // 256 AS block FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {digest_sql(11, 'vec_id')}, vec_id) - 1 AS i, count(*) OVER (PARTITION BY block) AS n FROM b)
-SELECT a.vec_id, s::INT AS step, z.vec_id AS candidate FROM o a, (SELECT unnest([1, 2]) AS s) JOIN o z ON z.block = a.block AND z.i = (a.i + s) % a.n WHERE s < a.n""")
+@query(f"""WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY {digest_sql(11, 'vec_id')}, vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)
+SELECT a.vec_id, s::INT AS step, z.vec_id AS candidate FROM o a, (SELECT unnest([1, 2]) AS s) JOIN o z ON z.i = (a.i + s) % a.n WHERE s < a.n""")
 def modular_pairing(t: Tables) -> DataFrame:
-    return pools.cyclic_pairs(t.embeddings.select("vec_id", (F.col("vec_id") / 256).cast("long").alias("block")), "block", "vec_id", 11, 2)
+    return pools.cyclic_pairs(t.embeddings.select("vec_id"), "vec_id", 11, 2)
 
 
 @query(f"""WITH {SRC_ITEMS}, u AS (SELECT id, unnest([name, grp, 'none', 'other']) AS v, unnest([0, 1, 2, 3]) AS i FROM src_items),

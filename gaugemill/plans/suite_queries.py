@@ -10,7 +10,7 @@ from ..sources import loaders, readers
 from . import packets, suites, tasks
 from .bindings import CLIPS, LONG_ITEMS, SRC_ITEMS, clips, long_items, src_items
 from .registry import Tables, query
-from .task_queries import _ALIKE_EVENT, _LONG_TEXT, _NEXT
+from .task_queries import _ALIKE_EVENT, _LONG_TEXT, _NEXT, OTHER_GROUP
 
 
 def _audio() -> Column:
@@ -45,8 +45,7 @@ _S1 = "'A sound of ' || replace(name, '_', ' ')"
 _WAV = "'/audio/' || id || '.wav'"
 
 
-@query(f"""WITH {SRC_ITEMS}, b AS (SELECT id, name, grp, id // 256 AS block, row_number() OVER (PARTITION BY id // 256 ORDER BY id) - 1 AS i FROM src_items),
-c AS (SELECT a.id, a.name, a.grp, a.i, z.id AS candidate, z.name AS other, z.grp AS other_grp, row_number() OVER (PARTITION BY a.id ORDER BY z.id) - 1 AS k, count(*) OVER (PARTITION BY a.id) AS n FROM b a JOIN b z ON a.block = z.block AND a.grp <> z.grp),
+@query(f"""WITH {SRC_ITEMS}, {OTHER_GROUP},
 m AS (SELECT unnest(['foreground', 'background', 'absent']) AS g),
 r AS (SELECT 'task_1_target_sound_grounding' AS task_dir, 't1-' || id AS id, {_S1} AS prompt, name AS gold, 4 AS n_options, 4 AS n_sources, NULL AS balance_bucket, '' AS heard FROM src_items
 UNION ALL SELECT 'task_2_fine_grained_acoustic_contrast', 't2-' || id, grp, name, 2, 2, NULL, '' FROM src_items
@@ -54,7 +53,7 @@ UNION ALL SELECT 'task_3_foreground_event_focus', 't3-' || id || '-' || g, {_S1}
 UNION ALL SELECT 'task_5_periodicity_aware_grounding', 't5-' || id, {_S1}, CASE WHEN flag = 1 THEN '{tasks.PERIODICITY[0]}' ELSE '{tasks.PERIODICITY[1]}' END, 2, 1, NULL, {_WAV} FROM src_items
 UNION ALL SELECT 'task_6_onset_sharpness_grounding', 't6-' || id, '{suites.PROMPTS['onset_sharpness_grounding']}', CASE WHEN flag = 1 THEN '{tasks.ONSET[0]}' ELSE '{tasks.ONSET[1]}' END, 2, 1, grp, {_WAV} FROM src_items
 UNION ALL SELECT 'task_7_audio_text_hard_negative_matching', 't7-' || id, grp, {_S1}, 4, 1, NULL, {_WAV} FROM src_items
-UNION ALL SELECT 'task_8_causal_event_order', 't8-' || id || '-' || candidate, 'First ' || replace(name, '_', ' ') || ', then ' || replace(other, '_', ' ') || '.', name || '_then_' || other, 2, 2, grp || '__' || other_grp, '' FROM c WHERE k = i % n)
+UNION ALL SELECT 'task_8_causal_event_order', 't8-' || id || '-' || candidate, 'First ' || replace(name, '_', ' ') || ', then ' || replace(other, '_', ' ') || '.', name || '_then_' || other, 2, 2, grp || '__' || other_grp, '' FROM c)
 SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, n_sources::BIGINT AS n_sources, balance_bucket::VARCHAR AS balance_bucket, heard FROM r""")
 def suite_first_tier(t: Tables) -> DataFrame:
     """All tasks but the ranking, some of whose rows fall out by the seed (``task_ranking`` has these)."""

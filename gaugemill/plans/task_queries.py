@@ -150,9 +150,13 @@ def task_delivery_style(t: Tables) -> DataFrame:
     return rows.select("id", F.array_join("options", "|").alias("options"), "gold_index")
 
 
-@query(f"""WITH {SRC_ITEMS}, b AS (SELECT id, grp, id // 256 AS block, row_number() OVER (PARTITION BY id // 256 ORDER BY id) - 1 AS i FROM src_items),
-c AS (SELECT a.id, a.grp, a.i, z.id AS candidate, z.grp AS other_grp, row_number() OVER (PARTITION BY a.id ORDER BY z.id) - 1 AS k, count(*) OVER (PARTITION BY a.id) AS n FROM b a JOIN b z ON a.block = z.block AND a.grp <> z.grp)
-SELECT id, candidate, {draw_sql('2', 2, 'id')} AS gold_index, grp || '__' || other_grp AS balance_bucket FROM c WHERE k = i % n""")
+#: Each item with one outside its group: of the m items there, in order, the (i modulo m)-th for the i-th item of all.
+OTHER_GROUP = """b AS (SELECT id, name, grp, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () - count(*) OVER (PARTITION BY grp) AS m FROM src_items), g AS (SELECT DISTINCT grp FROM b),
+o AS (SELECT g.grp, b.id AS candidate, b.name AS other, b.grp AS other_grp, row_number() OVER (PARTITION BY g.grp ORDER BY b.i) - 1 AS k FROM g JOIN b ON b.grp <> g.grp),
+c AS (SELECT b.id, b.name, b.grp, candidate, other, other_grp FROM b JOIN o ON o.grp = b.grp AND o.k = b.i % b.m)"""
+
+
+@query(f"WITH {SRC_ITEMS}, {OTHER_GROUP} SELECT id, candidate, {draw_sql('2', 2, 'id')} AS gold_index, grp || '__' || other_grp AS balance_bucket FROM c")
 def task_causal_order(t: Tables) -> DataFrame:
     return tasks.causal_order(src_items(t), 2).select("id", "candidate", "gold_index", "balance_bucket")
 
@@ -175,10 +179,14 @@ def task_speaker_continuation(t: Tables) -> DataFrame:
 
 
 def _others(seed: int, k: int) -> str:
-    return f"""{LONG_ITEMS}, nb AS (SELECT greatest(1, (count(*) + 255) // 256) AS n FROM long_items),
-d AS (SELECT id, event, {draw_sql('nb.n', seed, 'id')} AS block, {digest_sql(seed + 1, 'id')} AS h FROM long_items, nb),
-e AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY h, id) AS i, count(*) OVER (PARTITION BY block) AS n FROM d),
-c AS (SELECT a.id, z.id AS candidate, row_number() OVER (PARTITION BY a.id ORDER BY a.event = z.event, (z.i - a.i + a.n) % a.n) AS pick FROM e a JOIN e z ON a.block = z.block AND a.id <> z.id QUALIFY pick <= {k})"""
+    """``k`` (up to three) draws without replacement from all long items of other events, or from all others if there are none."""
+    r = lambda j: draw_sql(f"greatest(n - c - {j}, 1)", seed, "id", str(j))
+    return f"""{LONG_ITEMS}, e AS (SELECT id, event, row_number() OVER (ORDER BY event, {digest_sql(seed + 1, 'id')}, id) - 1 AS pl FROM long_items),
+s0 AS (SELECT event, min(pl) AS f, count(*) AS c FROM e GROUP BY event), n0 AS (SELECT count(*) AS n FROM e),
+m0 AS (SELECT id, CASE WHEN n > c THEN f ELSE pl END AS f, CASE WHEN n > c THEN c ELSE 1 END AS c, n FROM e JOIN s0 USING (event), n0),
+r0 AS (SELECT *, {r(0)} AS a, {r(1)} AS b, {r(2)} AS d FROM m0), r1 AS (SELECT *, b + (b >= a)::INT AS q FROM r0), r2 AS (SELECT *, d + (d >= least(a, q))::INT AS x FROM r1), r3 AS (SELECT *, x + (x >= greatest(a, q))::INT AS y FROM r2),
+p0 AS (SELECT id, f, c, unnest(CASE WHEN n - c > {k} THEN [a, q, y][1:{k}] ELSE range(n - c) END) AS p, unnest(range(least(n - c, {k}))) + 1 AS pick FROM r3),
+c AS (SELECT p0.id, e.id AS candidate, pick FROM p0 JOIN e ON e.pl = p + CASE WHEN p >= f THEN c ELSE 0 END)"""
 
 
 @query(f"""WITH {_others(1, 3)}, o AS (SELECT id, max(CASE WHEN pick = 1 THEN candidate END) AS c1, max(CASE WHEN pick = 2 THEN candidate END) AS c2, max(CASE WHEN pick = 3 THEN candidate END) AS c3 FROM c GROUP BY id), {_mixed(['id', 'c1', 'c2', 'c3'], 1)}""")

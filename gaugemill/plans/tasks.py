@@ -88,7 +88,7 @@ def hard_negatives(items: DataFrame, seed: int) -> DataFrame:
 
 
 def causal_order(items: DataFrame, seed: int) -> DataFrame:
-    """An item and one of another group near it, and which of the two orders stands first; the bucket is their groups."""
+    """An item and one of another group, and which of the two orders stands first; the bucket is their groups."""
     other = items.select(F.col("id").alias("candidate"), F.col("grp").alias("other_grp"))
     rows = pools.in_other_group(items, "id", "grp").join(items.select("id", "grp"), "id").join(other, "candidate")
     return rows.select(F.lit("causal_event_order").alias("task_name"), "id", "candidate", seeded.draw(F.lit(2), seed, F.col("id")).alias("gold_index"), F.concat_ws("__", "grp", "other_grp").alias("balance_bucket"))

@@ -66,8 +66,7 @@ def test_pools_are_whole(spark):
     assert [far[3, k] for k in (1, 2, 3)] == [4, 2, 1]
     many = spark.range(400).select(F.col("id"), F.format_string("n%d_x", F.col("id") % 200).alias("name"), F.lit("g").alias("grp")).unionByName(spark.createDataFrame([(900, "alone", "h")], "id long, name string, grp string"))
     assert pools.top_dissimilar(many, 3, 3, 1).groupBy("id").count().where("count = 3").count() == 401
-    block = spark.range(5).withColumn("b", F.lit(0))
-    assert pools.cyclic_pairs(block, "b", "id", 1, 5).groupBy("id").agg(F.count_distinct("candidate").alias("n")).where("n = 4").count() == 5
+    assert pools.cyclic_pairs(spark.range(5), "id", 1, 5).groupBy("id").agg(F.count_distinct("candidate").alias("n")).where("n = 4").count() == 5
 
 
 def test_scoring_of_all_shapes(spark):
