@@ -120,13 +120,22 @@ def _word_before(text: str, end: int) -> tuple[str, int]:
     return text[start:end], start
 
 
+def _word_after(text: str, start: int) -> str:
+    """The word, or its rest, that begins at a place or after the spaces there; of a very long word only the beginning."""
+    while start < len(text) and text[start] in SPACES:
+        start += 1
+    end = start
+    while end < len(text) and text[end] not in SPACES and end - start < 80:
+        end += 1
+    return text[start:end]
+
+
 def _contexts(text: str, a: int, b: int) -> list[str]:
     """Patterns of a span: the two words before it; the word before and the word after, however far off. Long words are
     no context."""
     last, at = _word_before(text, a)
     first, _ = _word_before(text, at)
-    after = WORD.search(text, b)
-    first, last, after = (w.strip(TRIM).lower() for w in (first, last, after[0][:80] if after else ""))
+    first, last, after = (w.strip(TRIM).lower() for w in (first, last, _word_after(text, b)))
     out = []
     if 0 < len(first) < 40 and 0 < len(last) < 40:
         out.append(f"{first} {last} _")

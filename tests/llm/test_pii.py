@@ -45,3 +45,22 @@ def test_contexts_teach_every_kind_whatever_its_form(spark):
     assert [clean[i] for i in (40, 41)] == ["n call me at <PHONE> please"] * 2
     assert clean[42] == "n please mail to <EMAIL>, thanks" and clean[43] == "n my card is <CARD> ok"
     assert {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows[-1:], "doc_id long, text string")).collect()} == dict(rows[-1:])
+
+
+def test_a_very_long_text_without_spaces_takes_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "a@b.cc," * n
+        began = time.process_time()
+        found = pii.base_spans(text)
+        assert len(found) == n and all(len(pii._contexts(text, a, b)) <= 2 for _, a, b in found)
+        return time.process_time() - began
+
+    assert took(200_000) < 40 * took(20_000)
+
+
+def test_words_around_a_span():
+    text = "one two a@b.cc,  three" + " " * 5000 + "c@d.ee"
+    assert pii._contexts(text, 8, 14) == ["one two _"] and pii._word_after(text, 14) == ","
+    assert pii._contexts(text, len(text) - 6, len(text))[0] == ", three _" or pii._contexts(text, len(text) - 6, len(text)) == []
