@@ -63,4 +63,4 @@ def test_a_very_long_text_without_spaces_takes_time_in_proportion():
 def test_words_around_a_span():
     text = "one two a@b.cc,  three" + " " * 5000 + "c@d.ee"
     assert pii._contexts(text, 8, 14) == ["one two _"] and pii._word_after(text, 14) == ","
-    assert pii._contexts(text, len(text) - 6, len(text))[0] == ", three _" or pii._contexts(text, len(text) - 6, len(text)) == []
+    assert pii._contexts(text, len(text) - 6, len(text)) == ["a@b.cc three _"]
