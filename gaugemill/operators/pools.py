@@ -1,113 +1,65 @@
 """Candidate pools: similar, dissimilar, filtered, seeded and neighbouring rows for every target.
 
-What has something in common meets by it; what has nothing is read off a list in the order of ids, as far as needed. Rows
-of one name are taken together first, and only the few best of each name can matter. Nothing compares all rows with all.
+Scores come from ``alike``, places from ``order``; nothing compares all rows with all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.seeded import digest, draw
+from ..functions.text import tokens
+from .alike import ranked
 from .order import placed
 
-#: Names of the list tried first, kinds of rows, places of a group searched by one task.
-LIST, KINDS, PIECE = 64, 4096, 100_000
+#: Places of a group searched by one task.
+PIECE = 100_000
 
 
-def name_scores(names: DataFrame) -> DataFrame:
-    """(a, b, score) of names that share a token or a group: shared tokens, 2 for the same group, 1 if both are people.
+def _named(items: DataFrame) -> DataFrame:
+    """With what names have in common: tokens and being of people count one, the group two."""
+    people = F.when(F.startswith("name", F.lit("people_")), F.array(F.lit("_people"))).otherwise(F.array().cast("array<string>"))
+    return items.withColumn("_f1", F.concat(F.split("name", "_"), people)).withColumn("_f2", F.array(F.col("grp").cast("string")))
 
-    ``names`` has name and grp, one row a name.
-    """
-    parts = names.select("name", F.explode(F.array_distinct(F.split("name", "_"))).alias("token"))
-    pair = lambda df, on: df.select(F.col("name").alias("a"), on).join(df.select(F.col("name").alias("b"), on), on)
-    shared = pair(parts, "token").groupBy("a", "b").agg(F.count("*").alias("s"))
-    grouped = pair(names, "grp").select("a", "b", F.lit(2).alias("s"))
-    people = lambda c: F.startswith(F.col(c), F.lit("people_"))
-    both = shared.unionByName(grouped).groupBy("a", "b").agg(F.sum("s").alias("s"))
-    return both.select("a", "b", (F.col("s") + (people("a") & people("b")).cast("int")).cast("double").alias("score"))
 
+def _mixed(ranked: DataFrame, k: int, seed: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy(digest(seed, F.col("id"), F.col("candidate")), "candidate")
+    return ranked.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= k)
 
-def _unrelated(names: DataFrame, scored: DataFrame, n: int) -> DataFrame:
-    """(a, b): of every name the ``n`` first other names, by their smallest id, that it shares nothing with.
 
-    The list of names in this order is tried as far as its first ``LIST`` names; names that lack some then try four times
-    as many, and so on, so only what is related to nearly everything reads far.
-    """
-    size, open_, out, total = max(LIST, 2 * n), names.select(F.col("name").alias("a")), None, names.count()
-    while True:
-        listed = names.orderBy("least", "name").limit(size).agg(F.collect_list(F.struct("least", F.col("name").alias("b"))).alias("bs"))
-        met = open_.join(F.broadcast(listed)).select("a", F.explode("bs").alias("x")).select("a", "x.*").where("a <> b").join(scored.select("a", "b"), ["a", "b"], "left_anti")
-        near = met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("least", "b"))).where(F.col("_r") <= n)
-        part = near.select("a", "b")
-        if size >= total:
-            return part if out is None else out.unionByName(part)
-        full = part.groupBy("a").count().where(F.col("count") >= n).select("a")
-        done = part.join(full, "a", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        open_ = open_.join(full, "a", "left_anti")
-        if open_.isEmpty():
-            return out
-        size *= 4
-
-
-def _ranked(items: DataFrame, order: list[Column], cap: int, k: int, seed: int, other_names: bool) -> DataFrame:
-    names = items.groupBy("name").agg(F.min("grp").alias("grp"), F.min("id").alias("least"))
-    scored = name_scores(names)
-    first = items.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("_n") <= (1 if other_names else cap + 1))
-    pairs = scored.unionByName(_unrelated(names, scored, cap + 1).withColumn("score", F.lit(0.0)))
-    pairs = pairs.where("a <> b") if other_names else pairs
-    pool = pairs.join(first.select(F.col("name").alias("b"), F.col("id").alias("candidate")), "b")
-    pool = pool.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(*order, "candidate"))).where(F.col("_r") <= cap + 1)
-    met = items.join(pool, items["name"] == pool["a"]).where(F.col("id") != F.col("candidate"))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order, "candidate"))).where(F.col("rank") <= cap)
-    mixed = Window.partitionBy("id").orderBy(digest(seed, F.col("id"), F.col("candidate")), "candidate")
-    return ranked.withColumn("pick", F.row_number().over(mixed)).where(F.col("pick") <= k).select("id", "candidate", "score", "rank", "pick")
+def _by_name(items: DataFrame, cap: int, k: int, seed: int, end: str, other_names: bool = False) -> DataFrame:
+    rows = _named(items)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where("_n = 1") if other_names else rows
+    found = ranked(rows, first, "id", cap, {1: "_f1", 2: "_f2"}, differ=["name"] if other_names else [], end=end)
+    return _mixed(found.withColumn("score", F.col("score").cast("double")), k, seed)
 
 
 def top_similar(items: DataFrame, cap: int, k: int, seed: int, other_names: bool = False) -> DataFrame:
     """For every item ``k`` others, drawn in seeded order from the ``cap`` best of all by (score desc, id); with
     ``other_names``, of the first items of the other names. Columns id, candidate, score, rank (from 1 in the ranking), pick."""
-    return _ranked(items, [F.col("score").desc()], cap, k, seed, other_names)
+    return _by_name(items, cap, k, seed, "most", other_names)
 
 
 def top_dissimilar(items: DataFrame, cap: int, k: int, seed: int) -> DataFrame:
     """As ``top_similar`` from the worst end, (score asc, id)."""
-    return _ranked(items, [F.col("score").asc()], cap, k, seed, False)
+    return _by_name(items, cap, k, seed, "least")
 
 
-def filtered_top(rows: DataFrame, equal: list[str], differ: str, id_: str, k: int, last: bool = True) -> DataFrame:
-    """For every row the ``k`` last (or first) ids among rows with equal values in ``equal`` and another in ``differ``.
+#: What clips have in common: a trait counts as much as twenty tokens of their captions.
+TRAITS, TRAIT_WEIGHT = ("speakers", "is_talking", "delivery"), 20
 
-    Of each value of ``differ`` the last ``k`` are kept, and of these the last ``2 * k`` of the group: a row's own value
-    has at most ``k`` of them, so ``k`` others are left if there are so many.
-    """
-    end = (lambda c: F.col(c).desc()) if last else (lambda c: F.col(c).asc())
-    each = rows.select(*equal, F.col(differ).alias("_other"), F.col(id_).alias("candidate"))
-    each = each.withColumn("_n", F.row_number().over(Window.partitionBy(*equal, "_other").orderBy(end("candidate")))).where(F.col("_n") <= k)
-    few = each.withColumn("_m", F.row_number().over(Window.partitionBy(*equal).orderBy(end("candidate")))).where(F.col("_m") <= 2 * k).drop("_n", "_m")
-    met = rows.select(id_, differ, *equal).join(few, equal).where(F.col(differ) != F.col("_other"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy(id_).orderBy(end("candidate")))).where(F.col("rank") <= k).select(id_, "candidate", "rank")
 
+def clip_features(clips: DataFrame) -> DataFrame:
+    """Clips with the features of their traits and captions."""
+    traits = F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in TRAITS))
+    return clips.withColumn("_traits", traits).withColumn("_words", F.array_distinct(tokens("caption")))
 
-def least_alike(rows: DataFrame, traits: list[str], id_: str, k: int) -> DataFrame:
-    """For every row the ``k`` first others by (traits in common, id). Columns id, candidate, rank.
 
-    Rows with the same traits are one kind, and ``k + 1`` rows of a kind suffice; kinds are few values together, and it is
-    an error if there are more than ``KINDS`` of them.
-    """
-    kind = F.struct(*traits)
-    kinds = rows.select(kind.alias("kind")).distinct()
-    listed = kinds.agg(F.collect_set("kind").alias("kinds"), F.count("*").alias("n")).select("kinds", F.assert_true(F.col("n") <= KINDS, F.lit("too many kinds")).alias("ok"))
-    pairs = kinds.join(F.broadcast(listed.where("ok is null"))).select(F.col("kind").alias("a"), F.explode("kinds").alias("b"))
-    score = sum((F.col("a")[c] == F.col("b")[c]).cast("int") for c in traits)
-    few = rows.select(kind.alias("b"), F.col(id_).alias("candidate"))
-    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("b").orderBy("candidate"))).where(F.col("_n") <= k + 1)
-    pool = pairs.withColumn("_s", score).join(few, "b")
-    pool = pool.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("_s", "candidate"))).where(F.col("_r") <= k + 1)
-    met = rows.select(id_, kind.alias("a")).join(pool, "a").where(F.col(id_) != F.col("candidate"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy(id_).orderBy("_s", "candidate"))).where(F.col("rank") <= k).select(id_, "candidate", "rank")
+def clips_by_score(targets: DataFrame, pool: DataFrame, cap: int, equal: list[str] = (), differ: list[str] = (), end: str = "least") -> DataFrame:
+    """The ``cap`` clips least or most alike, as ``ranked`` has it, of those with equal and with other values; the score is
+    that of clips: a point a trait, a twentieth a token."""
+    found = ranked(clip_features(targets), clip_features(pool), "id", cap, {TRAIT_WEIGHT: "_traits", 1: "_words"}, equal, differ, end)
+    return found.withColumn("score", F.col("score") / TRAIT_WEIGHT)
 
 
 def first_neighbour(rows: DataFrame, group: str, index: str, id_: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import seeded
+from ..functions import seeded, text as T
 from .registry import Tables
 
 
@@ -17,11 +17,15 @@ SRC_ITEMS = "src_items AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS
 
 def clips(t: Tables) -> DataFrame:
     return t.conversations.select(
-        F.format_string("%d:%d", "conv_id", "turn").alias("id"), F.col("conv_id").alias("video"), F.col("turn").alias("clip_index"), F.col("role").alias("delivery"), (F.length("text") / 100.0).alias("duration"), "text", (F.col("turn") % 3 + 1).alias("speakers"), (F.length("text") % 2 == 0).alias("is_talking")
+        F.format_string("%d:%d", "conv_id", "turn").alias("id"), F.col("conv_id").alias("video"), F.col("turn").alias("clip_index"), F.col("role").alias("delivery"), (F.length("text") / 100.0).alias("duration"), "text", F.array_join(F.slice(T.tokens("text"), 1, 12), " ").alias("caption"), (F.col("turn") % 3 + 1).alias("speakers"), (F.length("text") % 2 == 0).alias("is_talking")
     )
 
 
-CLIPS = "clips AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, conv_id AS video, turn AS clip_index, role AS delivery, length(text) / 100.0::DOUBLE AS duration, text, turn % 3 + 1 AS speakers, length(text) % 2 = 0 AS is_talking FROM conversations)"
+CLIPS = "clips AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, conv_id AS video, turn AS clip_index, role AS delivery, length(text) / 100.0::DOUBLE AS duration, text, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:12], ' ') AS caption, turn % 3 + 1 AS speakers, length(text) % 2 = 0 AS is_talking FROM conversations)"
+
+
+#: Twentieths that clips ``a`` and ``z`` have in common; their words are ``w``.
+CLIP_SCORE = "20 * ((a.speakers = z.speakers)::INT + (a.is_talking = z.is_talking)::INT + (a.delivery = z.delivery)::INT) + len(list_intersect(a.w, z.w))"
 
 
 def long_items(t: Tables) -> DataFrame:

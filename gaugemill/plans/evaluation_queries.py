@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrays as A, seeded, text as T
 from ..operators import metrics as M, pools, sampling as S, scoring as P
-from .bindings import BIG_ROWS, CLIPS, LABEL_ROWS, MODEL_SCORES, SRC_ITEMS, big_rows, clips, digest_sql, draw_sql, index_rows, label_rows, model_scores, src_items
+from .bindings import BIG_ROWS, CLIP_SCORE, CLIPS, LABEL_ROWS, MODEL_SCORES, SRC_ITEMS, big_rows, clips, digest_sql, draw_sql, index_rows, label_rows, model_scores, src_items
 from .pipelines import results_table
 from .registry import Tables, query
 
@@ -214,11 +214,11 @@ def dissimilar_topk(t: Tables) -> DataFrame:
     return pools.top_dissimilar(src_items(t), 9, 3, 42)
 
 
-@query(f"""WITH {CLIPS}, b AS (SELECT *, CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END AS bucket FROM clips)
-SELECT a.id, z.id AS candidate, row_number() OVER (PARTITION BY a.id ORDER BY z.id DESC)::INT AS rank FROM b a JOIN b z ON a.clip_index = z.clip_index AND a.bucket = z.bucket AND a.delivery <> z.delivery QUALIFY rank <= 8""")
+@query(f"""WITH {CLIPS}, b AS (SELECT *, CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END AS bucket, list_distinct(string_split(caption, ' ')) AS w FROM clips)
+SELECT a.id, z.id AS candidate, round(({CLIP_SCORE}) / 20, 9) AS score, row_number() OVER (PARTITION BY a.id ORDER BY {CLIP_SCORE} DESC, z.id DESC)::INT AS rank FROM b a JOIN b z ON a.clip_index = z.clip_index AND a.bucket = z.bucket AND a.delivery <> z.delivery QUALIFY rank <= 8""")
 def filtered_topk(t: Tables) -> DataFrame:
     rows = clips(t).withColumn("bucket", T.duration_bucket("duration"))
-    return pools.filtered_top(rows, ["clip_index", "bucket"], "delivery", "id", 8)
+    return _rounded(pools.clips_by_score(rows, rows, 8, ["clip_index", "bucket"], ["delivery"], "most_last"), "score")
 
 
 FALLBACK = f"""

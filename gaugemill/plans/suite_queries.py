@@ -8,9 +8,9 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..sources import loaders, readers
 from . import packets, suites, tasks
-from .bindings import CLIPS, LONG_ITEMS, SRC_ITEMS, clips, long_items, src_items
+from .bindings import CLIPS, LONG_ITEMS, SRC_ITEMS, clips, digest_sql, long_items, src_items
 from .registry import Tables, query
-from .task_queries import _ALIKE_EVENT, _LONG_TEXT, _NEXT, OTHER_GROUP
+from .task_queries import _ALIKE, _ALIKE_EVENT, _LONG_TEXT, _NEXT, OTHER_GROUP, TOLD, _continued, _one
 
 
 def _audio() -> Column:
@@ -50,48 +50,69 @@ m AS (SELECT unnest(['foreground', 'background', 'absent']) AS g),
 r AS (SELECT 'task_1_target_sound_grounding' AS task_dir, 't1-' || id AS id, {_S1} AS prompt, name AS gold, 4 AS n_options, 4 AS n_sources, NULL AS balance_bucket, '' AS heard FROM src_items
 UNION ALL SELECT 'task_2_fine_grained_acoustic_contrast', 't2-' || id, grp, name, 2, 2, NULL, '' FROM src_items
 UNION ALL SELECT 'task_3_foreground_event_focus', 't3-' || id || '-' || g, {_S1}, g, 3, 2, NULL, 'audio/task3_foreground_focus/' || id || '-' || g || '.wav' FROM src_items, m
+UNION ALL SELECT 'task_4_acoustic_plausibility_ranking', 't4-' || id, {_S1}, name, 3, 3, NULL, '' FROM src_items
 UNION ALL SELECT 'task_5_periodicity_aware_grounding', 't5-' || id, {_S1}, CASE WHEN flag = 1 THEN '{tasks.PERIODICITY[0]}' ELSE '{tasks.PERIODICITY[1]}' END, 2, 1, NULL, {_WAV} FROM src_items
 UNION ALL SELECT 'task_6_onset_sharpness_grounding', 't6-' || id, '{suites.PROMPTS['onset_sharpness_grounding']}', CASE WHEN flag = 1 THEN '{tasks.ONSET[0]}' ELSE '{tasks.ONSET[1]}' END, 2, 1, grp, {_WAV} FROM src_items
 UNION ALL SELECT 'task_7_audio_text_hard_negative_matching', 't7-' || id, grp, {_S1}, 4, 1, NULL, {_WAV} FROM src_items
 UNION ALL SELECT 'task_8_causal_event_order', 't8-' || id || '-' || candidate, 'First ' || replace(name, '_', ' ') || ', then ' || replace(other, '_', ' ') || '.', name || '_then_' || other, 2, 2, grp || '__' || other_grp, '' FROM c)
 SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, n_sources::BIGINT AS n_sources, balance_bucket::VARCHAR AS balance_bucket, heard FROM r""")
 def suite_first_tier(t: Tables) -> DataFrame:
-    """All tasks but the ranking, some of whose rows fall out by the seed (``task_ranking`` has these)."""
-    return _shown(suites.first_tier(tier_1(t), 42, [name for name, _ in suites.TIERS["tier1"] if "ranking" not in name]))
+    """All eight tasks."""
+    return _shown(suites.first_tier(tier_1(t), 42))
 
 
-_BUCKET = "CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END"
-_D = "CASE WHEN regexp_matches(lower(text), 'laugh|chuckle|giggle') THEN 'laughter' WHEN regexp_matches(lower(text), 'shout|yell|scream|cheer') THEN 'high_energy' WHEN regexp_matches(lower(text), 'whisper|murmur|soft|quietly') THEN 'soft' ELSE 'neutral_speech' END"
 _RICH2 = "'A portrait-style video clip. ' || CASE WHEN is_talking THEN 'with a speaking subject' ELSE 'with no strong visible vocalization' END || '. and ' || speakers || ' visible speaker(s). Caption cues: ' || role || '.'"
 _SHORT2 = "CASE WHEN is_talking THEN 'A speaking portrait clip.' ELSE 'A portrait clip with little or no visible speech.' END"
 
 
-@query(f"""WITH {CLIPS.replace('clips AS', 'raw AS').replace('role AS delivery', 'role')}, clips AS (SELECT *, {_D} AS delivery, {_BUCKET} AS bucket FROM raw), {_NEXT},
-d AS (SELECT r.*, c.speakers, c.is_talking, c.delivery, c.bucket FROM r JOIN clips c USING (id)),
-x AS (SELECT 'task_1_phonic_target_grounding' AS task_dir, 'sv-t1-' || id AS id, {_RICH2} AS prompt, 'clip_' || id AS gold, 4 AS n_options, 4 AS n_sources, NULL AS balance_bucket, '' AS heard FROM clips
-UNION ALL SELECT 'task_2_speech_activity_grounding', 'sv-t2-' || id, {_RICH2}, CASE WHEN is_talking THEN '{tasks.SPEECH[0]}' ELSE '{tasks.SPEECH[1]}' END, 2, 1, NULL, {_WAV} FROM clips
-UNION ALL SELECT 'task_3_speaker_count_grounding', 'sv-t3-' || id, {_SHORT2}, CASE WHEN speakers > 1 THEN '{tasks.SPEAKERS[1]}' ELSE '{tasks.SPEAKERS[0]}' END, 2, 1, delivery || '|' || bucket, {_WAV} FROM clips
+def _continued_rows(n: int, task: str, seed: int, tags: str, bucket: str) -> str:
+    """The rows of a continuation, of which one right and one wrong candidate are drawn from eight each."""
+    draw = lambda pool: _one(pool, seed)
+    return f"""UNION ALL SELECT 'task_{n}_{task}', 'sv-t{n}-' || c.id, '{suites.PROMPTS[task]}', z.text, 2, 3, {bucket}, '/audio/' || c.id || '.wav'
+FROM {draw(f'same_{tags}')} x JOIN {draw(f'other_{tags}')} y USING (id) JOIN b c USING (id) JOIN clips z ON z.id = x.wrong"""
+
+
+def _parted(sql: str, tags: str) -> str:
+    """Only the two pools of a continuation's SQL, under other names."""
+    body = sql[sql.index("same_ AS") : sql.rindex("o AS (SELECT id, x.wrong")].rstrip().rstrip(",")
+    return body.replace("same_ AS", f"same_{tags} AS").replace("other_ AS", f"other_{tags} AS")
+
+
+_BY_DELIVERY = "c.delivery || '|' || c.bucket"
+_BY_SPEAKERS = "CASE WHEN c.speakers > 1 THEN 'multiple_speakers' ELSE 'single_speaker' END || '|' || c.bucket"
+
+
+@query(f"""WITH {TOLD}, {_ALIKE}, {_NEXT}, l AS (SELECT * FROM b WHERE {_LONG_TEXT}), {_parted(_continued('speakers', 48), 's')}, {_parted(_continued('delivery', 49), 'd')},
+ln AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY clip_index, id) AS n FROM l), lr AS (SELECT a.id, z.text FROM ln a JOIN ln z ON a.video = z.video AND z.n = CASE WHEN a.n = 1 THEN 2 ELSE 1 END),
+d AS (SELECT r.*, c.delivery, c.bucket FROM r JOIN b c USING (id)),
+x AS (SELECT 'task_1_phonic_target_grounding' AS task_dir, 'sv-t1-' || id AS id, {_RICH2} AS prompt, 'clip_' || id AS gold, 4 AS n_options, 4 AS n_sources, NULL AS balance_bucket, '' AS heard FROM told
+UNION ALL SELECT 'task_2_speech_activity_grounding', 'sv-t2-' || id, {_RICH2}, CASE WHEN is_talking THEN '{tasks.SPEECH[0]}' ELSE '{tasks.SPEECH[1]}' END, 2, 1, NULL, {_WAV} FROM told
+UNION ALL SELECT 'task_3_speaker_count_grounding', 'sv-t3-' || id, {_SHORT2}, CASE WHEN speakers > 1 THEN '{tasks.SPEAKERS[1]}' ELSE '{tasks.SPEAKERS[0]}' END, 2, 1, delivery || '|' || bucket, {_WAV} FROM b
 UNION ALL SELECT 'task_4_dyadic_matching', 'sv-t4-' || id, '{suites.PROMPTS['dyadic_matching']}', 'clip_' || right_, 2, 3, delivery || '|' || bucket, {_WAV} FROM d
-UNION ALL SELECT 'task_5_delivery_style_grounding', 'sv-t5-' || id, {_SHORT2}, list_extract({list(tasks.DELIVERY_OPTIONS)}, list_position({list(tasks.DELIVERIES)}, delivery)::INT), 4, 1, NULL, {_WAV} FROM clips)
-SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, n_sources::BIGINT AS n_sources, balance_bucket::VARCHAR AS balance_bucket, heard FROM x""")
+UNION ALL SELECT 'task_5_delivery_style_grounding', 'sv-t5-' || id, {_SHORT2}, list_extract({list(tasks.DELIVERY_OPTIONS)}, list_position({list(tasks.DELIVERIES)}, delivery)::INT), 4, 1, NULL, {_WAV} FROM clips
+UNION ALL SELECT 'task_6_turn_holding_continuation', 'sv-t6-' || c.id, '{suites.PROMPTS['turn_holding_continuation']}', lr.text, 2, 3, {_BY_DELIVERY}, '/audio/' || c.id || '.wav' FROM {_one('least_', 47)} y JOIN l wl ON wl.id = y.wrong JOIN b c ON c.id = y.id JOIN lr ON lr.id = y.id
+{_continued_rows(7, 'speaker_count_aware_continuation', 48, 's', _BY_DELIVERY)}
+{_continued_rows(8, 'delivery_conditioned_continuation', 49, 'd', _BY_SPEAKERS)})
+SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, n_sources::BIGINT AS n_sources, balance_bucket::VARCHAR AS balance_bucket, heard FROM x""".replace("FROM told", "FROM (SELECT b.*, o.delivery AS role FROM b JOIN raw o USING (id))"))
 def suite_second_tier(t: Tables) -> DataFrame:
-    """Without the continuations, whose rows depend on which negative is drawn (they have queries of their own)."""
-    return _shown(suites.second_tier(tier_2(t), 42, [name for name, _ in suites.TIERS["tier2"] if "continuation" not in name]))
+    """All eight tasks."""
+    return _shown(suites.second_tier(tier_2(t), 42))
 
 
 _RICH3 = "'A long-form clip from LFAV. where ' || replace(event, '_', ' ') || ' is central. and may co-occur with ' || replace(secondary, '_', ' ') || CASE WHEN mode <> 'unknown' THEN '. with a ' || replace(mode, '_', ' ') || ' interaction pattern' ELSE '' END || '.'"
 
 
-@query(f"""WITH {LONG_ITEMS}, {_ALIKE_EVENT.replace('{seed}', '43')}, near AS (SELECT * FROM s), o AS (SELECT id, candidate, text FROM near JOIN long_items USING (id) ORDER BY id LIMIT 1024),
+@query(f"""WITH {LONG_ITEMS}, {_ALIKE_EVENT.replace('{seed}', '43')}, near AS (SELECT * FROM s), o AS (SELECT id, candidate, text FROM near JOIN long_items USING (id) ORDER BY id LIMIT 1024), next_ AS (SELECT id, candidate FROM (SELECT id, candidate, tag, {digest_sql(44, 'candidate')} AS h FROM z) QUALIFY row_number() OVER (PARTITION BY id ORDER BY tag, h, candidate) = 1),
 x AS (SELECT 'task_1_event_window_grounding' AS task_dir, 't3-1-' || id AS id, {_RICH3} AS prompt, id::VARCHAR AS gold, 4 AS n_options, '' AS heard FROM long_items
 UNION ALL SELECT 'task_2_coarse_event_order', 't3-2-' || id, 'Which sequence better matches this long-form context: ' || text || '?', 'audio/task2_coarse_order/' || id || '__then__' || candidate || '.wav', 2, '' FROM o
+UNION ALL SELECT 'task_3_narrative_continuation_plausibility', 't3-3-' || id, '{suites.PROMPTS['narrative_continuation_plausibility']}', candidate::VARCHAR, 3, {_WAV} FROM next_
 UNION ALL SELECT 'task_4_long_context_event_retrieval', 't3-4-' || id, replace(event, '_', ' '), id::VARCHAR, 4, '' FROM long_items
 UNION ALL SELECT 'task_5_speaker_event_overlap', 't3-5-' || id, 'A long-form audio clip involving ' || replace(event, '_', ' ') || '.', mode, 2, {_WAV} FROM long_items WHERE mode <> 'unknown'
 UNION ALL SELECT 'task_6_sequential_causal_consistency', 't3-6-' || id, {_RICH3}, replace(event, '_', ' ') || ' followed by ' || replace(secondary, '_', ' '), 2, {_WAV} FROM long_items)
 SELECT task_dir, id, prompt, gold, n_options::BIGINT AS n_options, heard FROM x""")
 def suite_third_tier(t: Tables) -> DataFrame:
-    """From all long items; the continuation has a query of its own. 1,024 orders are the task's own budget."""
-    rows = suites.third_tier(tier_3(t), 42, None, only=[name for name, _ in suites.TIERS["tier3"] if "continuation" not in name])
+    """All six tasks from all long items; 1,024 orders are the task's own budget."""
+    rows = suites.third_tier(tier_3(t), 42, None)
     return _shown(rows).drop("balance_bucket", "n_sources")
 
 

@@ -141,8 +141,8 @@ def second_tier(clips: DataFrame, seed: int = 42, only: list[str] | None = None)
         "dyadic_matching": lambda: _row(_met(tasks.dyadic(clips, seed + 3), clips), "tier2", "dyadic_matching", candidate_audio_paths=_each("audio_path"), candidate_labels=_each("label"), balance_bucket=by_delivery, **pair),
         "delivery_style_grounding": lambda: _row(_known(tasks.delivery_style(clips), clips), "tier2", "delivery_style_grounding", short, **fixed),
         "turn_holding_continuation": lambda: _row(_met(tasks.turn_holding(clips, seed + 5), clips), "tier2", "turn_holding_continuation", balance_bucket=by_delivery, **texts),
-        "speaker_count_aware_continuation": lambda: _row(_met(tasks.continuation(clips, ["delivery"], "speakers", "speaker_count_aware_continuation", seed + 6), clips), "tier2", "speaker_count_aware_continuation", balance_bucket=by_delivery, **texts),
-        "delivery_conditioned_continuation": lambda: _row(_met(tasks.continuation(clips, ["speakers"], "delivery", "delivery_conditioned_continuation", seed + 7), clips), "tier2", "delivery_conditioned_continuation", delivery_label=F.col("own.delivery"), balance_bucket=by_speakers, **texts),
+        "speaker_count_aware_continuation": lambda: _row(_met(tasks.continuation(clips, "speakers", "speaker_count_aware_continuation", seed + 6), clips), "tier2", "speaker_count_aware_continuation", balance_bucket=by_delivery, **texts),
+        "delivery_conditioned_continuation": lambda: _row(_met(tasks.continuation(clips, "delivery", "delivery_conditioned_continuation", seed + 7), clips), "tier2", "delivery_conditioned_continuation", delivery_label=F.col("own.delivery"), balance_bucket=by_speakers, **texts),
     }, only)
 
 

@@ -8,7 +8,7 @@ from ..operators import models, scoring as P
 from ..sources import readers, writers
 from ..functions import text as T
 from . import tasks
-from .bindings import CLIPS, LABEL_ROWS, LONG_ITEMS, SRC_ITEMS, clips, digest_sql, draw_sql, label_rows, long_items, src_items
+from .bindings import CLIP_SCORE, CLIPS, LABEL_ROWS, LONG_ITEMS, SRC_ITEMS, clips, digest_sql, draw_sql, label_rows, long_items, src_items
 from .evaluation_queries import SCORED
 from .registry import Tables, query
 
@@ -30,10 +30,8 @@ def task_three_way(t: Tables) -> DataFrame:
     return tasks.foreground(src_items(t)).select("id", "gold_label", "volume", "other_volume")
 
 
-_PICK = "SELECT id, candidate FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {d}, candidate) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {o}, candidate) AS rank FROM q WHERE {w}) WHERE rank <= 3) WHERE pick = 1".format
-
-
-@query(f"""WITH {SCORED}, near AS ({_PICK(d=digest_sql(5, 'id', 'candidate'), o='score DESC', w='true')}), far AS ({_PICK(d=digest_sql(5, 'id', 'candidate'), o='score', w='true')}),
+@query(f"""WITH {SCORED}, near AS (SELECT id, candidate FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate) <= 3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {digest_sql(5, 'id', 'candidate')}, candidate) = 1),
+far AS (SELECT id, candidate FROM (SELECT q.id, q.candidate FROM q JOIN near USING (id) WHERE q.candidate <> near.candidate QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score, q.candidate) <= 3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {digest_sql(5, 'id', 'candidate')}, candidate) = 1),
 u AS (SELECT id, unnest([near.id, near.candidate, far.candidate]) AS v, unnest([0, 1, 2]) AS i FROM near JOIN far USING (id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {digest_sql(5, 'id', 'i')}, i) - 1 AS k FROM u)
 SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS options, string_agg(k::VARCHAR, '>' ORDER BY i) AS gold_ranking FROM k GROUP BY id""")
@@ -50,24 +48,41 @@ def _one(pool: str, seed: int) -> str:
     return f"(SELECT id, candidate AS wrong FROM {pool} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {digest_sql(seed, 'id', 'candidate')}, candidate) = 1)"
 
 
-_ALIKE = """b AS (SELECT *, CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END AS bucket FROM clips),
-least_ AS (SELECT a.id, z.id AS candidate FROM clips a JOIN clips z ON a.id <> z.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.speakers = z.speakers)::INT + (a.is_talking = z.is_talking)::INT + (a.delivery = z.delivery)::INT, z.id) <= 8)"""
+_ALIKE = f"""b AS (SELECT *, CASE WHEN duration < 2.5 THEN 'short' WHEN duration < 5 THEN 'medium' ELSE 'long' END AS bucket, list_distinct(string_split(caption, ' ')) AS w FROM clips),
+least_ AS (SELECT a.id, z.id AS candidate FROM b a JOIN b z ON a.id <> z.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {CLIP_SCORE}, z.id) <= 8)"""
 
 
 @query(f"""WITH {CLIPS}, {_NEXT}, {_ALIKE},
-near AS (SELECT a.id, z.id AS candidate FROM b a JOIN b z ON a.speakers = z.speakers AND a.is_talking = z.is_talking AND a.delivery = z.delivery AND a.bucket = z.bucket AND a.video <> z.video QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY z.id) <= 8),
+near AS (SELECT a.id, z.id AS candidate FROM b a JOIN b z ON a.speakers = z.speakers AND a.is_talking = z.is_talking AND a.delivery = z.delivery AND a.bucket = z.bucket AND a.video <> z.video QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {CLIP_SCORE}, z.id) <= 8),
 w AS (SELECT * FROM {_one('near', 6)} UNION ALL SELECT * FROM {_one('least_', 6)} WHERE id NOT IN (SELECT id FROM near)), o AS (SELECT id, right_, wrong FROM r JOIN w USING (id)),
 {_mixed(['right_', 'wrong'], 6)}""")
 def task_dyadic(t: Tables) -> DataFrame:
     return _flat(tasks.dyadic(clips(t), 6))
 
 
-@query(f"""WITH {CLIPS}, l AS (SELECT * FROM clips WHERE len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) >= 4),
-x AS (SELECT a.id, max(z.id) AS right_ FROM l a JOIN l z ON a.clip_index = z.clip_index AND a.delivery = z.delivery AND a.video <> z.video GROUP BY a.id),
-w AS (SELECT a.id, max(z.id) AS wrong FROM l a JOIN l z ON a.clip_index = z.clip_index AND a.delivery <> z.delivery GROUP BY a.id), o AS (SELECT id, right_, wrong FROM x JOIN w USING (id)),
-{_mixed(['right_', 'wrong'], 8)}""".replace("\\\\", "\\"))
+_LONG_TEXT = "len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) >= 4"
+
+
+def _continued(differ: str, seed: int, clips: str = CLIPS, own: str = "true") -> str:
+    """Clips with a text that agrees in count, delivery and duration, and one that doesn't in ``differ``."""
+    same = " AND ".join(f"a.{c} = z.{c}" for c in ("speakers", "delivery", "bucket") if c != differ)
+    return f"""{clips}, {_ALIKE}, l AS (SELECT * FROM b WHERE {_LONG_TEXT}),
+same_ AS (SELECT a.id, z.id AS candidate FROM l a JOIN l z ON {same} AND a.{differ} = z.{differ} AND a.video <> z.video WHERE a.{own} QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {CLIP_SCORE} DESC, z.id DESC) <= 8),
+other_ AS (SELECT a.id, z.id AS candidate FROM l a JOIN l z ON {same} AND a.{differ} <> z.{differ} AND a.video <> z.video WHERE a.{own} QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {CLIP_SCORE}, z.id) <= 8),
+o AS (SELECT id, x.wrong AS right_, y.wrong FROM {_one('same_', seed)} x JOIN {_one('other_', seed)} y USING (id))""".replace("a.true", "true")
+
+
+#: Clips with the delivery that their texts tell of, as the second tier takes them.
+TOLD = CLIPS.replace("clips AS", "raw AS") + """, clips AS (SELECT * EXCLUDE (delivery), CASE WHEN regexp_matches(lower(text), 'laugh|chuckle|giggle') THEN 'laughter' WHEN regexp_matches(lower(text), 'shout|yell|scream|cheer') THEN 'high_energy'
+ WHEN regexp_matches(lower(text), 'whisper|murmur|soft|quietly') THEN 'soft' ELSE 'neutral_speech' END AS delivery FROM raw)"""
+#: Deliveries of the four classes by the role and the turn, so that all occur; one turn in five has none.
+ACTED = CLIPS.replace("clips AS", "raw AS") + f", clips AS (SELECT * EXCLUDE (delivery), CASE WHEN clip_index % 5 = 4 THEN 'other' ELSE list_extract({list(tasks.DELIVERIES)}, (length(text) % 4 + 1)::INT) END AS delivery FROM raw)"
+
+
+@query(f"WITH {_continued('delivery', 8, ACTED, 'delivery <> ' + repr('other'))}, {_mixed(['right_', 'wrong'], 8)}")
 def task_delivery_continuation(t: Tables) -> DataFrame:
-    return _flat(tasks.continuation(clips(t), ["clip_index"], "delivery", "delivery_conditioned_continuation", 8))
+    acted = F.when(F.col("clip_index") % 5 == 4, "other").otherwise(F.get(F.array(*map(F.lit, tasks.DELIVERIES)), (F.length("text") % 4).cast("int")))
+    return _flat(tasks.continuation(clips(t).withColumn("delivery", acted), "delivery", "delivery_conditioned_continuation", 8))
 
 
 @query(f"WITH {LABEL_ROWS} SELECT lang, count(*) AS n, round(avg((gold_label = 'low')::INT), 9) AS accuracy FROM label_rows GROUP BY lang")
@@ -161,21 +176,15 @@ def task_causal_order(t: Tables) -> DataFrame:
     return tasks.causal_order(src_items(t), 2).select("id", "candidate", "gold_index", "balance_bucket")
 
 
-_LONG_TEXT = "len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) >= 4"
-
-
 @query(f"""WITH {CLIPS}, l AS (SELECT * FROM clips WHERE {_LONG_TEXT}), {_NEXT.replace('FROM clips)', 'FROM l)')}, {_ALIKE}, w AS (SELECT x.* FROM {_one('least_', 7)} x JOIN l ON l.id = x.wrong),
 o AS (SELECT id, right_, wrong FROM r JOIN w USING (id)), {_mixed(['right_', 'wrong'], 7)}""")
 def task_turn_holding(t: Tables) -> DataFrame:
     return _flat(tasks.turn_holding(clips(t), 7))
 
 
-@query(f"""WITH {CLIPS}, l AS (SELECT * FROM clips WHERE {_LONG_TEXT}),
-x AS (SELECT a.id, max(z.id) AS right_ FROM l a JOIN l z ON a.delivery = z.delivery AND a.speakers = z.speakers AND a.video <> z.video GROUP BY a.id),
-w AS (SELECT a.id, max(z.id) AS wrong FROM l a JOIN l z ON a.delivery = z.delivery AND a.speakers <> z.speakers GROUP BY a.id), o AS (SELECT id, right_, wrong FROM x JOIN w USING (id)),
-{_mixed(['right_', 'wrong'], 9)}""")
+@query(f"WITH {_continued('speakers', 9)}, {_mixed(['right_', 'wrong'], 9)}")
 def task_speaker_continuation(t: Tables) -> DataFrame:
-    return _flat(tasks.continuation(clips(t), ["delivery"], "speakers", "speaker_count_aware_continuation", 9))
+    return _flat(tasks.continuation(clips(t), "speakers", "speaker_count_aware_continuation", 9))
 
 
 def _others(seed: int, k: int) -> str:

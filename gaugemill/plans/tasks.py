@@ -1,7 +1,7 @@
 """Task rows from source tables: each builder turns items and their pools into options with a seeded order and a gold.
 
-Items of the first tier have id, name, grp, flag; clips of the second id, video, clip_index, delivery, duration, text and
-speakers; long items of the third id, event, scenario, mode, text.
+Items of the first tier have id, name, grp, flag; clips of the second id, video, clip_index, delivery, duration, text,
+caption, is_talking and speakers; long items of the third id, event, scenario, mode, text.
 """
 
 from __future__ import annotations
@@ -60,11 +60,12 @@ def foreground(items: DataFrame) -> DataFrame:
 
 
 def plausibility_ranking(items: DataFrame, seed: int) -> DataFrame:
-    """The item, a similar and a dissimilar one, in seeded order, with the ranking that puts them so."""
+    """The item, a similar and a dissimilar one that isn't the similar one, in seeded order, with the ranking that puts
+    them so."""
     near = pools.top_similar(items, 3, 1, seed).select("id", F.col("candidate").alias("near"))
-    far = pools.top_dissimilar(items, 3, 1, seed).select("id", F.col("candidate").alias("far"))
-    both = near.join(far, "id").where("near <> far")
-    mixed = both.withColumn("_m", seeded.shuffled(F.array("id", "near", "far"), seed, F.col("id")))
+    far = pools.top_dissimilar(items, 4, 4, seed).join(near, "id").where("candidate <> near")
+    far = far.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("rank"))).where("_r <= 3").groupBy("id", "near").agg(F.min_by("candidate", "pick").alias("far"))
+    mixed = far.withColumn("_m", seeded.shuffled(F.array("id", "near", "far"), seed, F.col("id")))
     order = F.transform(F.array(*(F.lit(i) for i in range(3))), lambda i: F.array_position(F.transform("_m", lambda s: s["i"]), i) - 1)
     return mixed.select(F.lit("acoustic_plausibility_ranking").alias("task_name"), "id", F.transform("_m", lambda s: s["v"]).alias("candidates"), order.alias("gold_ranking"))
 
@@ -112,47 +113,53 @@ def delivery_style(clips: DataFrame) -> DataFrame:
     return clips.where(F.col("delivery").isin(*DELIVERIES)).select(F.lit("delivery_style_grounding").alias("task_name"), "id", F.array(*map(F.lit, DELIVERY_OPTIONS)).alias("options"), place.alias("gold_index"))
 
 
-TRAITS = ["speakers", "is_talking", "delivery"]
+def _drawn(pool: DataFrame, seed: int, name: str) -> DataFrame:
+    """One candidate of each id in seeded order."""
+    best = F.min(F.struct(seeded.digest(seed, F.col("id"), F.col("candidate")).alias("h"), F.col("candidate").alias("c")))
+    return pool.groupBy("id").agg(best.alias("x")).select("id", F.col("x.c").alias(name))
 
 
-def _negatives(clips: DataFrame, controlled: DataFrame, seed: int) -> DataFrame:
-    """One of up to eight controlled candidates in seeded order; for clips without any, one of the eight least alike."""
-    draw_one = lambda pool: pool.groupBy("id").agg(F.min(F.struct(seeded.digest(seed, F.col("id"), F.col("candidate")).alias("h"), F.col("candidate").alias("c"))).alias("x")).select("id", F.col("x.c").alias("wrong"))
-    best = draw_one(controlled)
-    rest = clips.join(best, "id", "left_anti").select("id")
-    return best.unionByName(draw_one(pools.least_alike(clips, TRAITS, "id", 8).join(rest, "id", "left_semi")))
+def _spoken(clips: DataFrame) -> DataFrame:
+    """Clips with texts of four tokens at least."""
+    return clips.where(F.size(T.tokens("text")) >= 4)
 
 
 def phonic_target(clips: DataFrame, seed: int) -> DataFrame:
     """Three in seeded order of the eight clips least alike."""
     w = Window.partitionBy("id").orderBy(seeded.digest(seed, F.col("id"), F.col("candidate")), "candidate")
-    pool = pools.least_alike(clips, TRAITS, "id", 8).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= 3)
+    pool = pools.clips_by_score(clips, clips, 8).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= 3)
     return with_options(_gathered(pool), "phonic_target_grounding", "id", "others", seed)
 
 
 def dyadic(clips: DataFrame, seed: int) -> DataFrame:
-    """The first other clip of the same video against one of another video that is alike in speakers, delivery, duration
-    and talking, or else the least alike of all."""
+    """The first other clip of the same video against one of eight of other videos that are alike in speakers, delivery,
+    duration and talking and least alike in words, or else one of the eight least alike of all."""
     right = pools.first_neighbour(clips, "video", "clip_index", "id").select("id", F.col("neighbour").alias("right"))
     alike = clips.withColumn("bucket", T.duration_bucket("duration"))
-    wrong = _negatives(clips, pools.filtered_top(alike, [*TRAITS, "bucket"], "video", "id", 8, last=False), seed)
+    best = _drawn(pools.clips_by_score(alike, alike, 8, [*pools.TRAITS, "bucket"], ["video"]), seed, "wrong")
+    rest = clips.join(best, "id", "left_anti")
+    wrong = best.unionByName(_drawn(pools.clips_by_score(rest, clips, 8), seed, "wrong"))
     return with_options(right.join(wrong.select("id", F.array("wrong").alias("wrong")), "id"), "dyadic_matching", "right", "wrong", seed)
 
 
-def continuation(clips: DataFrame, equal: list[str], differ: str, task: str, seed: int) -> DataFrame:
-    """A text that agrees in ``differ`` against one that doesn't, both alike in ``equal``; texts of four tokens at least."""
-    long = clips.where(F.size(T.tokens("text")) >= 4)
-    right = pools.filtered_top(long, [*equal, differ], "video", "id", 1).select("id", F.col("candidate").alias("right"))
-    wrong = pools.filtered_top(long, equal, differ, "id", 1).select("id", F.array("candidate").alias("wrong"))
-    return with_options(right.join(wrong, "id"), task, "right", "wrong", seed)
+def continuation(clips: DataFrame, differ: str, task: str, seed: int) -> DataFrame:
+    """A text of another video that agrees in speakers, delivery and duration, one of the eight most alike, against one of
+    the eight least alike that are of another video and have another value in ``differ``; texts of four tokens at least,
+    and for deliveries clips of these classes only."""
+    long = _spoken(clips).withColumn("bucket", T.duration_bucket("duration"))
+    own = long.where(F.col("delivery").isin(*DELIVERIES)) if differ == "delivery" else long
+    same = ["speakers", "delivery", "bucket"]
+    right = _drawn(pools.clips_by_score(own, long, 8, same, ["video"], "most_last"), seed, "right")
+    wrong = _drawn(pools.clips_by_score(own, long, 8, [c for c in same if c != differ], [differ, "video"]), seed, "wrong")
+    return with_options(right.join(wrong.select("id", F.array("wrong").alias("wrong")), "id"), task, "right", "wrong", seed)
 
 
 def turn_holding(clips: DataFrame, seed: int) -> DataFrame:
-    """The first other clip of the same video with text against one of the least alike; dropped if that one has under
-    four tokens."""
-    long = clips.where(F.size(T.tokens("text")) >= 4)
+    """The first other clip of the same video with text against one of the eight least alike; dropped if that one has
+    under four tokens."""
+    long = _spoken(clips)
     right = pools.first_neighbour(long, "video", "clip_index", "id").select("id", F.col("neighbour").alias("right"))
-    wrong = _negatives(clips, clips.select("id", F.lit(None).cast("string").alias("candidate")).where(F.lit(False)), seed).join(long.select(F.col("id").alias("wrong")), "wrong", "left_semi")
+    wrong = _drawn(pools.clips_by_score(long, clips, 8), seed, "wrong").join(long.select(F.col("id").alias("wrong")), "wrong", "left_semi")
     return with_options(right.join(wrong.select("id", F.array("wrong").alias("wrong")), "id"), "turn_holding_continuation", "right", "wrong", seed)
 
 

@@ -123,8 +123,8 @@ def test_builders_have_one_gold_and_distinct_options(spark):
     items, clips = bindings.src_items(t), bindings.clips(t)
     long = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("event"), (F.col("user_id") % 5).alias("scenario"), F.lit("unknown").alias("mode"), F.col("props").alias("text"), F.lit("x_y").alias("secondary"))
     made = [
-        tasks.target_sound(items, 1), tasks.acoustic_contrast(items, 1), tasks.hard_negatives(items, 1), tasks.dyadic(clips, 1), tasks.turn_holding(clips, 1),
-        tasks.continuation(clips, ["clip_index"], "delivery", "delivery_conditioned_continuation", 1), tasks.event_window(long, 1), tasks.event_retrieval(long, 1), tasks.narrative(long, 1), tasks.sequential(long, 1),
+        tasks.target_sound(items, 1), tasks.acoustic_contrast(items, 1), tasks.hard_negatives(items, 1), tasks.dyadic(clips, 1),
+        tasks.continuation(clips, "speakers", "speaker_count_aware_continuation", 1), tasks.event_window(long, 1), tasks.event_retrieval(long, 1), tasks.narrative(long, 1), tasks.sequential(long, 1),
     ]
     for df in made:
         rows = df.collect()
@@ -132,6 +132,8 @@ def test_builders_have_one_gold_and_distinct_options(spark):
         for r in rows:
             assert 0 <= r.gold_index < len(r.options) and len(set(r.options)) == len(r.options) >= 2
     assert all(r.options[r.gold_index] == r.id for r in made[0].collect())
+    held = tasks.turn_holding(clips, 1).collect()  # by the rule its wrong clip may be of the same video, even the right one
+    assert held and all(len(r.options) == 2 and r.id not in r.options for r in held) and tasks.continuation(clips, "delivery", "d", 1).count() == 0
     ranked = tasks.plausibility_ranking(items, 1).collect()
     assert ranked and all(sorted(r.gold_ranking) == [0, 1, 2] and r.candidates[r.gold_ranking[0]] == r.id for r in ranked)
     assert tasks.foreground(items).count() == 3 * items.count()
