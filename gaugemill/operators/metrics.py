@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.seeded import draw
-
-POISSON_RANGE = 10**9
-#: Where the chances of at most 0, 1, 2, ... end, out of POISSON_RANGE.
-POISSON_EDGES = [round(POISSON_RANGE * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
+from .resample import replicate_means
 
 
 def macro_f1(rows: DataFrame, by: list[str], gold: str, predicted: str) -> DataFrame:
@@ -39,30 +34,39 @@ def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
 
 
-def replicate_means(rows: DataFrame, by: list[str], value: str, order: list[str], samples: int, seed: int) -> DataFrame:
-    """Mean of each bootstrap replicate of each group; a row counts in a replicate as often as a seeded Poisson draw says.
-
-    Such counts are, for many rows, those of drawing as many rows with replacement, and need neither ordinals nor a join:
-    all replicates are sums in one pass, combined before the shuffle, which carries groups times replicates. Replicates
-    in which no row counts are left out. ``order`` are the key columns of a row.
-    """
-    drawn = rows.select(*by, value, *order, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    times = poisson(draw(F.lit(POISSON_RANGE), seed, *map(F.col, [*by, "b", *order])))
-    sums = drawn.withColumn("times", times).groupBy(*by, "b").agg(F.sum(F.col(value) * F.col("times")).alias("v"), F.sum("times").alias("n"))
-    return sums.where("n > 0").select(*by, "b", (F.col("v") / F.col("n")).alias("mean"))
-
-
-def poisson(u: Column) -> Column:
-    """A count of mean one from an even whole number below ``POISSON_RANGE``."""
-    return sum((u >= F.lit(edge)).cast("int") for edge in POISSON_EDGES)
-
-
 def bootstrap_ci(rows: DataFrame, by: list[str], value: str, order: list[str], samples: int = 100, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """Mean and percentile interval (linear interpolation) of each group."""
     tail = (1 - confidence) / 2
     means = replicate_means(rows, by, value, order, samples, seed)
     ends = means.groupBy(*by).agg(F.percentile("mean", F.lit(tail)).alias("ci_low"), F.percentile("mean", F.lit(1 - tail)).alias("ci_high"))
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(ends, by)
+    return with_columns(rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n")), ends, by)
+
+
+def with_columns(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Joined on the columns, in which nulls are values; of tables of one row each if there are none."""
+    if not by:
+        return left.crossJoin(right)
+    other = right.toDF(*(f"_{c}" if c in by else c for c in right.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return left.join(other, same, how).drop(*(f"_{c}" for c in by))
+
+
+def at_levels(rows: DataFrame, outer: str, inner: str) -> DataFrame:
+    """Every row once by task, once by suite and once over all: ``level`` 0, 1 and 3, as grouping sets number them, and
+    null in the columns that a level leaves out."""
+    levels = F.array(*(F.struct(F.lit(n).cast("long").alias("level"), (F.col(outer) if n < 3 else F.lit(None).cast(rows.schema[outer].dataType)).alias(outer), (F.col(inner) if n == 0 else F.lit(None).cast(rows.schema[inner].dataType)).alias(inner)) for n in (0, 1, 3)))
+    rest = [c for c in rows.columns if c not in (outer, inner)]
+    return rows.select(*rest, F.explode(levels).alias("_l")).select(*rest, "_l.*")
+
+
+def level_intervals(rows: DataFrame, outer: str, inner: str, metric: str, order: list[str], samples: int = 100, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """Count, mean and interval by task, by suite and over all, in one pass."""
+    return bootstrap_ci(at_levels(rows.select(outer, inner, metric, *order), outer, inner), [outer, inner, "level"], metric, order, samples, seed, confidence)
+
+
+def level_comparison(rows: DataFrame, outer: str, inner: str, current: str, reference: str, order: list[str], samples: int = 100, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """Paired differences with interval, p and effect size by task, by suite and over all, in one pass."""
+    return paired_comparison(at_levels(rows.select(outer, inner, current, reference, *order), outer, inner), [outer, inner, "level"], current, reference, order, samples, seed, confidence)
 
 
 def effect_size(value: str) -> Column:
@@ -82,7 +86,8 @@ def paired_comparison(rows: DataFrame, by: list[str], current: str, reference: s
         F.percentile("mean", F.lit(1 - tail)).alias("ci_high"),
         F.least(F.lit(1.0), 2.0 * F.least(above + 1, below + 1) / (F.count("*") + 1)).alias("p_value"),
     )
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("difference").alias("observed_difference"), effect_size("difference").alias("hedges_g")).join(ends, by)
+    seen = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("difference").alias("observed_difference"), effect_size("difference").alias("hedges_g"))
+    return with_columns(seen, ends, by)
 
 
 def deduplicated(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:

@@ -34,8 +34,8 @@ def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     Rows are cut into ranges, sorted and numbered where they lie, and written; a range begins where the sizes of those
     before it end. Rows that agree in all of ``order`` are of one range, so the last column should tell rows apart.
     """
-    numbered = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    cut = numbered.withColumn("_piece", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    before = F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
-    begins = cut.groupBy("_piece").agg(F.count("*").alias("_n")).select("_piece", F.coalesce(before, F.lit(0)).alias("_begin"))
-    return cut.join(begins, "_piece").withColumn(name, F.col("_begin") + F.col("_at")).drop("_piece", "_at", "_begin")
+    numbered = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_placed", F.monotonically_increasing_id()))
+    cut = numbered.withColumn("_range", F.shiftright("_placed", 33)).withColumn("_placed", F.col("_placed").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.sum("_sized").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    begins = cut.groupBy("_range").agg(F.count("*").alias("_sized")).select("_range", F.coalesce(before, F.lit(0)).alias("_begin"))
+    return cut.join(begins, "_range").select(*rows.columns, (F.col("_begin") + F.col("_placed")).alias(name))

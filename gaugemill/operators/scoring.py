@@ -62,7 +62,8 @@ def index_metrics(gold: Column, predicted: Column) -> dict[str, Column]:
 
 
 def score(rows: DataFrame, empty_scores: str = "reference") -> DataFrame:
-    """Adds gold_kind and primary_metric to rows of the task schema joined with their predictions."""
+    """Adds gold_kind, primary_metric and, for labels, predicted_label_text to rows of the task schema joined with their
+    predictions."""
     n = F.size(F.coalesce("candidate_audio_paths", "text_options", "label_space"))
     ranked = predicted_ranking(F.col("predicted_ranking"), F.col("scores"), F.col("predicted_index"), n, empty_scores)
     kind = gold_kind(F.col("task_name"), F.col("gold_label"), F.col("gold_index"))
@@ -71,7 +72,8 @@ def score(rows: DataFrame, empty_scores: str = "reference") -> DataFrame:
         .when(kind == "label", label_metrics(F.col("label_space"), F.col("predicted_index"), F.col("gold_label"))["primary_metric"])
         .when(kind == "index", index_metrics(F.col("gold_index"), ranked)["primary_metric"])
     )
-    return rows.withColumn("gold_kind", kind).withColumn("primary_metric", metric)
+    said = F.when(kind == "label", label_metrics(F.col("label_space"), F.col("predicted_index"), F.col("gold_label"))["predicted_label_text"])
+    return rows.withColumn("gold_kind", kind).withColumn("primary_metric", metric).withColumn("predicted_label_text", said)
 
 
 def choice(text: Column, n: int) -> Column:

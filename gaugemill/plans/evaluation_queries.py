@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrays as A, seeded, text as T
 from ..operators import metrics as M, pools, sampling as S, scoring as P
+from ..operators.resample import replicate_means
 from .bindings import BIG_ROWS, CLIP_SCORE, CLIPS, LABEL_ROWS, MODEL_SCORES, SRC_ITEMS, big_rows, clips, digest_sql, draw_sql, index_rows, label_rows, model_scores, src_items
 from .pipelines import results_table
 from .registry import Tables, query
@@ -90,29 +91,63 @@ def metric_levels(t: Tables) -> DataFrame:
     return _rounded(M.levels(rows, "lang", "source", "m"), "mean")
 
 
-def _replicates(src: str, by: str, value: str, key: str, samples: int, seed: int) -> str:
-    times = " + ".join(f"(u >= {edge})::INT" for edge in M.POISSON_EDGES)
-    return f"""d AS (SELECT {by}, b, {value} AS v, {draw_sql(str(M.POISSON_RANGE), seed, by, 'b', key)} AS u FROM {src}, (SELECT unnest(range({samples})) AS b)),
-r AS (SELECT {by}, b, sum(v * ({times})) / sum({times}) AS mean FROM d GROUP BY ALL HAVING sum({times}) > 0)"""
+def _replicates(src: str, by: list[str], value: str, key: str, samples: int, seed: int) -> str:
+    """The means of replicates that draw as many rows as a group has; for groups of up to a block of rows."""
+    cols, same = ", ".join(by), " AND ".join(f"o.{c} IS NOT DISTINCT FROM k.{c}" for c in by)
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {cols} ORDER BY {digest_sql(seed, key)}, {key}) - 1 AS i, count(*) OVER (PARTITION BY {cols}) AS n FROM {src}),
+k AS (SELECT {cols}, n, b, unnest(range(1, n + 1)) AS k FROM (SELECT DISTINCT {cols}, n FROM o), (SELECT unnest(range({samples})) AS b)),
+r AS (SELECT {', '.join('k.' + c for c in by)}, b, avg(o.{value}) AS mean, count(*) AS drawn FROM k JOIN o ON {same} AND o.i = {draw_sql('k.n', seed, *(f'k.{c}' for c in by), 'b', '0', 'k')} GROUP BY ALL)"""
 
 
-@query(f"""WITH {LABEL_ROWS}, x AS (SELECT lang, doc_id, (gold_label = predicted_label)::INT::DOUBLE AS m FROM label_rows), {_replicates('x', 'lang', 'm', 'doc_id', 100, 42)}
-SELECT lang, (SELECT round(avg(m), 9) FROM x WHERE x.lang = r.lang) AS mean, (SELECT count(*) FROM x WHERE x.lang = r.lang) AS n, round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high FROM r GROUP BY lang""")
+_CI = "round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high"
+_P = "round(least(1.0, 2.0 * least(sum((mean >= 0)::INT) + 1, sum((mean <= 0)::INT) + 1) / (count(*) + 1)), 9)::DOUBLE AS p_value"
+_G = "round(CASE WHEN count(*) >= 2 AND stddev_samp(m) > 1e-12 THEN avg(m) / stddev_samp(m) * (1 - 3.0 / greatest(1, 4 * count(*) - 5)) ELSE 0 END, 9) AS hedges_g"
+_LEVELS = "l AS (SELECT doc_id, m, lang, source, 0 AS level FROM x UNION ALL SELECT doc_id, m, lang, NULL, 1 FROM x UNION ALL SELECT doc_id, m, NULL, NULL, 3 FROM x)"
+_SAME = "f.lang IS NOT DISTINCT FROM e.lang AND f.source IS NOT DISTINCT FROM e.source AND f.level = e.level"
+
+
+@query(f"""WITH {LABEL_ROWS}, x AS (SELECT lang, doc_id, (gold_label = predicted_label)::INT::DOUBLE AS m FROM label_rows), {_replicates('x', ['lang'], 'm', 'doc_id', 100, 42)},
+e AS (SELECT lang, {_CI}, min(drawn) AS least_drawn, max(drawn) AS most_drawn FROM r GROUP BY lang)
+SELECT lang, round(avg(m), 9) AS mean, count(*) AS n, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high, any_value(least_drawn) AS least_drawn, any_value(most_drawn) AS most_drawn FROM x JOIN e USING (lang) GROUP BY lang""")
 def bootstrap_ci(t: Tables) -> DataFrame:
+    """Every replicate draws as many rows as there are, which ``least_drawn`` and ``most_drawn`` show."""
     made = P.label_metrics(F.col("label_space"), F.col("predicted_index"), F.col("gold_label"))
     rows = label_rows(t).select("lang", "doc_id", made["primary_metric"].alias("m"))
-    return _rounded(M.bootstrap_ci(rows, ["lang"], "m", ["doc_id"]), "mean", "ci_low", "ci_high")
+    drawn = replicate_means(rows, ["lang"], "m", ["doc_id"], 100, 42).groupBy("lang").agg(F.min("drawn").alias("least_drawn"), F.max("drawn").alias("most_drawn"))
+    return _rounded(M.bootstrap_ci(rows, ["lang"], "m", ["doc_id"]).join(drawn, "lang"), "mean", "ci_low", "ci_high")
 
 
-@query(f"""WITH {MODEL_SCORES}, x AS (SELECT a.lang, a.doc_id, a.metric - b.metric AS m FROM model_scores a JOIN model_scores b USING (doc_id) WHERE a.model = 'model_2' AND b.model = 'model_0'), {_replicates('x', 'lang', 'm', 'doc_id', 100, 42)},
-e AS (SELECT lang, round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high, least(1.0, 2.0 * least(sum((mean >= 0)::INT) + 1, sum((mean <= 0)::INT) + 1) / (count(*) + 1)) AS p FROM r GROUP BY lang)
-SELECT lang, count(*) AS n, round(avg(m), 9) AS observed_difference, round(CASE WHEN count(*) >= 2 AND stddev_samp(m) > 1e-12 THEN avg(m) / stddev_samp(m) * (1 - 3.0 / greatest(1, 4 * count(*) - 5)) ELSE 0 END, 9) AS hedges_g,
- any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high, round(any_value(p), 9)::DOUBLE AS p_value FROM x JOIN e USING (lang) GROUP BY lang""")
-def paired_bootstrap(t: Tables) -> DataFrame:
+@query(f"""WITH {LABEL_ROWS}, x AS (SELECT lang, source, doc_id, (gold_label = predicted_label)::INT::DOUBLE AS m FROM label_rows), {_LEVELS}, {_replicates('l', ['lang', 'source', 'level'], 'm', 'doc_id', 100, 42)},
+e AS (SELECT lang, source, level, {_CI} FROM r GROUP BY lang, source, level), f AS (SELECT lang, source, level, count(*) AS n, round(avg(m), 9) AS mean FROM l GROUP BY ALL)
+SELECT f.*, e.ci_low, e.ci_high FROM f JOIN e ON {_SAME}""")
+def metric_intervals(t: Tables) -> DataFrame:
+    """Accuracy with its interval by source, by language and over all."""
+    made = P.label_metrics(F.col("label_space"), F.col("predicted_index"), F.col("gold_label"))
+    rows = label_rows(t).select("lang", "source", "doc_id", made["primary_metric"].alias("m"))
+    return _rounded(M.level_intervals(rows, "lang", "source", "m", ["doc_id"]), "mean", "ci_low", "ci_high")
+
+
+_PAIRED = f"{MODEL_SCORES}, x AS (SELECT a.lang, a.source, a.doc_id, a.metric - b.metric AS m FROM model_scores a JOIN model_scores b USING (doc_id) WHERE a.model = 'model_2' AND b.model = 'model_0')"
+
+
+def _paired(t: Tables) -> DataFrame:
     rows = model_scores(t)
-    side = lambda m, name: rows.where(F.col("model") == m).select("lang", "doc_id", F.col("metric").alias(name))
-    both = side("model_2", "current").join(side("model_0", "reference").drop("lang"), "doc_id")
-    return _rounded(M.paired_comparison(both, ["lang"], "current", "reference", ["doc_id"]), "observed_difference", "hedges_g", "ci_low", "ci_high", "p_value")
+    side = lambda m, name: rows.where(F.col("model") == m).select("lang", "source", "doc_id", F.col("metric").alias(name))
+    return side("model_2", "current").join(side("model_0", "reference").drop("lang", "source"), "doc_id")
+
+
+@query(f"""WITH {_PAIRED}, {_replicates('x', ['lang'], 'm', 'doc_id', 100, 42)}, e AS (SELECT lang, {_CI}, {_P} FROM r GROUP BY lang)
+SELECT lang, count(*) AS n, round(avg(m), 9) AS observed_difference, {_G}, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high, any_value(p_value) AS p_value FROM x JOIN e USING (lang) GROUP BY lang""")
+def paired_bootstrap(t: Tables) -> DataFrame:
+    return _rounded(M.paired_comparison(_paired(t), ["lang"], "current", "reference", ["doc_id"]), "observed_difference", "hedges_g", "ci_low", "ci_high", "p_value")
+
+
+@query(f"""WITH {_PAIRED}, {_LEVELS}, {_replicates('l', ['lang', 'source', 'level'], 'm', 'doc_id', 100, 42)}, e AS (SELECT lang, source, level, {_CI}, {_P} FROM r GROUP BY lang, source, level),
+f AS (SELECT lang, source, level, count(*) AS n, round(avg(m), 9) AS observed_difference, {_G} FROM l GROUP BY lang, source, level)
+SELECT f.*, e.ci_low, e.ci_high, e.p_value FROM f JOIN e ON {_SAME}""")
+def comparison_levels(t: Tables) -> DataFrame:
+    """Two models' paired difference by source, by language and over all."""
+    return _rounded(M.level_comparison(_paired(t), "lang", "source", "current", "reference", ["doc_id"]), "observed_difference", "hedges_g", "ci_low", "ci_high", "p_value")
 
 
 PICKED = """

@@ -9,7 +9,7 @@ from ..operators import metrics as M, models, sampling as S, scoring as P
 from ..sources import readers, writers
 from . import pipelines, tasks
 from .bindings import BIG_ROWS, CLIPS, LABEL_ROWS, MODEL_SCORES, SRC_ITEMS, big_rows, clips, digest_sql, draw_sql, label_rows, model_scores, src_items
-from .evaluation_queries import _replicates, _tried
+from .evaluation_queries import _CI, _G, _P, MACRO, _replicates, _tried
 from .registry import Tables, query
 
 _TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')".format
@@ -147,15 +147,16 @@ def source_pool(t: Tables) -> DataFrame:
     return readers.source_pool(rows)
 
 
-@query(f"""WITH {MODEL_SCORES}, x AS (SELECT a.lang, a.doc_id, a.metric - b.metric AS m FROM model_scores a JOIN model_scores b USING (doc_id) WHERE a.model = 'model_1' AND b.model = 'model_0'), {_replicates('x', 'lang', 'm', 'doc_id', 60, 42)},
-e AS (SELECT lang, least(1.0, 2.0 * least(sum((mean >= 0)::INT) + 1, sum((mean <= 0)::INT) + 1) / (count(*) + 1)) AS p FROM r GROUP BY lang)
-SELECT lang AS task_dir, count(*) AS n, round(avg(m), 9) AS observed_difference, round(any_value(p), 9)::DOUBLE AS p_value FROM x JOIN e USING (lang) GROUP BY lang""")
+@query(f"""WITH {MODEL_SCORES}, y AS (SELECT a.lang AS task_dir, a.doc_id, a.metric - b.metric AS m FROM model_scores a JOIN model_scores b USING (doc_id) WHERE a.model = 'model_1' AND b.model = 'model_0'),
+x AS (SELECT * FROM y UNION ALL SELECT NULL, doc_id, m FROM y), {_replicates('x', ['task_dir'], 'm', 'doc_id', 60, 42)},
+e AS (SELECT task_dir, {_CI}, {_P} FROM r GROUP BY task_dir), f AS (SELECT task_dir, count(*) AS n, round(avg(m), 9) AS observed_difference, {_G} FROM x GROUP BY task_dir)
+SELECT f.*, ci_low, ci_high, p_value FROM f JOIN e ON f.task_dir IS NOT DISTINCT FROM e.task_dir""")
 def run_comparison(t: Tables) -> DataFrame:
-    """Two runs compared on the ids they share; of repeated ids the last row counts."""
+    """Two runs compared on the ids they share, by task and over all; of repeated ids the last row counts."""
     run = lambda m: model_scores(t).where(F.col("model") == m).select(F.col("lang").alias("task_dir"), F.col("doc_id").alias("id"), F.col("metric").alias("primary_metric"), F.lit(1).alias("row_ord"))
     stale = run("model_1").withColumn("primary_metric", F.lit(-9.0)).withColumn("row_ord", F.lit(0))
     made = pipelines.compare(run("model_1").unionByName(stale), run("model_0"), 60)
-    return made.select("task_dir", "n", F.round("observed_difference", 9).alias("observed_difference"), F.round("p_value", 9).alias("p_value"))
+    return made.select("task_dir", "n", *(F.round(c, 9).alias(c) for c in ("observed_difference", "hedges_g", "ci_low", "ci_high", "p_value")))
 
 
 @query(f"""WITH {LABEL_ROWS}, g AS (SELECT lang, doc_id, (gold_label = 'high')::BIGINT AS gold, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM label_rows), p AS (SELECT lang, predicted_index, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM label_rows WHERE doc_id % 2 = 0)
@@ -209,15 +210,31 @@ def csv_union_round_trip(t: Tables) -> DataFrame:
     return read.join(t.documents.select("doc_id", "n_chars"), "doc_id")
 
 
-@query(f"""WITH {LABEL_ROWS}, s AS (SELECT lang, source, avg((gold_label = predicted_label)::INT) AS m, count(*) AS n FROM label_rows GROUP BY ALL)
-SELECT lang AS tier, 'task_' || source AS task_dir, n, round(m, 9) AS mean FROM s""")
-def evaluation_run(t: Tables) -> DataFrame:
-    """A plug-in model over a whole suite: predictions, scores, and each task's count and mean."""
+def _run(t: Tables) -> DataFrame:
+    """A plug-in model over a whole suite: predictions and scores."""
     rows = label_rows(t).select(F.col("lang").alias("tier"), F.concat(F.lit("task_"), "source").alias("task_dir"), F.col("source").alias("task_name"), F.col("doc_id").cast("string").alias("id"), "label_space", "gold_label", F.col("predicted_index").alias("hint"))
     for name, kind in (("gold_index", "bigint"), ("gold_ranking", "array<bigint>"), ("text_options", "array<string>"), ("candidate_audio_paths", "array<string>")):
         rows = rows.withColumn(name, F.lit(None).cast(kind))
-    scored = pipelines.evaluate(rows, _hinted)
-    return pipelines.summary(scored, 20).select("tier", "task_dir", "n", F.round("mean", 9).alias("mean"))
+    return pipelines.evaluate(rows, _hinted)
+
+
+@query(f"""WITH {LABEL_ROWS}, s AS (SELECT lang, source, avg((gold_label = predicted_label)::INT) AS m, count(*) AS n FROM label_rows GROUP BY ALL)
+SELECT lang AS tier, 'task_' || source AS task_dir, n, round(m, 9) AS mean FROM s""")
+def evaluation_run(t: Tables) -> DataFrame:
+    """Each task's count and mean."""
+    return pipelines.summary(_run(t), 20).select("tier", "task_dir", "n", F.round("mean", 9).alias("mean"))
+
+
+_X = f"{LABEL_ROWS}, x AS (SELECT lang AS tier, 'task_' || source AS task_dir, doc_id::VARCHAR AS id, gold_label, predicted_label, (gold_label = predicted_label)::INT::DOUBLE AS m FROM label_rows)"
+
+
+@query(f"""WITH {_X}, {_replicates('x', ['tier', 'task_dir'], 'm', 'id', 30, 42)}, e AS (SELECT tier, task_dir, {_CI} FROM r GROUP BY ALL), y AS (SELECT tier, task_dir, count(*) AS n, round(avg(m), 9) AS mean FROM x GROUP BY ALL),
+z AS ({MACRO.format(by='tier, task_dir', src='x').replace('e AS', 'WITH e2 AS', 1).replace('FROM e GROUP', 'FROM e2 GROUP')})
+SELECT * FROM y JOIN e USING (tier, task_dir) JOIN z USING (tier, task_dir)""")
+def evaluation_report(t: Tables) -> DataFrame:
+    """Each task's count, mean with interval, and macro-averaged precision, recall and F1, as one run reports them."""
+    made = pipelines.task_report(_run(t), 30)
+    return made.select("tier", "task_dir", "n", *(F.round(c, 9).alias(c) for c in ("mean", "ci_low", "ci_high", "macro_precision", "macro_recall", "macro_f1")), "n_labels")
 
 
 def _hinted():

@@ -20,15 +20,34 @@ def summary(scored: DataFrame, samples: int = 1000, seed: int = 42) -> DataFrame
     return M.bootstrap_ci(scored, ["tier", "task_dir"], "primary_metric", ["id"], samples, seed)
 
 
-def tiers(scored: DataFrame) -> DataFrame:
-    """Micro means by task, tier and over all, and the macro mean over tiers."""
-    return M.levels(scored, "tier", "task_dir", "primary_metric")
+def tiers(scored: DataFrame, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """Micro means by task, tier and over all, each with its interval, and the macro mean over tiers."""
+    ends = M.level_intervals(scored, "tier", "task_dir", "primary_metric", ["id"], samples, seed).select("tier", "task_dir", "level", "ci_low", "ci_high")
+    return M.with_columns(M.levels(scored, "tier", "task_dir", "primary_metric"), ends, ["tier", "task_dir", "level"], "left")
+
+
+def task_report(scored: DataFrame, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """Of each task: count, mean and interval, and where its rows have labels, macro-averaged precision, recall and F1.
+
+    ``scored`` has tier, task_dir, id, primary_metric, gold_label and predicted_label_text."""
+    labels = M.macro_f1(scored.where("gold_label is not null"), ["tier", "task_dir"], "gold_label", "predicted_label_text")
+    return summary(scored, samples, seed).join(labels, ["tier", "task_dir"], "left")
+
+
+def report(scored: DataFrame, reference: DataFrame | None = None, samples: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
+    """One evaluation's whole report: ``tasks``, ``tiers`` and, beside another run's scores, ``comparison``."""
+    out = {"tasks": task_report(scored, samples, seed), "tiers": tiers(scored, samples, seed)}
+    if reference is not None:
+        out["comparison"] = compare(scored, reference, samples, seed)
+    return out
 
 
 def compare(current: DataFrame, reference: DataFrame, samples: int = 1000, seed: int = 42) -> DataFrame:
-    """Paired differences of two runs on the ids they share, by task; of repeated ids the last counts."""
+    """Paired differences of two runs on the ids they share, by task and over all (``task_dir`` null); of repeated ids the
+    last counts."""
     side = lambda df, name: M.deduplicated(df, ["task_dir", "id"], ["row_ord"], last=True).select("task_dir", "id", F.col("primary_metric").alias(name))
     both = side(current, "current").join(side(reference, "reference"), ["task_dir", "id"])
+    both = both.withColumn("task_dir", F.explode(F.array("task_dir", F.lit(None).cast("string"))))
     return M.paired_comparison(both, ["task_dir"], "current", "reference", ["id"], samples, seed)
 
 
