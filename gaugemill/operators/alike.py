@@ -15,10 +15,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .order import settled
+from .order import settled, spread
 
-#: Rows of a list at first, rows that have an indexed feature at first, and the factor of each round.
-LISTED, INDEXED, FURTHER = 32, 32, 4
+#: Rows of a list at first, towards the least and the most alike (there bounds are wider, and a small pool is listed whole at
+#: once), rows that have an indexed feature at first, and the factor of each round.
+LISTED, LISTED_MOST, INDEXED, FURTHER = 32, 256, 64, 4
 #: Signatures at most, features in them at most; a feature in them is had by one row in so many at least.
 SIGNATURES, COMMONEST, COMMON = 256, 64, 64
 
@@ -67,12 +68,12 @@ def ranked(targets: DataFrame, pool: DataFrame, id_: str, cap: int, features: di
     common = _commonest(pool)
     hot = F.array(*map(F.lit, common)) if common else F.array().cast("array<string>")
     signed = lambda rows: rows.withColumn("sign", F.array_intersect(hot, "f")).withColumn("s", F.array_join("sign", "\n"))
-    pool, open_ = signed(pool), signed(shape(targets))
+    pool, open_ = signed(pool), spread(signed(shape(targets)), "id")
     classes = settled(pool.groupBy("e", "s").agg(F.count("*").alias("n"), F.first("sign").alias("sign")))
     last = end == "most_last"
     way = (lambda c: F.col(c).desc()) if last else (lambda c: F.col(c).asc())
     sense = -1 if end == "most" else 1
-    listed, indexed, parts = max(LISTED, 4 * cap), INDEXED, []
+    listed, indexed, parts = max(LISTED if end == "least" else LISTED_MOST, 4 * cap), INDEXED, []
     while True:
         lists = _lists(open_, pool, classes, listed, sense, last, way)
         met = open_.join(lists, ["e", "s"], "left")

@@ -160,48 +160,70 @@ def balanced_sample(t: Tables) -> DataFrame:
     return S.round_robin(big_rows(t), ["task"], "gold_key", ["id"], 42, 150).select("task", "id", "gold_key", "pick")
 
 
+def _guessed(seed: int, *key: str) -> str:
+    """Right guesses of 64 trials over three options."""
+    h = digest_sql(seed, *key)
+    return f"list_sum(list_transform(range(64), lambda t: ((('0x' || substr({h}, 1, 10))::BIGINT + ('0x' || substr({h}, 11, 10))::BIGINT * t) % {M.GUESSES} % 3 = gold_index)::INT))"
+
+
 BASELINES = f"""
 c AS (SELECT task, gold_index, count(*) AS c FROM big_rows GROUP BY ALL), m AS (SELECT task, max(c) AS c FROM c GROUP BY task),
-a AS (SELECT task, count(*) AS n, 1.0 / 3 AS chance, avg((gold_index = 0)::INT) AS always_first, sum({' + '.join(f"({draw_sql('3', 42, 'task', 'id', str(i))} = gold_index)::INT" for i in range(4))}) / (4 * count(*)) AS rnd FROM big_rows GROUP BY task)"""
+a AS (SELECT task, count(*) AS n, 1.0 / 3 AS chance, avg((gold_index = 0)::INT) AS always_first, sum({_guessed(42, 'task', 'id')}) / (64 * count(*)) AS rnd FROM big_rows GROUP BY task)"""
 
 
 @query(f"WITH {BIG_ROWS}, {BASELINES} SELECT task, n, round(chance, 9)::DOUBLE AS chance, round(m.c / n, 9) AS majority, round(always_first, 9) AS always_first, round(rnd, 9) AS random FROM a JOIN m USING (task)")
 def trivial_baselines(t: Tables) -> DataFrame:
-    return _rounded(M.baselines(big_rows(t), ["task"], "id", "gold_index", "n_options", 4, 42), "chance", "majority", "always_first", "random")
+    return _rounded(M.baselines(big_rows(t), ["task"], "id", "gold_index", "n_options"), "chance", "majority", "always_first", "random")
 
 
 @query(f"""WITH {BIG_ROWS}, {BASELINES}, v AS (SELECT task, greatest(0, m.c / n - (chance + 0.10), always_first - (chance + 0.10), rnd - (chance + 0.05)) AS violation FROM a JOIN m USING (task))
 SELECT task, round(violation, 9)::DOUBLE AS violation, violation <= 0 AS passed FROM v""")
 def gate_and_violation(t: Tables) -> DataFrame:
-    return _rounded(M.gates(M.baselines(big_rows(t), ["task"], "id", "gold_index", "n_options", 4, 42)).select("task", "violation", "passed"), "violation")
+    return _rounded(M.gates(M.baselines(big_rows(t), ["task"], "id", "gold_index", "n_options")).select("task", "violation", "passed"), "violation")
+
+
+def _tried(most: int, least: int, attempts: int) -> str:
+    """The whole search: every size and attempt of every task, and of these the best."""
+    grid = S.size_grid(min(least, most), most)
+    mixing = ", ".join(f"xor(u{i}, u{i} >> {shift}) * {factor} % {S.MODULUS} AS u{i + 1 if i < 2 else ''}" for i, (shift, factor) in enumerate(S.MIXING))
+    return f"""c AS (SELECT task, gold_key, count(*) AS n FROM big_rows GROUP BY ALL), t AS (SELECT task, sum(n)::BIGINT AS total, least({most}, sum(n))::BIGINT AS upper FROM c GROUP BY task),
+z AS (SELECT task, total, upper, unnest(CASE WHEN upper <= {least} THEN [upper] ELSE list_distinct(list_append(list_filter({grid}::BIGINT[], lambda s: s <= upper), upper)) END) AS size FROM t),
+l AS (SELECT task, size, min(lv) AS lv FROM (SELECT task, size, lv, sum(least(n, lv)) AS s FROM z JOIN c USING (task), (SELECT unnest(range(1, {most} + 1)) AS lv) WHERE lv <= size GROUP BY ALL) WHERE s >= size GROUP BY ALL),
+q AS (SELECT task, size, gold_key, n, upper, total, CASE WHEN n < lv THEN n WHEN row_number() OVER (PARTITION BY task, size, n >= lv ORDER BY n, gold_key) <= size - sum(least(n, lv - 1)) OVER (PARTITION BY task, size) THEN lv ELSE lv - 1 END AS quota FROM z JOIN l USING (task, size) JOIN c USING (task)),
+h AS (SELECT *, ('0x' || substr({digest_sql(42, 'id')}, 1, 10))::BIGINT AS ha, ('0x' || substr({digest_sql(42, 'id')}, 11, 10))::BIGINT AS hb FROM big_rows),
+k AS (SELECT h.task, h.id, h.gold_index, h.gold_key, size, attempt, quota, (ha + ((upper - size) * {S.SIZE_STEP} + attempt * {S.ATTEMPT_STEP}) * hb) % {S.MODULUS} AS u0, {mixing} FROM h JOIN q USING (task, gold_key), (SELECT unnest(range({attempts})) AS attempt)
+ WHERE (attempt = 0 OR size < total) AND u < {S.MODULUS}::DOUBLE * (quota + 10 * sqrt(quota) + 30) / n),
+w AS (SELECT task, id, gold_index, gold_key, size, attempt FROM k QUALIFY row_number() OVER (PARTITION BY task, size, attempt, gold_key ORDER BY u, id) <= quota),
+d AS (SELECT task, size, attempt, gold_index, count(*) AS c FROM w GROUP BY ALL), m AS (SELECT task, size, attempt, max(c) AS c FROM d GROUP BY ALL),
+a AS (SELECT task, size, attempt, count(*) AS n, 1.0::DOUBLE / 3 AS chance, avg((gold_index = 0)::INT) AS always_first, sum({_guessed(42, 'task', 'size', 'attempt', 'id')}) / (64 * count(*)) AS rnd FROM w GROUP BY ALL),
+v AS (SELECT task, size, attempt, greatest(0, m.c / n - (chance + 0.10::DOUBLE), always_first - (chance + 0.10::DOUBLE), rnd - (chance + 0.05::DOUBLE)) AS violation FROM a JOIN m USING (task, size, attempt)),
+f AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY violation > 0, round(violation, 12), size DESC, attempt) AS rn FROM v)"""
 
 
-def _tried(sizes: list[int], n_attempts: int) -> str:
-    return f"""
-g AS (SELECT b.*, s AS size, a AS attempt FROM big_rows b, (SELECT unnest({sizes}) AS s), (SELECT unnest(range({n_attempts})) AS a)),
-k AS (SELECT *, row_number() OVER (PARTITION BY task, size, attempt, gold_key ORDER BY md5((42 + 9973 * attempt)::VARCHAR || '|' || id::VARCHAR), id) AS rnd, count(*) OVER (PARTITION BY task, size, attempt, gold_key) AS sz FROM g),
-w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, size, attempt ORDER BY rnd, sz, gold_key) AS pick FROM k) WHERE pick <= size),
-c AS (SELECT task, size, attempt, gold_index, count(*) AS c FROM w GROUP BY ALL), m AS (SELECT task, size, attempt, max(c) AS c FROM c GROUP BY ALL),
-a AS (SELECT task, size, attempt, count(*) AS n, 1.0::DOUBLE / 3 AS chance, avg((gold_index = 0)::INT) AS always_first,
- sum({' + '.join(f"({draw_sql('3', 42, 'task', 'size', 'attempt', 'id', str(i))} = gold_index)::INT" for i in range(4))}) / (4 * count(*)) AS rnd FROM w GROUP BY ALL),
-v AS (SELECT task, size, attempt, greatest(0, m.c / n - (chance + 0.10::DOUBLE), always_first - (chance + 0.10::DOUBLE), rnd - (chance + 0.05::DOUBLE)) AS violation FROM a JOIN m USING (task, size, attempt)),
-f AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY violation > 0, round(violation, 12), size DESC, attempt) AS rn FROM v)
-SELECT task, size, attempt::INT AS attempt, round(violation, 9) AS violation, violation <= 0 AS passed FROM f WHERE rn = 1"""
+_BEST = "SELECT task, size, attempt::INT AS attempt, round(violation, 9) AS violation, violation <= 0 AS passed FROM f WHERE rn = 1"
 
 
-def _chosen(t: Tables, sizes: list[int], n: int) -> DataFrame:
-    tried = S.attempts(big_rows(t), ["task"], "gold_key", "id", "gold_index", "n_options", sizes, n, 42)
-    return _rounded(S.best_attempt(tried, ["task"]).select("task", "size", "attempt", "violation", "passed"), "violation")
+def _chosen(t: Tables, most: int, least: int, strategy: str = "balanced") -> DataFrame:
+    best = S.adaptive_search(big_rows(t), ["task"], "gold_key", "id", "gold_index", "n_options", most, least, strategy=strategy)
+    return _rounded(best.select("task", "size", "attempt", "violation", "passed"), "violation")
 
 
-@query(f"WITH {BIG_ROWS}, {_tried([60], 8)}")
+@query(f"WITH {BIG_ROWS}, {_tried(60, 60, 128)} {_BEST}")
 def retry_sampler(t: Tables) -> DataFrame:
-    return _chosen(t, [60], 8)
+    """Samples of 60 rows a task, with up to 128 attempts."""
+    return _chosen(t, 60, 60)
 
 
-@query(f"WITH {BIG_ROWS}, {_tried([96, 64, 48], 4)}")
+@query(f"WITH {BIG_ROWS}, {_tried(96, 48, 128)} {_BEST}")
 def adaptive_sampler(t: Tables) -> DataFrame:
-    return _chosen(t, [96, 64, 48], 4)
+    """All sizes from 96 down to 48, each with up to 128 attempts."""
+    return _chosen(t, 96, 48)
+
+
+@query(f"WITH {BIG_ROWS.replace('big_rows AS', 'keyed AS')}, big_rows AS (SELECT * REPLACE ('' AS gold_key) FROM keyed), {_tried(120, 112, 128)} {_BEST}")
+def random_sampler(t: Tables) -> DataFrame:
+    """As ``adaptive_sampler`` with samples of all rows alike."""
+    return _chosen(t, 120, 112, "random")
 
 
 LABEL_WORDS = ("red", "metal", "wid", "gad", "b")

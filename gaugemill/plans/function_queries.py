@@ -168,12 +168,23 @@ def positional_scores(t: Tables) -> DataFrame:
     return made.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("primary_metric"), 9).alias("accuracy"))
 
 
-@query(f"""WITH {BIG_ROWS}, {_tried([60, 40], 2).replace('SELECT task, size, attempt::INT AS attempt, round(violation, 9) AS violation, violation <= 0 AS passed FROM f WHERE rn = 1', 'SELECT w.task, w.id, w.gold_key, w.pick::INT AS pick FROM w JOIN f ON w.task = f.task AND w.size = f.size AND w.attempt = f.attempt WHERE rn = 1 AND violation <= 0')}""")
+_KEPT = "SELECT w.task, w.id, w.gold_key FROM w JOIN f ON w.task = f.task AND w.size = f.size AND w.attempt = f.attempt WHERE rn = 1 AND violation <= 0"
+
+
+@query(f"WITH {BIG_ROWS}, {_tried(400, 384, 16)} {_KEPT}")
 def validated_subset(t: Tables) -> DataFrame:
     """The rows of each task's best sample that passes its gates; other tasks are dropped."""
     rows = big_rows(t).withColumnRenamed("task", "task_dir")
-    kept, _ = pipelines.validated_subset(rows, [60, 40], 2, 42, 4)
-    return kept.select(F.col("task_dir").alias("task"), "id", "gold_key", "pick")
+    kept, _ = pipelines.validated_subset(rows, 400, 384, 16)
+    return kept.select(F.col("task_dir").alias("task"), "id", "gold_key")
+
+
+@query(f"WITH {BIG_ROWS}, {_tried(400, 400, 4)} SELECT 'tier1' AS tier, task AS task_dir, 42 AS seed, 400 AS max_per_task, n, size, attempt::INT + 1 AS attempts, violation <= 0 AS kept FROM f JOIN a USING (task, size, attempt) WHERE rn = 1")
+def release_manifest(t: Tables) -> DataFrame:
+    """What a release says of every task of its one tier: its seed, size and attempts, and whether it was kept."""
+    rows = big_rows(t).withColumn("tier", F.lit("tier1")).withColumnRenamed("task", "task_dir")
+    _, notes = pipelines.release(rows, {"tier1": 400}, 4)
+    return notes.select("tier", "task_dir", "seed", "max_per_task", "n", "size", "attempts", "kept")
 
 
 @query("""SELECT task_name, count(*) AS n FROM (SELECT 'q' || l_linenumber AS task_name, l_linestatus FROM lineitem) WHERE task_name IN ('q1', 'q2', 'q3', 'q4') AND task_name <> 'q2' AND task_name <> 'q3' GROUP BY task_name""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -57,24 +58,23 @@ def positional(gold: DataFrame, predictions: DataFrame, by: list[str]) -> DataFr
     return place(gold).join(place(predictions).drop("row_ord", "id"), [*by, "i"], "left").withColumn("primary_metric", F.coalesce((F.col("predicted_index") == F.col("gold_index")).cast("double"), F.lit(0.0)))
 
 
-def validated_subset(rows: DataFrame, sizes: list[int], n_attempts: int, seed: int, trials: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(rows, diagnostics): each task's best balanced sample that passes the gates; a task in which none does is dropped."""
-    tried = S.attempts(rows, ["task_dir"], "gold_key", "id", "gold_index", "n_options", sizes, n_attempts, seed, trials)
-    best = S.best_attempt(tried, ["task_dir"])
-    kept = rows.join(F.broadcast(best.where("passed").select("task_dir", "size", "attempt")), "task_dir")
-    seeds = (F.lit(seed) + 9973 * F.col("attempt")).cast("string")
-    return S.round_robin(kept, ["task_dir"], "gold_key", ["id"], seeds, F.col("size")), best
+def validated_subset(rows: DataFrame, most: int, least: int | None = None, n_attempts: int = 128, seed: int = 42, trials: int = 64, strategy: str = "balanced") -> tuple[DataFrame, DataFrame]:
+    """(rows, diagnostics): each task's best sample of ``most`` rows, or as few as ``least``, that passes the gates; a task in
+    which none does is dropped. Tasks with no more rows than asked for stay whole, and pass as they are."""
+    least = most if least is None else least
+    best = S.adaptive_search(rows, ["task_dir"], "gold_key", "id", "gold_index", "n_options", most, least, n_attempts, seed, trials, strategy)
+    return S.samples_of(rows, ["task_dir"], "gold_key", "id", best.where("passed"), most, least, seed, strategy), best
 
 
-def release(rows: DataFrame, targets: dict[str, int], n_attempts: int, seed: int) -> DataFrame:
-    """A validated subset of every tier with its own size, as one job over a tier column; the seed grows by tier."""
-    parts = []
+def release(rows: DataFrame, targets: dict[str, int], n_attempts: int = 128, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows, manifest): a validated subset of every tier with its own size, the seed growing by tier, and a row for each
+    task on what it was drawn from, how, and whether it was kept."""
+    parts, notes = [], []
     for i, (tier, size) in enumerate(sorted(targets.items())):
-        parts.append(validated_subset(rows.where(F.col("tier") == tier), [size], n_attempts, seed + 1000 * i)[0])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        kept, best = validated_subset(rows.where(F.col("tier") == tier), size, None, n_attempts, seed + 1000 * i)
+        parts.append(kept)
+        notes.append(best.select(F.lit(tier).alias("tier"), "task_dir", F.lit(seed + 1000 * i).alias("seed"), F.lit(size).alias("max_per_task"), "n", "size", (F.col("attempt") + 1).alias("attempts"), "chance", "majority", "always_first", "random", "violation", F.col("passed").alias("kept")))
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, notes)
 
 
 def allowed_tasks(rows: DataFrame, include: list[str] = (), exclude: list[str] = (), dropped: DataFrame | None = None) -> DataFrame:

@@ -178,7 +178,7 @@ def _write(path, text):
 def test_validated_subset_drops_what_never_passes(spark):
     rows = spark.range(600).select(F.col("id"), F.when(F.col("id") % 2 == 0, "good").otherwise("bad").alias("task_dir"), F.lit(2).alias("n_options"), F.when(F.col("id") % 2 == 0, (F.col("id") / 2).cast("long") % 2).otherwise(F.lit(0)).cast("long").alias("gold_index"))
     rows = rows.withColumn("gold_key", F.concat(F.lit("index:"), F.col("gold_index").cast("string")))
-    kept, best = pipelines.validated_subset(rows, [64, 100], 2, 3, 4)
+    kept, best = pipelines.validated_subset(rows, 100, 64, 2, 3, 4)
     assert {r.task_dir: r.passed for r in best.collect()} == {"good": True, "bad": False}
     assert {r.task_dir: r["count"] for r in kept.groupBy("task_dir").count().collect()} == {"good": [r["size"] for r in best.where("passed").collect()][0]}
 
