@@ -228,19 +228,18 @@ def shared_traits(a: dict[str, Column], b: dict[str, Column], points: dict[str,
     return out
 
 
-def string_leaves(df: DataFrame, json: str, depth: int = 4) -> DataFrame:
-    """(row's columns, leaf): the strings of a JSON text in document order, down to ``depth`` levels of arrays and objects.
-
-    Levels are opened one by one; a leaf's ``path`` of places orders it. Objects' members come in the order in which the
-    variant type holds them, by name. Text that isn't JSON has no leaves."""
-    keep = df.columns
-    open_ = df.select("*", F.try_parse_json(json).alias("_v"), F.array().cast("array<int>").alias("path"))
-    leaves = None
-    for level in range(depth + 1):
-        kind = F.schema_of_variant("_v")
-        found = open_.where(kind == "STRING").select(*keep, F.expr("variant_get(_v, '$', 'string')").alias("leaf"), "path")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if level < depth:
-            inner = open_.where(kind.startswith("ARRAY") | kind.startswith("OBJECT"))
-            open_ = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keep, F.col("value").alias("_v"), F.concat("path", F.array(F.col("pos"))).alias("path"))
-    return leaves
+#: Noncharacters that stand for escaped backslashes and quotes while literals are told apart.
+_BACKSLASH, _QUOTE = "\ufdd0", "\ufdd1"
+
+
+def string_leaves(df: DataFrame, json: str) -> DataFrame:
+    """(row's columns, leaf, path): the strings of a JSON text at any depth, in document order, which ``path`` tells.
+
+    In JSON a quote that isn't escaped begins or ends a string, and a string before a colon is a member's name; so the
+    others are the leaves. Text that isn't JSON has none. Of members of one name all count.
+    """
+    marked = F.replace(F.replace(col(json), F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    literals = F.filter(F.regexp_extract_all(marked, F.lit(r'"[^"]*"(?:\s*:)?'), 0), lambda x: F.endswith(x, F.lit('"')))
+    whole = lambda x: F.replace(F.replace(x, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    found = df.where(F.try_parse_json(json).isNotNull()).select(*df.columns, F.posexplode(literals).alias("path", "_x"))
+    return found.select(*df.columns, F.from_json(F.concat(F.lit("["), whole(F.col("_x")), F.lit("]")), "array<string>")[0].alias("leaf"), "path")

@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .order import settled, spread
 
-#: Rows of a list at first, towards the least and the most alike (there bounds are wider, and a small pool is listed whole at
-#: once), rows that have an indexed feature at first, and the factor of each round.
-LISTED, LISTED_MOST, INDEXED, FURTHER = 32, 256, 64, 4
+#: Rows of a list at first, rows that have an indexed feature at first, and the factor of each round; a pool of so few rows
+#: is listed whole at once. Parts that the rows of a signature are dealt into.
+LISTED, INDEXED, FURTHER, WHOLE, PARTS = 32, 64, 4, 1024, 32
 #: Signatures at most, features in them at most; a feature in them is had by one row in so many at least.
 SIGNATURES, COMMONEST, COMMON = 256, 64, 64
 
@@ -40,7 +40,8 @@ def _weight(features: Column) -> Column:
 def _shaped(rows: DataFrame, id_: str, equal: list[str], differ: list[str], features: dict[int, str]) -> DataFrame:
     same = F.to_json(F.struct(*equal)) if equal else F.lit("")
     other = F.array(*(F.to_json(F.struct(F.col(c).alias("v"))) for c in differ)) if differ else F.array().cast("array<string>")
-    return rows.select(F.col(id_).alias("id"), same.alias("e"), other.alias("d"), _features(features).alias("f"))
+    arrays = F.struct(*(F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: v.isNotNull())).alias(f"f{w}") for w, c in features.items()))
+    return rows.select(F.col(id_).alias("id"), same.alias("e"), other.alias("d"), _features(features).alias("f"), arrays.alias("w"))
 
 
 def _commonest(pool: DataFrame) -> list[str]:
@@ -68,25 +69,28 @@ def ranked(targets: DataFrame, pool: DataFrame, id_: str, cap: int, features: di
     common = _commonest(pool)
     hot = F.array(*map(F.lit, common)) if common else F.array().cast("array<string>")
     signed = lambda rows: rows.withColumn("sign", F.array_intersect(hot, "f")).withColumn("s", F.array_join("sign", "\n"))
-    pool, open_ = signed(pool), spread(signed(shape(targets)), "id")
+    pool, open_ = signed(pool), signed(shape(targets)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
     classes = settled(pool.groupBy("e", "s").agg(F.count("*").alias("n"), F.first("sign").alias("sign")))
+    few = classes.groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") <= WHOLE).select("e", F.lit(True).alias("few"))
     last = end == "most_last"
     way = (lambda c: F.col(c).desc()) if last else (lambda c: F.col(c).asc())
     sense = -1 if end == "most" else 1
-    listed, indexed, parts = max(LISTED if end == "least" else LISTED_MOST, 4 * cap), INDEXED, []
+    listed, indexed, parts = max(LISTED, 4 * cap), INDEXED, []
     while True:
-        lists = _lists(open_, pool, classes, listed, sense, last, way)
-        met = open_.join(lists, ["e", "s"], "left")
-        unread = F.lit(0)
-        met = met.withColumn("held", F.coalesce("held", F.array().cast(lists.schema["held"].dataType)))
+        lists = _lists(open_, pool, classes, few, listed, sense, last, way)
+        met, unread = open_, F.lit(0)
         if end != "least":
-            found = _by_rare(open_, pool, hot, indexed)
+            found = _by_rare(open_.join(few, "e", "left_anti"), pool, hot, indexed)
             met = met.join(found, "id", "left").withColumn("posted", F.coalesce("posted", F.array().cast(found.schema["posted"].dataType)))
             unread = F.coalesce("unread", F.lit(0))
-        other = F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["d"].alias("d"), x["f"].alias("f")))
+        copied = lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        met = spread(met, "e", "s", "part").join(copied, ["e", "s", "part"], "left")
+        met = met.withColumn("held", F.coalesce("held", F.array().cast(lists.schema["held"].dataType)))
+        other = F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["d"].alias("d"), x["w"].alias("w")))
         met = met.withColumn("every", F.array_distinct(other if end == "least" else F.concat("posted", other)))
         fits = lambda x: reduce(lambda a, i: a & (F.get(x["d"], F.lit(i)) != F.get(F.col("d"), F.lit(i))), range(len(differ)), x["id"] != F.col("id"))
-        scored = F.transform(F.filter("every", fits), lambda x: F.struct((sense * _weight(F.array_intersect(x["f"], F.col("f")))).alias("o"), x["id"].alias("id")))
+        score = lambda x: reduce(lambda a, w: a + F.lit(w) * F.size(F.array_intersect(x["w"][f"f{w}"], F.col("w")[f"f{w}"])), features, F.lit(0))
+        scored = F.transform(F.filter("every", fits), lambda x: F.struct((sense * score(x)).alias("o"), x["id"].alias("id")))
         best = F.slice(F.sort_array(scored, asc=not last), 1, cap)
         met = met.withColumn("best", best)
         edge, worst = F.struct(F.try_element_at("held", F.lit(-1))["o"].alias("o"), F.try_element_at("held", F.lit(-1))["id"].alias("id")), F.get("best", F.lit(cap - 1))
@@ -107,26 +111,29 @@ def ranked(targets: DataFrame, pool: DataFrame, id_: str, cap: int, features: di
     return out.select("id", F.col("x.id").alias("candidate"), (sense * F.col("x.o")).alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
-def _lists(open_: DataFrame, pool: DataFrame, classes: DataFrame, listed: int, sense: int, last: bool, way) -> DataFrame:
-    """(e, s, held, whole): for every signature the first ``listed`` rows of the pool by what they share of it, and by id;
-    whether that is all of them."""
-    rows = pool.withColumn("_n", F.row_number().over(Window.partitionBy("e", "s").orderBy(way("id")))).where(F.col("_n") <= listed).drop("_n", "sign")
+def _lists(open_: DataFrame, pool: DataFrame, classes: DataFrame, few: DataFrame, listed: int, sense: int, last: bool, way) -> DataFrame:
+    """(e, s, held, whole): for every signature the first ``listed`` rows of the pool by what they share of it, and by id, or
+    all of a pool of few; whether that is all of them."""
+    most = max(listed, WHOLE)
+    rows = pool.withColumn("_n", F.row_number().over(Window.partitionBy("e", "s").orderBy(way("id")))).where(F.col("_n") <= most)
+    rows = rows.join(few, "e", "left").where(F.col("few") | (F.col("_n") <= listed)).drop("_n", "sign", "f", "few")
     asked = open_.select("e", "s", "sign").distinct()
     sides = asked.join(classes.select("e", F.col("s").alias("t"), "n", F.col("sign").alias("theirs")), "e")
     sides = sides.withColumn("o", sense * _weight(F.array_intersect("sign", "theirs"))).withColumn("p", F.col("o") * (-1 if last else 1))
     by = Window.partitionBy("e", "s")
     before = F.coalesce(F.sum("n").over(by.orderBy("p").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    few = sides.withColumn("before", before).withColumn("all", F.sum("n").over(by)).where(F.col("before") < listed)
-    entries = few.select("e", "s", "t", "o", "p", "all").join(rows.withColumnRenamed("s", "t"), ["e", "t"])
-    first = entries.withColumn("_r", F.row_number().over(by.orderBy("p", way("id")))).where(F.col("_r") <= listed)
-    held = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.struct("o", "id", "d", "f").alias("x")))), lambda y: y["x"])
-    return first.groupBy("e", "s").agg(held.alias("held"), (F.first("all") <= listed).alias("whole"))
+    limit = F.when(F.col("all") <= WHOLE, most).otherwise(listed)
+    near = sides.withColumn("before", before).withColumn("all", F.sum("n").over(by)).where(F.col("before") < limit)
+    entries = near.select("e", "s", "t", "o", "p", "all").join(rows.withColumnRenamed("s", "t"), ["e", "t"])
+    first = entries.withColumn("_r", F.row_number().over(by.orderBy("p", way("id")))).where(F.col("_r") <= limit)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.struct("o", "id", "d", "w").alias("x")))), lambda y: y["x"])
+    return first.groupBy("e", "s").agg(held.alias("held"), (F.first("all") <= F.when(F.first("all") <= WHOLE, most).otherwise(listed)).alias("whole"))
 
 
 def _by_rare(open_: DataFrame, pool: DataFrame, hot: Column, indexed: int) -> DataFrame:
     """(id, posted, unread): what shares a feature with a target that at most ``indexed`` rows have, and the weight of the
     target's other features outside its signature."""
-    index = pool.select("e", F.explode(F.array_except("f", hot)).alias("v"), F.struct("id", "d", "f").alias("row"))
+    index = pool.select("e", F.explode(F.array_except("f", hot)).alias("v"), F.struct("id", "d", "w").alias("row"))
     counts = index.groupBy("e", "v").agg(F.count("*").alias("n"))
     asked = open_.select("id", "e", F.explode(F.array_except("f", hot)).alias("v")).join(counts, ["e", "v"])
     rare = asked.where(F.col("n") <= indexed).select("id", "e", "v")

@@ -28,11 +28,11 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, *key: str) -> DataFrame:
     """The rows dealt out by a key over all cores, for work that is heavy beside the rows' bytes: partitions of few bytes
     would else be joined to one task."""
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
 
 
 def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -15,11 +15,13 @@ from .registry import Tables, query
 _TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')".format
 
 
-@query("""SELECT page_id, url || '|' || html[1:30] || '|' || 'z' AS leaves, 3::BIGINT AS n FROM pages""")
+@query("""SELECT page_id, url || '|' || html[1:90] || '|' || 'z' || '|' || page_id::VARCHAR || '|' || 'first by name' AS leaves, 5::BIGINT AS n FROM pages""")
 def json_leaves(t: Tables) -> DataFrame:
-    """Strings of nested documents in order; what lies deeper than four levels is left out, and so are other values."""
-    deep = F.struct(F.struct(F.struct(F.struct(F.lit("lost").alias("deep")).alias("q")).alias("z")).alias("y"))
-    doc = F.to_json(F.struct(F.col("url").alias("u"), F.struct(F.array(F.struct(F.substring("html", 1, 30).alias("w"))).alias("a"), F.array(F.lit("z")).alias("b"), F.lit(5).alias("c")).alias("v"), deep.alias("x")))
+    """Strings of nested documents in their order there, down to a depth of twelve; other values aren't leaves."""
+    deep = F.col("page_id").cast("string")
+    for _ in range(12):
+        deep = F.struct(deep.alias("inner"))
+    doc = F.to_json(F.struct(F.col("url").alias("u"), F.struct(F.array(F.struct(F.substring("html", 1, 90).alias("w"))).alias("a"), F.array(F.lit("z")).alias("b"), F.lit(5).alias("c")).alias("v"), deep.alias("x"), F.lit("first by name").alias("a")))
     found = T.string_leaves(t.pages.select("page_id", doc.alias("doc")), "doc")
     rows = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("path", "leaf"))).alias("s"), F.count("*").alias("n"))
     return rows.select("page_id", F.array_join(F.transform("s", lambda x: x["leaf"]), "|").alias("leaves"), "n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrays as A, seeded, text as T
 from .bindings import CLIPS, clips
+from ..sources import readers
 from .registry import Tables, query
 
 
@@ -109,14 +110,29 @@ def compact_prompts(t: Tables) -> DataFrame:
     return kept.groupBy("conv_id").agg(T.compact_prompt(messages).alias("prompt"), F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, sum(length(text))::BIGINT AS leaf_characters, count(*) AS n_clips, max(length(text))::BIGINT AS longest_leaf FROM conversations GROUP BY conv_id""")
+@query("""WITH c AS (SELECT *, conv_id % 3 AS k FROM conversations), r AS (SELECT conv_id::VARCHAR AS doc, turn, text, CASE k WHEN 0 THEN 'v' || conv_id END AS video_uid, CASE k WHEN 0 THEN CASE WHEN turn % 2 = 0 THEN 'own' ELSE 'val' END WHEN 1 THEN 'train' END AS split, CASE WHEN k < 2 THEN 'social' END AS scenario FROM c)
+SELECT doc, turn, length(text)::BIGINT AS n_chars, video_uid, split, scenario FROM r""")
 def variant_flatten(t: Tables) -> DataFrame:
-    """Conversations as nested JSON documents, flattened again through the variant type."""
-    nested = t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", "text")).alias("clips"))).alias("doc"))
-    v = nested.select("conv_id", F.parse_json("doc").alias("v"))
-    v.createOrReplaceTempView("gaugemill_nested")
-    rows = t.spark.sql("SELECT conv_id, variant_get(c.value, '$.text', 'string') AS text FROM gaugemill_nested, LATERAL variant_explode(variant_get(v, '$.clips', 'variant')) AS c")
-    return rows.groupBy("conv_id").agg(F.sum(F.length("text")).alias("leaf_characters"), F.count("*").alias("n_clips"), F.max(F.length("text")).cast("long").alias("longest_leaf"))
+    """Nested documents of three shapes as records: videos with clips, some with their own split; videos alone; other lists."""
+    own = F.when(F.col("turn") % 2 == 0, "own")
+    rows = t.conversations.withColumn("clip", F.struct("turn", "text", own.alias("split"))).withColumn("video", F.struct("turn", "text"))
+    lists = rows.groupBy("conv_id").agg(F.collect_list("clip").alias("clips"), F.collect_list("video").alias("plain"))
+    k = F.col("conv_id") % 3
+    clips = F.to_json(F.struct(F.lit("val").alias("split"), F.array(F.struct(F.format_string("v%d", "conv_id").alias("video_uid"), "clips"), F.lit(None)).alias("videos")))
+    doc = F.when(k == 0, clips).when(k == 1, F.to_json(F.struct(F.col("plain").alias("videos")))).otherwise(F.to_json(F.struct(F.col("plain").alias("turns"), F.lit("x").alias("videos"))))
+    documents = lists.select(F.col("conv_id").cast("string").alias("doc"), doc.alias("json"), F.lit("social").alias("stem"))
+    found = readers.flattened(documents, "json", "stem")
+    return found.select("doc", F.expr("variant_get(record, '$.turn', 'bigint')").alias("turn"), F.length(F.expr("variant_get(record, '$.text', 'string')")).cast("long").alias("n_chars"), "video_uid", "split", "scenario")
+
+
+@query("SELECT page_id, 'a' || chr(65533) || substr(regexp_replace(html, '[^a-z]', '', 'g'), 1, 40) AS said FROM pages")
+def lossy_documents(t: Tables) -> DataFrame:
+    """Documents of a line each, all with a byte that isn't UTF-8."""
+    path = t.new_folder()
+    text = F.substring(F.regexp_replace("html", "[^a-z]", ""), 1, 40)
+    line = F.concat(F.lit('{"said": "a').cast("binary"), F.unhex(F.lit("FF")), text.cast("binary"), F.lit('", "page_id": ').cast("binary"), F.col("page_id").cast("string").cast("binary"), F.lit("}").cast("binary"))
+    t.pages.select(line.cast("string").alias("value")).write.mode("overwrite").text(path)
+    return readers.lossy_json(t.spark, path, "page_id bigint, said string", lines=True).select("page_id", "said")
 
 
 @query("""

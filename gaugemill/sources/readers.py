@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.order import settled
 from . import schema as S
 
 
+#: Bits of a row's place in its part of a file; a part of 128 MB can't have more rows.
+PLACE_BITS = 27
+
+
+def _row_ord() -> Column:
+    """The order of a file's rows, however it is cut: where the row's part of the file begins, and its place there."""
+    return F.shiftleft(F.col("_metadata.file_block_start"), PLACE_BITS) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+
 def jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
-    """A JSON object a line; blank lines are skipped, a bad one fails the job. ``row_ord`` orders the rows of a file."""
+    """A JSON object a line; blank lines are skipped, a bad one fails the job. ``file`` and ``row_ord`` order the rows."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    return rows.withColumn("row_ord", F.monotonically_increasing_id()).withColumn("file", F.col("_metadata.file_path"))
+    return rows.withColumn("row_ord", _row_ord()).withColumn("file", F.col("_metadata.file_path"))
 
 
 def line_count(spark: SparkSession, path: str) -> DataFrame:
@@ -23,10 +33,11 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def lossy_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents with bad bytes: these become replacement characters, and the rest of the document is kept."""
-    raw = spark.read.format("binaryFile").load(path)
-    text = F.make_valid_utf8(F.decode("content", "UTF-8")) if hasattr(F, "make_valid_utf8") else F.decode("content", "UTF-8")
+def lossy_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Documents with bad bytes, one a file or (``lines``) one a line: such bytes become replacement characters, and the
+    rest of the document is kept."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")) if lines else spark.read.format("binaryFile").load(path)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return raw.select("path", F.from_json(text, schema).alias("doc")).select("path", "doc.*")
 
 
@@ -49,7 +60,7 @@ def suite(spark: SparkSession, root: str, file: str = "all.jsonl", schema: str =
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", file).json(root)
     where = F.col("_metadata.file_path")
     rows = rows.withColumn("task_dir", F.regexp_extract(where, r"/(?:task_dir=)?(task_[^/]+)/[^/]+$", 1)).withColumn("tier", F.regexp_extract(where, r"/(?:tier=)?([^/]+)/(?:task_dir=)?task_[^/]+/[^/]+$", 1))
-    return rows.withColumn("row_ord", F.monotonically_increasing_id()).where("task_dir <> ''")
+    return rows.withColumn("row_ord", _row_ord()).withColumn("file", where).where("task_dir <> ''")
 
 
 def or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -74,12 +85,34 @@ def the_task(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(one), "task_dir").where("_ok IS NULL").drop("_ok")
 
 
-def flattened(documents: DataFrame) -> DataFrame:
-    """Videos' clips as rows; a clip takes what it lacks from its video, and that from the document."""
-    videos = documents.select(F.col("video_uid").alias("d_uid"), F.col("split").alias("d_split"), F.col("scenario").alias("d_scenario"), F.explode_outer("videos").alias("v"))
-    clips = videos.select("*", F.explode_outer("v.clips").alias("c"))
-    pick = lambda f, d: F.coalesce(f"c.{f}", f"v.{f}", d).alias(f)
-    return clips.select("c.clip_uid", pick("video_uid", "d_uid"), pick("split", "d_split"), pick("scenario", "d_scenario"), "c.text").where("clip_uid is not null")
+def flattened(documents: DataFrame, json: str, scenario: str) -> DataFrame:
+    """(the other columns, record): the records of nested JSON documents, as variants with what they inherit beside them.
+
+    Of a document's ``videos`` the clips are records, or the video itself where it has no list of clips; ``video_uid``,
+    ``split`` and ``scenario`` are the record's own, or else its video's (uid or clip's uid), the video's or the document's
+    split ("train" without any), and the column ``scenario``. A document without such records gives the objects of all its
+    lists. Text that isn't JSON has none.
+    """
+    spark, keep = documents.sparkSession, [c for c in documents.columns if c != json]
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    each = lambda df, column: df.lateralJoin(spark.tvf.variant_explode(F.col(column).outer()))
+    is_object = F.schema_of_variant("value").startswith("OBJECT")
+    opened = documents.select(*keep, F.try_parse_json(json).alias("_doc")).where(F.schema_of_variant("_doc").startswith("OBJECT"))
+    opened = opened.withColumn("_id", F.monotonically_increasing_id())
+    opened = settled(opened.select("*", get(F.col("_doc"), "$.videos", "variant").alias("_videos"), get(F.col("_doc"), "$.split").alias("_split")))
+    has_list = lambda c: F.coalesce(F.schema_of_variant(c).startswith("ARRAY"), F.lit(False))
+    videos = each(opened.where(has_list("_videos")), "_videos").where(is_object).select(*keep, "_id", F.col("pos").alias("_p"), F.col("value").alias("_video"), "_split")
+    uid = F.coalesce(F.nullif(get(F.col("_video"), "$.video_uid"), F.lit("")), get(F.col("_video"), "$.clip_uid"), F.lit(""))
+    videos = videos.select("*", get(F.col("_video"), "$.clips", "variant").alias("_clips"), uid.alias("_uid"), F.coalesce(get(F.col("_video"), "$.split"), "_split", F.lit("train")).alias("_vsplit"))
+    clips = each(videos.where(has_list("_clips")), "_clips").where(is_object).select(*keep, "_id", F.array("_p", "pos").alias("_at"), F.col("value").alias("record"), "_uid", "_vsplit")
+    whole = videos.where(~has_list("_clips")).select(*keep, "_id", F.array("_p").alias("_at"), F.col("_video").alias("record"), F.lit(None).cast("string").alias("_uid"), "_vsplit")
+    nested = clips.unionByName(whole)
+    rest = opened.join(nested.select("_id").distinct(), "_id", "left_anti")
+    lists = each(rest, "_doc").where(has_list("value")).select(*keep, "_id", F.col("pos").alias("_p"), F.col("value").alias("_list"))
+    other = each(lists, "_list").where(is_object).select(*keep, "_id", F.array("_p", "pos").alias("_at"), F.col("value").alias("record"), F.lit(None).cast("string").alias("_uid"), F.lit(None).cast("string").alias("_vsplit"))
+    own = lambda name, inherited: F.coalesce(get(F.col("record"), f"$.{name}"), inherited).alias(name)
+    inherits = F.when(F.col("_vsplit").isNotNull(), F.col(scenario))
+    return nested.unionByName(other).select(*keep, "record", own("video_uid", F.col("_uid")), own("split", F.col("_vsplit")), own("scenario", inherits))
 
 
 def source_pool(pairwise: DataFrame) -> DataFrame:

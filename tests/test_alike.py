@@ -40,7 +40,7 @@ SCHEMA = "id string, traits array<string>, words array<string>, g string, v stri
 @pytest.mark.parametrize("equal,differ", [([], []), (["g"], ["v"])])
 def test_equals_comparing_all(spark, monkeypatch, end, equal, differ):
     monkeypatch.setattr(alike, "LISTED", 4)
-    monkeypatch.setattr(alike, "LISTED_MOST", 4)
+    monkeypatch.setattr(alike, "WHOLE", 40)
     monkeypatch.setattr(alike, "INDEXED", 2)
     monkeypatch.setattr(alike, "SIGNATURES", 12)
     rows = made(160, len(equal))

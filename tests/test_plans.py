@@ -49,7 +49,36 @@ def leaves(spark, text, **how):
 def test_string_leaves_of_any_json(spark):
     assert leaves(spark, '{"a": ["x", {"b": "y"}], "c": 1, "d": "z"}') == ["x", "y", "z"]
     assert leaves(spark, '{"a:": "x", "b": "y"}') == ["x", "y"] and leaves(spark, '"top"') == ["top"] and leaves(spark, "not json") == []
-    assert leaves(spark, '["q\\"uote", "\\u00e9"]') == ['q"uote', "é"] and leaves(spark, '[[["deep"]]]', depth=2) == []
+    assert leaves(spark, '["q\\"uote", "\\u00e9", "back\\\\", ":"]') == ['q"uote', "é", "back\\", ":"]
+    assert leaves(spark, '{"z": {"y" : ["1"]}, "a": "2"}') == ["1", "2"] and leaves(spark, "[" * 60 + '"deep"' + "]" * 60) == ["deep"]
+    long = "x" * 300_000 + '\\"' * 50_000
+    assert leaves(spark, f'{{"k": "{long}"}}') == ["x" * 300_000 + '"' * 50_000]
+
+
+def test_bad_bytes_are_replaced(spark, tmp_path):
+    (tmp_path / "one.json").write_bytes(b'{"a": "x\xffy", "b": 1}')
+    (tmp_path / "two.json").write_bytes('{"a": "é", "b": 2}'.encode())
+    got = {r.b: r.a for r in readers.lossy_json(spark, str(tmp_path), "a string, b long").collect()}
+    assert got == {1: "x\ufffdy", 2: "é"}
+
+
+def test_rows_keep_the_order_of_their_file(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"id": "{name}{i}"}}\n' for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.jsonl(spark, str(tmp_path), "id string")
+        assert rows.rdd.getNumPartitions() > 4
+        assert [r.id for r in rows.orderBy("file", "row_ord").collect()] == [f"{n}{i}" for n in "ab" for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_nested_documents_of_odd_shapes(spark):
+    docs = [("1", '{"videos": [{"clip_uid": "c", "clips": [{"x": 1, "split": "s"}, 5]}, 7]}'), ("2", "[1]"), ("3", "no json"), ("4", '{"a": [{"y": 2}], "b": 3}'), ("5", '{"videos": []}'), ("6", None)]
+    rows = readers.flattened(spark.createDataFrame([(k, d, "stem") for k, d in docs], "k string, d string, stem string"), "d", "stem")
+    got = sorted((r.k, r.r, r.video_uid, r.split, r.scenario) for r in rows.select("k", F.to_json("record").alias("r"), "video_uid", "split", "scenario").collect())
+    assert got == [("1", '{"split":"s","x":1}', "c", "s", "stem"), ("4", '{"y":2}', None, None, None)]
 
 
 def test_files_are_found_by_name_head_and_part(spark):
