@@ -13,6 +13,13 @@ PEOPLE = ("people", "person", "man", "woman", "boy", "girl", "human", "crowd", "
 KEYWORDS = ("hammer", "clap", "slap", "slam", "bang", "smash", "knock", "hit", "punch", "thud")
 # Fixed value: words that a clip shown to people must not hold.
 PROFANITY = r"(?i)\b(fuck|fucking|shit|bitch|cunt|dick|asshole)\b"
+# Openings that ask for a repetition or for what was meant, and what a cue clip scores for a good length, for safe
+# words, and for an opening that tells of its label.
+REPAIR = r"(?i)^(what was that|what did you say|can you repeat|could you repeat|i didn.?t hear|i didn.?t catch|huh|pardon|sorry what)"
+CLARIFY = r"(?i)^(what do you mean|which one|who do you mean|do you mean|are you saying|can you clarify|could you clarify)"
+CUE_POINTS = {"length": 5, "safe": 3, "explicit_repair_cue_detection": 8, "clarification_question_detection": 8, "acknowledgment_cue_detection": 6}
+# Fixed value: messages with these words are left out of prompts.
+SKIPPED = "Sometimes, the user may need"
 # Answers without and with context that differ tellingly, and words for physical surroundings.
 CONTRASTS = (("respond", "avoid"), ("respond", "not respond"), ("answer", "clarify"), ("do", "repeat"), ("confident", "uncertain"))
 SURROUNDINGS = ("bystander", "side conversation", "nearby", "distance", "angle", "noise", "noisy", "traffic", "vehicle", "public", "room", "construction", "music", "unclear", "repeat", "clarify")
@@ -140,7 +147,7 @@ def option_lines(options: Column) -> Column:
     return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o)), "\n")
 
 
-def compact_prompt(messages: Column, limit: int = 700, skip: str = "Sometimes, the user may need") -> Column:
+def compact_prompt(messages: Column, limit: int = 700, skip: str = SKIPPED) -> Column:
     """Messages (role, content) as lines, long ones cut at 260 characters, some left out; the last ``limit`` characters."""
     kept = F.filter(messages, lambda m: ~F.contains(F.coalesce(m["content"], F.lit("")), F.lit(skip)))
     cut = lambda t: F.when(F.length(t) > 260, F.concat(F.substring(t, 1, 260), F.lit("..."))).otherwise(t)
@@ -195,6 +202,7 @@ def group_key(name) -> Column:
 
 def long_context(dataset, primary, secondary, mode) -> tuple[Column, Column]:
     """What is said of a long item, in brief and at length; secondary events that are empty and unknown modes aren't said."""
+    # The sentences.
     first, second = event_phrase(primary), event_phrase(secondary)
     name, how = (F.lit(dataset) if isinstance(dataset, str) else dataset), col(mode)
     short = F.concat(F.lit("A long-form audio clip involving "), first, F.lit("."))
@@ -204,6 +212,7 @@ def long_context(dataset, primary, secondary, mode) -> tuple[Column, Column]:
 
 def clip_context(talking, speakers, caption) -> tuple[Column, Column]:
     """What is said of a clip, in brief and at length."""
+    # The sentences.
     short = F.when(talking, "A speaking portrait clip.").otherwise("A portrait clip with little or no visible speech.")
     subject = F.when(talking, "with a speaking subject").otherwise("with no strong visible vocalization")
     bits = [F.lit("A portrait-style video clip"), subject, F.format_string("and %d visible speaker(s)", speakers), F.when(col(caption) != "", F.concat(F.lit("Caption cues: "), col(caption)))]

@@ -36,6 +36,7 @@ def features(x: np.ndarray, rate: int) -> tuple[float, float, float, float, floa
     """Duration, loudness, the sharpest rise of frame energy, the autocorrelation peak of it, and crossings a second."""
     if not len(x):
         return (0.0,) * 5
+    # Frames of 32 ms every 10 ms, lags from 80 to 750 ms.
     seconds, size, hop = len(x) / rate, max(64, int(rate * 0.032)), max(32, int(rate * 0.010))
     starts = np.arange(0, max(1, len(x) - size + 1), hop)
     power = np.concatenate([[0.0], np.cumsum(x**2)])

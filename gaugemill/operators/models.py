@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import subprocess
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +21,7 @@ def random_scores(n: Column, seed: int, *key: Column) -> Column:
     return F.transform(spots, lambda i: seeded.draw(F.lit(1 << 30), seed, *key, i) / F.lit(float(1 << 30)))
 
 
+# The weights in the two scores below, and the words of options that they go with.
 def heuristic_candidate_score(prompt: Column, label: Column, rms: Column, onset: Column, with_text: bool = True) -> Column:
     """Words in common with the prompt, loudness and sharpness."""
     heard = 0.2 * rms + 0.1 * onset
@@ -45,19 +47,44 @@ def cosine_scores(query: Column, candidates: Column) -> Column:
     return F.transform(candidates, lambda c: F.coalesce(A.dot(query, c) / F.nullif(norm(query) * norm(c), F.lit(0.0)), F.lit(0.0)))
 
 
-def predict(rows: DataFrame, make_model: Callable[[], Callable[[dict], dict]], keep: list[str]) -> DataFrame:
-    """Runs a model over the rows: ``make_model`` is called once a task; what it returns maps a row to a prediction."""
+@dataclass
+class Native:
+    """A model that is a column: the scores of a row's options."""
+
+    scores: Column
+
+
+def predict(rows: DataFrame, model: Native | Callable[[], Callable[[dict], dict]], keep: list[str]) -> DataFrame:
+    """Runs a model over the rows. A native one is a column, whose best score is taken; another is called once a task, and
+    what it returns maps a row to a prediction."""
+    if isinstance(model, Native):
+        scored = rows.withColumn("_scores", model.scores)
+        return scored.select(*keep, A.argmax(F.col("_scores")).alias("predicted_index"), F.col("_scores").alias("scores"), F.lit(None).cast("array<bigint>").alias("predicted_ranking"))
     schema = f"{rows.select(*keep).schema.toDDL()}, {PREDICTION}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
+        ask = model()
         for pdf in batches:
-            made = [model(r) for r in pdf.to_dict("records")]
+            made = [ask(r) for r in pdf.to_dict("records")]
             yield pdf[keep].assign(**{c: [m.get(c) for m in made] for c in ("predicted_index", "scores", "predicted_ranking")})
 
     return rows.mapInPandas(run, schema)
 
 
+def random_model(seed: int = 42, key: str = "id") -> Native:
+    """Even scores for the options of each row."""
+    return Native(random_scores(F.size(F.coalesce("candidate_audio_paths", "text_options", "label_space")), seed, F.col(key)))
+
+
+def hybrid_model() -> Native:
+    """The heuristic scores, of options by ``query_features`` (rms, onset, periodicity), or else of candidates by their
+    labels and ``candidate_features`` (rms, onset)."""
+    heard = F.col("query_features")
+    options = F.transform(F.coalesce("text_options", "label_space"), lambda o: heuristic_option_score(F.col("task_name"), F.col("prompt"), o, heard["rms"], heard["onset"], heard["periodicity"]))
+    candidates = F.zip_with("candidate_labels", "candidate_features", lambda c, f: heuristic_candidate_score(F.col("prompt"), c, f["rms"], f["onset"]))
+    return Native(F.when(F.coalesce("text_options", "label_space").isNotNull(), options).otherwise(candidates))
+
+
 def command(argv: list[str]) -> Callable[[], Callable[[dict], dict]]:
     """A model in another process that reads a JSON row a line and answers likewise; one process a task."""
     def make() -> Callable[[dict], dict]:
@@ -88,3 +115,5 @@ def backend(name: str, **options):
 
 BACKENDS["command"] = lambda argv: command(argv)
 BACKENDS["first"] = lambda: lambda: lambda row: {"predicted_index": 0}
+BACKENDS["random"] = random_model
+BACKENDS["hybrid"] = hybrid_model

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrays as A, seeded, text as T
-from ..operators import metrics as M, pools, sampling as S, scoring as P
+from ..operators import metrics as M, models, pools, sampling as S, scoring as P
 from ..operators.resample import replicate_means
 from .bindings import BIG_ROWS, CLIP_SCORE, CLIPS, LABEL_ROWS, MODEL_SCORES, SRC_ITEMS, big_rows, clips, digest_sql, draw_sql, index_rows, label_rows, model_scores, src_items
 from .pipelines import results_table
@@ -65,11 +65,26 @@ def embedding_retrieval(t: Tables) -> DataFrame:
     pairs = index_rows(t).select("vec_id", F.posexplode("candidates").alias("idx", "candidate"), "gold_index")
     vec = lambda name, key: t.embeddings.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
     both = pairs.join(vec("q", "vec_id"), "vec_id").join(vec("x", "candidate"), "candidate")
-    q, x = F.col("q"), F.col("x")
-    scored = both.withColumn("score", A.dot(q, x) / F.sqrt(A.dot(q, q) * A.dot(x, x)))
+    scored = both.withColumn("score", models.cosine_scores(F.col("q"), F.array("x"))[0])
     return scored.groupBy("vec_id").agg(F.round(F.max(F.when(F.col("idx") != F.col("gold_index"), F.col("score"))), 6).alias("best_other"), F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n"))
 
 
+def _even(i: int) -> str:
+    return f"{draw_sql(str(1 << 30), 17, 'id', str(i))} / {float(1 << 30)}"
+
+
+@query(f"""WITH {SRC_ITEMS}, s AS (SELECT id, [{_even(0)}, {_even(1)}, {_even(2)}] AS s FROM src_items), p AS (SELECT id, list_max(s) AS best, list_position(s, list_max(s)) - 1 AS i FROM s)
+SELECT id, round(best, 9) AS best, i::BIGINT AS predicted_index, (i = 0)::INT::DOUBLE AS primary_metric FROM p""")
+def random_model(t: Tables) -> DataFrame:
+    """Even scores for three options of every item, the best of them taken, and scored as if the first were right."""
+    three = F.array(*map(F.lit, "abc"))
+    rows = src_items(t).select("id", three.alias("text_options"), *(F.lit(None).cast("array<string>").alias(c) for c in ("candidate_audio_paths", "label_space")))
+    scored = models.predict(rows, models.backend("random", seed=17), ["id"])
+    ranked = P.predicted_ranking(F.lit(None).cast("array<bigint>"), F.col("scores"), F.lit(None).cast("long"), F.lit(3))
+    made = scored.withColumn("_r", ranked).withColumn("primary_metric", P.index_metrics(F.lit(0).cast("long"), F.col("_r"))["primary_metric"])
+    return made.select("id", F.round(F.array_max("scores"), 9).alias("best"), "predicted_index", "primary_metric")
+
+
 @query(f"""
 WITH {SRC_ITEMS}, g AS (SELECT id, [0, 1, 2] AS gold, s FROM (SELECT id, [{draw_sql('10', 5, 'id', '0')}, {draw_sql('10', 5, 'id', '1')}, {draw_sql('10', 5, 'id', '2')}] AS s FROM src_items)),
 u AS (SELECT id, unnest(s) AS x, unnest([0, 1, 2]) AS i FROM g), r AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY x DESC, i) AS k FROM u)

@@ -93,11 +93,13 @@ def results_table(tasks: DataFrame, scores: DataFrame, names: list[str]) -> Data
 
 def cue_priority(text, seconds, task: str, label) -> object:
     """Five for a good length, three for safe words, and a bonus for telling openings."""
-    from ..functions.text import is_safe
+    from ..functions.text import CLARIFY, CUE_POINTS, REPAIR, is_safe
 
-    repair = F.col(text).rlike(r"(?i)^(what was that|what did you say|can you repeat|could you repeat|i didn.?t hear|i didn.?t catch|huh|pardon|sorry what)")
-    clarify = F.col(text).rlike(r"(?i)^(what do you mean|which one|who do you mean|do you mean|are you saying|can you clarify|could you clarify)")
     short = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")) <= 3
-    bonus = {"explicit_repair_cue_detection": ("explicit_repair_cue", repair, 8), "clarification_question_detection": ("clarification_question", clarify, 8), "acknowledgment_cue_detection": ("short_acknowledgment", short, 6)}
-    name, condition, points = bonus[task]
-    return F.when(F.col(seconds).between(12, 22), 5).otherwise(0) + F.when(is_safe(text), 3).otherwise(0) + F.when((F.col(label) == name) & condition, points).otherwise(0)
+    name, condition = {
+        "explicit_repair_cue_detection": ("explicit_repair_cue", F.col(text).rlike(REPAIR)),
+        "clarification_question_detection": ("clarification_question", F.col(text).rlike(CLARIFY)),
+        "acknowledgment_cue_detection": ("short_acknowledgment", short),
+    }[task]
+    points = lambda key, holds: F.when(holds, CUE_POINTS[key]).otherwise(0)
+    return points("length", F.col(seconds).between(12, 22)) + points("safe", is_safe(text)) + points(task, (F.col(label) == name) & condition)

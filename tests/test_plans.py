@@ -230,6 +230,21 @@ def test_wav_features_and_edits(spark, tmp_path):
     assert np.allclose(media.decode(stereo.getvalue())[0], 200 / 32768)
 
 
+def test_native_backends(spark):
+    schema = "id string, task_name string, prompt string, text_options array<string>, label_space array<string>, candidate_audio_paths array<string>, candidate_labels array<string>, query_features struct<rms:double,onset:double,periodicity:double>, candidate_features array<struct<rms:double,onset:double>>"
+    rows = [
+        ("a", "periodicity_aware_grounding", "hear", ["A repetitive one.", "A single one."], None, None, None, (0.1, 0.1, 0.9), None),
+        ("b", "onset_sharpness_grounding", "hear", ["A diffuse one.", "A sharp one."], None, None, None, (0.1, 0.2, 0.0), None),
+        ("c", "target", "dog bark", None, None, ["1", "2", "3"], ["cat", "dog bark", "rain"], None, [(0.1, 0.1)] * 3),
+    ]
+    table = spark.createDataFrame(rows, schema)
+    got = {r.id: r for r in models.predict(table, models.backend("hybrid"), ["id"]).collect()}
+    assert [got[k].predicted_index for k in "abc"] == [0, 1, 1] and abs(got["c"].scores[1] - 2.03) < 1e-9
+    even = {r.id: r for r in models.predict(table, models.backend("random", seed=3), ["id"]).collect()}
+    assert [len(even[k].scores) for k in "abc"] == [2, 2, 3] and all(0 <= x < 1 for r in even.values() for x in r.scores)
+    assert all(r.predicted_index == r.scores.index(max(r.scores)) for r in even.values())
+
+
 def test_models(spark):
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, prompt string")
     echo = [sys.executable, "-uc", "import sys,json\nfor l in sys.stdin: print(json.dumps({'predicted_index': len(json.loads(l)['id'])}))"]
