@@ -19,7 +19,7 @@ from .order import settled, spread
 
 #: Rows of a list at first, rows that have an indexed feature at first, and the factor of each round; a pool of so few rows
 #: is listed whole at once. Parts that the rows of a signature are dealt into.
-LISTED, INDEXED, FURTHER, WHOLE, PARTS = 32, 64, 4, 1024, 32
+LISTED, INDEXED, FURTHER, WHOLE, PARTS = 32, 64, 4, 1024, 8
 #: Signatures at most, features in them at most; a feature in them is had by one row in so many at least.
 SIGNATURES, COMMONEST, COMMON = 256, 64, 64
 
