@@ -7,7 +7,11 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..sources.readers import exists
+from ..sources.writers import not_yet_made
+from .order import spread
 
 NUMBERS = ("duration_sec", "rms", "onset_strength", "periodicity_score", "zero_crossing_rate")
 FEATURES = T.StructType([*(T.StructField(n, T.DoubleType()) for n in NUMBERS), T.StructField("error", T.StringType())])
@@ -74,15 +78,20 @@ def wav_seconds(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def mix(u: np.ndarray, v: np.ndarray, volume_u: float, volume_v: float) -> np.ndarray:
+    out = np.zeros(max(len(u), len(v)))
+    out[: len(u)] += volume_u * u
+    out[: len(v)] += volume_v * v
+    return out
+
+
 def mixed(a: Column, b: Column, volume_a: float, volume_b: float, seconds: float | None = None) -> Column:
     """Both at once, as long as the longer, or cut off."""
     @F.pandas_udf("binary")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q):
             (u, rate), (v, _) = decode(bytes(p)), decode(bytes(q))
-            out = np.zeros(max(len(u), len(v)))
-            out[: len(u)] += volume_a * u
-            out[: len(v)] += volume_b * v
+            out = mix(u, v, volume_a, volume_b)
             return encode(out if seconds is None else out[: int(seconds * rate)], rate)
 
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
@@ -114,3 +123,60 @@ def trimmed(a: Column, seconds: float) -> Column:
         return x.map(one)
 
     return run(a)
+
+
+@F.pandas_udf(T.BinaryType())
+def wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """Arrays of 16-bit samples as sounds."""
+    return pd.Series([None if x is None else encode(np.asarray(x, "float64") / 32768, int(r)) for x, r in zip(samples, rate, strict=True)])
+
+
+#: What a job may ask for: ``how`` is mix, join or trim; ``seconds`` cuts a mix or trim, or either part of a join.
+JOB = ("path", "how", "first", "second", "volume_first", "volume_second", "seconds", "gap")
+
+
+@F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
+def _render(how: pd.Series, a: pd.Series, b: pd.Series, volume_a: pd.Series, volume_b: pd.Series, seconds: pd.Series, gap: pd.Series) -> pd.DataFrame:
+    def one(kind, p, q, volume_p, volume_q, most, pause):
+        if kind not in ("mix", "join", "trim"):
+            raise ValueError("unknown kind")
+        if p is None or (q is None and kind != "trim"):
+            raise FileNotFoundError
+        u, rate = decode(bytes(p))
+        n = None if pd.isna(most) else int(most * rate)
+        if kind == "trim":
+            return encode(u[:n], rate)
+        v, other = decode(bytes(q))
+        if rate != other:
+            raise ValueError("rates differ")
+        return encode(mix(u, v, volume_p, volume_q)[:n] if kind == "mix" else np.concatenate([u[:n], np.zeros(int(pause * rate)), v[:n]]), rate)
+
+    rows = []
+    for job in zip(how, a, b, volume_a.fillna(1.0), volume_b.fillna(1.0), seconds, gap.fillna(0.0), strict=True):
+        try:
+            rows.append((one(*job), None))
+        except Exception as e:  # a job that can't be done is a row with an error, not a failed run
+            rows.append((None, type(e).__name__))
+    return pd.DataFrame(rows, columns=["content", "error"])
+
+
+def rendered(jobs: DataFrame, sounds: DataFrame) -> DataFrame:
+    """(path, content, error) of every job (columns JOB), of ``sounds`` with path and content; jobs meet sounds by path.
+
+    A missing sound, other samples than 16 bits, unlike rates and unknown kinds give an error and no content; volumes are 1
+    and pauses nothing where null. Of repeated sounds the one that is smallest counts, of jobs for one path the first in order
+    of its columns. A sound that many jobs ask for is one hot key of a join, whose other side adaptive execution splits.
+    """
+    cells = sounds.groupBy("path").agg(F.min("content").alias("content"))
+    asked = jobs.groupBy("path").agg(F.min(F.struct(*JOB[1:])).alias("job")).select("path", "job.*")
+    side = lambda name: cells.select(F.col("path").alias(name), F.col("content").alias(f"_{name}"))
+    both = spread(asked, "path").join(side("first"), "first", "left").join(side("second"), "second", "left")
+    made = both.select("path", _render("how", "_first", "_second", *(F.col(c).cast("double") for c in JOB[4:])).alias("made"))
+    return made.select("path", "made.*")
+
+
+def render(jobs: DataFrame, sounds: DataFrame, out: str) -> None:
+    """Adds to the table ``out`` (path, content) what is asked for and not there yet; jobs with errors are tried again by the
+    next run. A run that was broken off left nothing of its own."""
+    wanted = jobs if not exists(jobs.sparkSession, out) else not_yet_made(jobs, jobs.sparkSession.read.parquet(out), "path")
+    rendered(wanted, sounds).where("error is null").select("path", "content").write.mode("append").parquet(out)

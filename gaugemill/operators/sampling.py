@@ -6,11 +6,13 @@ a loop over groups gives.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.seeded import digest
 from . import metrics
-from .order import settled, spread
+from .order import placed, settled, spread
 
 
 def round_robin(rows: DataFrame, by: list[str], group: str, key: list[str], seed: Column | int, limit: Column | int, cap: int | None = None, priority: list[Column] = (), small_first: bool = True) -> DataFrame:
@@ -40,6 +42,36 @@ def top_n(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFr
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("ordinal") <= n)
 
 
+def filled(candidates: DataFrame, by: list[str], order: list[Column], n: int, attempt: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(successes, failures): each group's first ``n`` candidates for which ``attempt`` succeeds, and those that failed before.
+
+    ``attempt`` takes candidates and gives them back with ``error``, null where it succeeded. Successes are numbered from 1 as
+    ``ordinal``, which failures don't use up. ``order`` is ascending and must tell a group's rows apart; rows without a group
+    must be left out before. The first ``n`` of a group are tried, then, of groups that fell short, as many again as were
+    tried so far, so at most about twice as many are tried as one after the other. Only groups that fell short are put in
+    order whole, and no task holds a group. What was tried is written, so no attempt is made twice for a lost executor.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = candidates.select("*", *(c.alias(name) for c, name in zip(order, names, strict=True)))
+    first = top_n(keyed, by, [F.col(c) for c in names], n).withColumnRenamed("ordinal", "_rank")
+    tried, upto, ranked = settled(attempt(first.drop(*names))), n, None
+    while True:
+        got = tried.groupBy(*by).agg(F.count_if(F.col("error").isNull()).alias("_got"), F.count("*").alias("_tried"))
+        short = settled(got.where((F.col("_got") < n) & (F.col("_tried") == upto)).select(*by))
+        if short.isEmpty():
+            break
+        if ranked is None:
+            at = placed(keyed.join(short, by, "left_semi"), [*by, *names], "_at")
+            begins = at.groupBy(*by).agg(F.min("_at").alias("_begin"))
+            ranked = at.join(begins, by).withColumn("_rank", F.col("_at") - F.col("_begin") + 1).select(*candidates.columns, "_rank")
+        more = ranked.where((F.col("_rank") > upto) & (F.col("_rank") <= 2 * upto)).join(short, by, "left_semi")
+        tried, upto = settled(tried.unionByName(attempt(more))), 2 * upto
+    succeeded = F.count_if(F.col("error").isNull()).over(Window.partitionBy(*by).orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = tried.withColumn("ordinal", succeeded)
+    done = told.where(F.col("error").isNull() & (F.col("ordinal") <= n)).drop("_rank", "error")
+    return done, told.where(F.col("error").isNotNull() & (F.col("ordinal") < n)).drop("_rank", "ordinal")
+
+
 #: A row's place in an attempt is below this: a number linear in the attempt's, with its bits mixed by steps of
 #: (shift, factor). One digest a row serves all attempts, and rows of an attempt are independent.
 MODULUS = 1 << 40

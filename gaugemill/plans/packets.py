@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# What raters of cues are asked, and what they fill in.
+CUE_PROMPTS = {
+    "acknowledgment_cue_detection": "Listen to the clip. Is the speaker mainly giving a short acknowledgment such as okay, yeah, or mm-hmm?",
+    "clarification_question_detection": "Listen to the clip. Does the speaker ask a semantic or referential clarification question?",
+    "explicit_repair_cue_detection": "Listen to the clip. Does the speaker explicitly signal a hearing or understanding problem?",
+}
+ANSWERABLE = "Could you make this judgment from audio alone?"
+CUE_FORM = ("chosen_answer", "answerable_from_audio_yes_no", "confidence_1_5", "difficulty_1_5", "comments")
+CUE_QUOTA = 6
+
 
 def answer() -> Column:
     """The gold label, else the gold ranking from 1 (``2 > 1 > 3``), else the gold place from 1."""
@@ -74,3 +87,55 @@ def write(rows: DataFrame, root: str, per_task: int = 2, by: str | None = None)
     writers.csv(key(picked), f"{root}/answer_key_private", ["task_name", "item_id", "answer_key"])
     form = ["response", "confidence", "difficulty", "comments"]
     writers.csv(shown.select("task_name", F.col("id").alias("item_id"), *(F.lit(None).cast("string").alias(c) for c in form)), f"{root}/response_template", ["task_name", "item_id", *form])
+
+
+def cue_labels() -> dict[str, tuple[str, str]]:
+    """The two labels of every cue task."""
+    from .tasks import CUES
+
+    return dict(CUES)
+
+
+def cue_packet(candidates: DataFrame, attempt: Callable[[DataFrame], DataFrame], quota: int = CUE_QUOTA) -> dict[str, DataFrame]:
+    """A packet of cue clips: ``items`` and ``responses`` to share, ``answers`` to keep, and ``failures``.
+
+    ``candidates`` has task_name, label, text, seconds, dover_score, clear_score, source_item_id and whatever else the key
+    should tell. Clips with unsafe or empty words and labels that aren't the task's are left out; of each label the first
+    ``quota`` are taken for which ``attempt`` (see ``sampling.filled``) gets a sound, by points, then scores, then id.
+    Item ids hold the label, as the packet's format wants it: who must not see it needs other names for them.
+    """
+    from ..functions import text as T
+    from ..operators.sampling import filled
+    from .pipelines import cue_priority
+
+    labels = cue_labels()
+    either = lambda of: reduce(lambda rest, task: rest.when(F.col("task_name") == task, of(task)), labels, F)
+    known = either(lambda task: F.col("label").isin(*labels[task]))
+    kept = candidates.where(known & T.is_safe("text") & (F.trim("text") != "") & F.col("source_item_id").isNotNull())
+    down = lambda c: -F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    points = either(lambda task: cue_priority("text", "seconds", task, "label"))
+    done, failures = filled(kept, ["task_name", "label"], [-points, down("dover_score"), down("clear_score"), F.col("source_item_id")], quota, attempt)
+    named = done.withColumn("item_id", F.format_string("%s_%s_%02d", "task_name", "label", "ordinal"))
+    place = F.concat_ws("/", F.lit("items"), "task_name", "item_id")
+    items_ = named.select(
+        "item_id", "task_name", either(lambda task: F.lit(CUE_PROMPTS[task])).alias("prompt"), either(lambda task: F.array(*map(F.lit, labels[task]))).alias("label_space"),
+        F.concat(place, F.lit("/query.wav")).alias("audio_file"), F.concat(place, F.lit("/item.json")).alias("item_json"), F.lit(ANSWERABLE).alias("answerability_question"),
+    )
+    told = [c for c in candidates.columns if c not in ("task_name", "label", "text")]
+    return {
+        "items": items_,
+        "responses": named.select("item_id", "task_name", *(F.lit("").alias(c) for c in CUE_FORM)),
+        "answers": named.select("item_id", "task_name", F.col("label").alias("gold_label"), F.col("text").alias("transcript_private"), *told),
+        "failures": failures.select("task_name", "label", "source_item_id", "error"),
+    }
+
+
+def write_cue_packet(packet: dict[str, DataFrame], root: str) -> None:
+    """The shared part under ``share``; the key and what failed in folders of their own, so sharing the one shares no answer."""
+    from ..sources import writers
+
+    packet["items"].write.mode("overwrite").partitionBy("task_name").json(f"{root}/share/items")
+    writers.csv(packet["items"].select("item_id", "task_name", "audio_file", "item_json"), f"{root}/share/items_manifest")
+    writers.csv(packet["responses"], f"{root}/share/responses_template")
+    writers.csv(packet["answers"], f"{root}/answer_key_private")
+    writers.csv(packet["failures"], f"{root}/download_failures")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation_queries, function_queries, registry, suite_queries, task_queries, text_queries  # noqa: F401  they register themselves
+from .plans import evaluation_queries, function_queries, packet_queries, registry, suite_queries, task_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

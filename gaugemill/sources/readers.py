@@ -63,13 +63,14 @@ def suite(spark: SparkSession, root: str, file: str = "all.jsonl", schema: str =
     return rows.withColumn("row_ord", _row_ord()).withColumn("file", where).where("task_dir <> ''")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The predictions at ``path``, or none where there is no such path."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def task_names(rows: DataFrame) -> DataFrame:
@@ -147,6 +148,46 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(~F.startswith(name, F.lit("._")) & ~F.endswith(name, F.lit(".part"))).withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+# The keys under which entries of lists name a video and a clip, first ones first.
+VIDEO_KEYS = ("youtube_id", "video_id", "yt_id", "video_name")
+CLIP_KEYS = ("clip_name", "clip", "name", "video_name")
+
+
+def list_entries(documents: DataFrame, json: str) -> DataFrame:
+    """(the other columns, pos, youtube_id, clip_name): the entries of JSON lists in which texts and objects may be mixed.
+
+    A text names both video and clip; an object names each by the first of its keys whose value is a text that isn't empty,
+    a number other than 0, or true. Entries of other kinds, objects that lack a name and documents that aren't lists have none.
+    """
+    keep = [c for c in documents.columns if c != json]
+    lists = documents.select(*keep, F.try_parse_json(json).alias("_doc")).where(F.schema_of_variant("_doc").startswith("ARRAY"))
+    each = lists.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("_doc").outer())).select(*keep, "pos", "value")
+    kind = F.schema_of_variant("value")
+
+    def named(keys: tuple[str, ...]) -> Column:
+        return F.coalesce(*(_told("value", f"$.{k}") for k in keys))
+
+    said = F.try_variant_get("value", "$", "string")
+    both = lambda keys: F.when(kind == "STRING", said).when(kind.startswith("OBJECT"), named(keys))
+    return each.select(*keep, "pos", both(VIDEO_KEYS).alias("youtube_id"), both(CLIP_KEYS).alias("clip_name")).where("youtube_id is not null and clip_name is not null")
+
+
+def _told(value: str, path: str) -> Column:
+    """A text that isn't empty, a number other than 0, or true, as text; null for all else."""
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    said = F.try_variant_get(value, path, "string")
+    number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE")
+    return F.when(kind == "STRING", F.nullif(said, F.lit(""))).when(number & (F.try_variant_get(value, path, "double") != 0), said).when((kind == "BOOLEAN") & (said == "true"), F.lit("True"))
+
+
+def membership_lists(documents: DataFrame, name: str, json: str) -> dict[str, DataFrame]:
+    """Tables of clip names for ``split_membership`` from documents named all, sft and benchmark (column ``name``): entries of
+    any shape in the first, plain texts or numbers in the others."""
+    of = lambda which: documents.where(F.col(name) == which).select(json)
+    plain = lambda df: df.where(F.schema_of_variant(F.try_parse_json(json)).startswith("ARRAY")).lateralJoin(documents.sparkSession.tvf.variant_explode(F.try_parse_json(json).outer())).select(F.try_variant_get("value", "$", "string").alias("clip_name")).where("clip_name is not null")
+    return {"all": list_entries(of("all"), json).select("clip_name"), "sft": plain(of("sft")), "benchmark": plain(of("benchmark"))}
+
+
 def split_membership(items: DataFrame, key: str, members: dict[str, DataFrame]) -> DataFrame:
     """benchmark before sft before all; unassigned otherwise. ``members`` has one-column tables of keys."""
     out, label = items, F.lit("unassigned")
