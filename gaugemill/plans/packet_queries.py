@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as T
+from ..functions import prompts, text as T
 from ..operators import media, pools
 from ..sources import readers
 from ..streaming import scoring
@@ -127,3 +127,57 @@ def rendered_sounds(t: Tables) -> DataFrame:
     media.render(jobs, sounds, f"{folder}/sounds")
     told = t.spark.read.parquet(f"{folder}/sounds").select("path", media.audio_features("content").alias("f"))
     return told.select("path", *(F.round(f"f.{c}", 6).alias(c) for c in media.NUMBERS))
+
+
+NOISES = (prompts.NEARBY, prompts.VEHICLES, "Music", *prompts.MACHINES, "None")
+PLACES = (*prompts.STREETS, *prompts.PUBLIC, "Office")
+ASKED = (prompts.SIDE_TALK, prompts.TOOL_CALL, "grounding", "closed_book")
+
+
+def _wearable(t: Tables) -> DataFrame:
+    """Documents as recordings: tasks, noises, places and angles in turn."""
+    nth = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    said = {"_noise_type": nth(NOISES), "location": nth(PLACES), "bystander__y_n_": nth(("No", "Yes", "Yes")), "noise_level": nth((prompts.LOUD, "Quiet", "Normal")), "environment": nth(("Indoors", "Outdoors")), "partner_position": nth(("0", "60", "-60", "-30", "90")), "partner_distance": nth(("1.5m", "3m", "1.5m"))}
+    meta = F.create_map(*(c for k, v in said.items() for c in (F.lit(k), v)))
+    return t.documents.select("doc_id", F.format_string("d%d_%s", "doc_id", nth((*prompts.BYSTANDERS, "none"))).alias("id"), nth(ASKED).alias("task"), meta.alias("meta"), "text")
+
+
+def _listed(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _nth(values: tuple[str, ...]) -> str:
+    return f"{_listed(values)}[doc_id % {len(values)} + 1]"
+
+
+WEARABLE = f"""w AS (SELECT doc_id, 'd' || doc_id || '_' || {_nth((*prompts.BYSTANDERS, 'none'))} AS id, {_nth(ASKED)} AS task, {_nth(NOISES)} AS noise, {_nth(PLACES)} AS place, {_nth(('No', 'Yes', 'Yes'))} AS bystander, {_nth((prompts.LOUD, 'Quiet', 'Normal'))} AS level,
+ {_nth(('Indoors', 'Outdoors'))} AS environment, {_nth(('0', '60', '-60', '-30', '90'))} AS angle, {_nth(('1.5m', '3m', '1.5m'))} AS distance, text FROM documents)"""
+
+
+@query(f"""WITH {WEARABLE} SELECT doc_id, concat_ws(',', CASE WHEN task = '{prompts.SIDE_TALK}' AND bystander = 'Yes' AND regexp_matches(id, 'bystander|unrelated|partner') THEN 'bystander_side_talk' END, CASE WHEN task = '{prompts.SIDE_TALK}' AND noise = '{prompts.NEARBY}' THEN 'nearby_side_conversation' END,
+ CASE WHEN noise = '{prompts.VEHICLES}' OR list_contains({_listed(prompts.STREETS)}, place) THEN 'vehicle_or_street_context' END, CASE WHEN list_contains({_listed(prompts.MACHINES)}, noise) THEN 'construction_or_machine_noise' END, CASE WHEN noise = 'Music' OR list_contains({_listed(prompts.PUBLIC)}, place) THEN 'music_or_cafe_context' END,
+ CASE WHEN task <> 'closed_book' AND list_contains({_listed(prompts.ANGLES)}, angle) AND distance = '1.5m' THEN 'orientation_distance_context' END) AS contrast,
+ concat_ws(',', CASE WHEN task = '{prompts.SIDE_TALK}' AND noise = '{prompts.NEARBY}' THEN 'side_talk_nearby_conversation' END, CASE WHEN task = '{prompts.SIDE_TALK}' AND bystander = 'Yes' THEN 'side_talk_with_bystander' END, CASE WHEN task = 'tool_call' AND level = '{prompts.LOUD}' THEN 'tool_call_noisy_environment' END,
+ CASE WHEN noise = '{prompts.VEHICLES}' THEN 'traffic_or_vehicle_noise' END, CASE WHEN noise = 'Music' OR list_contains({_listed(prompts.PUBLIC)}, place) THEN 'music_or_public_space_noise' END, CASE WHEN environment = 'Indoors' AND level = 'Quiet' AND task <> '{prompts.SIDE_TALK}' THEN 'indoor_quiet_control' END) AS demo FROM w""")
+def category_rules(t: Tables) -> DataFrame:
+    """The categories of every recording by both sets of rules."""
+    joined = lambda rules: F.array_join(prompts.categories(rules), ",")
+    return _wearable(t).select("doc_id", joined(prompts.contrast_rules()).alias("contrast"), joined(prompts.demo_rules()).alias("demo"))
+
+
+def _asked_sql(kind: str) -> str:
+    side, tool, other = (q.replace("'", "''") for q in prompts.QUESTIONS[kind])
+    return f"CASE task WHEN '{prompts.SIDE_TALK}' THEN '{side}' WHEN '{prompts.TOOL_CALL}' THEN '{tool}' ELSE '{other}' END"
+
+
+def _filled_sql(template: str, *parts: str) -> str:
+    first, *rest = template.replace("'", "''").split("%s")
+    return " || ".join([f"'{first}'", *(f"{part} || '{text}'" for part, text in zip(parts, rest, strict=True))])
+
+
+@query(f"""WITH {WEARABLE} SELECT doc_id, md5({_filled_sql(prompts.DECIDE, "''", _asked_sql('decide'))}) AS decide, md5({_filled_sql(prompts.SPEAK, "(" + _filled_sql(prompts.METADATA, "place") + ")", _asked_sql('speak'))}) AS speak,
+ md5({_filled_sql(prompts.DIAGNOSE, "(" + _filled_sql(prompts.METADATA_TOLD, "noise") + ")", "id", "coalesce(text, '')")}) AS diagnosis FROM w""")
+def prompt_texts(t: Tables) -> DataFrame:
+    """Digests of every recording's prompts: a decision without metadata, a spoken reply and a diagnosis with it."""
+    rows = _wearable(t).select("*", F.col("meta")["location"].alias("place"), F.col("meta")["_noise_type"].alias("noise"))
+    return rows.select("doc_id", F.md5(prompts.prompt("task", "decide")).alias("decide"), F.md5(prompts.prompt("task", "speak", "place")).alias("speak"), F.md5(prompts.diagnosis("id", "text", "noise")).alias("diagnosis"))

@@ -16,6 +16,29 @@ CUE_PROMPTS = {
 ANSWERABLE = "Could you make this judgment from audio alone?"
 CUE_FORM = ("chosen_answer", "answerable_from_audio_yes_no", "confidence_1_5", "difficulty_1_5", "comments")
 CUE_QUOTA = 6
+# How raters are told to judge each task, or any other.
+GUIDANCE = {
+    "target_sound_grounding": "Listen to all candidate clips and choose the one that best matches the written event description.",
+    "fine_grained_acoustic_contrast": "Listen to the candidate clips and choose the better acoustic match for the prompt.",
+    "foreground_event_focus": "Listen to the query clip and decide whether the target event is foreground, background, or absent.",
+    "acoustic_plausibility_ranking": "Rank the candidate clips from most plausible to least plausible given the prompt.",
+    "periodicity_aware_grounding": "Listen to the query clip and choose whether it sounds more repetitive/rhythmic or more abrupt/impact-like.",
+    "onset_sharpness_grounding": "Listen to the query clip and judge whether the sound onset is sharp or diffuse.",
+    "audio_text_hard_negative_matching": "Listen to the query clip and choose the text description that best matches it.",
+    "phonic_target_grounding": "Listen to all candidate clips and choose the one that best matches the people-centered speech prompt.",
+    "speaker_count_grounding": "Listen to the query clip and decide whether it contains one dominant speaker or multiple speakers.",
+    "dyadic_matching": "Listen to the prompt clip and the candidate clips, then choose the candidate most likely to come from the same conversational scene.",
+    "delivery_style_grounding": "Listen to the query clip and pick the delivery style that best matches the speech.",
+    "turn_holding_continuation": "Listen to the prompt clip and choose the continuation text that best fits the same ongoing turn.",
+    "speaker_count_aware_continuation": "Listen to the prompt clip and choose the continuation text that best matches the single-speaker or multi-speaker interaction scale.",
+    "delivery_conditioned_continuation": "Listen to the prompt clip and choose the continuation text that best matches the delivery style.",
+    "event_window_grounding": "Listen to all candidate clips and choose the one that best matches the long-form event prompt.",
+    "narrative_continuation_plausibility": "Listen to the query clip and choose the continuation text that best fits what plausibly happens next.",
+    "long_context_event_retrieval": "Given the text query, listen to the candidate clips and choose the best audio match.",
+    "sequential_causal_consistency": "Listen to the query clip and choose the text option that best matches the causal order implied by the audio.",
+}
+OTHER_GUIDANCE = "Listen carefully and choose the option that best matches the task prompt."
+RECORDED = ("chosen answer", "confidence from 1 to 5", "difficulty from 1 to 5", "optional free-text comments")
 
 
 def answer() -> Column:
@@ -48,6 +71,16 @@ def key(picked: DataFrame) -> DataFrame:
     return picked.select("task_name", F.col("id").alias("item_id"), answer().alias("answer_key"))
 
 
+def instructions(picked: DataFrame) -> DataFrame:
+    """(task_name, text): a sheet of instructions for each task of the items; of one that stands in several tiers, the first's."""
+    spoken = F.lit(OTHER_GUIDANCE)
+    for task, said in GUIDANCE.items():
+        spoken = F.when(F.col("task_name") == task, said).otherwise(spoken)
+    each = picked.groupBy("task_name").agg(F.min("tier").alias("tier"))
+    asked = "\n".join(f"- {r}" for r in RECORDED)
+    return each.select("task_name", F.format_string(f"# %s\n\nTier: `%s`\n\n%s\n\nAsk each rater to also record:\n\n{asked}\n", "task_name", "tier", spoken).alias("text"))
+
+
 def assets(picked: DataFrame) -> DataFrame:
     """(source, item_dir, name) of every sound that an item needs."""
     shown = items(picked).select("tier", "task_dir", "id", "item_dir")
@@ -83,6 +116,8 @@ def write(rows: DataFrame, root: str, per_task: int = 2, by: str | None = None)
     picked = chosen(rows, per_task, by)
     shown = items(picked)
     shown.write.mode("overwrite").partitionBy("task_name").json(f"{root}/items")
+    for sheet in instructions(picked).toLocalIterator():  # a row for each task
+        writers.text_document(rows.sparkSession, sheet["text"], f"{root}/task_instructions/{sheet['task_name']}.md")
     writers.csv(shown.select("tier", "task_name", F.col("id").alias("item_id"), "item_dir"), f"{root}/manifest", ["tier", "task_name", "item_id", "item_dir"])
     writers.csv(key(picked), f"{root}/answer_key_private", ["task_name", "item_id", "answer_key"])
     form = ["response", "confidence", "difficulty", "comments"]

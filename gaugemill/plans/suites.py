@@ -5,6 +5,7 @@ Items have id, label, audio_path, rich and short (what is said of them at length
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import pools, sampling as S
-from ..sources import schema, writers
+from ..sources import readers, schema, writers
 from . import tasks
 
 # The tasks of each tier in order, each with its recommended metrics; the primary one is accuracy but for
@@ -186,3 +187,18 @@ def write(rows: DataFrame, path: str, seed: int = 42) -> dict:
 def copied(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of the tasks in ``wanted`` (tier, task_dir), each with where it was selected from."""
     return rows.join(F.broadcast(wanted.select("tier", "task_dir").distinct()), ["tier", "task_dir"]).withColumn("selected_from", F.concat_ws("/", "tier", "task_dir"))
+
+
+def copy_tasks(spark: SparkSession, root: str, wanted: DataFrame, out: str) -> dict[str, int]:
+    """Writes the rows of the wanted tasks (tier, task_dir) of the suite at ``root``, beside each the task's own metadata, if
+    it has any, with where it was selected from and how many rows it has; returns these numbers. Rows are counted as they
+    were written, and read once."""
+    rows = readers.suite(spark, root, file="{all.jsonl,part-*.json}").drop("row_ord", "file")
+    writers.suite(rows.join(F.broadcast(wanted.select("tier", "task_dir").distinct()), ["tier", "task_dir"]), f"{out}/rows")
+    made = spark.read.schema(f"{schema.TASK_ROWS}, tier string, task_dir string").option("basePath", f"{out}/rows").json(f"{out}/rows")
+    n = {f"{r.tier}/{r.task_dir}": r["count"] for r in made.groupBy("tier", "task_dir").count().toLocalIterator()}  # a row for each task
+    for task, count in n.items():
+        path = f"{root}/{task}/metadata.json"
+        known = json.loads(spark.read.text(path, wholetext=True).first()[0]) if readers.exists(spark, path) else {}
+        writers.json_document(spark, known | {"selected_from": f"{root}/{task}", "count": count}, f"{out}/metadata/{task}.json")
+    return n

@@ -41,15 +41,37 @@ def not_yet_made(wanted: DataFrame, made: DataFrame, key: str) -> DataFrame:
 
 def json_document(spark: SparkSession, value: dict, path: str) -> None:
     """One indented document at a path of any file system that Spark writes to."""
+    text_document(spark, json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True), path)
+
+
+def text_document(spark: SparkSession, text: str, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     try:
-        stream.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True), "utf-8"))
+        stream.write(bytearray(text, "utf-8"))
     finally:
         stream.close()
 
 
+def manifest(rows: DataFrame, root: str, suite_name: str, counts: DataFrame, failures: DataFrame | None = None) -> dict:
+    """Rows, failures, and a document of counts; returns it. ``counts`` is (field, value, n) of ``loaders.manifest_counts``:
+    what has no value stands in the document by itself, the values of a field (splits, styles: few) under its name."""
+    spark = rows.sparkSession
+    jsonl(rows, f"{root}/manifest")
+    document = {"suite": suite_name, "count": 0, "audio_extraction_failures": 0, "audio_extraction_failure_log": f"{root}/audio_extraction_failures"}
+    for r in counts.toLocalIterator():
+        if r["value"] is None:
+            document[r["field"]] = r["n"]
+        else:
+            document.setdefault(r["field"], {})[r["value"]] = r["n"]
+    if failures is not None:
+        jsonl(failures, document["audio_extraction_failure_log"])
+        document["audio_extraction_failures"] = failures.count()
+    json_document(spark, document, f"{root}/metadata.json")
+    return document
+
+
 def task_metadata(df: DataFrame, strategy: str, seed: int) -> DataFrame:
     """Per task: count, label distribution, seed and strategy."""
     labels = df.groupBy("task_dir", "gold_key").agg(F.count("*").alias("n"))

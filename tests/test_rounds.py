@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugemill.operators import media, sampling as S
-from gaugemill.plans import packets
-from gaugemill.sources import readers
+from gaugemill.functions import prompts
+from gaugemill.plans import packets, suites
+from gaugemill.sources import loaders, readers, writers
 from gaugemill.streaming import scoring
 
 
@@ -108,3 +109,41 @@ def test_cue_packets_keep_answers_apart(spark, tmp_path, hot):
     shared = "".join(f.read_text() for f in (tmp_path / "share").rglob("*") if f.is_file() and f.suffix in (".json", ".csv"))
     assert "pardon me" not in shared and "gold_label" not in shared and "acknowledgment_01" in shared
     assert set(readers.csv(spark, f"{tmp_path}/answer_key_private", ["gold_label"]).toPandas()["gold_label"]) == {"short_acknowledgment", "explicit_repair_cue"}
+
+
+def test_copies_of_tasks_keep_their_metadata(spark, tmp_path):
+    for tier, task, n, meta in (("tier1", "task_1_a", 3, '{"seed": 7, "count": 99}'), ("tier1", "task_2_b", 2, None), ("tier2", "task_1_a", 1, "{}")):
+        folder = tmp_path / "suite" / tier / task
+        folder.mkdir(parents=True)
+        (folder / "all.jsonl").write_text("\n".join(json.dumps({"id": f"{task}-{i}", "task_name": task}) for i in range(n)))
+        if meta:
+            (folder / "metadata.json").write_text(meta)
+    root, out = f"{tmp_path}/suite", tmp_path / "out"
+    wanted = spark.createDataFrame([("tier1", "task_1_a"), ("tier1", "task_2_b"), ("tier9", "task_1_a")], "tier string, task_dir string")
+    assert suites.copy_tasks(spark, root, wanted, str(out)) == {"tier1/task_1_a": 3, "tier1/task_2_b": 2}
+    told = lambda task: json.loads((out / f"metadata/{task}.json").read_text())
+    assert told("tier1/task_1_a") == {"seed": 7, "count": 3, "selected_from": f"{root}/tier1/task_1_a"} and told("tier1/task_2_b")["count"] == 2
+    assert {(r.tier, r.task_dir, r.id) for r in readers.suite(spark, f"{out}/rows", "*.json").collect()} == {("tier1", t, f"{t}-{i}") for t, n in (("task_1_a", 3), ("task_2_b", 2)) for i in range(n)}
+
+
+def test_manifests_count_what_they_hold(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "sft", 1), ("b", "sft", 2), ("c", "all", 3)], "clip_name string, split string, speakers int")
+    counts = loaders.manifest_counts(rows, ["split"], {"multi_speaker_count": F.col("speakers") > 1})
+    lost = spark.createDataFrame([("d", "gone")], "clip_name string, error string")
+    document = writers.manifest(rows, f"{tmp_path}/m", "clips", counts, lost)
+    assert (document["count"], document["split"], document["multi_speaker_count"], document["audio_extraction_failures"]) == (3, {"sft": 2, "all": 1}, 2, 1)
+    assert json.loads((tmp_path / "m/metadata.json").read_text()) == document and spark.read.json(f"{tmp_path}/m/manifest").count() == 3
+    empty = writers.manifest(rows.limit(0), f"{tmp_path}/e", "clips", loaders.manifest_counts(rows.limit(0), ["split"], {}))
+    assert (empty["count"], empty["audio_extraction_failures"]) == (0, 0)
+
+
+def test_sheets_of_instructions_and_prompts(spark):
+    rows = spark.createDataFrame([("t2", "dyadic_matching"), ("t1", "dyadic_matching"), ("t1", "own")], "tier string, task_name string")
+    sheets = {r.task_name: r.text for r in packets.instructions(rows).collect()}
+    assert sheets["dyadic_matching"].startswith(f"# dyadic_matching\n\nTier: `t1`\n\n{packets.GUIDANCE['dyadic_matching']}\n") and packets.OTHER_GUIDANCE in sheets["own"]
+    r = spark.range(1).select(prompts.prompt(F.lit(None).cast("string"), "speak").alias("a"), prompts.prompt(F.lit("tool_call"), "decide", F.lit("- 100 %s")).alias("b"), prompts.diagnosis(F.lit(None).cast("string"), F.lit("t")).alias("c")).first()
+    assert prompts.QUESTIONS["speak"][2] in r.a and "metadata:\n" not in r.a
+    assert "\nPhysical grounding metadata:\n- 100 %s\n" in r.b and prompts.QUESTIONS["decide"][1] in r.b
+    assert "task context:\n\n\nKnown transcript from the dataset, for reference only:\nt\n" in r.c
+    bare = spark.createDataFrame([(None, None, None)], "task string, id string, meta map<string,string>").select(prompts.categories(prompts.contrast_rules()).alias("x"), prompts.categories(prompts.demo_rules()).alias("y")).first()
+    assert (bare.x, bare.y) == ([], [])
