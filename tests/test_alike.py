@@ -74,3 +74,26 @@ def test_lists_are_bounded_where_a_token_is_everywhere(spark):
     assert alike._commonest(shaped) == ["1:the"]
     got = alike.ranked(rows, rows, "id", 8, {1: "words"}, end="most")
     assert got.where("score = 2").count() == sum(m * min(8, m - 1) for m in (5 if i < 200 else 4 for i in range(700)))
+
+
+@pytest.mark.parametrize("end", ["least", "most", "most_last"])
+def test_pieces_of_targets_and_pools_meet_in_blocks(spark, monkeypatch, end):
+    """Pools of one block, of several and of a shared one; targets and rows under one id, and targets that repeat."""
+    monkeypatch.setattr(alike, "BLOCK", 32)
+    monkeypatch.setattr(alike, "TARGETS", 16)
+    monkeypatch.setattr(alike, "SIGNATURES", 3)
+    monkeypatch.setattr(alike, "INDEXED", 3)
+    rows = made(150, 9)
+    for i, r in enumerate(rows):
+        r["g"] = "x" if i < 100 else f"g{i // 10}" if i < 140 else str(i)
+    table = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(3)
+    twice = table.unionByName(table.where("id = 'c0001'"))
+    found = alike.ranked(twice, twice, "id", 4, {20: "traits", 1: "words"}, ["g"], ["v"], end).collect()
+    assert {(r.id, r["rank"]): (r.candidate, r.score) for r in found} == plain(rows, 4, ["g"], ["v"], end)
+    assert len(found) == len(plain(rows, 4, ["g"], ["v"], end)) + 4
+
+
+def test_scores_of_heavy_features_and_whole_number_ids(spark):
+    rows = spark.range(60).select("id", F.array((F.col("id") % 2).cast("string"), F.lit("all")).alias("a"), F.array((F.col("id") % 30).cast("string")).alias("b"))
+    got = {r.id: (r.candidate, r.score) for r in alike.ranked(rows, rows, "id", 1, {1000: "a", 1: "b"}, end="most").collect()}
+    assert got == {i: ((i + 30) % 60, 2001) for i in range(60)}
