@@ -52,3 +52,12 @@ def test_levels_nulls_and_empty_tables(spark):
     pair = rows.withColumn("r", F.lit(0.0))
     over = M.level_comparison(pair, "tier", "task", "m", "r", ["id"], 50).where("level = 3").first()
     assert over.observed_difference == 0.5 and over.p_value < 0.05
+
+
+def test_guesses_of_trials_are_as_cheap_as_a_batch(spark):
+    """64 terms for each row in one expression are more code than the JVM compiles; golds may be missing."""
+    rows = spark.range(2_000_000).select("id", (F.col("id") % 2).alias("t"), F.when(F.col("id") != 7, F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, 3).alias("n"))
+    plan = M.baselines(rows, ["t"], "id", "g", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "1099511627776" not in plan
+    got = {r.t: r.random for r in M.baselines(rows, ["t"], "id", "g", "n").collect()}
+    assert all(abs(x - (0.8 / 3 + 0.2 / 3)) < 0.005 for x in got.values())
