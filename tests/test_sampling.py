@@ -78,3 +78,21 @@ def test_no_rows(spark):
     assert best.count() == 0 and S.samples_of(table, ["task"], "k", "id", best, 90, 30).count() == 0
     with pytest.raises(ValueError):
         S.adaptive_search(table, ["task"], "k", "id", "gold", "n", 90, 30, 8, strategy="other")
+
+
+def test_rows_are_made_only_for_attempts_they_take_part_in(spark):
+    """By batches; a row for every attempt of every row would grow 128 times the table before its filter."""
+    from gaugemill.operators import sampling
+
+    cases = [(i * 7_368_787 + 11, i * 99_991 + 5, i * sampling.SIZE_STEP, sampling.MODULUS // 9, i % 3, 0 if i == 4 else 40) for i in range(50)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a long, b long, s long, bound long, first int, n int")
+    got = {r.i: r.x for r in rows.select("i", sampling._takes_part()("a", "b", "s", "bound", "first", "n").alias("x")).collect()}
+
+    def place(a, b, step):
+        u = (a + step * b) % sampling.MODULUS
+        for shift, factor in sampling.MIXING:
+            u = (u ^ u >> shift) * factor % sampling.MODULUS
+        return u
+
+    want = {i: [k for k in range(f, f + n) if place(a, b, s + k * sampling.ATTEMPT_STEP) < bound] for i, (a, b, s, bound, f, n) in enumerate(cases)}
+    assert got == want and any(want.values()) and not want[4]
