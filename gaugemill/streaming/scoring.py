@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "task_dir string, id string, label_space array<string>, gold_label string, predicted_index bigint, ts timestamp"
 
-#: What a batch changes of a task's sums: a prediction that is new adds a row, a revised one only the difference.
-REVISION = "task_dir string, id string, rows bigint, change double"
-STATE = "at bigint, guess bigint, metric double"
+#: A line as it is kept: its prediction, its time and guess, which tell the last line, and its metric.
+REVISION = "task_dir string, id string, at bigint, guess bigint, metric double"
 
 
 def scored(spark: SparkSession, path: str) -> DataFrame:
@@ -34,31 +29,19 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.trigger(availableNow=True).outputMode("append").option("checkpointLocation", checkpoint).format("parquet").start(out)
 
 
-def _revised(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Of a prediction's lines the one of the latest time counts, of equal times that with the larger guess; so the order in
-    which lines come, and in what batch, makes no difference."""
-    before = state.get if state.exists else None
-    best = before
-    for batch in batches:
-        for at, guess, metric in zip(batch["at"], batch["guess"], batch["primary_metric"], strict=True):
-            line = (int(at), int(guess), float(metric))
-            best = line if best is None or line[:2] > best[:2] else best
-    if best is not None and best is not before:
-        state.update(best)
-        yield pd.DataFrame({"task_dir": [key[0]], "id": [key[1]], "rows": [0 if before else 1], "change": [best[2] - (before[2] if before else 0.0)]})
-
-
 def revisions(stream: DataFrame) -> DataFrame:
-    """A row for every prediction that is new or revised, with what it changes of its task's sums; lines without task, id or
-    time are left out. The state is a few bytes for each id, dealt out by task and id, so no task of a large suite is hot."""
-    kept = stream.where("task_dir is not null and id is not null and ts is not null").select("task_dir", "id", F.unix_micros("ts").alias("at"), F.coalesce("predicted_index", F.lit(-1)).alias("guess"), "primary_metric")
-    return kept.groupBy("task_dir", "id").applyInPandasWithState(_revised, REVISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    """The lines that say something of a prediction; lines without task, id or time are left out. Nothing is held between
+    batches, so no memory grows with the ids seen."""
+    kept = stream.where("task_dir is not null and id is not null and ts is not null")
+    return kept.select("task_dir", "id", F.unix_micros("ts").alias("at"), F.coalesce("predicted_index", F.lit(-1)).cast("long").alias("guess"), F.col("primary_metric").alias("metric"))
 
 
 def means(spark: SparkSession, out: str) -> DataFrame:
-    """Count and mean of each task from the revisions written so far: every prediction's last line counts once."""
-    written = spark.read.schema(REVISION).parquet(out).groupBy("task_dir").agg(F.sum("rows").alias("n"), F.sum("change").alias("total"))
-    return written.select("task_dir", "n", (F.col("total") / F.col("n")).alias("mean"))
+    """Count and mean of each task from the lines written so far: of a prediction's lines the one of the latest time counts, of
+    equal times that with the larger guess, of equal guesses that with the larger metric; so the order in which lines come, and
+    in what batch, makes no difference."""
+    last = spark.read.schema(REVISION).parquet(out).groupBy("task_dir", "id").agg(F.max(F.struct("at", "guess", "metric")).alias("last"))
+    return last.groupBy("task_dir").agg(F.count("*").alias("n"), F.avg("last.metric").alias("mean"))
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

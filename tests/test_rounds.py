@@ -62,6 +62,19 @@ def test_streamed_means_follow_the_last_line_in_any_order(spark, tmp_path):
         assert [(x.task_dir, x.n, x["mean"]) for x in r] == [("t", 4, 0.5)]
 
 
+def test_lines_of_one_time_and_guess_make_no_difference_by_their_order(spark, tmp_path):
+    """Nor do they need Python or state: one key's lines were a call each before."""
+    line = lambda gold: json.dumps({"task_dir": "t", "id": "x", "label_space": ["a", "b"], "gold_label": gold, "predicted_index": 1, "ts": "2026-01-01T00:00:00Z"})
+    for order in ("ab", "ba"):
+        root = tmp_path / order
+        (root / "in").mkdir(parents=True)
+        for gold in order:
+            (root / f"in/{gold}.json").write_text(line(gold))
+            scoring.run_available(scoring.revisions(scoring.scored(spark, f"{root}/in")), f"{root}/out", f"{root}/state").awaitTermination(120)
+        assert [(r.n, r["mean"]) for r in scoring.means(spark, f"{root}/out").collect()] == [(1, 1.0)]
+        assert not (root / "state/state").exists()
+
+
 def test_a_log_holds_a_repeated_batch_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = json.dumps({"task_dir": "t", "id": "x", "label_space": ["a"], "gold_label": "a", "predicted_index": 0, "ts": "2026-01-01T00:00:00Z"})
